@@ -21,10 +21,16 @@ def flag_letters(bits: Column, ordered: str = dims.TCP_FLAGS) -> Column:
 
 
 def protocol_name(protocol: Column, other: Column | None = None) -> Column:
-    name = F.when(F.lit(False), "")
-    for number, text in dims.PROTOCOLS.items():
-        name = name.when(protocol == number, text)
-    return name.otherwise(protocol.cast("string") if other is None else other)
+    return lookup(protocol, dims.PROTOCOLS, protocol.cast("string") if other is None else other)
+
+
+def once(expression: Column) -> Column:
+    """Evaluates a struct once per row; its fields become columns.
+
+    Several columns built from one long expression would each repeat it after the
+    optimizer merges projections; a generator keeps it in one place.
+    """
+    return F.inline(F.array(expression))
 
 
 def is_well_known(port: Column) -> Column:
@@ -49,11 +55,11 @@ def is_internal(ip: Column) -> Column:
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:
-    """Value of ``key`` in a small fixed table, as one CASE expression."""
-    out = F.when(F.lit(False), F.lit(None))
-    for k, v in table.items():
-        out = out.when(key == k, F.lit(v))
-    return out.otherwise(default if isinstance(default, Column) else F.lit(default))
+    """Value of ``key`` in a small fixed table, as one map literal."""
+    found = F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    if default is None:
+        return found
+    return F.coalesce(found, default if isinstance(default, Column) else F.lit(default))
 
 
 def port_service(port: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowsentry import dims
 from flowsentry.functions.net import flag_bits, flag_letters
-from flowsentry.plans.ordered import ordered_chunks, with_previous, with_running
+from flowsentry.plans.ordered import ordered
 
 FLOW_KEY = ["lo_ip", "lo_port", "hi_ip", "hi_port", "protocol"]
 CLOSING_BITS = 0x01 | 0x04  # FIN, RST
@@ -107,33 +107,67 @@ def build_flows(
     """Bidirectional flows; a flow ends on FIN/RST, at ``max_packets``, or after an idle gap.
 
     Whether a packet opens a new flow depends only on the packet before it in the same
-    conversation, so the whole job is one sort by (conversation, time) and running sums
-    over it.  Packets of one conversation may span many chunks.
+    conversation, so the whole job is one sort by (conversation, time) and running values
+    over it.  Packets of one conversation may span many chunks.  A flow is named by its
+    conversation, the row number that opened it, and the part the packet cap cuts off.
     """
     idle_us = idle_seconds * 1_000_000
-    cut = ordered_chunks(with_flow_key(packets), FLOW_KEY, ["ts_us", "seq"], chunks)
+    cut = ordered(with_flow_key(packets), FLOW_KEY, ["ts_us", "seq"], chunks)
     if as_of_us is None:
-        as_of_us = cut.agg(F.max("ts_us")).first()[0] or 0
-    cut_bits = F.col("bits").bitwiseAND(F.lit(CLOSING_BITS)) != 0
-    opened = with_previous(cut, FLOW_KEY, {"prev_us": "ts_us", "prev_bits": "bits"}).withColumns(
-        {
-            "_one": F.lit(1),
-            "_opens": (
-                F.col("prev_us").isNull()
-                | (F.col("prev_bits").bitwiseAND(F.lit(CLOSING_BITS)) != 0)
-                | (F.col("ts_us") - F.col("prev_us") > idle_us)
-            ).cast("int"),
-        }
+        as_of_us = cut.rows.agg(F.max("ts_us")).first()[0] or 0
+    def ends_before(prev_us: Column, prev_bits: Column, now_us: Column) -> Column:
+        return (prev_bits.bitwiseAND(F.lit(CLOSING_BITS)) != 0) | (now_us - prev_us > idle_us)
+
+    # Inside a chunk: row number per conversation and the last row that opened a flow.
+    seen = W.partitionBy("_chunk", *FLOW_KEY).orderBy("_pos")
+    local = (
+        cut.rows.withColumns(
+            {"prev_us": F.lag("ts_us").over(seen), "prev_bits": F.lag("bits").over(seen), "row": F.row_number().over(seen)}
+        )
+        .withColumn(
+            "opens", F.when(ends_before(F.col("prev_us"), F.col("prev_bits"), F.col("ts_us")), F.col("row"))
+        )
+        .withColumn("open_here", F.max("opens").over(cut.upto))
     )
-    numbered = with_running(opened, FLOW_KEY, sums={"segment": "_opens", "row": "_one"}, cut=cut)
-    placed = with_running(
-        numbered.withColumn("_open_row", F.when(F.col("_opens") == 1, F.col("row"))),
-        FLOW_KEY,
-        maxes={"open_row": "_open_row"},
-        cut=cut,
-    ).withColumn("part", F.floor((F.col("row") - F.col("open_row")) / max_packets))
+    if cut.one_chunk:
+        placed = local.withColumns({"at": F.col("row"), "opened_at": F.coalesce("open_here", F.lit(1))})
+    else:
+        # Across chunks: rows before, whether the chunk's first row opens, last opening row before.
+        spans = cut.carry(
+            local,
+            [
+                F.min("ts_us").alias("first_us"),
+                F.max("ts_us").alias("last_us"),
+                F.max_by("bits", "_pos").alias("last_bits"),
+                F.count("*").alias("n"),
+                F.max("opens").alias("last_open"),
+            ],
+        )
+        key_order = W.partitionBy(*FLOW_KEY).orderBy("_chunk")
+        before, prev_us = F.coalesce(F.sum("n").over(cut.earlier), F.lit(0)), F.lag("last_us").over(key_order)
+        first_opens = prev_us.isNull() | ends_before(prev_us, F.lag("last_bits").over(key_order), F.col("first_us"))
+        carry = (
+            spans.withColumns({"before": before, "first_opens": first_opens})
+            .withColumn(
+                "open_row",
+                F.coalesce(F.col("before") + F.col("last_open"), F.when(F.col("first_opens"), F.col("before") + 1)),
+            )
+            .select("_chunk", *FLOW_KEY, "before", "first_opens", F.max("open_row").over(cut.earlier).alias("open_before"))
+        )
+        rows_before = F.coalesce("before", F.lit(0))
+        placed = cut.join_carry(local, carry).withColumns(
+            {
+                "at": F.col("row") + rows_before,
+                "opened_at": F.coalesce(
+                    F.col("open_here") + rows_before,
+                    F.when(F.coalesce("first_opens", F.lit(True)), rows_before + 1),
+                    F.col("open_before"),
+                ),
+            }
+        )
+    placed = placed.withColumn("part", F.floor((F.col("at") - F.col("opened_at")) / max_packets))
     low = F.col("low_first")
-    flows = placed.groupBy(*FLOW_KEY, "segment", "part").agg(
+    flows = placed.groupBy(*FLOW_KEY, "opened_at", "part").agg(
         F.min("ts_us").alias("start_us"),
         F.max("ts_us").alias("end_us"),
         F.min_by("seq", "_pos").alias("first_seq"),
@@ -145,7 +179,7 @@ def build_flows(
         F.bit_or("bits").alias("bits"),
     )
     reason = (
-        F.when(cut_bits, "fin_rst")
+        F.when(F.col("bits").bitwiseAND(F.lit(CLOSING_BITS)) != 0, "fin_rst")
         .when(F.col("low_packets") + F.col("high_packets") >= max_packets, "cap")
         .when(F.lit(as_of_us) - F.col("end_us") > idle_us, "idle")
         .otherwise("open")

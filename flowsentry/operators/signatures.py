@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowsentry import dims
 from flowsentry.functions.alerting import severity_rank
+from flowsentry.functions.net import once
 from flowsentry.plans.ordered import sliding_counts
 from flowsentry.plans.storage import materialize
 
@@ -234,12 +235,14 @@ def signature_matches(
         )
         for order, ((name, severity, tactic, technique), condition, description) in enumerate(rules)
     ]
-    best = rated.withColumn("m", F.array_max(F.array(*candidates))).where("m is not null")
-    zero = F.col("m.rule_name") == "ICMP_FLOOD"
+    best = rated.select(
+        "flow_id", "start_us", "src_ip", "dst_ip", "src_port", "dst_port", once(F.array_max(F.array(*candidates)))
+    ).where("rule_name is not null")
+    zero = F.col("rule_name") == "ICMP_FLOOD"
     return best.select(
         "flow_id",
         "start_us",
-        *[f"m.{c}" for c in ("rule_name", "severity", "description", "mitre_tactic", "mitre_technique")],
+        "rule_name", "severity", "description", "mitre_tactic", "mitre_technique",
         "src_ip",
         "dst_ip",
         F.when(zero, 0).otherwise(F.col("src_port")).alias("src_port"),

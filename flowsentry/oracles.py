@@ -186,3 +186,355 @@ sig_alerts as (
     '{{}}' raw_features
   from picked)"""
 ORACLES["signature_alerts"] = f"with {SIGNATURE_ALERTS} select * from sig_alerts"
+
+HITS = f"""{PACKETS},
+hits as (
+  select ts_us, seq, src_ip, dst_ip, cast(dst_port as int) dst_port, rule, severity, technique, description,
+    {case("protocol", dims.PROTOCOLS, "cast(protocol as varchar)")} protocol
+  from (
+    select *,
+      case when bad then 'MALICIOUS_PORT' when soft then 'SENSITIVE_ACCESS' when dns then 'DNS_AMPLIFICATION' end rule,
+      case when bad then 'CRITICAL' else 'HIGH' end severity,
+      case when bad then 'T1071' when soft then 'T1190' else 'T1498.002' end technique,
+      case when bad then 'C2 port ' || dst_port || ' — ' || bad_name
+        when soft then soft_name || ' access attempt (port ' || dst_port || ')'
+        else 'DNS amplification — ' || length || 'B response' end description
+    from (
+      select *, {case("dst_port", dims.CAPTURE_BAD_PORTS)} bad_name, bad_name is not null bad,
+        {case("dst_port", dims.CAPTURE_SENSITIVE_PORTS)} soft_name, soft_name is not null soft,
+        protocol = 17 and (dst_port = 53 or src_port = 53) and length > 2000 dns
+      from fx_packets))
+  where rule is not null),
+scans as (
+  select cast(null as bigint) ts_us, cast(null as bigint) seq, src_ip, cast(null as varchar) dst_ip, 0 dst_port,
+    'PORT_SCAN' rule, 'HIGH' severity, 'T1046' technique,
+    'Port scan — ' || count(distinct dst_port) || ' unique ports probed' description, 'TCP' protocol
+  from fx_packets group by src_ip having count(distinct dst_port) > 20),
+floods as (
+  select cast(null as bigint) ts_us, cast(null as bigint) seq, src_ip, cast(null as varchar) dst_ip, 80 dst_port,
+    'SYN_FLOOD' rule, 'CRITICAL' severity, 'T1499' technique,
+    'SYN flood — ' || count(*) || ' SYN packets' description, 'TCP' protocol
+  from fx_packets where protocol = 6 and contains(flags, 'S') group by src_ip having count(*) > 80),
+every as (select * from hits union all select * from scans union all select * from floods)"""
+
+
+def profiles(source: str) -> str:
+    return f"""
+profiles as (
+  select src_ip, count(*) hits,
+    arg_max(severity, {case("severity", dims.SEVERITY_RANK)}) severity,
+    array_to_string(list_sort(list(distinct rule)), ' · ') rules,
+    array_to_string(list_transform(list_sort(coalesce(list(distinct dst_port) filter (dst_port > 0), [])), lambda x: cast(x as varchar)), ', ') ports,
+    array_to_string(list_sort(list(distinct technique)), ' · ') techniques,
+    first(description order by case rule when 'PORT_SCAN' then stage1 when 'SYN_FLOOD' then stage2 else 0 end,
+      ts_us nulls first, seq nulls first, description) description,
+    count(distinct dst_ip) n_targets,
+    array_to_string(list_slice(list_sort(coalesce(list(distinct dst_ip) filter (dst_ip is not null), [])), 1, 4), ', ') targets
+  from (select *, 1 stage1, 2 stage2 from {source}) group by src_ip)"""
+
+
+ORACLES["attacking_sources"] = f"""
+with {SIGNATURE_ALERTS},
+marks as (select start_us ts_us, flow_id seq, src_ip, dst_ip, dst_port, rule_name rule, severity,
+  mitre_technique technique, description from picked), {profiles("marks")}
+select * from profiles
+"""
+ORACLES["packet_rules"] = f"with {HITS} select * from hits"
+ORACLES["capture_port_scan"] = f"with {HITS} select * from scans"
+ORACLES["capture_syn_flood"] = f"with {HITS} select * from floods"
+ORACLES["all_hits"] = f"with {HITS} select * from every"
+ORACLES["attacker_profiles"] = f"with {HITS}, {profiles('every')} select * from profiles"
+ORACLES["attacker_targets"] = (
+    f"with {HITS} select src_ip, dst_ip, count(*) hits from every where dst_ip is not null group by all"
+)
+ORACLES["protocol_counts"] = f"""
+with {PACKETS}
+select protocol, {case("protocol", dims.PROTOCOLS, "'Proto ' || protocol")} name, count(*) packets
+from fx_packets group by protocol
+"""
+ORACLES["packet_timeline"] = f"""
+with {PACKETS}
+select strftime(make_timestamp(ts_us), '%Y-%m-%d %H:%M') "minute", count(*) packets from fx_packets group by 1
+"""
+ORACLES["capture_kpis"] = f"""
+with {HITS}
+select count(*) packets, count(distinct (src_ip, dst_ip, src_port, dst_port, protocol)) flows,
+  count(distinct src_ip) sources, count(distinct dst_ip) destinations, (max(ts_us) - min(ts_us)) / 1000000.0::double duration_s,
+  (select count(*) from every) hits, (select count(distinct src_ip) from every) attackers
+from fx_packets
+"""
+ORACLES["hit_breakdown"] = f"""
+with {HITS}
+select 'severity' kind, severity "name", count(*) hits from every group by severity
+union all select 'rule', replace(rule, '_', ' '), count(*) from every group by rule
+"""
+SERVICES = {**dims.CAPTURE_BAD_PORTS, **dims.CAPTURE_SENSITIVE_PORTS}
+ORACLES["top_ports"] = f"""
+with {PACKETS}
+select cast(dst_port as int) dst_port, count(*) n,
+  ':' || dst_port || ' (' || {case("dst_port", SERVICES, "''")} || ')' "label"
+from fx_packets where dst_port > 0 group by fx_packets.dst_port order by n desc, fx_packets.dst_port limit 10
+"""
+ORACLES["packet_preview"] = f"""
+with {PACKETS}
+select * exclude (role) replace (cast(src_port as int) as src_port, cast(dst_port as int) as dst_port),
+  {case("protocol", dims.PROTOCOLS, "'Other'")} proto_name
+from fx_packets order by seq limit 200
+"""
+_INTERNAL = r"regexp_matches({c}, '^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)')"
+ORACLES["internal_traffic"] = f"""
+with {PACKETS}
+select {_INTERNAL.format(c='src_ip')} src_internal, {_INTERNAL.format(c='dst_ip')} dst_internal, count(*) packets,
+  cast(sum(length) as bigint) bytes
+from fx_packets group by 1, 2
+"""
+
+# ---- host log ------------------------------------------------------------------------------------
+LOG = with_views("fx_log_lines")
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_AUTH = {name: dims.AUTH_HEADER + body for name, body, _, _ in dims.AUTH_RULES}
+
+
+def auth_group(i: int, names=tuple(_AUTH)) -> str:
+    return "case rule " + " ".join(f"when '{n}' then regexp_extract(text, {quoted(_AUTH[n])}, {i})" for n in names) + " end"
+
+
+AUTH = f"""{LOG},
+ruled as (
+  select line_no, trim(line) text, case {" ".join(f"when regexp_matches(trim(line), {quoted(p)}) then '{n}'" for n, p in _AUTH.items())} end rule
+  from fx_log_lines),
+auth as (
+  select line_no, epoch_us(strptime('2024 ' || regexp_replace({auth_group(1)}, '\\s+', ' ', 'g'), '%Y %b %d %H:%M:%S')) ts,
+    {case("rule", {n: e for n, _, e, _ in dims.AUTH_RULES})} event_type, {auth_group(2)} hostname,
+    regexp_replace({auth_group(4)}, ',$', '') "user", {auth_group(5, ("SSH_FAILED", "SSH_SUCCESS"))} source_ip,
+    cast({auth_group(3)} as int) pid, {auth_group(5, ("SUDO_SUCCESS",))} command,
+    rule || ': ' || substr(text, 1, 120) description, {case("rule", {n: s for n, _, _, s in dims.AUTH_RULES})} severity,
+    text raw_line
+  from ruled where rule is not null),
+fails as (
+  select line_no, count(*) over (partition by source_ip order by cast(ts as hugeint) * 100000000 + line_no
+    range between cast(60000000 as hugeint) * 100000000 + 99999999 preceding and current row) n
+  from auth where event_type = 'AUTH_FAIL'),
+forced as (
+  select * exclude (n) replace (
+    case when n >= 5 then 'BRUTE_FORCE' else event_type end as event_type,
+    case when n >= 5 then 'CRITICAL' else severity end as severity,
+    case when n >= 5 then 'SSH brute force from ' || source_ip || ': ' || n || ' failures in 60s' else description end as description)
+  from auth left join fails using (line_no))"""
+ORACLES["auth_events"] = f"with {AUTH} select * from auth"
+ORACLES["auth_brute_force"] = f"with {AUTH} select * from forced"
+
+_UP = [(f"(?i){p}", *rest) for p, *rest in dims.UPLOAD_RULES]
+
+
+def upload_group(position: int) -> str:
+    whens = " ".join(
+        f"when '{event}' then regexp_extract(line, {quoted(p)}, {groups[position]})" for p, event, _, *groups in _UP if groups[position]
+    )
+    return f"case type {whens} else '{dims.NO_VALUE}' end"
+
+
+UPLOAD = f"""{LOG},
+typed as (
+  select line_no, line, case {" ".join(f"when regexp_matches(line, {quoted(p)}) then '{e}'" for p, e, *_ in _UP)} end type
+  from fx_log_lines),
+uploaded as (
+  select line_no, type, {case("type", {r[1]: r[2] for r in _UP})} severity, {upload_group(0)} "user", {upload_group(1)} ip,
+    regexp_extract(line, {quoted(dims.UPLOAD_TIME)}, 1) ts,
+    regexp_extract(regexp_extract(line, {quoted(dims.UPLOAD_TIME)}, 1), {quoted(dims.UPLOAD_MINUTE)}, 1) "minute",
+    substr(trim(line), 1, 100) raw
+  from typed where type is not null),
+summary as (
+  select 'events' "section", type "key", count(*) n from uploaded group by type
+  union all select 'fails_by_ip', ip, count(*) from uploaded where type = 'SSH_FAIL' group by ip
+  union all select 'fails_by_user', "user", count(*) from uploaded where type = 'SSH_FAIL' group by "user"
+  union all select 'users_by_ip', ip, count(distinct "user") from uploaded where type = 'SSH_SUCCESS' group by ip
+  union all select 'sudo_by_user', "user", count(*) from uploaded where type = 'SUDO_EXEC' group by "user")"""
+ORACLES["log_upload_events"] = f"with {UPLOAD} select * from uploaded"
+ORACLES["log_summary"] = f"with {UPLOAD} select * from summary"
+ORACLES["log_kpis"] = f"""
+with {UPLOAD}
+select cast(sum(n) filter ("section" = 'events') as bigint) events,
+  count(*) filter ("section" = 'fails_by_ip' and n >= 5) brute_force_ips, count(*) filter ("section" = 'fails_by_ip') attacker_ips,
+  count(*) filter ("section" = 'fails_by_user') targeted_users,
+  cast(coalesce(sum(n) filter ("section" = 'sudo_by_user'), 0) as bigint) sudo_runs
+from summary
+"""
+ORACLES["log_timeline"] = f"""with {UPLOAD} select "minute", count(*) events from uploaded where "minute" <> '' group by 1"""
+ORACLES["brute_force_profiles"] = f"""
+with {UPLOAD}
+select ip, count(*) failures, case when count(*) > 50 then 'CRITICAL' when count(*) > 20 then 'HIGH' else 'MEDIUM' end severity,
+  'SSH Brute Force' attack_type, 'T1110.001' mitre_technique, 'Credential Access' mitre_tactic
+from uploaded where type = 'SSH_FAIL' group by ip having count(*) >= 5 order by failures desc, ip limit 10
+"""
+ORACLES["top_targeted_users"] = f"""
+with {UPLOAD}
+select "user", count(*) failures from uploaded where type = 'SSH_FAIL' group by 1 order by 2 desc, 1 limit 12
+"""
+
+# ---- files and processes -----------------------------------------------------------------------
+FILES = f"""{with_views("fx_files")},
+old as (select 'host0' host, path, sha256(old_body) sha256 from fx_files where in_old),
+new as (select 'host0' host, path, sha256(new_body) sha256 from fx_files where in_new)"""
+ORACLES["file_hash_snapshot"] = f"with {FILES} select * from old"
+ORACLES["file_integrity_diff"] = f"""
+with {FILES}
+select host, kind event_type, path file_path, old_hash, new_hash,
+  case when kind = 'DELETED' or kind = 'MODIFIED' and ({" or ".join(f"starts_with(path, '{p}')" for p in dims.CRITICAL_PATHS)})
+    then 'HIGH' else 'MEDIUM' end severity, kind || ': ' || path description
+from (
+  select coalesce(o.host, n.host) host, coalesce(o.path, n.path) path, o.sha256 old_hash, n.sha256 new_hash,
+    case when n.path is null then 'DELETED' when o.path is null then 'CREATED' when o.sha256 <> n.sha256 then 'MODIFIED' end kind
+  from old o full join new n on o.path = n.path)
+where kind is not null
+"""
+ORACLES["process_anomalies"] = f"""
+with {with_views("fx_processes")},
+fresh as (
+  select c.*, coalesce(p.name, '') parent_name
+  from fx_processes c left join fx_processes p on p.scan_no = c.scan_no and p.host = c.host and p.pid = c.ppid
+  where not exists (select 1 from fx_processes b where b.scan_no = c.scan_no - 1 and b.host = c.host and b.pid = c.pid)
+    and exists (select 1 from fx_processes b where b.scan_no = c.scan_no - 1 and b.host = c.host)),
+checked as (
+  select *, name in ({texts(dims.SUSPICIOUS_NAMES)}) c1, parent_name in ({texts(dims.WEB_PARENTS)}) and name in ({texts(dims.SHELLS)}) c2,
+    name in ({texts(dims.SHELLS)}) and ({" or ".join(f"contains(cmdline, '{m}')" for m in dims.REVERSE_SHELL_MARKS)}) c3
+  from fresh)
+select scan_no, host, case when c1 then 'SUSPICIOUS_PROCESS' else 'SUSPICIOUS_SPAWN' end event_type, pid, name process_name,
+  ppid parent_pid, parent_name, cmdline,
+  case when c1 then 'Known suspicious tool: ' || name || ' (pid=' || pid || ')'
+    when c2 then 'Shell ''' || name || ''' spawned by web process ''' || parent_name || ''' — possible RCE (pid=' || pid || ')'
+    else 'Potential reverse shell: ' || substr(cmdline, 1, 80) end description, 'CRITICAL' severity
+from checked where c1 or c2 or c3
+"""
+
+# ---- alerts ----------------------------------------------------------------------------------------
+_TACTIC, _TECHNIQUE = case("event_type", dims.HOST_TACTICS, "'Unknown'"), case("event_type", dims.HOST_TECHNIQUES, "'Unknown'")
+ALERTS = f"""{with_views("fx_alerts")},
+alerts as (select *, {_TACTIC} mitre_tactic, {_TECHNIQUE} mitre_technique, ts_s * 1000000 ts_us from fx_alerts),
+prints as (
+  select *, md5(alert_type || '|' || coalesce(src_ip, '') || '|' || dst_ip || '|' || dst_port || '|' || substr(description, 1, 50)) fp
+  from fx_alerts)"""
+AS_OF_US = 1_700_003_600_000_000
+ORACLES["alert_fingerprint"] = f"with {ALERTS} select id, fp fingerprint from prints"
+
+
+def dedup_sql(source: str) -> str:
+    """Jumps per fingerprint to the first time >= last kept + 60."""
+    return f"""
+jumps as (
+  select fp, min(ts_s) t from {source} group by fp
+  union all
+  select j.fp, (select min(p.ts_s) from {source} p where p.fp = j.fp and p.ts_s >= j.t + 60) t
+  from jumps j where (select min(p.ts_s) from {source} p where p.fp = j.fp and p.ts_s >= j.t + 60) is not null),
+kept as (
+  select p.* from {source} p join jumps j on p.fp = j.fp and p.ts_s = j.t
+  qualify row_number() over (partition by p.fp, p.ts_s order by p.id) = 1)"""
+
+
+def limit_sql(n: int) -> str:
+    """Row by row inside sessions split by a 60 s gap, carrying the accepted times."""
+    return f"""
+gapped as (select *, case when ts_s - lag(ts_s) over (order by ts_s, id) < 60 then 0 else 1 end g from prints),
+sessions as (select *, sum(g) over (order by ts_s, id rows unbounded preceding) s from gapped),
+numbered as (select *, row_number() over (partition by s order by ts_s, id) rn from sessions),
+walk as (
+  select s, rn, id, true ok, [ts_s] acc from numbered where rn = 1
+  union all
+  select n.s, n.rn, n.id, len(list_filter(w.acc, lambda x: n.ts_s - x < 60)) < {n} ok,
+    case when len(list_filter(w.acc, lambda x: n.ts_s - x < 60)) < {n}
+      then list_append(list_filter(w.acc, lambda x: n.ts_s - x < 60), n.ts_s) else list_filter(w.acc, lambda x: n.ts_s - x < 60) end acc
+  from walk w join numbered n on n.s = w.s and n.rn = w.rn + 1),
+limited as (select p.* from prints p join walk w using (id) where w.ok)"""
+
+
+ORACLES["dedup_alerts"] = f"with recursive {ALERTS}, {dedup_sql('prints')} select * exclude (fp) from kept"
+ORACLES["rate_limit_alerts"] = f"with recursive {ALERTS}, {limit_sql(20)} select * exclude (fp) from limited"
+ORACLES["admitted_alerts"] = f"""
+with recursive {ALERTS}, {limit_sql(20)}, {dedup_sql('limited')} select * exclude (fp), 0 notified from kept
+"""
+ORACLES["mitre_enrich"] = f"with {ALERTS} select id, event_type, mitre_tactic, mitre_technique from alerts"
+HOST_ALERTS = f"""{AUTH},
+host_alerts as (
+  select line_no source_id, ts ts_us, 'HOST' alert_type, severity, coalesce(source_ip, 'localhost') src_ip, 'localhost' dst_ip,
+    0 src_port, 0 dst_port, '' protocol, description, {_TACTIC} mitre_tactic, {_TECHNIQUE} mitre_technique,
+    cast(0.9 as double) confidence, 0 model_votes, '{{}}' raw_features
+  from forced)"""
+ORACLES["host_alerts"] = f"with {HOST_ALERTS} select * from host_alerts"
+ORACLES["all_alerts"] = f"with {SIGNATURE_ALERTS}, {HOST_ALERTS} select * from sig_alerts union all by name select * from host_alerts"
+
+
+def feed_text(c: str, mark: str = dims.NO_VALUE) -> str:
+    return f"coalesce(cast({c} as varchar), '{mark}')"
+
+
+_ISO = "strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S')"
+ORACLES["alert_feed"] = f"""
+with {ALERTS}
+select id, {_ISO} "time", severity, alert_type "type", {feed_text('src_ip')} src, dst_ip || ':' || dst_port dst,
+  substr(description, 1, 70) description, mitre_tactic mitre,
+  case when confidence > 0 then cast(round(confidence * 100) as bigint) || '%' else '{dims.NO_VALUE}' end confidence
+from alerts
+where severity in ('CRITICAL', 'HIGH') and alert_type = 'NETWORK' and (contains(coalesce(src_ip, ''), '10.0.0.1') or contains(dst_ip, '10.0.0.1'))
+"""
+_COLOR = case("severity", dims.SEVERITY_COLORS, "'#333333'")
+ORACLES["notification_outbox"] = f"""
+with {ALERTS}, ranked as (select *, {case("severity", dims.SEVERITY_RANK, "0")} rk, {_ISO} iso, {_COLOR} color from alerts)
+select id, 'email' channel, '[IDS ' || severity || '] ' || substr(description, 1, 60) title, color,
+  'Timestamp: ' || iso || chr(10) || 'Type: ' || alert_type || chr(10) || 'Source IP: ' || coalesce(src_ip, '') || chr(10)
+  || 'Destination IP: ' || dst_ip || chr(10) || 'Port: ' || dst_port || chr(10) || 'Description: ' || description || chr(10)
+  || 'MITRE Tactic: ' || mitre_tactic || chr(10) || 'Confidence: ' || confidence body
+from ranked where rk >= 3
+union all
+select id, 'slack', 'IDS Alert — ' || severity, color,
+  '{{"Type":"' || alert_type || '","Source IP":"' || coalesce(src_ip, '-') || '","Dest IP":"' || dst_ip || '","Port":"' || dst_port
+  || '","Description":"' || substr(description, 1, 200) || '","MITRE":"' || mitre_tactic || '","Confidence":"' || confidence || '"}}'
+from ranked where rk >= 2
+union all
+select id, 'console', '[ALERT][' || severity || ']', color,
+  '[ALERT][' || severity || '] ' || iso || ' | ' || coalesce(src_ip, '-') || ' → ' || dst_ip || ' | ' || substr(description, 1, 120)
+from ranked
+"""
+ORACLES["acknowledged_alerts"] = f"""
+with {ALERTS}
+select id, severity, cast(id in (select o_orderkey from orders) as int) acknowledged from fx_alerts
+"""
+ORACLES["correlate_net_host"] = f"""
+with {ALERTS}
+select n.id, n.src_ip, count(*) host_events
+from fx_alerts n join fx_alerts h on h.src_ip = n.src_ip and h.ts_s between n.ts_s - 300 and n.ts_s + 300
+where n.event_type in ('PORT_SCAN', 'SYN_FLOOD') and h.event_type in ('AUTH_FAIL', 'SUDO') and n.src_ip <> '' group by n.id, n.src_ip
+"""
+ORACLES["suppress_allowlisted"] = f"""
+with {ALERTS}
+select id, src_ip from fx_alerts
+where src_ip is null or src_ip not in (select '10.0.0.' || (n_nationkey * 5) from nation)
+"""
+ORACLES["severity_counts"] = f"with {ALERTS} select severity, count(*) cnt from fx_alerts group by severity"
+ORACLES["alert_timeline"] = f"""
+with {ALERTS}
+select strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:00:00') "hour", count(*) "count"
+from alerts where ts_us between {AS_OF_US} - 3600000000 and {AS_OF_US} group by 1
+"""
+ORACLES["recent_alerts"] = f"with {ALERTS} select * from alerts where severity = 'HIGH' order by ts_us desc, id desc limit 100"
+ORACLES["top_source_ips"] = f"""
+with {ALERTS} select src_ip, count(*) cnt from fx_alerts where src_ip <> '' group by src_ip order by cnt desc, src_ip limit 10
+"""
+_MITRE = ", ".join(f"({texts(row)})" for row in dims.MITRE)
+ORACLES["mitre_coverage"] = f"""
+with {ALERTS}
+select tactic, technique, m.name, count(a.id) alerts
+from (values {_MITRE}) m(event_type, tactic, technique, name) left join fx_alerts a using (event_type) group by all
+"""
+ORACLES["report_summary"] = f"""
+with {ALERTS}, span as (select * from alerts where ts_us between {AS_OF_US} - 3600000000 and {AS_OF_US})
+select 'summary' "section", 'Total Alerts' "key", cast(count(*) as varchar) "text" from span
+union all select 'summary', s, cast((select count(*) from span where severity = upper(s)) as varchar)
+  from (values ('Critical'), ('High'), ('Medium'), ('Low')) v(s)
+union all (select 'critical', cast(id as varchar), description || ' — ' || coalesce(src_ip, '') || ' → ' || dst_ip || ' '
+  || strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M') from span where severity = 'CRITICAL' order by ts_us desc, id desc limit 5)
+"""

@@ -2,101 +2,87 @@
 
 ``Window.partitionBy(key)`` puts a whole key into one task.  Here the rows are
 range-partitioned on (key, order) instead, so the cuts between tasks fall wherever
-the volume is, inside a hot key too.  Running values are computed per chunk and the
-few values that cross a cut are added from a carry table with at most two rows
-per chunk (its size is bounded by the number of partitions, whatever the data).
+the volume is, inside a hot key too.  Running values are computed per chunk, and the
+few values that cross a cut come from a carry table with at most two rows per chunk
+(its size is bounded by the number of partitions, whatever the data).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowsentry.plans.storage import materialize
 
 # monotonically_increasing_id: partition number above bit 33, row number below it.
 _ROW_BITS = 33
-_ROW_MASK = (1 << _ROW_BITS) - 1
 
 
-def ordered_chunks(df: DataFrame, keys: list[str], order: list[str], chunks: int | None = None) -> DataFrame:
-    """Sort ``df`` by keys + order over the cluster; adds ``_chunk`` and ``_pos``.
+@dataclass
+class Ordered:
+    """Rows sorted by keys + order over the cluster, with ``_chunk``, ``_pos``, ``_head``."""
 
-    Keys must not be NULL and keys + order should identify a row.  The result is
-    written out, because chunk numbers are only meaningful for one execution.
-    """
-    cols = [*keys, *order]
-    spread = df.repartitionByRange(chunks, *cols) if chunks else df.repartitionByRange(*cols)
-    return materialize(
-        spread.sortWithinPartitions(*cols)
-        .withColumn("_pos", F.monotonically_increasing_id())
-        .withColumn("_chunk", F.shiftright("_pos", _ROW_BITS).cast("int"))
-    )
+    rows: DataFrame
+    keys: list[str]
+    one_chunk: bool
 
+    def carry(self, df: DataFrame, totals: list[Column]) -> DataFrame:
+        """Totals per (chunk, key), only for keys that cross a cut; at most two rows per chunk.
 
-def _chunk_heads(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """First row of every chunk: the only key that can continue from before."""
-    return chunks.where(F.col("_pos").bitwiseAND(F.lit(_ROW_MASK)) == 0).select("_chunk", *keys)
+        Only the first key of a chunk can continue from before, so the heads (one
+        row per chunk) name every key that matters.
+        """
+        heads = self.rows.where("_head").select(*self.keys).distinct()
+        return df.join(F.broadcast(heads), self.keys, "left_semi").groupBy("_chunk", *self.keys).agg(*totals)
 
+    @property
+    def earlier(self):
+        """Window over the carry rows of a key: all chunks before this one."""
+        return W.partitionBy(*self.keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
 
-def _carry(chunks: DataFrame, keys: list[str], totals: list[Column], merge, cut: DataFrame | None) -> DataFrame:
-    """Per (chunk, key) continued from earlier chunks: totals of those chunks."""
-    heads = _chunk_heads(cut or chunks, keys)
-    per_chunk = (
-        chunks.join(F.broadcast(heads.select(*keys).distinct()), keys, "left_semi")
-        .groupBy("_chunk", *keys)
-        .agg(*totals)
-    )
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    return per_chunk.select("_chunk", *keys, *merge(before))
+    @property
+    def upto(self):
+        """Window inside a chunk: rows of the key up to and including this one."""
+        return W.partitionBy("_chunk", *self.keys).orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
 
+    def join_carry(self, df: DataFrame, carry: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(carry), ["_chunk", *self.keys], "left")
 
-def with_running(
-    chunks: DataFrame,
-    keys: list[str],
-    sums: dict[str, str] | None = None,
-    maxes: dict[str, str] | None = None,
-    cut: DataFrame | None = None,
-) -> DataFrame:
-    """Running sums / maxima per key up to and including each row.
+    def running(self, df: DataFrame, sums: dict[str, str]) -> DataFrame:
+        """Running sums per key, up to and including each row.
+
+        ``df`` is ``rows`` or a projection of it with further columns.
+        """
+        local = df.withColumns({n: F.sum(c).over(self.upto) for n, c in sums.items()})
+        if self.one_chunk:
+            return local
+        carry = self.carry(df, [F.sum(c).alias(n) for n, c in sums.items()]).select(
+            "_chunk", *self.keys, *[F.coalesce(F.sum(n).over(self.earlier), F.lit(0)).alias(f"_c_{n}") for n in sums]
+        )
+        added = {n: F.col(n) + F.coalesce(f"_c_{n}", F.lit(0)) for n in sums}
+        return self.join_carry(local, carry).withColumns(added).drop(*[f"_c_{n}" for n in sums])
+
+    def clean(self, df: DataFrame) -> DataFrame:
+        return df.drop("_chunk", "_pos", "_head")
 
-    ``cut`` is the stored result of ``ordered_chunks`` when ``chunks`` derives from it.
+
+def ordered(df: DataFrame, keys: list[str], order: list[str], chunks: int | None = None) -> Ordered:
+    """Sort ``df`` by keys + order over the cluster.
+
+    Keys must not be NULL, and keys + order should identify a row.  The sorted rows
+    are written out, because chunk numbers only hold for one execution.
     """
-    sums, maxes = sums or {}, maxes or {}
-    upto = W.partitionBy("_chunk", *keys).orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
-    carry = _carry(
-        chunks,
-        keys,
-        [F.sum(c).alias(f"_t_{n}") for n, c in sums.items()] + [F.max(c).alias(f"_t_{n}") for n, c in maxes.items()],
-        lambda before: [F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums]
-        + [F.max(f"_t_{n}").over(before).alias(f"_c_{n}") for n in maxes],
-        cut,
-    )
-    local = chunks.withColumns(
-        {n: F.sum(c).over(upto) for n, c in sums.items()} | {n: F.max(c).over(upto) for n, c in maxes.items()}
-    )
-    joined = local.join(F.broadcast(carry), ["_chunk", *keys], "left")
-    return joined.withColumns(
-        {n: F.col(n) + F.coalesce(f"_c_{n}", F.lit(0)) for n in sums}
-        | {n: F.greatest(n, f"_c_{n}") for n in maxes}
-    ).drop(*[f"_c_{n}" for n in [*sums, *maxes]])
-
-
-def with_previous(chunks: DataFrame, keys: list[str], previous: dict[str, str]) -> DataFrame:
-    """Values of the preceding row of the same key (NULL on the first row)."""
-    seen = W.partitionBy("_chunk", *keys).orderBy("_pos")
-    packed = F.struct(*previous.values())
-    carry = _carry(
-        chunks,
-        keys,
-        [F.max_by(packed, "_pos").alias("_t_last")],
-        lambda before: [F.last("_t_last").over(before).alias("_c_last")],
-        None,
-    )
-    joined = chunks.withColumn("_l_last", F.lag(packed).over(seen)).join(
-        F.broadcast(carry), ["_chunk", *keys], "left"
+    cols = [*keys, *order]
+    spread = df.repartitionByRange(chunks, *cols) if chunks else df.repartitionByRange(*cols)
+    place = F.monotonically_increasing_id()
+    rows = materialize(
+        spread.sortWithinPartitions(*cols)
+        .withColumn("_pos", place)
+        .withColumn("_chunk", F.shiftright("_pos", _ROW_BITS).cast("int"))
+        .withColumn("_head", F.col("_pos").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) == 0)
     )
-    last = F.coalesce("_l_last", "_c_last")
-    return joined.withColumns({n: last[c] for n, c in previous.items()}).drop("_l_last", "_c_last")
+    return Ordered(rows, keys, one_chunk=len(rows.inputFiles()) <= 1)
 
 
 def sliding_counts(
@@ -116,6 +102,8 @@ def sliding_counts(
     is the running sum of those changes.  That is linear in the rows, where a
     sliding RANGE frame re-reads the frame for every row.  ``extra`` may bring
     further change rows (key, time, _phase, tie, <extra_counts>).
+
+    Phases at one instant: 0 and 1 arrivals, in tie order; 2 departures.
     """
     names = [*counts, *extra_counts]
     deltas = {n: c.cast("long") for n, (c, _) in counts.items()} | {n: F.lit(0).cast("long") for n in extra_counts}
@@ -136,15 +124,11 @@ def sliding_counts(
         union = union.unionByName(
             extra.withColumnsRenamed({n: f"_d_{n}" for n in extra_counts}), allowMissingColumns=True
         )
-    # Phases at one instant: 0 and 1 arrivals, in tie order; 2 departures.
-    union = union.withColumn("_late", (F.col("_phase") == 2).cast("int"))
-    cut = ordered_chunks(union, [key], [time, "_late", tie, "_phase"], chunks)
-    return (
-        with_running(cut, [key], {n: f"_d_{n}" for n in names})
-        .where("_phase = 1")
-        .withColumns({n: F.col(n).cast("long") for n in names})
-        .drop("_pos", "_chunk", "_phase", "_late", *[f"_d_{n}" for n in names])
+    cut = ordered(
+        union.withColumn("_late", (F.col("_phase") == 2).cast("int")), [key], [time, "_late", tie, "_phase"], chunks
     )
+    counted = cut.running(cut.rows, {n: f"_d_{n}" for n in names}).where("_phase = 1")
+    return cut.clean(counted).drop("_phase", "_late", *[f"_d_{n}" for n in names])
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], chunks: int | None = None) -> DataFrame:
@@ -152,20 +136,21 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], chunk
 
     Equal values are combined before the shuffle; no value list is ever collected.
     """
-    long = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s")
-    ).select("s.feature", "s.v").where("v is not null and not isnan(v)")
-    values = long.groupBy("feature", "v").agg(F.count("*").alias("n"))
-    cut = ordered_chunks(values, ["feature"], ["v"], chunks)
-    upto = with_running(cut, ["feature"], {"hi": "n"}).select("feature", "v", "hi", (F.col("hi") - F.col("n")).alias("lo"))
-    sizes = cut.groupBy("feature").agg(F.sum("n").alias("total"))  # one row per column name
-    wanted = (
-        sizes.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
+    values = (
+        df.select(F.inline(cells)).where("v is not null and not isnan(v)").groupBy("feature", "v")
+        .agg(F.count("*").alias("n"))
+    )
+    cut = ordered(values, ["feature"], ["v"], chunks)
+    spans = cut.running(cut.rows, {"hi": "n"}).withColumn("lo", F.col("hi") - F.col("n"))
+    wanted = (  # one row per column name and probability
+        cut.rows.groupBy("feature").agg(F.sum("n").alias("total"))
+        .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumn("at", F.col("p") * (F.col("total") - 1))
         .withColumn("below", F.floor("at"))
         .withColumn("above", F.least(F.col("below") + 1, F.col("total") - 1))
     )
-    hit = upto.join(F.broadcast(wanted), "feature").where(
+    hit = spans.join(F.broadcast(wanted), "feature").where(
         "(below >= lo and below < hi) or (above >= lo and above < hi)"
     )
     ends = hit.groupBy("feature", "p", "at", "below").agg(F.min("v").alias("v0"), F.max("v").alias("v1"))
@@ -176,5 +161,5 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], chunk
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank", chunks: int | None = None) -> DataFrame:
     """Row number per key without putting a key into one task."""
-    cut = ordered_chunks(df.withColumn("_one", F.lit(1)), keys, order, chunks)
-    return with_running(cut, keys, {name: "_one"}).drop("_one", "_pos", "_chunk")
+    cut = ordered(df.withColumn("_one", F.lit(1)), keys, order, chunks)
+    return cut.clean(cut.running(cut.rows, {name: "_one"})).drop("_one")

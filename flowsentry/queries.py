@@ -6,8 +6,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsentry import dims
 from flowsentry.fixtures import view
-from flowsentry.functions import net
-from flowsentry.operators import features, flows as fl, signatures as sg
+from flowsentry.functions import alerting as at, net
+from flowsentry.operators import (
+    alerts as al,
+    capture as cp,
+    features,
+    flows as fl,
+    hostlog as hl,
+    rollups as ru,
+    signatures as sg,
+    snapshots as sn,
+    throttle as th,
+)
+from flowsentry.plans.storage import materialize
 
 QUERIES = {}
 
@@ -102,3 +113,275 @@ def sig_icmp_flood(spark, sf):
 @query
 def signature_alerts(spark, sf):
     return sg.signature_to_alert(sg.signature_matches(flow_table(spark, sf)))
+
+
+@query
+def attacking_sources(spark, sf):
+    matches = sg.signature_matches(flow_table(spark, sf))
+    hits = matches.select(
+        F.col("start_us").alias("ts_us"), F.col("flow_id").alias("seq"), "src_ip", "dst_ip", "dst_port",
+        F.col("rule_name").alias("rule"), "severity", F.col("mitre_technique").alias("technique"), "description",
+    )
+    return cp.rank_attackers(cp.attacker_profiles(materialize(hits)))
+
+
+# ---- capture profile ---------------------------------------------------------------------------
+
+@query
+def packet_rules(spark, sf):
+    return cp.classify_packets(packets(spark, sf))
+
+
+@query
+def capture_port_scan(spark, sf):
+    return cp.capture_port_scan(packets(spark, sf))
+
+
+@query
+def capture_syn_flood(spark, sf):
+    return cp.capture_syn_flood(packets(spark, sf))
+
+
+@query
+def all_hits(spark, sf):
+    return cp.all_hits(packets(spark, sf))
+
+
+@query
+def attacker_profiles(spark, sf):
+    return cp.rank_attackers(cp.attacker_profiles(materialize(cp.all_hits(packets(spark, sf)))))
+
+
+@query
+def attacker_targets(spark, sf):
+    return cp.attacker_targets(cp.all_hits(packets(spark, sf)))
+
+
+@query
+def protocol_counts(spark, sf):
+    return cp.protocol_counts(packets(spark, sf))
+
+
+@query
+def packet_timeline(spark, sf):
+    return cp.packet_timeline(packets(spark, sf))
+
+
+@query
+def capture_kpis(spark, sf):
+    return cp.capture_kpis(packets(spark, sf))
+
+
+@query
+def hit_breakdown(spark, sf):
+    return cp.hit_breakdown(cp.all_hits(packets(spark, sf)))
+
+
+@query
+def top_ports(spark, sf):
+    return cp.top_ports(packets(spark, sf))
+
+
+@query
+def packet_preview(spark, sf):
+    return cp.packet_preview(packets(spark, sf))
+
+
+@query
+def internal_traffic(spark, sf):
+    p = packets(spark, sf)
+    sides = [net.is_internal(F.col(c)).alias(n) for c, n in (("src_ip", "src_internal"), ("dst_ip", "dst_internal"))]
+    return p.groupBy(*sides).agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"))
+
+
+# ---- host log ------------------------------------------------------------------------------------
+
+def log_lines(spark, sf):
+    return view(spark, sf, "fx_log_lines")
+
+
+def auth_event_table(spark, sf):
+    return hl.parse_auth_events(log_lines(spark, sf), year=2024)
+
+
+def upload_events(spark, sf):
+    return hl.classify_log_lines(log_lines(spark, sf))
+
+
+@query
+def auth_events(spark, sf):
+    return auth_event_table(spark, sf).withColumn("ts", F.unix_micros("ts"))
+
+
+@query
+def auth_brute_force(spark, sf):
+    return hl.auth_brute_force(auth_event_table(spark, sf)).withColumn("ts", F.unix_micros("ts"))
+
+
+@query
+def log_upload_events(spark, sf):
+    return upload_events(spark, sf)
+
+
+@query
+def log_summary(spark, sf):
+    return hl.log_summary(upload_events(spark, sf))
+
+
+@query
+def log_kpis(spark, sf):
+    return hl.log_kpis(upload_events(spark, sf))
+
+
+@query
+def log_timeline(spark, sf):
+    return hl.log_timeline(upload_events(spark, sf))
+
+
+@query
+def brute_force_profiles(spark, sf):
+    return hl.brute_force_profiles(upload_events(spark, sf))
+
+
+@query
+def top_targeted_users(spark, sf):
+    return hl.top_targeted_users(upload_events(spark, sf))
+
+
+# ---- files and processes -----------------------------------------------------------------------
+
+def file_snapshot(spark, sf, which: str):
+    files = view(spark, sf, "fx_files").where(f"in_{which}")
+    return sn.hash_files(files.select(F.lit("host0").alias("host"), "path", f"{which}_body"), f"{which}_body")
+
+
+@query
+def file_hash_snapshot(spark, sf):
+    return file_snapshot(spark, sf, "old")
+
+
+@query
+def file_integrity_diff(spark, sf):
+    return sn.diff_file_snapshots(file_snapshot(spark, sf, "old"), file_snapshot(spark, sf, "new"))
+
+
+@query
+def process_anomalies(spark, sf):
+    return sn.process_anomalies(view(spark, sf, "fx_processes"))
+
+
+# ---- alerts ----------------------------------------------------------------------------------------
+
+def alert_table(spark, sf):
+    """Alerts with micro-second time and host labels."""
+    return al.mitre_enrich(view(spark, sf, "fx_alerts")).withColumn("ts_us", F.col("ts_s") * 1_000_000)
+
+
+AS_OF_US = 1_700_003_600_000_000
+
+
+@query
+def alert_fingerprint(spark, sf):
+    return view(spark, sf, "fx_alerts").select("id", at.alert_fingerprint().alias("fingerprint"))
+
+
+@query
+def dedup_alerts(spark, sf):
+    return th.dedup_alerts(view(spark, sf, "fx_alerts"))
+
+
+@query
+def rate_limit_alerts(spark, sf):
+    return th.rate_limit_alerts(view(spark, sf, "fx_alerts"), limit=20)
+
+
+@query
+def admitted_alerts(spark, sf):
+    return al.admit_alerts(view(spark, sf, "fx_alerts"), limit=20)
+
+
+@query
+def mitre_enrich(spark, sf):
+    return al.mitre_enrich(view(spark, sf, "fx_alerts").select("id", "event_type"))
+
+
+def host_alert_table(spark, sf):
+    events = hl.auth_brute_force(auth_event_table(spark, sf))
+    return al.host_event_to_alert(
+        events.withColumnsRenamed({"line_no": "source_id"}).withColumn("ts_us", F.unix_micros("ts"))
+    )
+
+
+@query
+def host_alerts(spark, sf):
+    return host_alert_table(spark, sf)
+
+
+@query
+def all_alerts(spark, sf):
+    return al.all_alerts(sg.signature_to_alert(sg.signature_matches(flow_table(spark, sf))), host_alert_table(spark, sf))
+
+
+@query
+def alert_feed(spark, sf):
+    return al.alert_feed(alert_table(spark, sf), ["CRITICAL", "HIGH"], "NETWORK", "10.0.0.1", sort="severity")
+
+
+@query
+def notification_outbox(spark, sf):
+    a = alert_table(spark, sf)
+    return al.notification_outbox(a, "email").unionByName(al.notification_outbox(a, "slack")).unionByName(
+        al.notification_outbox(a, "console")
+    )
+
+
+@query
+def acknowledged_alerts(spark, sf):
+    a = view(spark, sf, "fx_alerts")
+    acks = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+    return al.acknowledge(a.select("id", "severity"), acks)
+
+
+@query
+def correlate_net_host(spark, sf):
+    a = view(spark, sf, "fx_alerts")
+    network, host = F.col("event_type").isin("PORT_SCAN", "SYN_FLOOD"), F.col("event_type").isin("AUTH_FAIL", "SUDO")
+    return al.correlate_net_host(a.where(network), a.where(host))
+
+
+@query
+def suppress_allowlisted(spark, sf):
+    known = spark.read.parquet(f"{sf}/nation.parquet").select(
+        F.concat(F.lit("10.0.0."), (F.col("n_nationkey") * 5).cast("string")).alias("src_ip")
+    )
+    return al.suppress_allowlisted(view(spark, sf, "fx_alerts").select("id", "src_ip"), known)
+
+
+@query
+def severity_counts(spark, sf):
+    return ru.severity_counts(view(spark, sf, "fx_alerts"))
+
+
+@query
+def alert_timeline(spark, sf):
+    return ru.alert_timeline(alert_table(spark, sf), AS_OF_US, hours=1)
+
+
+@query
+def recent_alerts(spark, sf):
+    return ru.recent_alerts(alert_table(spark, sf), 100, "HIGH")
+
+
+@query
+def top_source_ips(spark, sf):
+    return ru.top_source_ips(view(spark, sf, "fx_alerts"))
+
+
+@query
+def mitre_coverage(spark, sf):
+    return ru.mitre_coverage(view(spark, sf, "fx_alerts"))
+
+
+@query
+def report_summary(spark, sf):
+    return ru.report_summary(alert_table(spark, sf), AS_OF_US, hours=1)
