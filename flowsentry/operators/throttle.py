@@ -9,15 +9,15 @@ Both accept a row if fewer than ``limit`` rows of its key were *accepted* in the
   so the walk can start fresh after it.  Only runs of busy buckets are walked, each
   with the calm bucket before it as its starting state.
 
-A run is walked in rounds of bounded length that hand over only the rows accepted in
-the last window.
+A run is streamed through the walk in time order and never held in memory.  Very long
+runs are walked in rounds of bounded length, so that no task grows with the run; a round
+hands over only the rows accepted in its last window.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowsentry.functions.alerting import alert_fingerprint
@@ -27,19 +27,26 @@ _TAKEN = "_key string, _run bigint, _time bigint, _take bigint"
 
 
 def _walk(limit: int, window: int):
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_time", kind="stable")
-        recent, active, taken = deque(), 0, []
-        for t, n, given in zip(rows["_time"].tolist(), rows["_n"].tolist(), rows["_given"].tolist()):
-            while recent and t - recent[0][0] >= window:
-                active -= recent.popleft()[1]
-            take = n if given else min(n, limit - active)
-            if take:
-                recent.append((t, take))
-                active += take
-            taken.append(take)
-        out = rows[["_key", "_run", "_time"]].assign(_take=taken)
-        return out[~rows["_given"].to_numpy()]
+    """Greedy pass over rows sorted by key, run, time; holds only the last window."""
+
+    def walk(batches):
+        run, recent, active = None, deque(), 0
+        for rows in batches:
+            taken = []
+            columns = (rows[c].tolist() for c in ("_key", "_run", "_time", "_n", "_given"))
+            for key, start, t, n, given in zip(*columns):
+                if (key, start) != run:
+                    run, active = (key, start), 0
+                    recent.clear()
+                while recent and t - recent[0][0] >= window:
+                    active -= recent.popleft()[1]
+                take = n if given else min(n, limit - active)
+                if take:
+                    recent.append((t, take))
+                    active += take
+                taken.append(take)
+            out = rows[["_key", "_run", "_time"]].assign(_take=taken)
+            yield out[~rows["_given"].to_numpy(dtype=bool)]
 
     return walk
 
@@ -83,7 +90,8 @@ def throttle(
         part = todo.where(F.col("_round") == i).drop("_round")
         if state is not None:
             part = part.unionByName(state)
-        done = part.groupBy("_key", "_run").applyInPandas(walk, _TAKEN)
+        runs_whole = part.repartition("_key", "_run").sortWithinPartitions("_key", "_run", "_time")
+        done = runs_whole.mapInPandas(walk, _TAKEN)
         if last_round:
             done = materialize(done)
             edge = (F.col("_run") + (i + 1) * round_buckets) * window

@@ -30,7 +30,8 @@ def query(fn):
 
 def packets(spark: SparkSession, sf: str) -> DataFrame:
     p = view(spark, sf, "fx_packets").drop("role")
-    return p.withColumns({c: F.col(c).cast("int") for c in ("src_port", "dst_port")})
+    ints = ("src_port", "dst_port")
+    return p.select(net.once(F.struct(*[F.col(c).cast("int").alias(c) if c in ints else F.col(c) for c in p.columns])))
 
 
 def flow_table(spark, sf, **kw) -> DataFrame:
