@@ -538,3 +538,168 @@ union all select 'summary', s, cast((select count(*) from span where severity =
 union all (select 'critical', cast(id as varchar), description || ' — ' || coalesce(src_ip, '') || ' → ' || dst_ip || ' '
   || strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M') from span where severity = 'CRITICAL' order by ts_us desc, id desc limit 5)
 """
+
+# ---- captures and identities ---------------------------------------------------------------------
+ORACLES["pcap_scan"] = f"""
+with {PACKETS}
+select seq, ts_us, src_ip, dst_ip, protocol, length, 64 ttl, cast(src_port as int) src_port, cast(dst_port as int) dst_port, flags,
+  case when protocol = 6 then seq else 0 end tcp_seq, case when protocol = 6 then seq + 1 else 0 end tcp_ack,
+  case when protocol = 1 then 8 end icmp_type, case when protocol = 1 then 0 end icmp_code
+from fx_packets
+"""
+_LOGIN = ", ".join(
+    f"nullif(regexp_extract(lower(regexp_extract(payload, '(?s)POST .*?\\r\\n\\r\\n(.*)', 1)), '{n}=([^&\\s]{{2,40}})', 1), '')"
+    for n in dims.LOGIN_FIELDS
+)
+ORACLES["http_identity"] = f"""
+with {with_views("fx_http")},
+internal as (select * from fx_http where {_INTERNAL.format(c='src_ip')}),
+evidence as (
+  select seq, src_ip, 'os' field, substr(ua, 1, 120) v, 'OS from HTTP User-Agent' m
+  from (select *, trim(regexp_extract(payload, 'User-Agent:([^\\r]*)', 1)) ua from internal) where contains(ua, 'Windows NT')
+  union all
+  select seq, src_ip, 'username', split_part(decode(from_base64(b)), ':', 1), 'Username from HTTP Basic Auth'
+  from (select *, regexp_extract(payload, 'Authorization: Basic ([^\\r]*)', 1) b from internal) where b <> ''
+  union all
+  select seq, src_ip, 'username', coalesce({_LOGIN}) f, 'Username from HTTP POST body' from internal where f is not null),
+firsts as (select * from evidence qualify row_number() over (partition by src_ip, field order by seq, m, v) = 1),
+wide as (
+  select src_ip host_ip, max(v) filter (field = 'username') username, max(v) filter (field = 'os') os,
+    string_agg(m, '; ' order by seq, m) sources
+  from firsts group by src_ip)
+select host_ip, username, os,
+  case when regexp_matches(username, '^[A-Za-z]+\\.[A-Za-z]+$')
+    then upper(substr(split_part(username, '.', 1), 1, 1)) || lower(substr(split_part(username, '.', 1), 2)) || ' '
+      || upper(substr(split_part(username, '.', 2), 1, 1)) || lower(substr(split_part(username, '.', 2), 2)) || ' (inferred from account name)' end fullname,
+  sources || case when fullname is not null then '; Full name inferred from username dot-notation pattern' else '' end sources
+from wide
+"""
+
+# ---- labelled flows --------------------------------------------------------------------------------
+LABELLED = with_views("fx_labelled")
+_NUM = ["dst_port", "protocol", "fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes", "flow_bytes_s"]
+
+
+def finite_sql(c: str) -> str:
+    return f"case when isfinite(cast({c} as double)) then cast({c} as double) end"
+
+
+ORACLES["label_clean"] = f"""
+with {LABELLED}
+select src_ip, dst_ip, "label", cast("label" <> 'BENIGN' as int) binary_label,
+  {", ".join(f"least(greatest(coalesce({finite_sql(c)}, 0), 0), 1e9) {c}" for c in _NUM)}
+from fx_labelled where "label" is not null
+"""
+ORACLES["label_distribution"] = f"""
+with {LABELLED}, total as (select count(*) t from fx_labelled)
+select 'label' "section", "label" "name", count(*) n, round(count(*) / max(t), 6) rate from fx_labelled, total where "label" is not null group by "label"
+union all
+select 'total', case when "label" = 'BENIGN' then 'Benign' else 'Attacks' end nm, count(*), round(count(*) / max(t), 6) from fx_labelled, total group by nm
+"""
+_LONG = " union all ".join(f"select '{c}' feature, {finite_sql(c)} v, isinf(cast({c} as double)) inf from fx_labelled" for c in _NUM)
+ORACLES["feature_spread"] = f"""
+with {LABELLED}, long as ({_LONG})
+select feature, round(stddev_samp(v), 4) std from long group by feature having not coalesce(bool_or(inf), false) order by 2 desc, 1 limit 6
+"""
+ORACLES["trimmed_box_stats"] = f"""
+with {LABELLED}, long as (select * from ({_LONG}) where v is not null),
+tops as (select feature, quantile_cont(v, 0.99) top from long group by feature)
+select feature, count(*) n, min(v) low, round(quantile_cont(v, 0.25), 6) q1, round(median(v), 6) median,
+  round(quantile_cont(v, 0.75), 6) q3, round(max(v), 6) high
+from long join tops using (feature) where v < top group by feature
+"""
+ORACLES["trimmed_box_stats"] = ORACLES["trimmed_box_stats"].replace("min(v) low", "round(min(v), 6) low")
+_ATTACK = """coalesce("label" <> 'BENIGN', true)"""
+ORACLES["top_attack_sources"] = f"""
+with {LABELLED} select src_ip, count(*) n from fx_labelled where {_ATTACK} group by src_ip order by n desc, src_ip limit 10
+"""
+ORACLES["top_attack_ports"] = f"""
+with {LABELLED}
+select dst_port, count(*) n, ':' || dst_port || ' (' || {case("dst_port", SERVICES, "''")} || ')' "label",
+  case when dst_port in ({ports(dims.CAPTURE_BAD_PORTS)}) then 'bad'
+    when dst_port in ({ports(dims.CAPTURE_SENSITIVE_PORTS)}) then 'sensitive' else '' end watch
+from fx_labelled where {_ATTACK} group by dst_port order by n desc, dst_port limit 15
+"""
+ORACLES["top_protocols"] = f"""
+with {LABELLED}
+select protocol, count(*) n, {case("protocol", dims.PROTOCOLS, "cast(protocol as varchar)")} "name"
+from fx_labelled group by protocol order by n desc, protocol limit 8
+"""
+
+# ---- models ------------------------------------------------------------------------------------------
+_S = {m: f"coalesce({m}_score, 0)" for m in dims.MODEL_WEIGHTS}
+VOTED = f"""{with_views("fx_scored")},
+votes as (select *, {" + ".join(f"cast({_S[m]} >= {dims.VOTE_THRESHOLDS[m]} as int)" for m in _S)} votes from fx_scored),
+voted as (
+  select *, cast(votes >= {dims.VOTES_NEEDED} as int) predicted,
+    cast(round({" + ".join(f"cast({w} as decimal(4,2)) * cast(round({_S[m]}, 4) as decimal(9,4))" for m, w in dims.MODEL_WEIGHTS.items())}, 4) as double) confidence
+  from votes)"""
+ORACLES["ensemble_vote"] = f"with {VOTED} select * from voted"
+VOTED_FLOWS = f"{flow_ctes()}, {VOTED}, vf as (select fl.*, votes, predicted, confidence from fl join voted using (flow_id))"
+_BAND = " ".join(f"when confidence >= {floor} then '{s}'" for floor, s in dims.CONFIDENCE_BANDS)
+ORACLES["ml_alerts"] = f"""
+with {VOTED_FLOWS}
+select flow_id source_id, start_us ts_us, 'NETWORK' alert_type, case {_BAND} else 'LOW' end severity, src_ip, dst_ip, src_port, dst_port,
+  cast(protocol as varchar) protocol,
+  'ML anomaly detected: confidence=' || printf('%.2f', round(confidence * 100, 2)) || '%, votes=' || votes || '/3' description,
+  'Unknown' mitre_tactic, 'Unknown' mitre_technique, confidence, votes model_votes, '{{}}' raw_features
+from vf where predicted = 1
+"""
+ORACLES["network_events"] = f"""
+with {VOTED_FLOWS}
+select start_us ts_us, src_ip, dst_ip, src_port, dst_port, cast(protocol as varchar) protocol, fwd_bytes bytes_sent,
+  bwd_bytes bytes_recv, total_packets packets, round(duration_ms, 3) duration_ms, flags, confidence anomaly_score,
+  case when predicted = 1 then 'attack' else 'benign' end "label"
+from vf
+"""
+ORACLES["host_events"] = f"""
+with {AUTH}
+select ts, event_type, hostname, "user", substr(description, 1, 500) description, cast(0.9 as double) anomaly_score from auth
+"""
+ORACLES["scoring_stats"] = f"""
+with {VOTED}
+select count(*) total_scored, cast(sum(predicted) as bigint) total_flagged, round(sum(predicted) / count(*) * 100, 2) flag_rate_pct from voted
+"""
+ORACLES["score_calibration"] = f"""
+with {VOTED}
+select round(avg(ae_score), 6) mean, round(stddev_pop(ae_score), 6) std, round(avg(ae_score) + 3 * stddev_pop(ae_score), 6) threshold
+from fx_scored
+"""
+REPORT = f"""{VOTED},
+k as (
+  select c, count(*) filter ("label" = c and predicted = c) tp, count(*) filter (predicted = c) pr, count(*) filter ("label" = c) tr,
+    count(*) tot, count(*) filter ("label" = predicted) hit
+  from voted, (values (0), (1)) v(c) group by c),
+r as (
+  select c, tot, hit, tr, case when pr > 0 then tp / pr else 0 end p, case when tr > 0 then tp / tr else 0 end r,
+    case when pr + tr > 0 then 2 * tp / (pr + tr) else 0 end f from k),
+report as (
+  select case c when 0 then 'BENIGN' else 'ATTACK' end "name", p "precision", r recall, f f1, tr support from r
+  union all select 'accuracy', null, null, any_value(hit / tot), any_value(tot) from r
+  union all select 'macro avg', avg(p), avg(r), avg(f), any_value(tot) from r
+  union all select 'weighted avg', sum(p * tr / tot), sum(r * tr / tot), sum(f * tr / tot), any_value(tot) from r)"""
+ORACLES["classification_report"] = f"""
+with {REPORT}
+select "name", round("precision", 6) "precision", round(recall, 6) recall, round(f1, 6) f1, support from report
+"""
+ORACLES["model_performance"] = f"""
+with {REPORT}
+select 'ensemble' model_name, round("precision", 6) precision_val, round(recall, 6) recall_val, round(f1, 6) f1_score,
+  cast(null as double) false_pos_rate, (select any_value(support) from report where "name" = 'accuracy') total_scored
+from report where "name" = 'ATTACK'
+"""
+ORACLES["roc_auc"] = f"""
+with {VOTED},
+long as ({" union all ".join(f"select '{m}' model, coalesce({m}, 0) s, label y from voted" for m in ("if_score", "rf_score", "ae_score", "confidence"))}),
+ranks as (
+  select *, rank() over (partition by model order by s) + (count(*) over (partition by model, s) - 1) / 2.0 rk from long)
+select model, round((sum(cast(rk as double)) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2)
+  / (count(*) filter (y = 1) * count(*) filter (y = 0)), 6) auc
+from ranks group by model
+"""
+ORACLES["stratified_split"] = f"""
+with {LABELLED}, n as (
+  select cast("label" <> 'BENIGN' as int) binary_label, count(*) n from fx_labelled where "label" is not null group by 1)
+select binary_label, 'test' part, cast(round(n * 0.2) as bigint) n from n
+union all select binary_label, 'train', n - cast(round(n * 0.2) as bigint) from n
+"""

@@ -131,8 +131,8 @@ def sliding_counts(
     return cut.clean(counted).drop("_phase", "_late", *[f"_d_{n}" for n in names])
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], chunks: int | None = None) -> DataFrame:
-    """Exact, linearly interpolated quantiles: (feature, p, value).
+def value_spans(df: DataFrame, columns: list[str], chunks: int | None = None) -> DataFrame:
+    """Distinct values per column with the ranks they cover: (feature, v, n, lo, hi), lo <= rank < hi.
 
     Equal values are combined before the shuffle; no value list is ever collected.
     """
@@ -142,9 +142,13 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], chunk
         .agg(F.count("*").alias("n"))
     )
     cut = ordered(values, ["feature"], ["v"], chunks)
-    spans = cut.running(cut.rows, {"hi": "n"}).withColumn("lo", F.col("hi") - F.col("n"))
+    return cut.clean(cut.running(cut.rows, {"hi": "n"})).withColumn("lo", F.col("hi") - F.col("n"))
+
+
+def quantiles_of(spans: DataFrame, probs: list[float]) -> DataFrame:
+    """Exact, linearly interpolated quantiles of ``value_spans``: (feature, p, value)."""
     wanted = (  # one row per column name and probability
-        cut.rows.groupBy("feature").agg(F.sum("n").alias("total"))
+        spans.groupBy("feature").agg(F.sum("n").alias("total"))
         .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumn("at", F.col("p") * (F.col("total") - 1))
         .withColumn("below", F.floor("at"))

@@ -13,12 +13,29 @@ from flowsentry.operators import (
     features,
     flows as fl,
     hostlog as hl,
+    identity as idn,
+    labelled as lb,
     rollups as ru,
     signatures as sg,
     snapshots as sn,
     throttle as th,
 )
+from flowsentry.ml import metrics
+from flowsentry.ml.autoencoder import fit_autoencoder
+from flowsentry.ml.ensemble import (
+    calibrate,
+    ensemble_vote as ensemble_vote_of,
+    ml_to_alert,
+    network_events as network_event_rows,
+    scoring_stats as scoring_stats_of,
+)
+from flowsentry.ml.isolation_forest import fit_isolation_forest
+from flowsentry.ml.random_forest import feature_importance as importance_of, fit_random_forest, score_random_forest
+from flowsentry.ml.split import stratified_split as split
+from flowsentry.ml.training import evaluate, score_flows as score_flows_with, train
 from flowsentry.plans.storage import materialize
+from flowsentry.sources import tables as tb
+from flowsentry.sources.captures import parse_captures
 
 QUERIES = {}
 
@@ -386,3 +403,215 @@ def mitre_coverage(spark, sf):
 @query
 def report_summary(spark, sf):
     return ru.report_summary(alert_table(spark, sf), AS_OF_US, hours=1)
+
+
+# ---- captures and identities ---------------------------------------------------------------------
+
+def capture_files(spark, sf, packets_per_file: int = 500):
+    """The packet view written as captures: one (path, content) row per burst, Ethernet, little endian."""
+    p = packets(spark, sf).withColumn("capture", F.floor(F.col("seq") / packets_per_file))
+
+    def be(column, size):
+        return F.lpad(F.hex(column.cast("bigint")), 2 * size, "0")
+
+    def le(column, size):
+        text = be(column, size)
+        return F.concat(*[F.substring(text, 2 * i + 1, 2) for i in reversed(range(size))])
+
+    def address(column):
+        return F.concat(*[be(F.split(column, r"\.")[i].cast("int"), 1) for i in range(4)])
+
+    proto = F.col("protocol")
+    up = (
+        F.when(
+            proto == 6,
+            F.concat(be(F.col("src_port"), 2), be(F.col("dst_port"), 2), be(F.col("seq"), 4), be(F.col("seq") + 1, 4),
+                     F.lit("50"), be(net.flag_bits(F.col("flags")), 1), F.lit("2000" "0000" "0000")),
+        )
+        .when(proto == 17, F.concat(be(F.col("src_port"), 2), be(F.col("dst_port"), 2), F.lit("0008" "0000")))
+        .otherwise(F.lit("0800" "0000" "00010001"))
+    )
+    ip = F.concat(
+        F.lit("4500"), be(F.col("length"), 2), F.lit("00000000" "40"), be(proto, 1), F.lit("0000"),
+        address(F.col("src_ip")), address(F.col("dst_ip")),
+    )
+    frame = F.concat(F.lit("0a0000000002" "0a0000000001" "0800"), ip, up)
+    size = le(F.length(frame) / 2, 4)
+    record = F.concat(le(F.floor(F.col("ts_us") / 1_000_000), 4), le(F.col("ts_us") % 1_000_000, 4), size, size, frame)
+    header = "d4c3b2a1" "02000400" "00000000" "00000000" "ffff0000" "01000000"
+    return p.groupBy("capture").agg(
+        F.unhex(F.concat(F.lit(header), F.array_join(
+            F.transform(F.sort_array(F.collect_list(F.struct("seq", record.alias("r")))), lambda x: x["r"]), ""
+        ))).alias("content")
+    ).select(F.col("capture").cast("string").alias("path"), "content")
+
+
+@query
+def pcap_scan(spark, sf):
+    read = parse_captures(capture_files(spark, sf)).withColumn("seq", F.col("path").cast("bigint") * 500 + F.col("record"))
+    return fl.normalize_packets(read)
+
+
+@query
+def http_identity(spark, sf):
+    payloads = view(spark, sf, "fx_http").withColumn("capture", F.lit("c0"))
+    found = idn.host_identity(idn.http_evidence(payloads))
+    return found.select("host_ip", "username", "fullname", "os", F.array_join("sources.text", "; ").alias("sources"))
+
+
+# ---- labelled flows --------------------------------------------------------------------------------
+
+def labelled(spark, sf):
+    return view(spark, sf, "fx_labelled")
+
+
+@query
+def label_clean(spark, sf):
+    return lb.clean_labelled_flows(labelled(spark, sf))
+
+
+@query
+def label_distribution(spark, sf):
+    return rounded(lb.label_distribution(labelled(spark, sf)), "rate")
+
+
+@query
+def feature_spread(spark, sf):
+    return rounded(lb.feature_spread(labelled(spark, sf)), "std", digits=4)
+
+
+@query
+def trimmed_box_stats(spark, sf):
+    return rounded(lb.trimmed_box_stats(labelled(spark, sf)), "low", "q1", "median", "q3", "high")
+
+
+@query
+def top_attack_sources(spark, sf):
+    return lb.top_attack_sources(labelled(spark, sf))
+
+
+@query
+def top_attack_ports(spark, sf):
+    return lb.top_attack_ports(labelled(spark, sf))
+
+
+@query
+def top_protocols(spark, sf):
+    return lb.top_protocols(labelled(spark, sf))
+
+
+# ---- models ------------------------------------------------------------------------------------------
+
+def scored_view(spark, sf):
+    return view(spark, sf, "fx_scored")
+
+
+def voted_flows(spark, sf):
+    votes = ensemble_vote_of(scored_view(spark, sf)).select("flow_id", "votes", "predicted", "confidence")
+    return flow_table(spark, sf).join(votes, "flow_id")
+
+
+@query
+def ensemble_vote(spark, sf):
+    return rounded(ensemble_vote_of(scored_view(spark, sf)), "confidence", digits=4)
+
+
+@query
+def ml_alerts(spark, sf):
+    return ml_to_alert(voted_flows(spark, sf).withColumn("raw_features", F.lit("{}")))
+
+
+@query
+def network_events(spark, sf):
+    return rounded(network_event_rows(voted_flows(spark, sf)), "duration_ms", digits=3)
+
+
+@query
+def host_events(spark, sf):
+    return tb.host_events(auth_event_table(spark, sf)).withColumn("ts", F.unix_micros("ts"))
+
+
+@query
+def scoring_stats(spark, sf):
+    return scoring_stats_of(ensemble_vote_of(scored_view(spark, sf)))
+
+
+@query
+def score_calibration(spark, sf):
+    return rounded(calibrate(scored_view(spark, sf), "ae_score"), "mean", "std", "threshold")
+
+
+@query
+def classification_report(spark, sf):
+    report = metrics.classification_report(ensemble_vote_of(scored_view(spark, sf)))
+    return rounded(report, "precision", "recall", "f1")
+
+
+@query
+def roc_auc(spark, sf):
+    voted = ensemble_vote_of(scored_view(spark, sf))
+    return rounded(metrics.roc_auc(voted, ["if_score", "rf_score", "ae_score", "confidence"]), "auc")
+
+
+@query
+def model_performance(spark, sf):
+    report = metrics.classification_report(ensemble_vote_of(scored_view(spark, sf)))
+    return rounded(metrics.model_performance(report, "ensemble"), "precision_val", "recall_val", "f1_score")
+
+
+def training_rows(spark, sf):
+    made = lb.labelled_features(lb.clean_labelled_flows(labelled(spark, sf)))
+    return materialize(made.withColumn("row_id", F.monotonically_increasing_id()))
+
+
+@query
+def stratified_split(spark, sf):
+    train, test = split(training_rows(spark, sf), "binary_label", "row_id")
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.groupBy("binary_label", "part").agg(F.count("*").alias("n"))
+
+
+@query
+def isolation_forest_scores(spark, sf):
+    rows = training_rows(spark, sf)
+    forest = fit_isolation_forest(rows.where("binary_label = 0"), "row_id", trees=50)
+    return forest.score(rows).select("row_id", "binary_label", "if_score")
+
+
+def small_forest(rows):
+    return fit_random_forest(rows, trees=20, max_depth=8)
+
+
+@query
+def random_forest_scores(spark, sf):
+    rows = training_rows(spark, sf)
+    return score_random_forest(small_forest(rows), rows).select("row_id", "binary_label", "rf_score")
+
+
+@query
+def feature_importance(spark, sf):
+    return importance_of(small_forest(training_rows(spark, sf)), spark)
+
+
+@query
+def autoencoder_scores(spark, sf):
+    rows = training_rows(spark, sf)
+    model = fit_autoencoder(materialize(rows.where("binary_label = 0")), epochs=3)
+    return model.score(rows).select("row_id", "binary_label", "ae_score")
+
+
+def trained(spark, sf):
+    return train(training_rows(spark, sf), "row_id", trees=25, rf_trees=10, rf_depth=6, epochs=2)
+
+
+@query
+def train_report(spark, sf):
+    _, scored = trained(spark, sf)
+    return evaluate(materialize(scored))
+
+
+@query
+def score_flows(spark, sf):
+    models, _ = trained(spark, sf)
+    scored = score_flows_with(flow_table(spark, sf), models)
+    return scored.select("flow_id", "if_score", "rf_score", "ae_score", "votes", "predicted", "confidence", "raw_features")
