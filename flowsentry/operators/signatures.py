@@ -197,21 +197,25 @@ def sig_icmp_flood(flows: DataFrame, threshold: int = 200, chunks: int | None =
 
 
 def signature_matches(
-    flows: DataFrame,
+    flows: DataFrame, scan_seconds: int = 10, exclude_ack: bool = False, chunks: int | None = None, **thresholds
+) -> DataFrame:
+    """The strongest matching rule per flow; equal severities go to the earlier rule."""
+    return best_matches(flow_rates(flows, scan_seconds, exclude_ack, chunks), scan_seconds=scan_seconds, **thresholds)
+
+
+def best_matches(
+    rated: DataFrame,
     ports: int = 20,
     scan_seconds: int = 10,
     syns: int = 100,
     icmp: int = 200,
-    exclude_ack: bool = False,
-    chunks: int | None = None,
     more_rules: list[tuple[tuple[str, str, str, str], Column, Column]] = (),
 ) -> DataFrame:
-    """The strongest matching rule per flow; equal severities go to the earlier rule.
+    """Rules over flows that carry their window counts (see ``flow_rates``).
 
     ``more_rules``: further ((name, severity, tactic, technique), condition, description),
     tried after the built-in ones.
     """
-    rated = flow_rates(flows, scan_seconds, exclude_ack, chunks)
     made = {
         r[0]: r[1:]
         for r in (
