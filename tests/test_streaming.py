@@ -127,3 +127,16 @@ def test_outbox_sink(spark, sf, tmp_path):
     tb.outbox_sink(str(tmp_path / "o"), "email")(alerts, 7)
     rows = spark.read.parquet(str(tmp_path / "o"))
     assert rows.count() == alerts.where("severity in ('HIGH', 'CRITICAL')").count() and rows.first().batch_id == 7
+
+
+def test_stream_scoring(spark, packets, tmp_path):
+    from flowsentry.ml.isolation_forest import fit_isolation_forest
+    from flowsentry.ml.training import Models, score_flows
+    from flowsentry.operators.features import flow_features
+    from flowsentry.plans.storage import materialize
+    from flowsentry.streaming.scoring import stream_scoring
+
+    flows = materialize(fl.build_flows(packets))
+    models = Models(isolation_forest=fit_isolation_forest(materialize(flow_features(flows)), "flow_id", trees=10))
+    got = run(stream_scoring(replay(spark, flows, str(tmp_path / "in"), "flow_id"), models), tmp_path)
+    same(got, score_flows(flows, models), ["flow_id", "if_score", "rf_score", "votes", "confidence"])
