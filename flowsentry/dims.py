@@ -113,6 +113,16 @@ AUTH_RULES = [
     ("USER_DELETED", r"userdel\[(\d+)\]:\sdelete user '(\S+)'", "USER_DELETED", "HIGH"),
 ]
 
+# Text every match of a rule's pattern contains; a cheap test before the pattern.
+AUTH_MARKS = {
+    "SSH_FAILED": "Failed",
+    "SSH_SUCCESS": "Accepted",
+    "SUDO_SUCCESS": "COMMAND=",
+    "SUDO_FAIL": "sudo",
+    "USER_ADDED": "useradd",
+    "USER_DELETED": "userdel",
+}
+
 # ---- Fixed values: log lines, upload profile -----------------------------------
 # (pattern, event type, severity, group of user, group of address); 0 = no group.
 UPLOAD_RULES = [
@@ -130,6 +140,22 @@ UPLOAD_RULES = [
     (r"segfault", "SEGFAULT", "MEDIUM", 0, 0),
     (r"kernel.*oom", "OOM_KILL", "LOW", 0, 0),
 ]
+# Lower-case text every match of a rule's pattern contains.
+UPLOAD_MARKS = {
+    "SSH_FAIL": "failed password for ",
+    "SSH_SUCCESS": "accepted password for ",
+    "SSH_PUBKEY": "accepted publickey for ",
+    "SUDO_EXEC": "sudo:",
+    "USER_CREATE": "useradd",
+    "USER_DELETE": "userdel",
+    "INVALID_USER": "invalid user ",
+    "AUTH_FAIL": "authentication failure",
+    "BREAK_IN": "break-in attempt",
+    "REFUSED_CONN": "refused connect",
+    "PAM_FAIL": "pam_unix",
+    "SEGFAULT": "segfault",
+    "OOM_KILL": "oom",
+}
 UPLOAD_TIME = r"^(\w{3}\s+\d+\s+\d+:\d+:\d+)"
 UPLOAD_MINUTE = r"(\d+:\d+):\d+"
 NO_VALUE = "—"

@@ -88,6 +88,6 @@ def roc_auc(df: DataFrame, scores: list[str], label: str = "label", chunks: int
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     )
     cut = ordered(points, ["model"], ["score"], chunks)
-    below = cut.running(cut.rows, {"neg_upto": "neg"})
+    below = cut.running({"neg_upto": "neg"})
     won = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2))
     return below.groupBy("model").agg((won / (F.sum("pos") * F.sum("neg"))).alias("auc"))

@@ -114,7 +114,7 @@ def correlate_net_host(
         F.lit(0).alias("n"),
     )
     cut = ordered(events.unionByName(probes.select(*events.columns)), ["src_ip"], ["t", "phase", "id"], chunks)
-    seen = cut.running(cut.rows, {"upto": "n"}).where("phase <> 1")
+    seen = cut.running({"upto": "n"}).where("phase <> 1")
     signed = F.when(F.col("phase") == 2, F.col("upto")).otherwise(-F.col("upto"))
     return seen.groupBy("id", "src_ip").agg(F.sum(signed).alias("host_events")).where("host_events > 0")
 

@@ -120,21 +120,21 @@ def build_flows(
 
     # Inside a chunk: row number per conversation and the last row that opened a flow.
     seen = W.partitionBy("_chunk", *FLOW_KEY).orderBy("_pos")
-    local = (
-        cut.rows.withColumns(
+
+    def with_opens(rows: DataFrame) -> DataFrame:
+        return rows.withColumns(
             {"prev_us": F.lag("ts_us").over(seen), "prev_bits": F.lag("bits").over(seen), "row": F.row_number().over(seen)}
-        )
-        .withColumn(
+        ).withColumn(
             "opens", F.when(ends_before(F.col("prev_us"), F.col("prev_bits"), F.col("ts_us")), F.col("row"))
         )
-        .withColumn("open_here", F.max("opens").over(cut.upto))
-    )
+
+    local = with_opens(cut.rows).withColumn("open_here", F.max("opens").over(cut.upto))
     if cut.one_chunk:
         placed = local.withColumns({"at": F.col("row"), "opened_at": F.coalesce("open_here", F.lit(1))})
     else:
         # Across chunks: rows before, whether the chunk's first row opens, last opening row before.
-        spans = cut.carry(
-            local,
+        spans = cut.totals(
+            with_opens(cut.crossing),
             [
                 F.min("ts_us").alias("first_us"),
                 F.max("ts_us").alias("last_us"),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowsentry import dims
 from flowsentry.functions.net import lookup, once
 from flowsentry.plans.ordered import sliding_counts
+from flowsentry.plans.storage import materialize
 
 
 def syslog_timestamp(text: Column, year: int) -> Column:
@@ -28,7 +29,7 @@ def parse_auth_events(lines: DataFrame, year: int, sudo_without_pid: bool = Fals
     ]
     rule = F.when(F.lit(False), "")
     for name, pattern, _, _ in rules:
-        rule = rule.when(F.col("text").rlike(pattern), name)
+        rule = rule.when(F.col("text").contains(dims.AUTH_MARKS[name]) & F.col("text").rlike(pattern), name)
 
     def group(i: int, only: list[str] | None = None) -> Column:
         out = F.when(F.lit(False), "")
@@ -59,6 +60,7 @@ def parse_auth_events(lines: DataFrame, year: int, sudo_without_pid: bool = Fals
 
 def auth_brute_force(events: DataFrame, failures: int = 5, seconds: int = 60, chunks: int | None = None) -> DataFrame:
     """Failed logins that are the n-th of their address within the window become BRUTE_FORCE."""
+    events = materialize(events)  # read three times below; parsing is the expensive part
     is_fail = (F.col("event_type") == "AUTH_FAIL") & F.col("source_ip").isNotNull() & F.col("ts").isNotNull()
     fails = events.where(is_fail).withColumn("ts_us", F.unix_micros("ts"))
     counted = sliding_counts(
@@ -80,7 +82,7 @@ def classify_log_lines(lines: DataFrame) -> DataFrame:
     """Upload profile: thirteen ordered case-insensitive rules, first match wins."""
     rule = F.when(F.lit(False), "")
     for pattern, event, *_ in dims.UPLOAD_RULES:
-        rule = rule.when(F.col("line").rlike(f"(?i){pattern}"), event)
+        rule = rule.when(F.col("lower").contains(dims.UPLOAD_MARKS[event]) & F.col("line").rlike(f"(?i){pattern}"), event)
 
     def group(position: int) -> Column:
         out = F.when(F.lit(False), "")
@@ -89,7 +91,8 @@ def classify_log_lines(lines: DataFrame) -> DataFrame:
                 out = out.when(F.col("type") == event, F.regexp_extract("line", f"(?i){pattern}", groups[position]))
         return out.otherwise(dims.NO_VALUE)
 
-    found = lines.select("line_no", "line", once(F.struct(rule.alias("type")))).where("type is not null")
+    lowered = lines.select("line_no", "line", once(F.struct(F.lower("line").alias("lower"))))
+    found = lowered.select("line_no", "line", once(F.struct(rule.alias("type")))).where("type is not null")
     ts = F.regexp_extract("line", dims.UPLOAD_TIME, 1)
     return found.select(
         "line_no",

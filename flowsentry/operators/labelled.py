@@ -8,6 +8,7 @@ from flowsentry import dims
 from flowsentry.functions.net import lookup, port_service
 from flowsentry.operators.features import flow_features
 from flowsentry.plans.ordered import quantiles_of, value_spans
+from flowsentry.plans.storage import materialize
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
@@ -99,7 +100,7 @@ def trimmed_box_stats(df: DataFrame, columns: list[str] | None = None, cut: floa
     ranks stay what they are.
     """
     columns = columns or numeric_columns(df)
-    spans = value_spans(df.select(*[finite(c).alias(c) for c in columns]), columns, chunks)
+    spans = materialize(value_spans(df.select(*[finite(c).alias(c) for c in columns]), columns, chunks))
     top = quantiles_of(spans, [cut]).select("feature", F.col("value").alias("top"))  # one row per column
     kept = spans.join(F.broadcast(top), "feature").where("v < top").drop("top")
     names = {0.0: "low", 0.25: "q1", 0.5: "median", 0.75: "q3", 1.0: "high"}

@@ -117,21 +117,14 @@ def _port_changes(flows: DataFrame, seconds: int) -> DataFrame:
         (F.col("first_us") - F.lag("last_us").over(near)).alias("since"),
         (F.lead("first_us").over(near) - F.col("last_us")).alias("until"),
     )
-    enters = gaps.where((F.col("since") > width) | F.col("since").isNull()).select(
-        "src_ip",
-        F.col("first_us").alias("start_us"),
-        F.lit(0).alias("_phase"),
-        F.col("first_id").alias("flow_id"),
-        F.lit(1).cast("long").alias("n_ports"),
-    )
-    leaves = gaps.where((F.col("until") > width) | F.col("until").isNull()).select(
-        "src_ip",
-        (F.col("last_us") + width).alias("start_us"),
-        F.lit(2).alias("_phase"),
-        F.col("first_id").alias("flow_id"),
-        F.lit(-1).cast("long").alias("n_ports"),
-    )
-    return enters.unionByName(leaves)
+
+    def change(gap: str, at: Column, phase: int, amount: int) -> Column:
+        made = F.struct(at.alias("start_us"), F.lit(phase).alias("_phase"), F.lit(amount).cast("long").alias("n_ports"))
+        return F.when((F.col(gap) > width) | F.col(gap).isNull(), made)
+
+    enters, leaves = change("since", F.col("first_us"), 0, 1), change("until", F.col("last_us") + width, 2, -1)
+    changes = gaps.select("src_ip", F.col("first_id").alias("flow_id"), F.inline(F.array(enters, leaves)))
+    return changes.where("n_ports is not null")
 
 
 def flow_rates(

@@ -27,14 +27,20 @@ class Ordered:
     keys: list[str]
     one_chunk: bool
 
-    def carry(self, df: DataFrame, totals: list[Column]) -> DataFrame:
-        """Totals per (chunk, key), only for keys that cross a cut; at most two rows per chunk.
+    @property
+    def crossing(self) -> DataFrame:
+        """Rows of the keys that cross a cut.
 
-        Only the first key of a chunk can continue from before, so the heads (one
-        row per chunk) name every key that matters.
+        Only the first key of a chunk can continue from before, so the heads (one row
+        per chunk) name them all.  Derived columns are added after this filter, so the
+        other keys are not windowed twice.
         """
         heads = self.rows.where("_head").select(*self.keys).distinct()
-        return df.join(F.broadcast(heads), self.keys, "left_semi").groupBy("_chunk", *self.keys).agg(*totals)
+        return self.rows.join(F.broadcast(heads), self.keys, "left_semi")
+
+    def totals(self, crossing: DataFrame, totals: list[Column]) -> DataFrame:
+        """Totals per (chunk, crossing key): at most two rows per chunk."""
+        return crossing.groupBy("_chunk", *self.keys).agg(*totals)
 
     @property
     def earlier(self):
@@ -49,15 +55,13 @@ class Ordered:
     def join_carry(self, df: DataFrame, carry: DataFrame) -> DataFrame:
         return df.join(F.broadcast(carry), ["_chunk", *self.keys], "left")
 
-    def running(self, df: DataFrame, sums: dict[str, str]) -> DataFrame:
-        """Running sums per key, up to and including each row.
-
-        ``df`` is ``rows`` or a projection of it with further columns.
-        """
-        local = df.withColumns({n: F.sum(c).over(self.upto) for n, c in sums.items()})
+    def running(self, sums: dict[str, str]) -> DataFrame:
+        """``rows`` with running sums per key, up to and including each row."""
+        local = self.rows.withColumns({n: F.sum(c).over(self.upto) for n, c in sums.items()})
         if self.one_chunk:
             return local
-        carry = self.carry(df, [F.sum(c).alias(n) for n, c in sums.items()]).select(
+        per_chunk = self.totals(self.crossing, [F.sum(c).alias(n) for n, c in sums.items()])
+        carry = per_chunk.select(
             "_chunk", *self.keys, *[F.coalesce(F.sum(n).over(self.earlier), F.lit(0)).alias(f"_c_{n}") for n in sums]
         )
         added = {n: F.col(n) + F.coalesce(f"_c_{n}", F.lit(0)) for n in sums}
@@ -127,7 +131,7 @@ def sliding_counts(
     cut = ordered(
         union.withColumn("_late", (F.col("_phase") == 2).cast("int")), [key], [time, "_late", tie, "_phase"], chunks
     )
-    counted = cut.running(cut.rows, {n: f"_d_{n}" for n in names}).where("_phase = 1")
+    counted = cut.running({n: f"_d_{n}" for n in names}).where("_phase = 1")
     return cut.clean(counted).drop("_phase", "_late", *[f"_d_{n}" for n in names])
 
 
@@ -142,7 +146,7 @@ def value_spans(df: DataFrame, columns: list[str], chunks: int | None = None) ->
         .agg(F.count("*").alias("n"))
     )
     cut = ordered(values, ["feature"], ["v"], chunks)
-    return cut.clean(cut.running(cut.rows, {"hi": "n"})).withColumn("lo", F.col("hi") - F.col("n"))
+    return cut.clean(cut.running({"hi": "n"})).withColumn("lo", F.col("hi") - F.col("n"))
 
 
 def quantiles_of(spans: DataFrame, probs: list[float]) -> DataFrame:
@@ -166,4 +170,4 @@ def quantiles_of(spans: DataFrame, probs: list[float]) -> DataFrame:
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank", chunks: int | None = None) -> DataFrame:
     """Row number per key without putting a key into one task."""
     cut = ordered(df.withColumn("_one", F.lit(1)), keys, order, chunks)
-    return cut.clean(cut.running(cut.rows, {name: "_one"})).drop("_one")
+    return cut.clean(cut.running({name: "_one"})).drop("_one")
