@@ -119,7 +119,7 @@ def build_flows(
         return (prev_bits.bitwiseAND(F.lit(CLOSING_BITS)) != 0) | (now_us - prev_us > idle_us)
 
     # Inside a chunk: row number per conversation and the last row that opened a flow.
-    seen = W.partitionBy("_chunk", *FLOW_KEY).orderBy("_pos")
+    seen = cut.inside
 
     def with_opens(rows: DataFrame) -> DataFrame:
         return rows.withColumns(

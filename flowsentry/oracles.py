@@ -703,3 +703,19 @@ with {LABELLED}, n as (
 select binary_label, 'test' part, cast(round(n * 0.2) as bigint) n from n
 union all select binary_label, 'train', n - cast(round(n * 0.2) as bigint) from n
 """
+
+# ---- streams -------------------------------------------------------------------------------------------
+# A stream has seen time up to 30 s before its last packet; what is open then is not out yet.
+ORACLES["stream_flows"] = ORACLES["flows"].rstrip() + """
+where close_reason in ('fin_rst', 'cap') or end_us + 60000000 < (select max(ts_us) from fx_packets) - 30000000
+"""
+ORACLES["stream_signatures"] = f"with {SIGNATURE_ALERTS} select {SIG_COLUMNS} from picked"
+ORACLES["stream_brute_force"] = ORACLES["auth_brute_force"]
+ORACLES["stream_admitted_alerts"] = ORACLES["admitted_alerts"]
+ORACLES["stream_process_anomalies"] = ORACLES["process_anomalies"]
+ORACLES["stream_traffic_rate"] = f"""
+with {PACKETS}
+select (ts_us // 60000000) * 60000000 "start", count(*) packets, cast(sum(length) as bigint) bytes,
+  count(*) filter (protocol = 6 and contains(flags, 'S')) syns
+from fx_packets group by 1 having (ts_us // 60000000) * 60000000 + 60000000 <= (select max(ts_us) from fx_packets) - 30000000
+"""

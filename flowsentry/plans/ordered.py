@@ -21,7 +21,7 @@ _ROW_BITS = 33
 
 @dataclass
 class Ordered:
-    """Rows sorted by keys + order over the cluster, with ``_chunk``, ``_pos``, ``_head``."""
+    """Rows sorted by keys + order over the cluster, with ``_key``, ``_chunk``, ``_pos``, ``_head``."""
 
     rows: DataFrame
     keys: list[str]
@@ -47,10 +47,15 @@ class Ordered:
         """Window over the carry rows of a key: all chunks before this one."""
         return W.partitionBy(*self.keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
 
+    @property
+    def inside(self):
+        """Window inside a chunk: the rows of the key in order."""
+        return W.partitionBy("_key", "_chunk", *self.keys).orderBy("_pos")
+
     @property
     def upto(self):
         """Window inside a chunk: rows of the key up to and including this one."""
-        return W.partitionBy("_chunk", *self.keys).orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
+        return self.inside.rowsBetween(W.unboundedPreceding, 0)
 
     def join_carry(self, df: DataFrame, carry: DataFrame) -> DataFrame:
         return df.join(F.broadcast(carry), ["_chunk", *self.keys], "left")
@@ -68,16 +73,18 @@ class Ordered:
         return self.join_carry(local, carry).withColumns(added).drop(*[f"_c_{n}" for n in sums])
 
     def clean(self, df: DataFrame) -> DataFrame:
-        return df.drop("_chunk", "_pos", "_head")
+        return df.drop("_key", "_chunk", "_pos", "_head")
 
 
 def ordered(df: DataFrame, keys: list[str], order: list[str], chunks: int | None = None) -> Ordered:
-    """Sort ``df`` by keys + order over the cluster.
+    """Sort ``df`` by keys + order over the cluster; the keys themselves come in any order.
 
     Keys must not be NULL, and keys + order should identify a row.  The sorted rows
     are written out, because chunk numbers only hold for one execution.
     """
-    cols = [*keys, *order]
+    # A hash leads the sort: one number settles most comparisons, text keys rarely do.
+    df = df.withColumn("_key", F.xxhash64(*keys))
+    cols = ["_key", *keys, *order]
     spread = df.repartitionByRange(chunks, *cols) if chunks else df.repartitionByRange(*cols)
     place = F.monotonically_increasing_id()
     rows = materialize(

@@ -36,6 +36,11 @@ from flowsentry.ml.training import evaluate, score_flows as score_flows_with, tr
 from flowsentry.plans.storage import materialize
 from flowsentry.sources import tables as tb
 from flowsentry.sources.captures import parse_captures
+from flowsentry.streaming import detectors as sd, hosts as sh
+from flowsentry.streaming.alerts import stream_admitted
+from flowsentry.streaming.flows import stream_flows as stream_flow_rows
+from flowsentry.streaming.replay import replay, run_to_table
+from flowsentry.streaming.scoring import stream_scoring as stream_score
 
 QUERIES = {}
 
@@ -615,3 +620,48 @@ def score_flows(spark, sf):
     models, _ = trained(spark, sf)
     scored = score_flows_with(flow_table(spark, sf), models)
     return scored.select("flow_id", "if_score", "rf_score", "ae_score", "votes", "predicted", "confidence", "raw_features")
+
+
+# ---- streams: the tables replayed in time order -----------------------------------------------------
+
+@query
+def stream_flows(spark, sf):
+    """Flows a stream closes by itself; the watermark ends 30 s before the last packet."""
+    return rounded(
+        run_to_table(stream_flow_rows(replay(packets(spark, sf), "ts_us"))), "duration_ms", "byte_rate", "pkt_rate", digits=3
+    )
+
+
+@query
+def stream_signatures(spark, sf):
+    flows = materialize(flow_table(spark, sf))
+    return run_to_table(sd.stream_signatures(replay(flows, "start_us")))
+
+
+@query
+def stream_brute_force(spark, sf):
+    events = materialize(auth_event_table(spark, sf))
+    return run_to_table(sd.stream_brute_force(replay(events, "ts"))).withColumn("ts", F.unix_micros("ts"))
+
+
+@query
+def stream_admitted_alerts(spark, sf):
+    return run_to_table(stream_admitted(replay(view(spark, sf, "fx_alerts"), "ts_s"), limit=20))
+
+
+@query
+def stream_process_anomalies(spark, sf):
+    return run_to_table(sh.stream_process_anomalies(replay(view(spark, sf, "fx_processes"), "scan_no")))
+
+
+@query
+def stream_traffic_rate(spark, sf):
+    return run_to_table(sd.traffic_rate(replay(packets(spark, sf), "ts_us"))).withColumn("start", F.unix_micros("start"))
+
+
+@query
+def stream_scoring(spark, sf):
+    models, _ = trained(spark, sf)
+    flows = materialize(flow_table(spark, sf))
+    scored = run_to_table(stream_score(replay(flows, "start_us"), models))
+    return scored.select("flow_id", "if_score", "rf_score", "ae_score", "votes", "predicted", "confidence")
