@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsentry import dims
@@ -46,8 +48,15 @@ QUERIES = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    """Registers a query; times are UTC throughout."""
+
+    @wraps(fn)
+    def run(spark, sf):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def packets(spark: SparkSession, sf: str) -> DataFrame:

@@ -33,10 +33,20 @@ def replay(df: DataFrame, time: str, slices: int = 4, files: int = 2) -> DataFra
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def run_to_table(stream: DataFrame) -> DataFrame:
-    """Runs the stream over what is there and returns what it wrote."""
-    folder = _new_folder(stream)
+def run_to_table(stream: DataFrame, state_partitions: int | None = None) -> DataFrame:
+    """Runs the stream over what is there and returns what it wrote.
+
+    Keyed state is split into ``state_partitions`` (default: the cluster's parallelism);
+    the number is fixed when the stream first starts.
+    """
+    spark, folder = stream.sparkSession, _new_folder(stream)
     writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows")
-    query = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    writer = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", state_partitions or spark.sparkContext.defaultParallelism)
+    try:
+        query = writer.start()  # the stream keeps its own copy of the settings
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
