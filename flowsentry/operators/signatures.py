@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowsentry import dims
@@ -106,10 +108,18 @@ def _port_changes(flows: DataFrame, seconds: int) -> DataFrame:
     per slice, whatever the traffic.
     """
     width = seconds * SECOND
-    slices = flows.groupBy("src_ip", "dst_port", F.floor(F.col("start_us") / width).alias("slice")).agg(
-        F.min("start_us").alias("first_us"),
-        F.min_by("flow_id", F.struct("start_us", "flow_id")).alias("first_id"),
-        F.max("start_us").alias("last_us"),
+    # First flow of a slice by (time, id), as one number so that the aggregate stays hashed.
+    span = F.lit(Decimal(10**19))  # above any 64-bit id
+    place, first = F.col("start_us").cast("decimal(19,0)") * span + F.col("flow_id"), F.col("first")
+    slices = (
+        flows.groupBy("src_ip", "dst_port", F.floor(F.col("start_us") / width).alias("slice"))
+        .agg(F.min(place.cast("decimal(38,0)")).alias("first"), F.max("start_us").alias("last_us"))
+        .withColumns(
+            {
+                "first_us": ((first - first % span) / span).cast("long"),
+                "first_id": (first % span).cast("long"),
+            }
+        )
     )
     near = W.partitionBy("src_ip", "dst_port").orderBy("slice")
     gaps = slices.select(
