@@ -100,6 +100,9 @@ MITRE = [
     ("PRIVILEGE_ESCALATION_ATTEMPT", "Privilege Escalation", "T1068", "Exploitation for Privilege Escalation"),
 ]
 
+MITRE_TACTICS = {kind: tactic for kind, tactic, _, _ in MITRE}
+MITRE_TECHNIQUES = {kind: technique for kind, _, technique, _ in MITRE}
+
 # ---- Fixed values: auth log, engine profile ------------------------------------
 # (rule, pattern after the header, event type, severity); first match wins.
 # Groups of the whole pattern: 1 time, 2 host, 3 pid, 4 user, 5 address or command.

@@ -16,14 +16,19 @@ ALERT_COLUMNS = [
 ]
 
 
-def mitre_enrich(events: DataFrame, event_type: str = "event_type") -> DataFrame:
-    """Tactic and technique of host event types; "Unknown" where there is none."""
+def mitre_enrich(
+    events: DataFrame,
+    event_type: str = "event_type",
+    tactics: dict[str, str] = dims.HOST_TACTICS,
+    techniques: dict[str, str] = dims.HOST_TECHNIQUES,
+) -> DataFrame:
+    """Tactic and technique of event types; "Unknown" where there is none.
+
+    ``dims.MITRE_TACTICS`` and ``dims.MITRE_TECHNIQUES`` hold the wider reference table.
+    """
     kind = F.col(event_type)
     return events.withColumns(
-        {
-            "mitre_tactic": lookup(kind, dims.HOST_TACTICS, "Unknown"),
-            "mitre_technique": lookup(kind, dims.HOST_TECHNIQUES, "Unknown"),
-        }
+        {"mitre_tactic": lookup(kind, tactics, "Unknown"), "mitre_technique": lookup(kind, techniques, "Unknown")}
     )
 
 
