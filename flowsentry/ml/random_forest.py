@@ -28,8 +28,13 @@ def fit_random_forest(
     trees: int = 300,
     max_depth: int = 30,
     seed: int = 42,
+    memory_mb: int = 1024,
 ) -> PipelineModel:
-    """MLlib limits depth to 30; the rest follows the usual classifier defaults."""
+    """MLlib limits depth to 30; the rest follows the usual classifier defaults.
+
+    Trees grow level by level, one pass per group of nodes that fits ``memory_mb``; labels
+    that features hardly explain make them deep and slow, so lower ``max_depth`` there.
+    """
     forest = RandomForestClassifier(
         numTrees=trees,
         maxDepth=max_depth,
@@ -41,6 +46,7 @@ def fit_random_forest(
         rawPredictionCol="rf_raw",
         predictionCol="rf_class",
         seed=seed,
+        maxMemoryInMB=memory_mb,
     )
     stages = [VectorAssembler(inputCols=list(columns), outputCol="features"), forest]
     return Pipeline(stages=stages).fit(with_class_weights(train, label))
