@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from flowsentry.plans.storage import materialize
+
 #: Rows and bytes after which a task hands over an output batch.
 OUT_ROWS, OUT_BYTES = 4096, 8 << 20
 
@@ -18,6 +21,17 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", binar
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), (text.cast("binary") if binary else text).alias("text"))
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """``docs`` if it only chooses rows and columns of stored files, else a stored copy of it.
+
+    Rows without a key of their own are told apart by their place (``monotonically_increasing_id``), in several jobs; places
+    hold only where every job reads the same files in the same way.
+    """
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    nodes = re.findall(r"^[\s:+-]*(\w+)", plan, re.MULTILINE)
+    return docs if nodes and set(nodes) <= {"Project", "Filter", "Relation"} else materialize(docs)
+
+
 def resolve(name: str) -> str:
     """A vocabulary file: a path as it is, else a name among the public tokenizers of this machine."""
     if os.path.isabs(name):
@@ -65,11 +79,12 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
-def reduce_vectors(parts: DataFrame, dtype: str, operation: str) -> bytes:
-    """Vectors of one fixed length, one per task, combined element by element.
+def reduce_vectors(parts: DataFrame, length: int, dtype: str, operation: str, slices: int) -> bytes:
+    """Vectors of one fixed size, one per task, combined element by element.
 
-    ``parts`` has rows (slice int, data binary): every task cuts its vector into the same slices, Spark
-    combines each slice in a task of its own, and the driver receives one vector of that fixed length.
+    ``parts`` has rows (slice int, data binary): every task cuts its vector into the same ``slices`` of ``length``
+    elements and leaves out those of zeros. Spark combines each slice; the driver receives one vector of that fixed
+    size. ``operation`` is "or", or "add", which stays at the type's largest value.
     """
     import numpy as np
 
@@ -78,17 +93,17 @@ def reduce_vectors(parts: DataFrame, dtype: str, operation: str) -> bytes:
     def combine(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for frame in frames:
-            for s, data in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
-                v = np.frombuffer(data, dtype)
+            for s, data in zip(frame.column(0).to_pylist(), frame.column(1)):
+                v = np.frombuffer(data.as_py(), dtype)
                 if s not in held:
                     held[s] = v.copy()
                 elif operation == "or":
                     held[s] |= v
                 else:
-                    top = np.iinfo(dtype).max
-                    held[s] += np.minimum(v, top - held[s])
+                    held[s] += np.minimum(v, np.iinfo(dtype).max - held[s])
         if held:
             yield to_batch([(s, v.tobytes()) for s, v in sorted(held.items())], schema)
 
-    out = parts.repartition("slice").mapInArrow(combine, "slice int, data binary").collect()
-    return b"".join(bytes(r["data"]) for r in sorted(out, key=lambda r: r["slice"]))
+    found = {r["slice"]: bytes(r["data"]) for r in parts.repartition("slice").mapInArrow(combine, "slice int, data binary").collect()}
+    empty = np.zeros(length, dtype).tobytes()
+    return b"".join(found.get(s, empty) for s in range(slices))

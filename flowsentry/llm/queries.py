@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowsentry.llm import bpe, exact_dedup, packing, secrets, unigram
+from flowsentry.llm import bpe, chunk_dedup, exact_dedup, ngram_join, packing, quality, repeats, secrets, toxicity, unigram
 
 QUERIES, ORACLES = {}, {}
 
@@ -18,6 +18,19 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/labels.parquet")
+
+
+def spans_of(spans) -> Column:
+    """Spans as start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def bytes_of(spans) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
 @query
 def op1_secret_scan(spark, sf):
     found = secrets.find_secrets(documents(spark, sf))
@@ -31,11 +44,46 @@ def op1_secret_scan(spark, sf):
     )
 
 
+@query
+def op2_ngram_jaccard_join(spark, sf):
+    linked = ngram_join.link_documents(documents(spark, sf), ngram_join.Similarity(words=4, percent=85))
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op3_substring_dedup(spark, sf):
+    found = chunk_dedup.dedup_substrings(documents(spark, sf))
+    return found.select(
+        "doc_id", "n_bytes", bytes_of("repeats").alias("n_repeated"), bytes_of("removed").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), spans_of("repeats").alias("repeats"), spans_of("removed").alias("removed"),
+    )
+
+
 @query
 def op4_token_counts(spark, sf):
     return unigram.count_tokens(documents(spark, sf), "piece_bpe_32k.model")
 
 
+@query
+def op5_toxicity(spark, sf):
+    docs = documents(spark, sf)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels(spark, sf)))
+    return scored.select(
+        "doc_id", F.coalesce(~toxicity.is_learned(), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.array_join(F.transform("evidence", lambda e: e["doc_id"].cast("string")), ",").alias("evidence"),
+    )
+
+
+@query
+def op6_suffix_dedup(spark, sf):
+    left = repeats.remove_repeats(documents(spark, sf))
+    return left.select(
+        "doc_id", "n_bytes", bytes_of("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op7_exact_dedup(spark, sf):
     return exact_dedup.dedup_exact(documents(spark, sf)).drop("row")
@@ -49,6 +97,14 @@ select doc_id, keep_id, group_size, doc_id = keep_id kept, sha256(norm) text_sha
 """
 
 
+@query
+def op8_quality_rules(spark, sf):
+    docs = documents(spark, sf)
+    judged = quality.judge(docs.select("doc_id", "text"), quality.learn_rules(docs, labels(spark, sf)), "q")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+    return judged.select("doc_id", *[F.col(f"q.{n}").alias(n) for n in names])
+
+
 @query
 def op9_bpe_transducer(spark, sf):
     coded = bpe.bpe_encode_decode(documents(spark, sf), "byte_bpe_50k.json")
