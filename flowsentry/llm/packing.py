@@ -9,9 +9,12 @@ are used up, or the task has no more) is cut back to a power of two tokens, so i
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +47,6 @@ class Example:
         """Loss-bearing ones of the next ``n`` ids."""
         return max(0, self.start + n - max(self.start, self.prompt))
 
-    def most(self, tokens: int, loss: int) -> int:
-        """How many of the next ids fit."""
-        free = max(0, self.prompt - self.start)
-        return min(tokens, len(self.ids) - self.start, free + loss)
-
 
 def pack_examples(examples: Iterator[Example], limits: Limits) -> Iterator[list[tuple[Example, int, int]]]:
     """Sequences as lists of (example, start, length)."""
@@ -95,9 +93,9 @@ def pack_examples(examples: Iterator[Example], limits: Limits) -> Iterator[list[
                 i = int(np.where(fits, (need / scale) @ (left / scale), -1.0).argmax())
                 n = int(need[i, 0])
             else:  # the head of the one that fills most
-                room = [e.most(int(left[0]), int(left[2])) for e in pool]
-                i = int(np.argmax(room))
-                n = room[i]
+                room = np.minimum(np.minimum(need[:, 0], left[0]), need[:, 0] - need[:, 2] + left[2])
+                i = int(room.argmax())
+                n = int(room[i])
                 if not n:
                     break
             e = take(i)
@@ -168,39 +166,72 @@ def pack_tokens(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return examples.select(F.col("doc_id").cast("long"), "ids", F.col("prompt").cast("int")).mapInArrow(run, PIECES_SQL)
 
 
+#: A part of a text that is one word, perhaps with signs behind it; "'" and "<" may belong to longer units.
+PLAIN = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer whose words never cross a space or line feed.
 
     Its normaliser works on characters between blanks and its splitter ends words at them, so a text's ids are
-    those of its parts; a part is encoded once, by the tokenizer itself, while it is remembered.
+    those of its parts; a part is encoded once, by the tokenizer itself, while it is remembered. Parts that are a
+    word and signs are made of the ids of both, in lower case as the normaliser makes it; new words go through the tokenizer
+    as one text, of which each word's last token is marked.
     """
 
-    def __init__(self, path: str):
-        import os
+    #: Fixed value: the mark of a word's last token.
+    END = "</w>"
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo = Memo(None, 400_000)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(self.END)]] = True
+        self.parts, self.words = Memo(None, 400_000), Memo(None, 300_000)
+        self.signs = Memo(self.whole, 10_000)
+
+    def whole(self, part: str) -> bytes:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes() if part else b""
+
+    def learn(self, lacking: list[str]) -> None:
+        """Remembers parts."""
+        plain, new = [], {}
+        for p in lacking:
+            if (ids := self.parts.old.get(p)) is not None:
+                self.parts[p] = ids
+            elif (m := PLAIN.fullmatch(p)) and "Σ" not in p and (w := m[1].lower()).isalpha() and (p.isascii() or is_normalized("NFC", m[1]) and is_normalized("NFC", w)):
+                plain.append((p, w, m[2]))
+                if w not in self.words:
+                    if (ids := self.words.old.get(w)) is not None:
+                        self.words[w] = ids
+                    else:
+                        new[w] = None
+            else:
+                self.parts[p] = self.whole(p)
+        if new:
+            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(new):
+                raise ValueError("a word has not one last token")
+            data, start = ids.tobytes(), 0
+            for w, end in zip(new, ends):
+                self.words[w] = data[4 * start : 4 * end]
+                start = end
+        for p, w, signs in plain:
+            self.parts[p] = self.words[w] + self.signs[signs]
 
     def __call__(self, text: str, end: int) -> np.ndarray:
         """Ids with ``end`` after the last."""
-        parts = text.replace("\n", " ").split(" ")
-        memo, old = self.memo, self.memo.old
-        lacking = [p for p in set(parts) if p not in memo]
-        new = []
-        for p in lacking:
-            if (ids := old.get(p)) is None:
-                new.append(p)
-            else:
-                memo[p] = ids
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            memo[p] = np.array(e.ids, "<u4").tobytes()
-        out = np.frombuffer(b"".join([*map(memo.__getitem__, parts), end.to_bytes(4, "little")]), "<u4")
-        memo.trim()
+        parts, known = text.replace("\n", " ").split(" "), self.parts
+        self.learn([p for p in set(parts) if p not in known])
+        out = np.frombuffer(b"".join([*map(known.__getitem__, parts), end.to_bytes(4, "little")]), "<u4")
+        known.trim()
+        self.words.trim()
         return out
 
 
