@@ -96,6 +96,15 @@ VIEWS = {
           when 'view' then 'GET / HTTP/1.1'||chr(13)||chr(10)||'Authorization: Basic dXNlcjE6cHc='||chr(13)||chr(10) else 'noise' end payload from events
         """,
     ),
+    # B9
+    "fx_dhcp": (
+        "events",
+        """
+        select event_id seq, user_id % 40 u, case when event_type in ('click','view') then '0.0.0.0' else '10.2.0.1' end src_ip,
+         case when event_type in ('click','view') or user_id % 40 = 7 then '00000000' else '0a0200'||lpad(hex(10 + user_id % 40), 2, '0') end yiaddr,
+         '0a0b0c0d0e'||lpad(hex(user_id % 40), 2, '0') mac, 'PC-'||cast(user_id % 40 as string)||case event_type when 'view' then 'b' else '' end hostname from events
+        """,
+    ),
     # B8
     "fx_labelled": (
         "lineitem",

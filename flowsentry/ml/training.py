@@ -8,10 +8,11 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsentry import dims
+from flowsentry.functions.net import lookup
 from flowsentry.ml.autoencoder import Autoencoder, fit_autoencoder
 from flowsentry.ml.ensemble import ensemble_vote
 from flowsentry.ml.isolation_forest import IsolationForest, fit_isolation_forest
-from flowsentry.ml.metrics import classification_report
+from flowsentry.ml.metrics import classification_report, roc_auc
 from flowsentry.ml.random_forest import fit_random_forest, score_random_forest
 from flowsentry.ml.split import stratified_split
 from flowsentry.operators.features import feature_columns
@@ -80,7 +81,7 @@ def train(
 
 
 def evaluate(scored: DataFrame, label: str = "binary_label") -> DataFrame:
-    """Classification report of each model and of the ensemble."""
+    """Classification report and ROC-AUC of each model and of the ensemble (by its confidence)."""
     voted = ensemble_vote(scored)
     out = None
     for model in [*dims.MODEL_WEIGHTS, "ensemble"]:
@@ -88,7 +89,9 @@ def evaluate(scored: DataFrame, label: str = "binary_label") -> DataFrame:
         rows = voted.select(F.col(label).alias("y"), F.coalesce(hit, F.lit(False)).cast("int").alias("p"))
         report = classification_report(rows, "y", "p").withColumn("model", F.lit(model))
         out = report if out is None else out.unionByName(report)
-    return out
+    scores = {f"{m}_score": m for m in dims.MODEL_WEIGHTS} | {"confidence": "ensemble"}
+    areas = roc_auc(voted, list(scores), label).withColumn("model", lookup(F.col("model"), scores))
+    return out.join(areas, "model", "left")
 
 
 def score_flows(flows: DataFrame, models: Models) -> DataFrame:

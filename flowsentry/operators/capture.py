@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from flowsentry import dims
 from flowsentry.functions.alerting import severity_of_rank, severity_rank
 from flowsentry.functions.net import lookup, port_label, protocol_name
-from flowsentry.operators.flows import unidirectional_flows
+from flowsentry.plans.storage import materialize
 
 
 def classify_packets(packets: DataFrame, dns_bytes: int = 2000) -> DataFrame:
@@ -39,42 +39,49 @@ def classify_packets(packets: DataFrame, dns_bytes: int = 2000) -> DataFrame:
     )
 
 
-def _source_hits(counts: DataFrame, rule: str, severity: str, technique: str, port: int, text: str) -> DataFrame:
-    return counts.select(
-        F.lit(None).cast("bigint").alias("ts_us"),
-        F.lit(None).cast("bigint").alias("seq"),
-        "src_ip",
-        F.lit(None).cast("string").alias("dst_ip"),
-        F.lit(port).alias("dst_port"),
-        F.lit(rule).alias("rule"),
-        F.lit(severity).alias("severity"),
-        F.lit(technique).alias("technique"),
-        F.format_string(text, F.col("n")).alias("description"),
+# ---- Fixed values: hits of a source as a whole (rule, severity, technique, port, text) ----
+SCAN = ("PORT_SCAN", "HIGH", "T1046", 0, "Port scan — %d unique ports probed")
+FLOOD = ("SYN_FLOOD", "CRITICAL", "T1499", 80, "SYN flood — %d SYN packets")
+
+
+def source_hits(packets: DataFrame, ports: int | None = 20, syns: int | None = 80) -> DataFrame:
+    """Port scans (more than ``ports`` distinct ports) and SYN floods (more than ``syns`` SYN packets).
+
+    One pass: packets are combined per source and port, then per source.  None leaves a rule out.
+    """
+    syn = (F.col("protocol") == 6) & F.col("flags").contains("S")
+    by_port = packets.groupBy("src_ip", "dst_port").agg(F.count_if(syn).alias("syns"))
+    counts = by_port.groupBy("src_ip").agg(F.count("dst_port").alias("ports"), F.sum("syns").alias("syns"))
+
+    def hit(kind: tuple, n: Column, more_than: int) -> Column:
+        rule, severity, technique, port, text = kind
+        made = F.struct(
+            F.lit(port).alias("dst_port"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"),
+            F.lit(technique).alias("technique"), F.format_string(text, n).alias("description"),
+        )
+        return F.when(n > more_than, made)
+
+    wanted = [(SCAN, F.col("ports"), ports), (FLOOD, F.col("syns"), syns)]
+    rows = counts.select("src_ip", F.inline(F.array(*[hit(*w) for w in wanted if w[2] is not None])))
+    return rows.where("rule is not null").select(
+        F.lit(None).cast("bigint").alias("ts_us"), F.lit(None).cast("bigint").alias("seq"), "src_ip",
+        F.lit(None).cast("string").alias("dst_ip"), "dst_port", "rule", "severity", "technique", "description",
         F.lit("TCP").alias("protocol"),
     )
 
 
 def capture_port_scan(packets: DataFrame, more_than: int = 20) -> DataFrame:
     """Sources that touched more than ``more_than`` ports in the whole capture."""
-    fanout = packets.groupBy("src_ip").agg(F.countDistinct("dst_port").alias("n"))
-    return _source_hits(
-        fanout.where(F.col("n") > more_than), "PORT_SCAN", "HIGH", "T1046", 0, "Port scan — %d unique ports probed"
-    )
+    return source_hits(packets, more_than, None)
 
 
 def capture_syn_flood(packets: DataFrame, more_than: int = 80) -> DataFrame:
     """Sources with more than ``more_than`` packets that carry SYN (SYN-ACK included)."""
-    syns = packets.where((F.col("protocol") == 6) & F.col("flags").contains("S")).groupBy("src_ip")
-    counts = syns.agg(F.count("*").alias("n")).where(F.col("n") > more_than)
-    return _source_hits(counts, "SYN_FLOOD", "CRITICAL", "T1499", 80, "SYN flood — %d SYN packets")
+    return source_hits(packets, None, more_than)
 
 
 def all_hits(packets: DataFrame) -> DataFrame:
-    return (
-        classify_packets(packets)
-        .unionByName(capture_port_scan(packets))
-        .unionByName(capture_syn_flood(packets))
-    )
+    return classify_packets(packets).unionByName(source_hits(packets))
 
 
 def attacker_profiles(hits: DataFrame, shown_targets: int = 4) -> DataFrame:
@@ -139,9 +146,20 @@ def packet_timeline(packets: DataFrame, pattern: str = "yyyy-MM-dd HH:mm") -> Da
     return counts.groupBy(label).agg(F.sum("n").alias("packets"))
 
 
-def capture_kpis(packets: DataFrame) -> DataFrame:
-    """One row: packets, flows, hits, attackers, distinct endpoints, duration."""
-    by_flow = unidirectional_flows(packets)
+def capture_kpis(packets: DataFrame, dns_bytes: int = 2000, ports: int = 20, syns: int = 80) -> DataFrame:
+    """One row: packets, flows, hits, attackers, distinct endpoints, duration.
+
+    The packets are read once, into one row per directed 5-tuple: every rule but the size of DNS
+    packets depends on the tuple alone, and scans and floods are counts over a source's tuples.
+    """
+    syn = (F.col("protocol") == 6) & F.col("flags").contains("S")
+    large = F.col("length") > dns_bytes
+    by_flow = materialize(
+        packets.groupBy("src_ip", "dst_ip", "src_port", "dst_port", "protocol").agg(
+            F.count("*").alias("pkts"), F.count_if(syn).alias("syns"), F.count_if(large).alias("large"),
+            F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"),
+        )
+    )
     traffic = by_flow.agg(
         F.sum("pkts").alias("packets"),
         F.count("*").alias("flows"),
@@ -149,8 +167,15 @@ def capture_kpis(packets: DataFrame) -> DataFrame:
         F.countDistinct("dst_ip").alias("destinations"),
         ((F.max("end_us") - F.min("start_us")) / 1_000_000).alias("duration_s"),
     )
-    found = all_hits(packets).groupBy("src_ip").agg(F.count("*").alias("n"))
-    threats = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.count("*").alias("attackers"))
+    port = F.col("dst_port")
+    watched = port.isin(*dims.CAPTURE_BAD_PORTS) | port.isin(*dims.CAPTURE_SENSITIVE_PORTS)
+    dns = (F.col("protocol") == 17) & ((port == 53) | (F.col("src_port") == 53))
+    direct = F.sum(F.when(watched, F.col("pkts")).when(dns, F.col("large")).otherwise(0))
+    by_port = by_flow.groupBy("src_ip", "dst_port").agg(direct.alias("direct"), F.sum("syns").alias("syns"))
+    found = by_port.groupBy("src_ip").agg(
+        (F.sum("direct") + (F.count("*") > ports).cast("int") + (F.sum("syns") > syns).cast("int")).alias("n")
+    )
+    threats = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.count_if(F.col("n") > 0).alias("attackers"))
     both = traffic.unionByName(threats, allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 

@@ -129,42 +129,39 @@ def build_flows(
         )
 
     local = with_opens(cut.rows).withColumn("open_here", F.max("opens").over(cut.upto))
-    if cut.one_chunk:
-        placed = local.withColumns({"at": F.col("row"), "opened_at": F.coalesce("open_here", F.lit(1))})
-    else:
-        # Across chunks: rows before, whether the chunk's first row opens, last opening row before.
-        spans = cut.totals(
-            with_opens(cut.crossing),
-            [
-                F.min("ts_us").alias("first_us"),
-                F.max("ts_us").alias("last_us"),
-                F.max_by("bits", "_pos").alias("last_bits"),
-                F.count("*").alias("n"),
-                F.max("opens").alias("last_open"),
-            ],
-        )
-        key_order = W.partitionBy(*FLOW_KEY).orderBy("_chunk")
-        before, prev_us = F.coalesce(F.sum("n").over(cut.earlier), F.lit(0)), F.lag("last_us").over(key_order)
-        first_opens = prev_us.isNull() | ends_before(prev_us, F.lag("last_bits").over(key_order), F.col("first_us"))
-        carry = (
-            spans.withColumns({"before": before, "first_opens": first_opens})
-            .withColumn(
-                "open_row",
-                F.coalesce(F.col("before") + F.col("last_open"), F.when(F.col("first_opens"), F.col("before") + 1)),
-            )
-            .select("_chunk", *FLOW_KEY, "before", "first_opens", F.max("open_row").over(cut.earlier).alias("open_before"))
-        )
-        rows_before = F.coalesce("before", F.lit(0))
-        placed = cut.join_carry(local, carry).withColumns(
-            {
-                "at": F.col("row") + rows_before,
-                "opened_at": F.coalesce(
-                    F.col("open_here") + rows_before,
-                    F.when(F.coalesce("first_opens", F.lit(True)), rows_before + 1),
-                    F.col("open_before"),
-                ),
-            }
+    # Across chunks: rows before, whether the chunk's first row opens, last opening row before.
+    spans = cut.totals(
+        with_opens(cut.crossing),
+        [
+            F.min("ts_us").alias("first_us"),
+            F.max("ts_us").alias("last_us"),
+            F.max_by("bits", "_pos").alias("last_bits"),
+            F.count("*").alias("n"),
+            F.max("opens").alias("last_open"),
+        ],
+    )
+    key_order = W.partitionBy(*FLOW_KEY).orderBy("_chunk")
+    before, prev_us = F.coalesce(F.sum("n").over(cut.earlier), F.lit(0)), F.lag("last_us").over(key_order)
+    first_opens = prev_us.isNull() | ends_before(prev_us, F.lag("last_bits").over(key_order), F.col("first_us"))
+    carry = (
+        spans.withColumns({"before": before, "first_opens": first_opens})
+        .withColumn(
+            "open_row",
+            F.coalesce(F.col("before") + F.col("last_open"), F.when(F.col("first_opens"), F.col("before") + 1)),
         )
+        .select("_chunk", *FLOW_KEY, "before", "first_opens", F.max("open_row").over(cut.earlier).alias("open_before"))
+    )
+    rows_before = F.coalesce("before", F.lit(0))
+    placed = cut.join_carry(local, carry).withColumns(
+        {
+            "at": F.col("row") + rows_before,
+            "opened_at": F.coalesce(
+                F.col("open_here") + rows_before,
+                F.when(F.coalesce("first_opens", F.lit(True)), rows_before + 1),
+                F.col("open_before"),
+            ),
+        }
+    )
     placed = placed.withColumn("part", F.floor((F.col("at") - F.col("opened_at")) / max_packets))
     low = F.col("low_first")
     flows = placed.groupBy(*FLOW_KEY, "opened_at", "part").agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowsentry import dims
 from flowsentry.functions.net import once
@@ -60,15 +60,18 @@ def normalize_processes(raw: DataFrame) -> DataFrame:
 
 
 def new_processes(snapshots: DataFrame) -> DataFrame:
-    """Processes whose pid the host's previous scan did not have.
+    """Processes whose pid the host's scan before this one did not have, whatever the scans' numbers.
 
-    ``snapshots`` is unique on (scan_no, host, pid).  A scan without a predecessor is a
-    baseline and yields nothing.  All joins are on (scan, host[, pid]), so a busy host
-    spreads over its scans.
+    ``snapshots`` is unique on (scan_no, host, pid).  A host's first scan is a baseline and
+    yields nothing.  The window sees one row per scan; joins are on (scan, host[, pid]), so a
+    busy host spreads over its scans.
     """
-    before = snapshots.select((F.col("scan_no") + 1).alias("scan_no"), "host", "pid")
-    return snapshots.join(before.select("scan_no", "host").distinct(), ["scan_no", "host"], "left_semi").join(
-        before, ["scan_no", "host", "pid"], "left_anti"
+    scans = snapshots.select("host", "scan_no").distinct()
+    last = F.lag("scan_no").over(W.partitionBy("host").orderBy("scan_no"))
+    follows = scans.select("host", "scan_no", last.alias("last_scan")).where("last_scan is not null")
+    before = snapshots.select(F.col("scan_no").alias("last_scan"), "host", "pid")
+    return (
+        snapshots.join(follows, ["scan_no", "host"]).join(before, ["last_scan", "host", "pid"], "left_anti").drop("last_scan")
     )
 
 

@@ -412,6 +412,24 @@ select scan_no, host, case when c1 then 'SUSPICIOUS_PROCESS' else 'SUSPICIOUS_SP
 from checked where c1 or c2 or c3
 """
 
+ORACLES["process_anomalies_gaps"] = ORACLES["process_anomalies"].replace("select scan_no, host", "select scan_no * 2 + scan_no // 3 scan_no, host")
+ORACLES["file_integrity_multi_host"] = f"""
+with one as ({ORACLES["file_integrity_diff"]})
+select * from one union all select * replace ('host1' as host) from one
+"""
+ORACLES["dhcp_identity"] = f"""
+with {with_views("fx_dhcp")},
+given as (select u, min(seq) filter (yiaddr <> '00000000') got, min(seq) filter (src_ip <> '0.0.0.0') heard from fx_dhcp group by u),
+placed as (
+  select d.*, case when yiaddr <> '00000000' or src_ip = '0.0.0.0' and got is not null then '10.2.0.' || (10 + u)
+    when src_ip <> '0.0.0.0' then src_ip when heard is not null then '10.2.0.1'
+    else 'mac:' || upper(regexp_replace(mac, '(..)(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5:\\6')) end host_ip
+  from fx_dhcp d join given using (u))
+select host_ip, any_value(case when yiaddr <> '00000000' then '10.2.0.' || (10 + u) end) ip,
+  upper(regexp_replace(arg_min(mac, seq), '(..)(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5:\\6')) mac, arg_min(hostname, seq) hostname
+from placed group by host_ip
+"""
+
 # ---- alerts ----------------------------------------------------------------------------------------
 _TACTIC, _TECHNIQUE = case("event_type", dims.HOST_TACTICS, "'Unknown'"), case("event_type", dims.HOST_TECHNIQUES, "'Unknown'")
 ALERTS = f"""{with_views("fx_alerts")},
@@ -685,7 +703,7 @@ select "name", round("precision", 6) "precision", round(recall, 6) recall, round
 ORACLES["model_performance"] = f"""
 with {REPORT}
 select 'ensemble' model_name, round("precision", 6) precision_val, round(recall, 6) recall_val, round(f1, 6) f1_score,
-  cast(null as double) false_pos_rate, (select any_value(support) from report where "name" = 'accuracy') total_scored
+  (select round(1 - recall, 6) from report where "name" = 'BENIGN') false_pos_rate, (select any_value(support) from report where "name" = 'accuracy') total_scored
 from report where "name" = 'ATTACK'
 """
 ORACLES["roc_auc"] = f"""
@@ -704,6 +722,37 @@ select binary_label, 'test' part, cast(round(n * 0.2) as bigint) n from n
 union all select binary_label, 'train', n - cast(round(n * 0.2) as bigint) from n
 """
 
+ROLES = f"""{flow_ctes(1000)},
+labelled as (select f.*, cast(p.role in ('scan', 'syn', 'c2', 'dns', 'icmp') as int) y from fl f join fx_packets p on p.seq = f.flow_id)"""
+ORACLES["isolation_forest_scores"] = f"with {ROLES} select count(*) \"rows\", count(*) scored, true in_range, true flags_few from labelled"
+for _name in ("random_forest_scores", "autoencoder_scores"):
+    ORACLES[_name] = f"""
+with {ROLES}
+select count(*) "rows", count(*) scored, count(*) filter (y = 1) attacks, true in_range, true separates from labelled
+"""
+ORACLES["isolation_forest_fixed"] = f"""
+with {flow_ctes(1000)}, {FEATURES},
+x as (select flow_id, (cast(cast(total_packets as float) as double) - 2) / 1.5 p, (cast(cast(total_bytes as float) as double) - 500) / 800 b from features),
+d as (select flow_id, case when p <= 0.5 then 4 when b <= 1 then 3 else 2 end + case when b <= 0 then 5 else 1.5 end total from x)
+select flow_id, round(least(greatest(0.5 - (-pow(2, -cast(total as double) / 2 / (2 * (ln(15) + 0.57721566490153286) - 2 * 15 / 16.0)) + 0.45), 0), 1), 6) if_score from d
+"""
+ORACLES["feature_importance"] = " union all ".join(f"select '{c}' feature, true not_negative, true sum_is_one" for c in dims.FEATURES)
+ORACLES["autoencoder_fixed"] = f"""
+with {flow_ctes(1000)}, {FEATURES},
+e as (select flow_id, ({" + ".join(f"pow(0.5 - (cast(cast({c} as float) as double) - 1) / 10, 2)" for c in dims.FEATURES)}) / 24 err from features)
+select flow_id, round(least(greatest((err - 2000) / (9000 + 1e-8) / 6 + 0.5, 0), 1), 6) ae_score from e
+"""
+ORACLES["train_report"] = f"""
+with {ROLES},
+n as (select y, cast(round(count(*) * 0.2) as bigint) n from labelled group by y),
+lines as (
+  select case y when 0 then 'BENIGN' else 'ATTACK' end "name", n support from n
+  union all select v, (select cast(sum(n) as bigint) from n) from (values ('accuracy'), ('macro avg'), ('weighted avg')) t(v))
+select model, "name", support, true in_range, true separates from lines, (values ('if'), ('rf'), ('ae'), ('ensemble')) m(model)
+"""
+ORACLES["score_flows"] = f"with {flow_ctes(1000)} select flow_id, true in_range, true vote_fits, total_packets packets from fl"
+ORACLES["stream_scoring"] = f"with {flow_ctes(1000)} select flow_id, true in_range, true vote_fits from fl"
+
 # ---- streams -------------------------------------------------------------------------------------------
 # A stream has seen time up to 30 s before its last packet; what is open then is not out yet.
 ORACLES["stream_flows"] = ORACLES["flows"].rstrip() + """
@@ -719,3 +768,4 @@ select (ts_us // 60000000) * 60000000 "start", count(*) packets, cast(sum(length
   count(*) filter (protocol = 6 and contains(flags, 'S')) syns
 from fx_packets group by 1 having (ts_us // 60000000) * 60000000 + 60000000 <= (select max(ts_us) from fx_packets) - 30000000
 """
+ORACLES["stream_log_brute_force"] = f"select * exclude (line_no) from ({ORACLES['auth_brute_force']})"

@@ -25,7 +25,6 @@ class Ordered:
 
     rows: DataFrame
     keys: list[str]
-    one_chunk: bool
 
     @property
     def crossing(self) -> DataFrame:
@@ -63,8 +62,6 @@ class Ordered:
     def running(self, sums: dict[str, str]) -> DataFrame:
         """``rows`` with running sums per key, up to and including each row."""
         local = self.rows.withColumns({n: F.sum(c).over(self.upto) for n, c in sums.items()})
-        if self.one_chunk:
-            return local
         per_chunk = self.totals(self.crossing, [F.sum(c).alias(n) for n, c in sums.items()])
         carry = per_chunk.select(
             "_chunk", *self.keys, *[F.coalesce(F.sum(n).over(self.earlier), F.lit(0)).alias(f"_c_{n}") for n in sums]
@@ -93,7 +90,7 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], chunks: int | None
         .withColumn("_chunk", F.shiftright("_pos", _ROW_BITS).cast("int"))
         .withColumn("_head", F.col("_pos").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) == 0)
     )
-    return Ordered(rows, keys, one_chunk=len(rows.inputFiles()) <= 1)
+    return Ordered(rows, keys)
 
 
 def sliding_counts(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import wraps
+import uuid
+from functools import lru_cache, wraps
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from flowsentry import dims
 from flowsentry.fixtures import view
@@ -23,7 +25,7 @@ from flowsentry.operators import (
     throttle as th,
 )
 from flowsentry.ml import metrics
-from flowsentry.ml.autoencoder import fit_autoencoder
+from flowsentry.ml.autoencoder import Autoencoder, fit_autoencoder, init_weights
 from flowsentry.ml.ensemble import (
     calibrate,
     ensemble_vote as ensemble_vote_of,
@@ -31,13 +33,15 @@ from flowsentry.ml.ensemble import (
     network_events as network_event_rows,
     scoring_stats as scoring_stats_of,
 )
-from flowsentry.ml.isolation_forest import fit_isolation_forest
+from flowsentry.ml.isolation_forest import IsolationForest, fit_isolation_forest
 from flowsentry.ml.random_forest import feature_importance as importance_of, fit_random_forest, score_random_forest
 from flowsentry.ml.split import stratified_split as split
 from flowsentry.ml.training import evaluate, score_flows as score_flows_with, train
-from flowsentry.plans.storage import materialize
+from flowsentry.plans.storage import checkpoint_dir, materialize
 from flowsentry.sources import tables as tb
 from flowsentry.sources.captures import parse_captures
+from flowsentry.sources.files import check_files
+from flowsentry.sources.logs import stream_auth_log
 from flowsentry.streaming import detectors as sd, hosts as sh
 from flowsentry.streaming.alerts import stream_admitted
 from flowsentry.streaming.flows import stream_flows as stream_flow_rows
@@ -302,6 +306,25 @@ def process_anomalies(spark, sf):
     return sn.process_anomalies(view(spark, sf, "fx_processes"))
 
 
+@query
+def process_anomalies_gaps(spark, sf):
+    """The same scans under numbers with holes: the last known scan counts, not the number before."""
+    scans = view(spark, sf, "fx_processes")
+    return sn.process_anomalies(scans.withColumn("scan_no", F.col("scan_no") * 2 + F.floor(F.col("scan_no") / 3)))
+
+
+@query
+def file_integrity_multi_host(spark, sf):
+    """Two hosts in one stored baseline, scanned in turn; the first scan of each finds nothing."""
+    table = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    found = None
+    for which in ("old", "new"):
+        for host in ("host0", "host1"):
+            changes = check_files(file_snapshot(spark, sf, which).withColumn("host", F.lit(host)), table)
+            found = changes if found is None else found.unionByName(changes)
+    return found
+
+
 # ---- alerts ----------------------------------------------------------------------------------------
 
 def alert_table(spark, sf):
@@ -473,6 +496,22 @@ def http_identity(spark, sf):
     return found.select("host_ip", "username", "fullname", "os", F.array_join("sources.text", "; ").alias("sources"))
 
 
+@query
+def dhcp_identity(spark, sf):
+    """Requests without an address and offers of it: both speak of the client, by its MAC."""
+    e = view(spark, sf, "fx_dhcp")
+    packets = e.select(
+        F.lit("c0").alias("capture"), "seq", "src_ip", F.lit("0a:00:00:00:00:01").alias("src_mac"), F.lit(17).alias("protocol"),
+        F.lit(68).alias("src_port"), F.lit(67).alias("dst_port"), F.lit(0).alias("payload_at"),
+        F.unhex(F.concat(
+            F.repeat(F.lit("00"), F.lit(16)), "yiaddr", F.repeat(F.lit("00"), F.lit(8)), "mac", F.repeat(F.lit("00"), F.lit(202)),
+            F.lit("63825363" "0c"), F.lpad(F.hex(F.length("hostname").cast("bigint")), 2, "0"), F.hex("hostname"), F.lit("ff"),
+        )).alias("frame"),
+    )
+    hosts = idn.host_identity(idn.with_client_addresses(idn.binary_evidence(packets)))
+    return hosts.select("host_ip", "ip", "mac", "hostname")
+
+
 # ---- labelled flows --------------------------------------------------------------------------------
 
 def labelled(spark, sf):
@@ -570,7 +609,7 @@ def roc_auc(spark, sf):
 @query
 def model_performance(spark, sf):
     report = metrics.classification_report(ensemble_vote_of(scored_view(spark, sf)))
-    return rounded(metrics.model_performance(report, "ensemble"), "precision_val", "recall_val", "f1_score")
+    return rounded(metrics.model_performance(report, "ensemble"), "precision_val", "recall_val", "f1_score", "false_pos_rate")
 
 
 def training_rows(spark, sf):
@@ -585,50 +624,119 @@ def stratified_split(spark, sf):
     return both.groupBy("binary_label", "part").agg(F.count("*").alias("n"))
 
 
+def role_rows(spark, sf):
+    """Flows with the role their first packet has in the packet view: the label follows the features."""
+    role = view(spark, sf, "fx_packets").select(
+        F.col("seq").alias("flow_id"), F.col("role").isin("scan", "syn", "c2", "dns", "icmp").cast("int").alias("binary_label")
+    )
+    made = features.flow_features(flow_table(spark, sf))
+    return materialize(made.join(role, "flow_id").withColumnRenamed("flow_id", "row_id"))
+
+
+def score_check(scored: DataFrame, name: str, area: float) -> DataFrame:
+    """What must hold for scores of a trained model: rows, range, and an area under the curve above a floor."""
+    kept = materialize(scored.select("binary_label", name))
+    areas = metrics.roc_auc(kept, [name], "binary_label").select((F.col("auc") >= area).alias("separates"))
+    counts = kept.agg(
+        F.count("*").alias("rows"), F.count(name).alias("scored"), F.count_if(F.col("binary_label") == 1).alias("attacks"),
+        F.min(F.col(name).between(0, 1)).alias("in_range"),
+    )
+    return counts.join(areas)  # one row each
+
+
 @query
 def isolation_forest_scores(spark, sf):
-    rows = training_rows(spark, sf)
-    forest = fit_isolation_forest(rows.where("binary_label = 0"), "row_id", trees=50)
-    return forest.score(rows).select("row_id", "binary_label", "if_score")
+    rows = role_rows(spark, sf)
+    forest = fit_isolation_forest(rows.where("binary_label = 0"), "row_id")
+    kept = materialize(forest.score(rows).select("binary_label", "if_score"))
+    benign = F.col("binary_label") == 0
+    return kept.agg(
+        F.count("*").alias("rows"), F.count("if_score").alias("scored"), F.min(F.col("if_score").between(0, 1)).alias("in_range"),
+        # the contamination share of the rows it was fitted on lies above a half
+        (F.count_if(benign & (F.col("if_score") > 0.5)) <= 0.05 * F.count_if(benign) + 1).alias("flags_few"),
+    )
+
+
+@query
+def isolation_forest_fixed(spark, sf):
+    """Row-exact: two trees over the packets and bytes of a flow."""
+    nodes = pd.DataFrame(FIXED_TREES, columns=["tree", "node", "feature", "threshold", "left", "right", "length"])
+    forest = IsolationForest(["total_packets", "total_bytes"], [2.0, 500.0], [1.5, 800.0], nodes, 16, -0.45)
+    scored = forest.score(features.flow_features(flow_table(spark, sf)))
+    return scored.select("flow_id", F.round("if_score", 6).alias("if_score"))
 
 
-def small_forest(rows):
-    return fit_random_forest(rows, trees=20, max_depth=8)
+# tree, node, feature (-1: leaf), threshold, left, right, path length
+FIXED_TREES = [
+    (0, 0, 0, 0.5, 1, 2, 0.0), (0, 1, -1, 0.0, 1, 1, 4.0), (0, 2, 1, 1.0, 3, 4, 0.0), (0, 3, -1, 0.0, 3, 3, 3.0), (0, 4, -1, 0.0, 4, 4, 2.0),
+    (1, 0, 1, 0.0, 1, 2, 0.0), (1, 1, -1, 0.0, 1, 1, 5.0), (1, 2, -1, 0.0, 2, 2, 1.5),
+]
 
 
 @query
 def random_forest_scores(spark, sf):
-    rows = training_rows(spark, sf)
-    return score_random_forest(small_forest(rows), rows).select("row_id", "binary_label", "rf_score")
+    rows = role_rows(spark, sf)
+    return score_check(score_random_forest(fit_random_forest(rows), rows), "rf_score", 0.95)
 
 
 @query
 def feature_importance(spark, sf):
-    return importance_of(small_forest(training_rows(spark, sf)), spark)
+    weights = importance_of(fit_random_forest(role_rows(spark, sf)), spark)
+    whole = F.abs(F.sum("importance").over(W.partitionBy()) - 1) < 1e-6  # 24 rows
+    return weights.select("feature", (F.col("importance") >= 0).alias("not_negative"), whole.alias("sum_is_one"))
 
 
 @query
 def autoencoder_scores(spark, sf):
-    rows = training_rows(spark, sf)
-    model = fit_autoencoder(materialize(rows.where("binary_label = 0")), epochs=3)
-    return model.score(rows).select("row_id", "binary_label", "ae_score")
+    rows = role_rows(spark, sf)
+    model = fit_autoencoder(materialize(rows.where("binary_label = 0")))
+    return score_check(model.score(rows), "ae_score", 0.6)
 
 
+@query
+def autoencoder_fixed(spark, sf):
+    """Row-exact: a network whose weights are zero gives its last bias, here a half."""
+    weights = [w * 0 for w in init_weights(len(dims.FEATURES), 0)]
+    weights[-1] = weights[-1] + 0.5
+    model = Autoencoder(list(dims.FEATURES), [1.0] * 24, [10.0] * 24, weights, 2000.0, 9000.0)
+    scored = model.score(features.flow_features(flow_table(spark, sf)))
+    return scored.select("flow_id", F.round("ae_score", 6).alias("ae_score"))
+
+
+@lru_cache(maxsize=2)
 def trained(spark, sf):
-    return train(training_rows(spark, sf), "row_id", trees=25, rf_trees=10, rf_depth=6, epochs=2)
+    """Models at full size, and the scored test rows; one training serves the queries of a session."""
+    models, scored = train(role_rows(spark, sf), "row_id")
+    return models, materialize(scored)
 
 
 @query
 def train_report(spark, sf):
-    _, scored = trained(spark, sf)
-    return evaluate(materialize(scored))
+    """Lines of the report with what must hold: the support, and scores in range; good forests and votes."""
+    report = evaluate(trained(spark, sf)[1])
+    between = lambda c: F.coalesce(F.col(c).between(0, 1), F.lit(True))
+    floor = F.when(F.col("model") == "rf", 0.9).otherwise(0.0)
+    return report.select(
+        "model", "name", "support", (between("precision") & between("recall") & between("f1")).alias("in_range"),
+        (F.col("auc") >= floor).alias("separates"),
+    )
+
+
+def scored_check(scored: DataFrame, *more: Column) -> DataFrame:
+    """What must hold for each scored flow."""
+    ok = F.lit(True)
+    for m in ("if_score", "rf_score", "ae_score", "confidence"):
+        ok = ok & F.coalesce(F.col(m).between(0, 1), F.lit(False))
+    fits = (F.col("predicted") == (F.col("votes") >= dims.VOTES_NEEDED).cast("int")) & F.col("votes").between(0, 3)
+    return scored.select("flow_id", ok.alias("in_range"), fits.alias("vote_fits"), *more)
 
 
 @query
 def score_flows(spark, sf):
     models, _ = trained(spark, sf)
     scored = score_flows_with(flow_table(spark, sf), models)
-    return scored.select("flow_id", "if_score", "rf_score", "ae_score", "votes", "predicted", "confidence", "raw_features")
+    packets_in = F.from_json("raw_features", "total_packets double")["total_packets"].cast("bigint")
+    return scored_check(scored, packets_in.alias("packets"))
 
 
 # ---- streams: the tables replayed in time order -----------------------------------------------------
@@ -672,5 +780,16 @@ def stream_traffic_rate(spark, sf):
 def stream_scoring(spark, sf):
     models, _ = trained(spark, sf)
     flows = materialize(flow_table(spark, sf))
-    scored = run_to_table(stream_score(replay(flows, "start_us"), models))
-    return scored.select("flow_id", "if_score", "rf_score", "ae_score", "votes", "predicted", "confidence")
+    return scored_check(run_to_table(stream_score(replay(flows, "start_us"), models)))
+
+
+@query
+def stream_log_brute_force(spark, sf):
+    """Log files of three hosts, from text to BRUTE_FORCE rows in one stream."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    lines = log_lines(spark, sf).withColumn("host", F.split("line", " ")[3])
+    lines.repartition("host").sortWithinPartitions("host", "line_no").select("host", F.col("line").alias("value")).write.partitionBy(
+        "host"
+    ).text(folder)
+    events = hl.parse_auth_events(stream_auth_log(spark, f"{folder}/*"), year=2024)
+    return run_to_table(sd.stream_brute_force(events)).withColumn("ts", F.unix_micros("ts")).drop("line_no")

@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+from pyarrow.fs import FileSystem
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsentry.operators.snapshots import diff_file_snapshots, hash_files
 
 
-def scan_file_hashes(spark: SparkSession, roots: list[str], host: str) -> DataFrame:
+#: Files from this size on are hashed in pieces; a row holds less than 2 GB.
+WHOLE_FILE = 256 << 20
+
+
+def _hash_in_pieces(frames):
+    """SHA-256 of files of any size, read 8 MB at a time."""
+    for rows in frames:
+        digests = []
+        for path in rows["path"]:
+            system, name = FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with system.open_input_stream(name) as f:
+                while piece := f.read(8 << 20):
+                    digest.update(piece)
+            digests.append(digest.hexdigest())
+        yield rows.assign(sha256=digests)[["host", "path", "sha256"]]
+
+
+def scan_file_hashes(spark: SparkSession, roots: list[str], host: str, whole_file: int = WHOLE_FILE) -> DataFrame:
     """SHA-256 of every file below ``roots``; missing roots are skipped.
 
-    The file source reads one file per row (up to 2 GB) and packs files into tasks by size.
+    The file source packs files into tasks by size.  Files below ``whole_file`` bytes are read as rows;
+    of larger ones only the path, and their bytes are streamed.
     """
     found = []
     for root in roots:
@@ -26,8 +47,11 @@ def scan_file_hashes(spark: SparkSession, roots: list[str], host: str) -> DataFr
             continue
     if not found:
         return spark.createDataFrame([], "host string, path string, sha256 string")
-    files = reduce(DataFrame.unionByName, found)
-    return hash_files(files.withColumns({"host": F.lit(host), "path": F.regexp_replace("path", "^file:/+", "/")}))
+    files = reduce(DataFrame.unionByName, found).withColumn("host", F.lit(host))
+    small = hash_files(files.where(F.col("length") < whole_file))
+    large = files.where(F.col("length") >= whole_file).select("host", F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+    hashed = small.unionByName(large.mapInPandas(_hash_in_pieces, "host string, path string, sha256 string"))
+    return hashed.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
 
 
 def save_baseline(snapshot: DataFrame, table: str, scan_id: int) -> None:
@@ -51,14 +75,27 @@ def load_baseline(spark: SparkSession, table: str, scan_id: int | None = None) -
     return spark.read.parquet(f"{table}/scan_id={scan:012d}")
 
 
-def check_files(current: DataFrame, table: str) -> DataFrame:
-    """Changes since the latest stored scan; ``current`` becomes the new baseline.
+def changes_of_scan(spark: SparkSession, table: str, scan_id: int) -> DataFrame:
+    """Changes in a stored scan against the last stored scan of each of its hosts.
+
+    Hosts that the scan does not cover have no changes, nor has a host's first scan.
+    """
+    now = load_baseline(spark, table, scan_id)
+    earlier = spark.read.parquet(table).where(F.col("scan_id") < scan_id)
+    hosts = now.select("host").distinct()
+    last = earlier.join(hosts, "host", "left_semi").groupBy("host").agg(F.max("scan_id").alias("scan_id"))  # one row per host
+    return diff_file_snapshots(earlier.join(last, ["host", "scan_id"], "left_semi"), now.join(last, "host", "left_semi"))
+
+
+def check_files(current: DataFrame, table: str, scan_id: int | None = None) -> DataFrame:
+    """Stores ``current`` as a scan and returns its changes.
 
-    Without a stored scan ``current`` is stored and there are no changes.
+    With a ``scan_id`` (say, a stream's batch id) a repeated call stores the same scan again and
+    finds the same changes, so a consumer that failed can ask once more.
     """
     spark = current.sparkSession
-    last = latest_scan(spark, table)
-    following = 0 if last is None else last + 1
-    save_baseline(current, table, following)
-    now = load_baseline(spark, table, following)
-    return diff_file_snapshots(now if last is None else load_baseline(spark, table, last), now)
+    if scan_id is None:
+        last = latest_scan(spark, table)
+        scan_id = 0 if last is None else last + 1
+    save_baseline(current, table, scan_id)
+    return changes_of_scan(spark, table, scan_id)

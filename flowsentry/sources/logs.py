@@ -13,10 +13,15 @@ def read_auth_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_auth_log(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
-    """Lines of log files as they are dropped into ``path``.
+    """(file, line_no, line) of log files as they are dropped into ``path``; ready for ``parse_auth_events``.
 
     The file source picks up new files, not bytes appended to old ones, so logs must be
-    rolled into the folder (or come from a message queue).
+    rolled into the folder (or come from a message queue).  A file is one row until its lines are
+    numbered: line_no is the line's place in the file behind 24 bits of the file's hash, the
+    same whenever and wherever the file is read; (file, line_no) names a line, and a double holds line_no.
     """
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-    return lines.select(F.trim("value").alias("line"))
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path, wholetext=True)
+    files = files.select(F.input_file_name().alias("file"), F.split("value", "\n").alias("lines"))
+    lines = files.select("file", F.posexplode("lines").alias("at", "text"))
+    number = F.shiftleft(F.xxhash64("file").bitwiseAND(F.lit((1 << 24) - 1)), 28).bitwiseOR(F.col("at").cast("bigint"))
+    return lines.select("file", number.alias("line_no"), F.trim("text").alias("line")).where("line <> ''")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from flowsentry.functions.alerting import alert_fingerprint
 from flowsentry.operators.alerts import notification_outbox
+from flowsentry.plans.storage import materialize
 
 
 def alert_rows(alerts: DataFrame, sensor: str = "") -> DataFrame:
@@ -26,8 +28,22 @@ def alert_rows(alerts: DataFrame, sensor: str = "") -> DataFrame:
     )
 
 
-def write_alerts(alerts: DataFrame, path: str, sensor: str = "") -> None:
-    alert_rows(alerts, sensor).write.mode("append").partitionBy("date").parquet(path)
+def write_alerts(alerts: DataFrame, path: str, sensor: str = "", once: bool = False) -> None:
+    """Appends alerts with the time they were stored.
+
+    ``once``: ids that the table has already are left out, so a batch that is written again after a
+    failure adds nothing.  Only the dates of the batch are read for that.
+    """
+    rows = alert_rows(alerts, sensor).withColumn("created_at", F.current_timestamp())
+    if once:
+        try:
+            stored = rows.sparkSession.read.parquet(path).select("date", "id")
+        except AnalysisException:  # no table yet
+            pass
+        else:
+            stored = stored.join(rows.select("date").distinct(), "date", "left_semi")
+            rows = materialize(rows.dropDuplicates(["id"]).join(stored, ["date", "id"], "left_anti"))
+    rows.write.mode("append").partitionBy("date").parquet(path)
 
 
 def write_network_events(events: DataFrame, path: str) -> None:

@@ -47,9 +47,12 @@ def stream_process_anomalies(snapshots: DataFrame) -> DataFrame:
 
 
 def file_integrity_sink(table: str, on_events: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """Batch sink: a micro-batch is one scan; changes against the stored scan go to ``on_events``."""
+    """Batch sink: a micro-batch is one scan, stored under its batch id; changes go to ``on_events``.
+
+    A batch that is repeated after a failure stores the same scan and hands over the same changes.
+    """
 
     def write(scan: DataFrame, batch_id: int) -> None:
-        on_events(check_files(scan, table), batch_id)
+        on_events(check_files(scan, table, batch_id), batch_id)
 
     return write

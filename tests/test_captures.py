@@ -159,6 +159,21 @@ def test_dhcp_identity(spark):
     assert (host.ip, host.mac, host.hostname, host.os) == ("10.0.0.77", "AA:BB:CC:DD:EE:FF", "WIN-PC", "MSFT 5.0")
 
 
+def test_dhcp_clients_without_address_stay_apart(spark):
+    def message(mac, name, offered):
+        return udp(68, 67, dhcp(name, b"x", bytes.fromhex(mac), offered))
+
+    hosts = identity(
+        spark,
+        ip("0.0.0.0", "255.255.255.255", 17, message("aabbccddee01", b"ONE", "0.0.0.0")),
+        ip("0.0.0.0", "255.255.255.255", 17, message("aabbccddee02", b"TWO", "0.0.0.0")),
+        ip("10.0.0.1", "255.255.255.255", 17, message("aabbccddee01", b"ONE", "10.0.0.11")),
+    )
+    assert "0.0.0.0" not in hosts
+    assert (hosts["10.0.0.11"].hostname, hosts["10.0.0.11"].mac) == ("ONE", "AA:BB:CC:DD:EE:01")
+    assert (hosts["mac:AA:BB:CC:DD:EE:02"].hostname, hosts["mac:AA:BB:CC:DD:EE:02"].ip) == ("TWO", None)
+
+
 def test_netbios_identity(spark):
     query = b"\0" * 12 + b"\x20" + netbios("DESKTOP7") + b"\0" * 10
     host = identity(spark, ip("10.0.0.5", "10.0.0.255", 17, udp(137, 137, query)))["10.0.0.5"]

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,10 @@ from pyspark.sql import functions as F
 from flowsentry.functions.net import flag_bits, flag_letters, is_internal, port_label, protocol_name
 from flowsentry.operators import alerts as al, hostlog as hl, rollups as ru, snapshots as sn
 from flowsentry.sources import files as fs, logs, tables as tb
+from flowsentry.sources.files import check_files, scan_file_hashes
+from flowsentry.sources.logs import stream_auth_log
+from flowsentry.streaming.detectors import stream_brute_force
+from flowsentry.streaming.replay import run_to_table
 
 LINES = {
     "ssh_fail": "Jun  5 14:23:01 server sshd[1234]: Failed password for invalid user admin from 192.168.1.100 port 22 ssh2",
@@ -239,3 +244,44 @@ def test_fan_out_survives_a_failing_sink(spark):
 def test_export_csv(spark, tmp_path):
     tb.export_csv(spark.range(3), str(tmp_path / "x"))
     assert spark.read.option("header", True).csv(str(tmp_path / "x")).count() == 3
+
+
+def test_missing_scan_numbers_hide_nothing(spark):
+    rows = [(0, "a", 1, 0, "init", ["x"]), (3, "a", 1, 0, "init", ["x"]), (3, "a", 2, 1, "xmrig", ["x"]), (9, "a", 2, 1, "xmrig", ["x"])]
+    assert [(r.scan_no, r.pid) for r in sn.process_anomalies(spark.createDataFrame(rows, PROC)).collect()] == [(3, 2)]
+
+
+def test_hosts_share_a_baseline_table(spark, tmp_path):
+    table, schema = str(tmp_path / "b"), "host string, path string, sha256 string"
+    scan = lambda *rows: spark.createDataFrame(list(rows), schema)
+    assert check_files(scan(("a", "/x", "1"), ("a", "/y", "1")), table).count() == 0
+    assert check_files(scan(("b", "/x", "7")), table).count() == 0
+    again = [(r.host, r.event_type, r.file_path) for _ in range(2) for r in check_files(scan(("a", "/x", "2")), table, 5).orderBy("file_path").collect()]
+    assert again == [("a", "MODIFIED", "/x"), ("a", "DELETED", "/y")] * 2
+    assert [(r.host, r.event_type) for r in check_files(scan(("b", "/x", "8")), table).collect()] == [("b", "MODIFIED")]
+
+
+def test_large_files_are_hashed_in_pieces(spark, tmp_path):
+    (tmp_path / "small").write_bytes(b"abc")
+    (tmp_path / "large").write_bytes(b"xyz" * 50_000)
+    want = {r.path: r.sha256 for r in scan_file_hashes(spark, [str(tmp_path)], "h").collect()}
+    assert {r.path: r.sha256 for r in scan_file_hashes(spark, [str(tmp_path)], "h", whole_file=1000).collect()} == want
+    assert want[str(tmp_path / "large")] == hashlib.sha256(b"xyz" * 50_000).hexdigest()
+
+
+def test_alerts_written_once(spark, tmp_path):
+    schema = "source_id bigint, ts_us bigint, alert_type string, severity string, src_ip string, dst_ip string, dst_port int, description string"
+    rows = [(i, 1_700_000_000_000_000 + i, "HOST", "LOW", "a", "b", 0, "x") for i in range(3)]
+    for part in (rows[:2], rows[:2], rows):
+        tb.write_alerts(spark.createDataFrame(part, schema), str(tmp_path / "a"), once=True)
+    stored = spark.read.parquet(str(tmp_path / "a"))
+    assert stored.count() == 3 and stored.where("created_at is null").count() == 0
+
+
+def test_log_stream_reaches_the_parser(spark, tmp_path):
+    line = "Jun  5 14:23:{:02d} host sshd[9]: Failed password for root from 9.9.9.9 port 22 ssh2"
+    (tmp_path / "auth.log").write_text("\n".join(line.format(i) for i in range(7)) + "\n")
+    events = hl.parse_auth_events(stream_auth_log(spark, str(tmp_path)), 2024)
+    found = run_to_table(stream_brute_force(events)).orderBy("ts").collect()
+    assert [r.event_type for r in found] == ["AUTH_FAIL"] * 4 + ["BRUTE_FORCE"] * 3
+    assert len({r.line_no for r in found}) == 7
