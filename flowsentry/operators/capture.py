@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from flowsentry import dims
 from flowsentry.functions.alerting import severity_of_rank, severity_rank
 from flowsentry.functions.net import lookup, port_label, protocol_name
+from flowsentry.operators.flows import sensor_of
 from flowsentry.plans.storage import materialize
 
 
@@ -22,6 +23,7 @@ def classify_packets(packets: DataFrame, dns_bytes: int = 2000) -> DataFrame:
         return F.when(bad, on_bad).when(soft, on_soft).otherwise(on_dns)
 
     return packets.where(bad | soft | dns).select(
+        *sensor_of(packets),
         "ts_us",
         "seq",
         "src_ip",
@@ -50,8 +52,9 @@ def source_hits(packets: DataFrame, ports: int | None = 20, syns: int | None = 8
     One pass: packets are combined per source and port, then per source.  None leaves a rule out.
     """
     syn = (F.col("protocol") == 6) & F.col("flags").contains("S")
-    by_port = packets.groupBy("src_ip", "dst_port").agg(F.count_if(syn).alias("syns"))
-    counts = by_port.groupBy("src_ip").agg(F.count("dst_port").alias("ports"), F.sum("syns").alias("syns"))
+    sensor = sensor_of(packets)
+    by_port = packets.groupBy(*sensor, "src_ip", "dst_port").agg(F.count_if(syn).alias("syns"))
+    counts = by_port.groupBy(*sensor, "src_ip").agg(F.count("dst_port").alias("ports"), F.sum("syns").alias("syns"))
 
     def hit(kind: tuple, n: Column, more_than: int) -> Column:
         rule, severity, technique, port, text = kind
@@ -62,9 +65,9 @@ def source_hits(packets: DataFrame, ports: int | None = 20, syns: int | None = 8
         return F.when(n > more_than, made)
 
     wanted = [(SCAN, F.col("ports"), ports), (FLOOD, F.col("syns"), syns)]
-    rows = counts.select("src_ip", F.inline(F.array(*[hit(*w) for w in wanted if w[2] is not None])))
+    rows = counts.select(*sensor, "src_ip", F.inline(F.array(*[hit(*w) for w in wanted if w[2] is not None])))
     return rows.where("rule is not null").select(
-        F.lit(None).cast("bigint").alias("ts_us"), F.lit(None).cast("bigint").alias("seq"), "src_ip",
+        *sensor, F.lit(None).cast("bigint").alias("ts_us"), F.lit(None).cast("bigint").alias("seq"), "src_ip",
         F.lit(None).cast("string").alias("dst_ip"), "dst_port", "rule", "severity", "technique", "description",
         F.lit("TCP").alias("protocol"),
     )
@@ -91,9 +94,10 @@ def attacker_profiles(hits: DataFrame, shown_targets: int = 4) -> DataFrame:
     bounded.  Targets are not: they are counted, and the first ``shown_targets`` listed;
     ``attacker_targets`` has them all as rows.
     """
+    source = [*sensor_of(hits), "src_ip"]
     stage = lookup(F.col("rule"), {"PORT_SCAN": 1, "SYN_FLOOD": 2}, 0)
     order = F.struct(stage.alias("stage"), F.col("ts_us"), F.col("seq"), F.col("description"))
-    main = hits.groupBy("src_ip").agg(
+    main = hits.groupBy(*source).agg(
         F.count("*").alias("hits"),
         severity_of_rank(F.max(severity_rank(F.col("severity")))).alias("severity"),
         F.array_join(F.sort_array(F.collect_set("rule")), " · ").alias("rules"),
@@ -106,25 +110,25 @@ def attacker_profiles(hits: DataFrame, shown_targets: int = 4) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("technique")), " · ").alias("techniques"),
         F.min(order)["description"].alias("description"),
     )
-    by_target = W.partitionBy("src_ip").orderBy("dst_ip")
+    by_target = W.partitionBy(*source).orderBy("dst_ip")
     targets = attacker_targets(hits)
-    counted = targets.groupBy("src_ip").agg(F.count("*").alias("n_targets"))
+    counted = targets.groupBy(*source).agg(F.count("*").alias("n_targets"))
     listed = (
         targets.withColumn("nth", F.row_number().over(by_target))
         .where(F.col("nth") <= shown_targets)
-        .groupBy("src_ip")
+        .groupBy(*source)
         .agg(F.array_join(F.sort_array(F.collect_list("dst_ip")), ", ").alias("targets"))
     )
     return (
-        main.join(counted, "src_ip", "left")
-        .join(listed, "src_ip", "left")
+        main.join(counted, source, "left")
+        .join(listed, source, "left")
         .withColumns({"n_targets": F.coalesce("n_targets", F.lit(0)), "targets": F.coalesce("targets", F.lit(""))})
     )
 
 
 def attacker_targets(hits: DataFrame) -> DataFrame:
     """All (source, target) pairs with their hit count."""
-    return hits.where("dst_ip is not null").groupBy("src_ip", "dst_ip").agg(F.count("*").alias("hits"))
+    return hits.where("dst_ip is not null").groupBy(*sensor_of(hits), "src_ip", "dst_ip").agg(F.count("*").alias("hits"))
 
 
 def rank_attackers(profiles: DataFrame) -> DataFrame:
@@ -147,20 +151,20 @@ def packet_timeline(packets: DataFrame, pattern: str = "yyyy-MM-dd HH:mm") -> Da
 
 
 def capture_kpis(packets: DataFrame, dns_bytes: int = 2000, ports: int = 20, syns: int = 80) -> DataFrame:
-    """One row: packets, flows, hits, attackers, distinct endpoints, duration.
+    """One row (per sensor): packets, flows, hits, attackers, distinct endpoints, duration.
 
     The packets are read once, into one row per directed 5-tuple: every rule but the size of DNS
     packets depends on the tuple alone, and scans and floods are counts over a source's tuples.
     """
     syn = (F.col("protocol") == 6) & F.col("flags").contains("S")
-    large = F.col("length") > dns_bytes
+    large, sensor = F.col("length") > dns_bytes, sensor_of(packets)
     by_flow = materialize(
-        packets.groupBy("src_ip", "dst_ip", "src_port", "dst_port", "protocol").agg(
+        packets.groupBy(*sensor, "src_ip", "dst_ip", "src_port", "dst_port", "protocol").agg(
             F.count("*").alias("pkts"), F.count_if(syn).alias("syns"), F.count_if(large).alias("large"),
             F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"),
         )
     )
-    traffic = by_flow.agg(
+    traffic = by_flow.groupBy(*sensor).agg(
         F.sum("pkts").alias("packets"),
         F.count("*").alias("flows"),
         F.countDistinct("src_ip").alias("sources"),
@@ -171,13 +175,13 @@ def capture_kpis(packets: DataFrame, dns_bytes: int = 2000, ports: int = 20, syn
     watched = port.isin(*dims.CAPTURE_BAD_PORTS) | port.isin(*dims.CAPTURE_SENSITIVE_PORTS)
     dns = (F.col("protocol") == 17) & ((port == 53) | (F.col("src_port") == 53))
     direct = F.sum(F.when(watched, F.col("pkts")).when(dns, F.col("large")).otherwise(0))
-    by_port = by_flow.groupBy("src_ip", "dst_port").agg(direct.alias("direct"), F.sum("syns").alias("syns"))
-    found = by_port.groupBy("src_ip").agg(
+    by_port = by_flow.groupBy(*sensor, "src_ip", "dst_port").agg(direct.alias("direct"), F.sum("syns").alias("syns"))
+    found = by_port.groupBy(*sensor, "src_ip").agg(
         (F.sum("direct") + (F.count("*") > ports).cast("int") + (F.sum("syns") > syns).cast("int")).alias("n")
     )
-    threats = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.count_if(F.col("n") > 0).alias("attackers"))
+    threats = found.groupBy(*sensor).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.count_if(F.col("n") > 0).alias("attackers"))
     both = traffic.unionByName(threats, allowMissingColumns=True)
-    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+    return both.groupBy(*sensor).agg(*[F.max(c).alias(c) for c in both.columns if c not in sensor])
 
 
 def hit_breakdown(hits: DataFrame) -> DataFrame:

@@ -9,11 +9,17 @@ from flowsentry.functions.net import flag_bits, flag_letters
 from flowsentry.plans.ordered import ordered
 
 FLOW_KEY = ["lo_ip", "lo_port", "hi_ip", "hi_port", "protocol"]
+SENSOR = "sensor"
 CLOSING_BITS = 0x01 | 0x04  # FIN, RST
 
 
+def sensor_of(df: DataFrame) -> list[str]:
+    """The sensor (or capture) column, if there is one: what two sensors see never meets in one flow, window or count."""
+    return [SENSOR] if SENSOR in df.columns else []
+
+
 def normalize_packets(raw: DataFrame) -> DataFrame:
-    """Flat packets: port 0 where there is none, flag letters, ICMP fields only for ICMP.
+    """Flat packets: port 0 where there is none, flag letters, ICMP fields only for ICMP; a sensor column stays.
 
     ``raw`` has seq, ts_us, src_ip, dst_ip, protocol, length, ttl, src_port, dst_port,
     flags_bits, tcp_seq, tcp_ack, icmp_type, icmp_code; rows without addresses are not IP.
@@ -21,6 +27,7 @@ def normalize_packets(raw: DataFrame) -> DataFrame:
     proto = F.col("protocol")
     ported = proto.isin(6, 17)
     return raw.where("src_ip is not null and dst_ip is not null").select(
+        *sensor_of(raw),
         "seq",
         "ts_us",
         "src_ip",
@@ -45,6 +52,7 @@ def with_flow_key(packets: DataFrame) -> DataFrame:
     )
     low_first = a <= b
     return packets.select(
+        *sensor_of(packets),
         F.when(low_first, F.col("src_ip")).otherwise(F.col("dst_ip")).alias("lo_ip"),
         F.when(low_first, F.col("src_port")).otherwise(F.col("dst_port")).cast("int").alias("lo_port"),
         F.when(low_first, F.col("dst_ip")).otherwise(F.col("src_ip")).alias("hi_ip"),
@@ -62,7 +70,7 @@ def per_second(amount: Column, duration_ms: Column) -> Column:
     return amount / (duration_ms / 1000 + F.lit(1e-9))
 
 
-def flow_columns(close_reason: Column) -> list[Column]:
+def flow_columns(close_reason: Column, sensor: list[str] = ()) -> list[Column]:
     """Final flow columns from the per-flow aggregates (shared with the stream form)."""
     bits, forward = F.col("bits"), F.col("forward_low")
     duration = F.greatest((F.col("end_us") - F.col("start_us")) / 1000, F.lit(0.001))
@@ -72,6 +80,7 @@ def flow_columns(close_reason: Column) -> list[Column]:
         return F.when(forward, F.col(low)).otherwise(F.col(high))
 
     return [
+        *map(F.col, sensor),
         F.col("first_seq").alias("flow_id"),
         side("lo_ip", "hi_ip").alias("src_ip"),
         side("hi_ip", "lo_ip").alias("dst_ip"),
@@ -112,7 +121,8 @@ def build_flows(
     conversation, the row number that opened it, and the part the packet cap cuts off.
     """
     idle_us = idle_seconds * 1_000_000
-    cut = ordered(with_flow_key(packets), FLOW_KEY, ["ts_us", "seq"], chunks)
+    keys = [*sensor_of(packets), *FLOW_KEY]
+    cut = ordered(with_flow_key(packets), keys, ["ts_us", "seq"], chunks)
     if as_of_us is None:
         as_of_us = cut.rows.agg(F.max("ts_us")).first()[0] or 0
     def ends_before(prev_us: Column, prev_bits: Column, now_us: Column) -> Column:
@@ -140,7 +150,7 @@ def build_flows(
             F.max("opens").alias("last_open"),
         ],
     )
-    key_order = W.partitionBy(*FLOW_KEY).orderBy("_chunk")
+    key_order = W.partitionBy(*keys).orderBy("_chunk")
     before, prev_us = F.coalesce(F.sum("n").over(cut.earlier), F.lit(0)), F.lag("last_us").over(key_order)
     first_opens = prev_us.isNull() | ends_before(prev_us, F.lag("last_bits").over(key_order), F.col("first_us"))
     carry = (
@@ -149,7 +159,7 @@ def build_flows(
             "open_row",
             F.coalesce(F.col("before") + F.col("last_open"), F.when(F.col("first_opens"), F.col("before") + 1)),
         )
-        .select("_chunk", *FLOW_KEY, "before", "first_opens", F.max("open_row").over(cut.earlier).alias("open_before"))
+        .select("_chunk", *keys, "before", "first_opens", F.max("open_row").over(cut.earlier).alias("open_before"))
     )
     rows_before = F.coalesce("before", F.lit(0))
     placed = cut.join_carry(local, carry).withColumns(
@@ -164,7 +174,7 @@ def build_flows(
     )
     placed = placed.withColumn("part", F.floor((F.col("at") - F.col("opened_at")) / max_packets))
     low = F.col("low_first")
-    flows = placed.groupBy(*FLOW_KEY, "opened_at", "part").agg(
+    flows = placed.groupBy(*keys, "opened_at", "part").agg(
         F.min("ts_us").alias("start_us"),
         F.max("ts_us").alias("end_us"),
         F.min_by("seq", "_pos").alias("first_seq"),
@@ -181,13 +191,13 @@ def build_flows(
         .when(F.lit(as_of_us) - F.col("end_us") > idle_us, "idle")
         .otherwise("open")
     )
-    return flows.select(*flow_columns(reason))
+    return flows.select(*flow_columns(reason, sensor_of(packets)))
 
 
 def unidirectional_flows(packets: DataFrame) -> DataFrame:
-    """One row per directed 5-tuple: packets, bytes, SYN packets, first and last time."""
+    """One row per directed 5-tuple (and sensor): packets, bytes, SYN packets, first and last time."""
     syn = (F.col("protocol") == 6) & F.col("flags").contains("S")
-    return packets.groupBy("src_ip", "dst_ip", "src_port", "dst_port", "protocol").agg(
+    return packets.groupBy(*sensor_of(packets), "src_ip", "dst_ip", "src_port", "dst_port", "protocol").agg(
         F.count("*").alias("pkts"),
         F.sum("length").alias("bytes"),
         F.count_if(syn).alias("syns"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from flowsentry import dims
 from flowsentry.functions.alerting import severity_rank
 from flowsentry.functions.net import once
+from flowsentry.operators.flows import sensor_of
 from flowsentry.plans.ordered import sliding_counts
 from flowsentry.plans.storage import materialize
 
@@ -84,6 +85,7 @@ def _matches(flows: DataFrame, rule: tuple[str, Column, Column]) -> DataFrame:
     severity, tactic, technique = next(s[1:] for s in dims.SIGNATURES if s[0] == name)
     zero_ports = name == "ICMP_FLOOD"
     return flows.where(condition).select(
+        *sensor_of(flows),
         "flow_id",
         "start_us",
         F.lit(name).alias("rule_name"),
@@ -100,6 +102,11 @@ def _matches(flows: DataFrame, rule: tuple[str, Column, Column]) -> DataFrame:
 
 # ---- window state -------------------------------------------------------------------------
 
+def source_of(flows: DataFrame) -> list[str]:
+    """Windows are kept per source, and per sensor if there are several."""
+    return [*sensor_of(flows), "src_ip"]
+
+
 def _port_changes(flows: DataFrame, seconds: int) -> DataFrame:
     """When a source's port enters (+1) and leaves (-1) its sliding window.
 
@@ -107,12 +114,12 @@ def _port_changes(flows: DataFrame, seconds: int) -> DataFrame:
     port never leaves the window), so a port that one source hits all day costs one row
     per slice, whatever the traffic.
     """
-    width = seconds * SECOND
+    width, keys = seconds * SECOND, source_of(flows)
     # First flow of a slice by (time, id), as one number so that the aggregate stays hashed.
     span = F.lit(Decimal(10**19))  # above any 64-bit id
     place, first = F.col("start_us").cast("decimal(19,0)") * span + F.col("flow_id"), F.col("first")
     slices = (
-        flows.groupBy("src_ip", "dst_port", F.floor(F.col("start_us") / width).alias("slice"))
+        flows.groupBy(*keys, "dst_port", F.floor(F.col("start_us") / width).alias("slice"))
         .agg(F.min(place.cast("decimal(38,0)")).alias("first"), F.max("start_us").alias("last_us"))
         .withColumns(
             {
@@ -121,7 +128,7 @@ def _port_changes(flows: DataFrame, seconds: int) -> DataFrame:
             }
         )
     )
-    near = W.partitionBy("src_ip", "dst_port").orderBy("slice")
+    near = W.partitionBy(*keys, "dst_port").orderBy("slice")
     gaps = slices.select(
         "*",
         (F.col("first_us") - F.lag("last_us").over(near)).alias("since"),
@@ -133,7 +140,7 @@ def _port_changes(flows: DataFrame, seconds: int) -> DataFrame:
         return F.when((F.col(gap) > width) | F.col(gap).isNull(), made)
 
     enters, leaves = change("since", F.col("first_us"), 0, 1), change("until", F.col("last_us") + width, 2, -1)
-    changes = gaps.select("src_ip", F.col("first_id").alias("flow_id"), F.inline(F.array(enters, leaves)))
+    changes = gaps.select(*keys, F.col("first_id").alias("flow_id"), F.inline(F.array(enters, leaves)))
     return changes.where("n_ports is not null")
 
 
@@ -149,10 +156,10 @@ def flow_rates(
     One sort by source serves all three detectors.
     """
     syn = F.col("has_syn") & (~F.col("flags").contains("A") if exclude_ack else F.lit(True))
-    rows = materialize(flows.select(*_FLOW_COLUMNS).withColumn("counts_syn", F.coalesce(syn, F.lit(False))))
+    rows = materialize(flows.select(*sensor_of(flows), *_FLOW_COLUMNS).withColumn("counts_syn", F.coalesce(syn, F.lit(False))))
     return sliding_counts(
         rows,
-        "src_ip",
+        source_of(rows),
         "start_us",
         "flow_id",
         {"n_syn": (F.col("counts_syn"), SECOND), "n_icmp": (F.col("protocol") == 1, SECOND)},
@@ -178,14 +185,14 @@ def sig_dns_amplification(flows: DataFrame, min_bytes: int = 4000, min_ratio: in
 
 def _one_rate(flows: DataFrame, condition: Column, name: str, chunks: int | None) -> DataFrame:
     """Sliding one-second count over only the flows that count."""
-    rows = flows.select(*_FLOW_COLUMNS).withColumn("counts_syn", F.lit(True)).where(condition)
-    return sliding_counts(rows, "src_ip", "start_us", "flow_id", {name: (F.lit(True), SECOND)}, chunks=chunks)
+    rows = flows.select(*sensor_of(flows), *_FLOW_COLUMNS).withColumn("counts_syn", F.lit(True)).where(condition)
+    return sliding_counts(rows, source_of(rows), "start_us", "flow_id", {name: (F.lit(True), SECOND)}, chunks=chunks)
 
 
 def sig_port_scan(flows: DataFrame, ports: int = 20, seconds: int = 10, chunks: int | None = None) -> DataFrame:
-    rows = materialize(flows.select(*_FLOW_COLUMNS))
+    rows = materialize(flows.select(*sensor_of(flows), *_FLOW_COLUMNS))
     seen = sliding_counts(
-        rows, "src_ip", "start_us", "flow_id", {}, _port_changes(rows, seconds), ["n_ports"], chunks
+        rows, source_of(rows), "start_us", "flow_id", {}, _port_changes(rows, seconds), ["n_ports"], chunks
     )
     return _matches(seen, port_scan(ports, seconds))
 
@@ -243,10 +250,11 @@ def best_matches(
         for order, ((name, severity, tactic, technique), condition, description) in enumerate(rules)
     ]
     best = rated.select(
-        "flow_id", "start_us", "src_ip", "dst_ip", "src_port", "dst_port", once(F.array_max(F.array(*candidates)))
+        *sensor_of(rated), "flow_id", "start_us", "src_ip", "dst_ip", "src_port", "dst_port", once(F.array_max(F.array(*candidates)))
     ).where("rule_name is not null")
     zero = F.col("rule_name") == "ICMP_FLOOD"
     return best.select(
+        *sensor_of(rated),
         "flow_id",
         "start_us",
         "rule_name", "severity", "description", "mitre_tactic", "mitre_technique",
@@ -260,6 +268,7 @@ def best_matches(
 def signature_to_alert(matches: DataFrame) -> DataFrame:
     """Signature match -> alert row; the protocol text is always "TCP"."""
     return matches.select(
+        *sensor_of(matches),
         F.col("flow_id").alias("source_id"),
         F.col("start_us").alias("ts_us"),
         F.lit("NETWORK").alias("alert_type"),

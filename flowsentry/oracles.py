@@ -769,3 +769,19 @@ select (ts_us // 60000000) * 60000000 "start", count(*) packets, cast(sum(length
 from fx_packets group by 1 having (ts_us // 60000000) * 60000000 + 60000000 <= (select max(ts_us) from fx_packets) - 30000000
 """
 ORACLES["stream_log_brute_force"] = f"select * exclude (line_no) from ({ORACLES['auth_brute_force']})"
+
+
+def both_sites(text: str, *times: str) -> str:
+    """The rows once for each of two sensors; the second one's times are a micro-second later."""
+    later = ", ".join(f"{t} + 1 as {t}" for t in times)
+    return f"""
+with one as ({text})
+select 'site a' sensor, * from one union all select 'site b', * {f"replace ({later})" if times else ""} from one
+"""
+
+
+ORACLES["sensor_flows"] = both_sites(ORACLES["flows"], "start_us", "end_us")
+ORACLES["sensor_signatures"] = both_sites(ORACLES["stream_signatures"], "start_us")
+ORACLES["sensor_hits"] = both_sites(ORACLES["all_hits"], "ts_us")
+ORACLES["sensor_profiles"] = both_sites(ORACLES["attacker_profiles"])
+ORACLES["sensor_kpis"] = both_sites(ORACLES["capture_kpis"])

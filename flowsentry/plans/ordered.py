@@ -95,7 +95,7 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], chunks: int | None
 
 def sliding_counts(
     rows: DataFrame,
-    key: str,
+    key: str | list[str],
     time: str,
     tie: str,
     counts: dict[str, tuple[Column, int]],
@@ -113,6 +113,7 @@ def sliding_counts(
 
     Phases at one instant: 0 and 1 arrivals, in tie order; 2 departures.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     names = [*counts, *extra_counts]
     deltas = {n: c.cast("long") for n, (c, _) in counts.items()} | {n: F.lit(0).cast("long") for n in extra_counts}
     base = rows.withColumns({f"_d_{n}": d for n, d in deltas.items()}).withColumn("_phase", F.lit(1))
@@ -120,7 +121,7 @@ def sliding_counts(
     for name, (_, width) in counts.items():
         union = union.unionByName(
             base.where(F.col(f"_d_{name}") != 0).select(
-                F.col(key),
+                *keys,
                 (F.col(time) + F.lit(width)).alias(time),
                 F.col(tie),
                 F.lit(2).alias("_phase"),
@@ -133,7 +134,7 @@ def sliding_counts(
             extra.withColumnsRenamed({n: f"_d_{n}" for n in extra_counts}), allowMissingColumns=True
         )
     cut = ordered(
-        union.withColumn("_late", (F.col("_phase") == 2).cast("int")), [key], [time, "_late", tie, "_phase"], chunks
+        union.withColumn("_late", (F.col("_phase") == 2).cast("int")), keys, [time, "_late", tie, "_phase"], chunks
     )
     counted = cut.running({n: f"_d_{n}" for n in names}).where("_phase = 1")
     return cut.clean(counted).drop("_phase", "_late", *[f"_d_{n}" for n in names])

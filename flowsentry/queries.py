@@ -230,6 +230,40 @@ def internal_traffic(spark, sf):
     return p.groupBy(*sides).agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"))
 
 
+# ---- two sensors with equal addresses ------------------------------------------------------------
+
+def two_sensors(spark, sf):
+    """The packets as two sites with the same private addresses see them, the second a little later."""
+    p = packets(spark, sf)
+    late = p.withColumns({"sensor": F.lit("site b"), "ts_us": F.col("ts_us") + 1})
+    return p.withColumn("sensor", F.lit("site a")).unionByName(late)
+
+
+@query
+def sensor_flows(spark, sf):
+    return rounded(fl.build_flows(two_sensors(spark, sf)), "duration_ms", "byte_rate", "pkt_rate", digits=3)
+
+
+@query
+def sensor_signatures(spark, sf):
+    return sg.signature_matches(fl.build_flows(two_sensors(spark, sf)))
+
+
+@query
+def sensor_hits(spark, sf):
+    return cp.all_hits(two_sensors(spark, sf))
+
+
+@query
+def sensor_profiles(spark, sf):
+    return cp.attacker_profiles(materialize(cp.all_hits(two_sensors(spark, sf))))
+
+
+@query
+def sensor_kpis(spark, sf):
+    return cp.capture_kpis(two_sensors(spark, sf))
+
+
 # ---- host log ------------------------------------------------------------------------------------
 
 def log_lines(spark, sf):
