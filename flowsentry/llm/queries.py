@@ -50,6 +50,24 @@ def op2_ngram_jaccard_join(spark, sf):
     return linked.select("doc_id", "n_shingles", "component_id")
 
 
+ORACLES["op2_ngram_jaccard_join"] = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as (
+  select doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' ')))) g
+  from w where len(w) > 0),
+n as (select doc_id, count(*) n from s group by doc_id),
+pairs as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (select x, y from pairs join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)),
+edges as (select x, y from links union all select y, x from links),
+reach as (select doc_id, doc_id other from n union select r.doc_id, e.y from reach r join edges e on e.x = r.other),
+least_of as (select doc_id, min(other) component_id from reach group by doc_id)
+select d.doc_id, coalesce(n.n, 0) n_shingles, coalesce(l.component_id, d.doc_id) component_id
+from documents d left join n using (doc_id) left join least_of l using (doc_id)
+"""
+
+
 @query
 def op3_substring_dedup(spark, sf):
     found = chunk_dedup.dedup_substrings(documents(spark, sf))
@@ -84,6 +102,27 @@ def op6_suffix_dedup(spark, sf):
     )
 
 
+# Bytes as pairs of hex digits; a window is told by its digest.
+ORACLES["op6_suffix_dedup"] = """
+with t as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+w as (select doc_id, h, unnest(range(0, length(h) // 2 - 399)) i from t where length(h) >= 800),
+d as (select doc_id, i, md5(substr(h, 2 * i + 1, 800)) m from w),
+twice as (select m from d group by m having count(*) > 1),
+hit as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) gap from d semi join twice using (m)),
+runs as (select doc_id, i, sum(case when gap is null or gap > 400 then 1 else 0 end) over (partition by doc_id order by i) run from hit),
+spans as (select doc_id, min(i) a, max(i) + 400 z from runs group by doc_id, run),
+cut as (
+  select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) before_at from spans),
+kept as (
+  select c.doc_id, sum(c.z - c.a) n_removed, count(*) n_spans,
+    string_agg(substr(h, 2 * before_at + 1, 2 * (a - before_at)), '' order by a) || substr(any_value(h), 2 * max(z) + 1) k
+  from cut c join t on t.doc_id = c.doc_id group by c.doc_id)
+select t.doc_id, length(h) // 2 n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, coalesce(n_spans, 0) n_spans,
+  sha256(unhex(coalesce(k, h))) kept_sha256
+from t left join kept using (doc_id)
+"""
+
+
 @query
 def op7_exact_dedup(spark, sf):
     return exact_dedup.dedup_exact(documents(spark, sf)).drop("row")
