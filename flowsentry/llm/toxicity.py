@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from flowsentry.functions.net import once
 from flowsentry.llm.common import Memo, batches, texts
 from flowsentry.plans.storage import materialize
 
@@ -39,7 +40,7 @@ class Settings:
     fit_rows: int = 20_000
     vocabulary: int = 1024
     least: int = 5
-    tie: float = 12.0
+    tie: float = 40.0
     neighbours: int = 15
     near: float = 0.1
     block: int = 64
@@ -150,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), id_col:
         .filter(F.col("toxic").isNotNull() & is_learned()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.fit_rows)
     )
-    rows = materialize(texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", (F.col("toxic") != 0).cast("int").alias("toxic")))
+    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", (F.col("toxic") != 0).cast("int").alias("toxic"))
+    rows = materialize(one_of_copies(materialize(rows)))
     counted = pa.schema([("term", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +219,16 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), id_col:
     return model
 
 
+def one_of_copies(rows: DataFrame) -> DataFrame:
+    """One row for each least hash of three words: copies mostly share it, and would tie their own words to the label."""
+    words = F.col("words")
+    least = F.array_min(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))))
+    split = rows.select("doc_id", "text", "toxic", once(F.struct(F.split("text", r"\s+").alias("words"))))
+    keyed = split.select("doc_id", "text", "toxic", least.alias("key"))
+    first = keyed.groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    return keyed.join(first, ["key", "toxic", "doc_id"], "left_semi").select("doc_id", "text", "toxic")
+
+
 def calibrate(spark, model: Model, counts: list) -> None:
     """Steps from votes to shares of toxic examples, each example voted on by the others; shares may not fall."""
     if not counts:
