@@ -6,7 +6,8 @@ one anchor occurrence are a *block* of text. Blocks whose anchor stands nowhere
 are equal to another repeat as a whole. What is left are different blocks around an equal anchor. A task cuts its
 blocks into phrases, where a cut depends only on a few bytes before it, sorts the suffixes of the phrase
 sequences, and takes the neighbours that agree for long enough; windows at the same place before such
-suffixes are compared by two 64-bit hashes of all their bytes.
+suffixes are compared by two 64-bit hashes of all their bytes. An anchor that very many different blocks share is not
+sent to one task: those blocks are taken as texts of their own and go the same way with longer anchors.
 """
 
 from __future__ import annotations
@@ -23,19 +24,27 @@ from flowsentry.llm.rows import among, mix, wanted_rows
 from flowsentry.llm.suffix_groups import suffix_array
 from flowsentry.plans.storage import materialize
 
-#: Windows hashed at once, and bytes of blocks that are sorted in one task.
-SEGMENT, TASK = 1 << 20, 4 << 20
+#: Windows hashed at once, bytes of blocks that are sorted at once, and different blocks of one anchor that one task takes.
+SEGMENT, TASK, CROWD = 1 << 20, 1 << 20, 2000
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
 
 
 @dataclass(frozen=True)
 class Repeat:
+    """``length`` of the strings, and how much of it an anchor takes; see ``finer``."""
+
     length: int = 400
+    anchor: int | None = None
 
     @property
     def gram(self) -> int:
-        return self.length // 2
+        return self.anchor or self.length // 2
+
+    def finer(self) -> Repeat:
+        """Longer anchors for the blocks of a crowded one; at last the anchor is the window, and no block is left to sort."""
+        near = self.length - 8
+        return Repeat(self.length, near if self.gram < near else self.length)
 
     @property
     def zone(self) -> int:
@@ -112,36 +121,27 @@ def repeat_spans(blocks: list[bytes], counts: list[int], windows: list[int], how
 
     ``counts``: how often the block stands anywhere; ``windows``: how many windows start in it.
     """
-    number, ok = len(blocks), [n > 1 for n in counts]
+    number = len(blocks)
     data = np.frombuffer(b"".join(blocks), "u1")
     begin = np.concatenate([[0], np.cumsum([len(b) for b in blocks])])
-    owner = np.repeat(np.arange(number), np.diff(begin))
-    # cuts: after four bytes of a certain hash, and everywhere after a long stretch without
-    x = data.astype("u4")
-    four = (x[3:] | x[2:-1] << 8 | x[1:-2] << 16 | x[:-3] << 24) * np.uint32(0x9E3779B1)
-    cut = np.zeros(len(data) + 1, bool)
-    cut[4:] = four >> np.uint32(27) == 0
-    inside = np.zeros(len(data), bool)
-    inside[1:] = owner[1:] == owner[:-1]
-    cut = cut[:-1] & inside
-    for k in (1, 2, 3):  # the four bytes lie in one block
-        cut[k:] &= inside[:-k] | False
-    place = np.arange(len(data))
-    last = np.maximum.accumulate(np.where(cut | ~inside, place, 0))
-    cut |= inside & (place - last >= how.zone)
-    at = np.flatnonzero(cut)
+    at = cuts(data, begin, how)
     # phrases lie between cuts of one block
-    whole = np.flatnonzero(owner[at[1:]] == owner[at[:-1]])
-    start, end = at[:-1][whole], at[1:][whole]
+    owner = np.searchsorted(begin, at, "right") - 1
+    whole = np.flatnonzero(owner[1:] == owner[:-1])
+    start, end, owner = at[:-1][whole], at[1:][whole], owner[:-1][whole]
+    edge = np.searchsorted(owner, np.arange(number + 1))
     rolls = [Roll(b) for b in BASES]
-    sums = [r.sums(data) for r in rolls]
-    _, symbol = np.unique(mix(rolls[0].of(sums[0], start, end)) + (end - start).astype("u8"), return_inverse=True)
+    phrase = np.empty(len(start), "u8")
+    for b in range(number):
+        i, j = edge[b], edge[b + 1]
+        sums = rolls[0].sums(data[begin[b] : begin[b + 1]])
+        phrase[i:j] = rolls[0].of(sums, start[i:j] - begin[b], end[i:j] - begin[b])
+    _, symbol = np.unique(mix(phrase) + (end - start).astype("u8"), return_inverse=True)
     # sequences with a mark of its own behind each block, the last one smallest
-    per_block = np.bincount(owner[start], minlength=number)
-    first = np.concatenate([[0], np.cumsum(per_block + 1)])
+    first = np.concatenate([[0], np.cumsum(np.diff(edge) + 1)])
     sequence = np.empty(first[-1], "i8")
     sequence[first[1:] - 1] = np.arange(number)[::-1]
-    slot = np.arange(len(start)) + owner[start]
+    slot = np.arange(len(start)) + owner
     sequence[slot] = symbol + number
     size = np.zeros(len(sequence), "i8")
     size[slot] = end - start
@@ -150,33 +150,50 @@ def repeat_spans(blocks: list[bytes], counts: list[int], windows: list[int], how
     group[order] = np.concatenate([[0], np.cumsum(~agreeing(sequence, size, order, how.agree))])
     members = np.bincount(group)
 
-    keys, owners, starts = [], [], []
-    slot_of = np.full(len(data) + 1, -1)
-    slot_of[start] = slot
-    nearest = np.append(at, len(data))
+    keys, checks, owners, starts = [], [], [], []
     for b in range(number):
-        s = begin[b] + np.arange(windows[b])
-        p = nearest[np.searchsorted(at, s + how.sure)]
-        j = slot_of[p]
-        live = (j >= 0) & (owner[np.minimum(p, len(data) - 1)] == b)
-        live[live] = members[group[j[live]]] > 1
-        s, p, j = s[live], p[live], j[live]
-        hashes = [r.of(t, s, s + how.length) for r, t in zip(rolls, sums)]
-        keys.append((mix(hashes[0]) + mix(group[j].astype("u8")) * np.uint64(3) + (p - s).astype("u8"), hashes[1]))
-        owners.append(np.full(len(s), b))
-        starts.append(s - begin[b])
-    found: list[np.ndarray] = [np.zeros(0, "i8")] * number
+        i, j = edge[b], edge[b + 1]
+        s = np.arange(windows[b])
+        local = start[i:j] - begin[b]
+        k = np.searchsorted(local, s + how.sure)
+        live = k < j - i
+        k = np.minimum(k, max(j - i - 1, 0))
+        g = group[slot[i:j]][k] if j > i else np.zeros(len(s), "i8")
+        live &= members[g] > 1
+        if live.any():
+            s, k, g = s[live], k[live], g[live]
+            text = data[begin[b] : begin[b + 1]]
+            one, two = (r.windows(text, how.length)[s] for r in rolls)
+            keys.append(mix(one) + mix(g.astype("u8")) * np.uint64(3) + (local[k] - s).astype("u8"))
+            checks.append(two)
+            owners.append(np.full(len(s), b, "i4"))
+            starts.append(s.astype("i4"))
+    found: list[np.ndarray] = [np.zeros(0, "i4")] * number
     if keys:
-        a, c = (np.concatenate([k[i] for k in keys]) for i in (0, 1))
-        o, s = np.concatenate(owners), np.concatenate(starts)
+        a, c, o, s = (np.concatenate(x) for x in (keys, checks, owners, starts))
         by = np.lexsort((c, a))
         equal = (a[by][1:] == a[by][:-1]) & (c[by][1:] == c[by][:-1])
         twice = np.zeros(len(by), bool)
         twice[by[1:][equal]] = twice[by[:-1][equal]] = True
         o, s = o[twice], s[twice]
-        edges = np.searchsorted(o, np.arange(number + 1))
-        found = [s[edges[b] : edges[b + 1]] for b in range(number)]
-    return [[(0, windows[b] - 1 + how.length)] if ok[b] else covered(found[b], how.length) for b in range(number)]
+        ends = np.searchsorted(o, np.arange(number + 1))
+        found = [s[ends[b] : ends[b + 1]] for b in range(number)]
+    return [[(0, windows[b] - 1 + how.length)] if counts[b] > 1 else covered(found[b], how.length) for b in range(number)]
+
+
+def cuts(data: np.ndarray, begin: np.ndarray, how: Repeat) -> np.ndarray:
+    """Places where a phrase starts: after four bytes of a certain hash, and everywhere after a long stretch without."""
+    x = data.astype("u4")
+    four = (x[3:] | x[2:-1] << 8 | x[1:-2] << 16 | x[:-3] << 24) * np.uint32(0x9E3779B1)
+    cut = np.zeros(len(data), bool)
+    cut[4:] = four[:-1] >> np.uint32(27) == 0
+    for k in range(4):  # the four bytes lie in one block
+        cut[np.minimum(begin[:-1] + k, len(data) - 1)] = False
+    inside = np.ones(len(data), bool)
+    inside[begin[:-1]] = False
+    place = np.arange(len(data), dtype="i4")
+    last = np.maximum.accumulate(np.where(cut | ~inside, place, np.int32(0)))
+    return np.flatnonzero(cut | inside & (place - last >= how.zone))
 
 
 def agreeing(sequence: np.ndarray, size: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
@@ -258,43 +275,67 @@ def find_repeats(rows: DataFrame, how: Repeat) -> DataFrame:
     mixed = seen.filter("not same")
     distinct = materialize(
         mixed.groupBy("key", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("row", "start")).alias("at"), F.max("windows").alias("windows"))
-        .select("key", "a", "b", "n", "at.row", "at.start", "windows")
+        .select("key", "a", "b", "n", "at.row", "at.start", "windows", F.monotonically_increasing_id().alias("id"))
     )
-    verdict = materialize(sorted_blocks(rows, distinct, how))
+    if distinct.isEmpty():
+        return same
+    crowded = materialize(distinct.groupBy("key").count().filter(F.col("count") > CROWD).select("key"))
+    verdict = sorted_blocks(sliced(rows, distinct.join(crowded, "key", "left_anti"), how), distinct, how)
+    if not crowded.isEmpty():
+        crowd = distinct.join(crowded, "key", "left_semi")
+        texts_of = materialize(sliced(rows, crowd, how)).select(F.col("block").alias("text"), F.col("id").alias("row"))
+        spans = find_repeats(texts_of, how.finer())
+        again = crowd.filter("n > 1").select(F.col("id").alias("row"), F.lit(0).alias("start"), (F.col("windows") - 1 + how.length).alias("end"))
+        verdict = verdict.unionByName(spans.union(again).groupBy(F.col("row").alias("id")).agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    verdict = materialize(verdict.join(distinct.select("id", "key", "a", "b"), "id").drop("id"))
     part = mixed.join(verdict, ["key", "a", "b"]).select("row", "start", F.explode("spans").alias("span"))
     return same.union(part.select("row", F.col("start") + F.col("span.start"), F.col("start") + F.col("span.end")))
 
 
-def sorted_blocks(rows: DataFrame, distinct: DataFrame, how: Repeat) -> DataFrame:
-    """key, a, b and spans: array<struct<start, end>> in the block, of each of the ``distinct`` blocks."""
-    total = distinct.agg(F.sum(F.col("windows") + how.length)).first()[0] or 0
-    held = rows.sparkSession.sparkContext.broadcast(wanted_rows(distinct.select("row").distinct()))
-    asked = distinct.groupBy("row").agg(F.collect_list(F.struct("key", "a", "b", "n", "start", "windows")).alias("blocks"))
-    cut = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("windows", pa.int32()), ("block", pa.binary())])
+def sliced(rows: DataFrame, wanted: DataFrame, how: Repeat) -> DataFrame:
+    """id, key, n, windows and bytes of the ``wanted`` blocks, cut from the row each was first seen in."""
+    held = rows.sparkSession.sparkContext.broadcast(wanted_rows(wanted.select("row").distinct()))
+    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("id", "key", "n", "start", "windows")).alias("blocks"))
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("windows", pa.int32()), ("block", pa.binary())])
 
-    def slices(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
             for frame in frames:
                 for text, blocks in zip(frame.column(0), frame.column(1)):
                     data = text.as_py()
                     for x in blocks.as_py():
-                        yield x["key"], x["a"], x["b"], x["n"], x["windows"], data[x["start"] : x["start"] + x["windows"] - 1 + how.length]
+                        yield x["id"], x["key"], x["n"], x["windows"], data[x["start"] : x["start"] + x["windows"] - 1 + how.length]
+
+        yield from batches(each(), schema, lambda r: len(r[4]) + 40)
 
-        yield from batches(each(), cut, lambda r: len(r[5]) + 40)
+    return possible(rows, held).join(asked, "row").select("text", "blocks").mapInArrow(cut, "id long, key long, n long, windows int, block binary")
 
+
+def sorted_blocks(blocks: DataFrame, distinct: DataFrame, how: Repeat) -> DataFrame:
+    """id and spans, array<struct<start, end>> in the block, of each of the ``blocks``; an anchor's blocks are sorted together."""
+    total = distinct.agg(F.sum(F.col("windows") + how.length)).first()[0]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("spans", span)])
+    schema = pa.schema([("id", pa.int64()), ("spans", span)])
 
     def sort(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for frame in frames for r in zip(*(frame.column(i).to_pylist() for i in range(6)))]
+        def judged(got: list[tuple]):
+            spans = repeat_spans([r[4] for r in got], [r[2] for r in got], [r[3] for r in got], how)
+            return ((r[0], [{"start": s, "end": e} for s, e in x]) for r, x in zip(got, spans))
+
+        got: list[tuple] = []
+        held = 0
+        for frame in frames:
+            for r in zip(*(c.to_pylist() for c in frame.columns)):
+                if held > TASK and r[1] != got[-1][1]:
+                    yield from batches(judged(got), schema)
+                    got, held = [], 0
+                got.append(r)
+                held += len(r[4])
         if got:
-            spans = repeat_spans([r[5] for r in got], [r[3] for r in got], [r[4] for r in got], how)
-            yield from batches(((*r[:3], [{"start": s, "end": e} for s, e in x]) for r, x in zip(got, spans)), schema)
+            yield from batches(judged(got), schema)
 
-    texts_of = possible(rows, held).join(asked, "row").select("text", "blocks")
-    blocks = texts_of.mapInArrow(slices, "key long, a long, b long, n long, windows int, block binary")
-    parts = max(1, -(-total // TASK))
-    return blocks.repartition(parts, "key").mapInArrow(sort, "key long, a long, b long, spans array<struct<start:int,end:int>>")
+    parts = max(1, -(-total // (4 * TASK)))
+    return blocks.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sort, "id long, spans array<struct<start:int,end:int>>")
 
 
 def possible(rows: DataFrame, table, wanted: bool = True) -> DataFrame:

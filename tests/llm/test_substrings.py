@@ -121,6 +121,22 @@ def test_repeats(spark, length):
     assert rp.remove_repeats(table(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [0, 3])
+def test_crowded_anchors_are_split(spark, monkeypatch, crowd):
+    """Many different texts around the same passages; every level of longer anchors is used."""
+    monkeypatch.setattr(rp, "CROWD", crowd)
+    r = random.Random(crowd)
+    base = "".join(r.choice("abcdefgh ") for _ in range(300))
+    rows = passages(5)
+    for k in range(40):
+        i = r.randrange(300)
+        rows.append((5000 + k, base[:i] + r.choice("XYZ") + base[i + 1 :]))
+    got = rp.remove_repeats(table(spark, rows), rp.Repeat(60)).selectExpr(
+        "doc_id", "n_bytes", "n_bytes - octet_length(kept) removed", "size(spans) n", "sha2(kept, 256) kept"
+    )
+    assert rows_of(got, "doc_id", "n_bytes", "removed", "n", "kept") == sorted(digests(rows, 60), key=repr)
+
+
 def test_segments_of_a_long_text(monkeypatch):
     monkeypatch.setattr(rp, "SEGMENT", 100)
     r = random.Random(6)
