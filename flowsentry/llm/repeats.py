@@ -338,12 +338,12 @@ def sorted_blocks(blocks: DataFrame, distinct: DataFrame, how: Repeat) -> DataFr
     return blocks.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sort, "id long, spans array<struct<start:int,end:int>>")
 
 
-def possible(rows: DataFrame, table, wanted: bool = True) -> DataFrame:
-    """Rows (text, row) whose bit is set in the broadcast table, or the others."""
+def possible(rows: DataFrame, table) -> DataFrame:
+    """Rows (text, row, ...) whose bit is set in the broadcast table."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            yield frame.filter(pa.array(among(table.value, frame.column(1).to_numpy()) == wanted))
+            yield frame.filter(pa.array(among(table.value, frame.column(1).to_numpy())))
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -382,8 +382,16 @@ def remove_repeats(docs: DataFrame, how: Repeat = Repeat(), id_col: str = "doc_i
 
         yield from batches(each(), schema, lambda r: len(r[3]))
 
-    none = F.lit(None).cast("array<struct<start:int,end:int>>")
-    touched = possible(rows, held).join(spans, "row", "left").select("text", "doc_id", "spans")
-    clean = possible(rows, held, False).select("text", "doc_id", none.alias("spans"))
+    def untouched(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each():
+            for frame in frames:
+                rest = frame.filter(pa.array(~among(held.value, frame.column(1).to_numpy())))
+                for text, doc_id in zip(rest.column(0), rest.column(2).to_pylist()):
+                    data = text.as_py()
+                    yield doc_id, len(data), [], data
+
+        yield from batches(each(), schema, lambda r: len(r[3]))
+
     sql = "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
-    return touched.mapInArrow(cut, sql).unionByName(clean.mapInArrow(cut, sql))
+    touched = possible(rows, held).join(spans, "row", "left").select("text", "doc_id", "spans")
+    return touched.mapInArrow(cut, sql).unionByName(rows.mapInArrow(untouched, sql))
