@@ -54,7 +54,7 @@ class Grams:
         import xxhash
 
         self.words = words
-        self.known = Memo(xxhash.xxh3_64_intdigest, 400_000)
+        self.known = Memo(xxhash.xxh3_64_intdigest, 150_000)
 
     def __call__(self, data: bytes) -> np.ndarray:
         words = data.lower().split()  # bytes: A-Z and ASCII blanks only
