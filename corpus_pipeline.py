@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsentry.llm import exact_dedup, ngram_join, packing, quality, secrets
-from flowsentry.llm.common import stored
+from flowsentry.llm.common import keyed
 from flowsentry.plans.storage import checkpoint_dir
 
 #: No SQL text tells the rows of ``run``: rules are learned and ids come from a tokenizer. Tests compare with brute force.
@@ -21,26 +21,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs, rules, verdict).filter(F.col(f"`{verdict}`.kept")).drop(verdict)
 
 
-def keep_rows(docs: DataFrame, row: DataFrame) -> DataFrame:
-    """The rows of ``docs``, a stored table, whose place is in ``row`` (one column, row)."""
-    name = quality.fresh(docs, "row_place")
-    placed = docs.withColumn(name, F.monotonically_increasing_id())
-    return placed.join(row.select(F.col("row").alias(name)), name, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+def keep_rows(docs: DataFrame, row: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs``, without ``key``, whose key of that name is in ``row`` (one column, row)."""
+    kept = docs.join(row.select(F.col("row").alias(key)), key, "left_semi")
+    return kept.select(*[f"`{c}`" for c in docs.columns if c != key])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
-    docs = stored(docs)
-    return keep_rows(docs, exact_dedup.dedup_exact(docs).filter("kept").select("row"))
+    key = quality.fresh(docs, "row_key")
+    docs = keyed(docs, key)
+    return keep_rows(docs, exact_dedup.dedup_exact(docs, row_col=key).filter("kept").select("row"), key)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 5-word shingles at 0.8 or more stays: the one of smallest id, then place."""
-    docs = stored(docs)
-    linked = ngram_join.link_documents(docs)
+    key = quality.fresh(docs, "row_key")
+    docs = keyed(docs, key)
+    linked = ngram_join.link_documents(docs, row_col=key)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     grouped = linked.filter("n_shingles > 0").groupBy("group").agg(F.min(order).alias("first"))
-    return keep_rows(docs, grouped.select("first.row").union(linked.filter("n_shingles = 0").select("row")))
+    return keep_rows(docs, grouped.select("first.row").union(linked.filter("n_shingles = 0").select("row")), key)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowsentry.llm.common import stored, texts
+from flowsentry.llm.common import keyed_texts
 from flowsentry.plans.storage import materialize
 
 
@@ -122,10 +122,10 @@ def dedup_substrings(docs: DataFrame, how: Chunking = Chunking(), id_col: str =
     same runs without chunks that the row owns. The owner of a chunk is its first place in the document of
     smallest id; a null id comes last; rows that repeat an id count as one document, each keeping its first copy.
     Runs shorter than ``least_span`` bytes are left alone. Null and empty texts have none; spans are byte offsets in
-    UTF-8; an empty table gives an empty result. ``row`` is the place in ``stored(docs)``.
+    UTF-8; an empty table gives an empty result. ``row`` is a key of the row, in input order.
     """
-    rows = texts(stored(docs.select(id_col, text_col)), id_col, text_col, binary=True).select(
-        F.monotonically_increasing_id().alias("row"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text", "doc_id"
+    rows = keyed_texts(docs, id_col, text_col, binary=True).select(
+        "row", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text", "doc_id"
     )
     chunks = chunk_rows(rows.select("row", "id", "text"), how)
     common = materialize(

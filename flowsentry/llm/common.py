@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowsentry.plans.storage import materialize
 
@@ -15,21 +16,36 @@ from flowsentry.plans.storage import materialize
 OUT_ROWS, OUT_BYTES = 4096, 8 << 20
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", binary: bool = False) -> DataFrame:
-    """Only the two columns an operator reads, under fixed names; a null text is an empty one."""
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", binary: bool = False, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Only the two columns an operator reads, under fixed names, and ``more``; a null text is an empty one."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (text.cast("binary") if binary else text).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (text.cast("binary") if binary else text).alias("text"), *more)
 
 
-def stored(docs: DataFrame) -> DataFrame:
-    """``docs`` if it only chooses rows and columns of stored files, else a stored copy of it.
+def keyed(docs: DataFrame, name: str = "row") -> DataFrame:
+    """``docs`` with a column ``name`` more, a long that tells the rows apart and is the same in every job.
 
-    Rows without a key of their own are told apart by their place (``monotonically_increasing_id``), in several jobs; places
-    hold only where every job reads the same files in the same way.
+    A row's place among the partitions is not: Spark cuts files by the cores registered at that moment. Rows of Parquet
+    files have the number of their file, by path, and their index in it. What is more than a choice of such rows and columns
+    is stored once, with a number as a column.
     """
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    nodes = re.findall(r"^[\s:+-]*(\w+)", plan, re.MULTILINE)
-    return docs if nodes and set(nodes) <= {"Project", "Filter", "Relation"} else materialize(docs)
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    nodes = re.findall(r"^[\s:+-]*(\w+)(?:.*(parquet)$)?", plan.toString(), re.MULTILINE)
+    if not plan.deterministic() or ("Relation", "parquet") not in nodes or not {n for n, _ in nodes} <= {"Project", "Filter", "Relation"} or "_metadata" in docs.columns:
+        return materialize(docs.withColumn(name, F.monotonically_increasing_id()))
+    file, at, number = (f"{c}_{uuid.uuid4().hex}" for c in ("file", "at", "number"))
+    paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), f"{file} string, {number} long")
+    placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    key = F.shiftleft(number, 40).bitwiseOR(F.col(at)).alias(name)
+    return placed.join(F.broadcast(numbers), file).select(*[f"`{c}`" for c in docs.columns], key)
+
+
+def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, binary: bool = False) -> DataFrame:
+    """doc_id, text and row: the key in ``row_col`` (see ``keyed``), or without one a key made here."""
+    if row_col is None:
+        docs, id_col, text_col, row_col = keyed(texts(docs, id_col, text_col)), "doc_id", "text", "row"
+    return texts(docs, id_col, text_col, binary, (F.col(row_col).alias("row"),))
 
 
 def resolve(name: str) -> str:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowsentry.llm.common import batches, stored, texts
+from flowsentry.llm.common import batches, keyed_texts
 
 #: Characters that do not count, and the bytes of texts a task holds before it spills a subtree.
 BLANK, MEMORY = b" \t\n\x0b\x0c\r", 128 << 20
@@ -138,17 +138,16 @@ def owner_row(owner: tuple, size: int) -> tuple:
     return size, digest, -points, None if empty else doc_id, row, rows
 
 
-def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
+def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY, row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, row, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are the same after blanks ([\\x20\\x09-\\x0D]) are deleted; a null text is an empty one, and
     all empty ones are equal. Of equal texts the row with the most code points stays, then the smallest id; a null
-    id comes last; of rows that repeat an id the first stays. ``row`` is the place in ``stored(docs)``, which tells such
-    rows apart. An empty table gives an empty result. Other columns are not read.
+    id comes last; of rows that repeat an id the first stays. ``row`` tells such rows apart: the key in
+    ``row_col`` (see ``common.keyed``), else one made here. An empty table gives an empty result. Other columns are not read.
     """
-    rows = texts(stored(docs.select(id_col, text_col)), id_col, text_col).select(
-        "doc_id", F.length("text").cast("long").alias("points"), F.monotonically_increasing_id().alias("row"),
-        F.col("text").cast("binary").alias("text"),
+    rows = keyed_texts(docs, id_col, text_col, row_col).select(
+        "doc_id", F.length("text").cast("long").alias("points"), "row", F.col("text").cast("binary").alias("text")
     )
     local = pa.schema([*OWNER_FIELDS, ("text", pa.binary())])
     own = pa.schema(OWNER_FIELDS)

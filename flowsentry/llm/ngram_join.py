@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowsentry.llm.common import Memo, batches, reduce_vectors, stored, texts
+from flowsentry.llm.common import Memo, batches, keyed_texts, reduce_vectors, texts  # noqa: F401
 from flowsentry.llm.components import components
 from flowsentry.llm.rows import among, mix, wanted_rows
 from flowsentry.plans.storage import materialize
@@ -94,20 +94,22 @@ def frequencies(rows: DataFrame, how: Similarity) -> np.ndarray:
     return np.frombuffer(data, "u2")
 
 
-def link_documents(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per input row: row, doc_id, n_shingles, group (a row of the component, the same for all in it), component_id.
 
     A null or empty text, or one of blanks only, has an empty set, is linked with nothing and is its own component; with
     fewer words than an n-gram has, the whole sequence is the only member. component_id is the smallest id that can be
     reached over links (null ids do not count; a component of null ids has null). Rows that repeat an id are documents of
-    their own. An empty table gives an empty result. ``row`` is the place in ``stored(docs)``.
+    their own. An empty table gives an empty result. ``row`` is the key in ``row_col`` (see
+    ``common.keyed``), else one made here.
     """
-    rows = texts(stored(docs.select(id_col, text_col)), id_col, text_col, binary=True).select("text", "doc_id", F.monotonically_increasing_id().alias("row"))
+    rows = keyed_texts(docs, id_col, text_col, row_col, binary=True).select("text", "doc_id", "row")
     sc = docs.sparkSession.sparkContext
     order = sc.broadcast(frequencies(rows, how))
     signed = materialize(signatures(rows, how, order))
+    headed = F.when(F.col("grams").isNotNull(), F.col("row"))  # keys need not rise within a task, so the least may lack its prefix
     classes = materialize(
-        signed.filter("n > 0").groupBy("a", "b").agg(F.min("row").alias("class"), F.min("doc_id").alias("first_id"))
+        signed.filter("n > 0").groupBy("a", "b").agg(F.min(headed).alias("class"), F.min("doc_id").alias("first_id"))
     )
     heads = signed.filter("grams is not null").join(classes.select(F.col("class").alias("row")), "row", "left_semi")
     entries = heads.select(F.posexplode("grams").alias("at", "gram"), F.col("row").alias("class"), "n")

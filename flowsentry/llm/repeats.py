@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowsentry.llm.common import batches, stored, texts
+from flowsentry.llm.common import batches, keyed_texts
 from flowsentry.llm.rows import among, mix, wanted_rows
 from flowsentry.llm.suffix_groups import suffix_array
 from flowsentry.plans.storage import materialize
@@ -355,7 +355,7 @@ def remove_repeats(docs: DataFrame, how: Repeat = Repeat(), id_col: str = "doc_i
     the input. Null and short texts lose nothing; rows that repeat an id or a text are places of their own; spans are
     byte offsets in UTF-8, and what is left may break a character; an empty table gives an empty result.
     """
-    rows = texts(stored(docs.select(id_col, text_col)), id_col, text_col, binary=True).select("text", F.monotonically_increasing_id().alias("row"), "doc_id")
+    rows = keyed_texts(docs, id_col, text_col, binary=True).select("text", "row", "doc_id")
     plain = rows.select("text", "row")
     spans = find_repeats(plain, how).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
