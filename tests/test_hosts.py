@@ -285,3 +285,39 @@ def test_log_stream_reaches_the_parser(spark, tmp_path):
     found = run_to_table(stream_brute_force(events)).orderBy("ts").collect()
     assert [r.event_type for r in found] == ["AUTH_FAIL"] * 4 + ["BRUTE_FORCE"] * 3
     assert len({r.line_no for r in found}) == 7
+
+
+def test_log_stream_reads_a_file_in_ranges(spark, tmp_path, monkeypatch):
+    """No row holds a file: lines are keyed by their byte offset, whatever the ranges and where they cut."""
+    from flowsentry.sources import logs
+
+    data = b"".join(b"%d %s\n" % (i, b"x" * (i * 7 % 50)) for i in range(300)) + b"\n\n  spaced \r\nlast \xff without feed"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "auth log.1").write_bytes(data)
+    want, at = [], 0
+    for line in data.split(b"\n"):
+        if line.strip(b" "):
+            want.append((at, line.decode("utf-8", "replace").strip(" ")))
+        at += len(line) + 1
+    for size in (7, 64, 1 << 20):
+        monkeypatch.setattr(logs, "RANGE", size)
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", size)  # a larger value would fail
+        found = run_to_table(logs.stream_auth_log(spark, str(tmp_path / "in"))).collect()
+        assert sorted((r.line_no & ((1 << 40) - 1), r.line) for r in found) == want
+        assert all(r.line_no < 1 << 53 for r in found)
+    spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+@pytest.mark.parametrize("read", [1, 3, 1 << 20])
+def test_ranges_share_out_all_lines(monkeypatch, read):
+    import io
+
+    from flowsentry.sources import logs
+
+    monkeypatch.setattr(logs, "READ", read)
+    for data in (b"", b"\n", b"\n\n\n", b"a\nbc\n\ndef", b"abcdefgh", b"abcdefgh\n", b"ab\ncd\n"):
+        want = [i for i in range(len(data)) if i == 0 or data[i - 1 : i] == b"\n"]
+        for size in range(1, 6):
+            got = [x for s in range(0, len(data), size) for x in logs.lines_from(io.BytesIO(data), s, min(s + size, len(data)))]
+            assert [a for a, _ in got] == want
+            assert all(data[a : a + len(t) + 1].rstrip(b"\n") == t for a, t in got)
