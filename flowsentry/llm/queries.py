@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowsentry.llm import bpe, chunk_dedup, exact_dedup, ngram_join, packing, quality, repeats, secrets, toxicity, unigram
+from flowsentry.llm import bpe, chunk_dedup, exact_dedup, merkle, ngram_join, packing, quality, repeats, secrets, toxicity, unigram
 
 QUERIES, ORACLES = {}, {}
 
@@ -160,3 +160,72 @@ def op10_packing(spark, sf):
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"),
         "doc_tokens", "sequence_id", "offset",
     )
+
+
+@query
+def op13_merkle_manifest(spark, sf):
+    """Every row against a copy in which n_chars of each row that 7 divides the checksum of is one more."""
+    n = F.col("n_chars").cast("decimal(38,0)")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, n + 1).otherwise(n)
+    rows = merkle.manifest(documents(spark, sf), found={"n_chars": tampered})
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+# CRC-32 of a text as a reduction over its bytes: cells of the byte table by rule, text bytes from hex digits.
+CRC = """
+crc_cells as (select list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) cells)
+"""
+
+
+def crc_of(text: str) -> str:
+    """SQL of the checksum of ``text``, where crc_cells is at hand as c."""
+    byte = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295, {byte}), lambda a, b: xor(a >> 8, c.cells[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+def tree_of(name: str, leaves: str) -> str:
+    """Recursive CTE of all nodes (branch, level, pos, digest, n) over a CTE of (branch, pos, digest, n)."""
+    return f"""{name} as (
+  select branch, 0 level, pos, digest, n from {leaves}
+  union all
+  select branch, level + 1, pos // 2, sha256(string_agg(digest, '' order by pos)), any_value((n + 1) // 2)
+  from {name} where n > 1 group by branch, level, pos // 2)"""
+
+
+ORACLES["op13_merkle_manifest"] = rf"""
+with recursive {CRC.strip()},
+t as (
+  select doc_id, lang, n_chars, {crc_of('doc_id::varchar')} % 7 = 0 hit,
+    coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') head,
+    coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') mid, coalesce(strlen((n_chars::hugeint + 1)::varchar) || ':' || (n_chars::hugeint + 1), '-') mid_more,
+    coalesce(strlen(text) || ':' || text, '-') tail
+  from documents, crc_cells c),
+l as (
+  select doc_id, coalesce('1' || lang, '0') branch, sha256(head || mid || tail) leaf, sha256(head || case when hit then mid_more else mid end || tail) found from t),
+leaves as (
+  select doc_id, branch, leaf, found, leaf digest, row_number() over (partition by branch order by doc_id nulls first, leaf) - 1 pos, count(*) over (partition by branch) n from l),
+{tree_of('low', 'leaves')},
+subroots as (
+  select '' branch, branch id, digest, row_number() over (order by encode(branch)) - 1 pos, count(*) over () n from low where n = 1),
+{tree_of('high', 'subroots')},
+fold as (
+  select doc_id, branch, leaf, pos start, 0 level, pos, found digest, '' proof from leaves
+  union all
+  select f.doc_id, f.branch, f.leaf, f.start, f.level + 1, f.pos // 2,
+    sha256(case when s.digest is null then f.digest when f.pos % 2 = 0 then f.digest || s.digest else s.digest || f.digest end),
+    f.proof || coalesce(s.digest, '')
+  from fold f join low me on me.branch = f.branch and me.level = f.level and me.pos = f.pos and me.n > 1
+  left join low s on s.branch = f.branch and s.level = f.level and s.pos = xor(f.pos, 1)),
+low_end as (select f.* from fold f join low me on me.branch = f.branch and me.level = f.level and me.pos = f.pos where me.n = 1),
+fold_on as (
+  select e.doc_id, e.branch, e.leaf, e.start, s.digest subroot, 0 level, s.pos pos, e.digest, e.proof from low_end e join subroots s on s.id = e.branch
+  union all
+  select f.doc_id, f.branch, f.leaf, f.start, f.subroot, f.level + 1, f.pos // 2,
+    sha256(case when s.digest is null then f.digest when f.pos % 2 = 0 then f.digest || s.digest else s.digest || f.digest end),
+    f.proof || coalesce(s.digest, '')
+  from fold_on f join high me on me.level = f.level and me.pos = f.pos and me.n > 1
+  left join high s on s.level = f.level and s.pos = xor(f.pos, 1))
+select f.doc_id, f.leaf, f.subroot, r.digest root, sha256(f.proof) proof_sha256, f.digest folded_root, f.digest = r.digest verified
+from fold_on f join high r on r.n = 1 and r.level = f.level
+"""
