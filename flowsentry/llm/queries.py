@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowsentry.llm import bpe, chunk_dedup, exact_dedup, merkle, ngram_join, packing, quality, repeats, secrets, toxicity, unigram
+from flowsentry.llm import bpe, chunk_dedup, exact_dedup, merkle, ngram_join, packing, quality, repeats, secrets, simhash, toxicity, unigram
 
 QUERIES, ORACLES = {}, {}
 
@@ -162,6 +162,11 @@ def op10_packing(spark, sf):
     )
 
 
+@query
+def op12_simhash_near_dedup(spark, sf):
+    return simhash.near_copies(documents(spark, sf)).drop("bits")
+
+
 @query
 def op13_merkle_manifest(spark, sf):
     """Every row against a copy in which n_chars of each row that 7 divides the checksum of is one more."""
