@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowsentry.llm import bpe, chunk_dedup, exact_dedup, merkle, ngram_join, packing, quality, repeats, secrets, simhash, toxicity, unigram
+from flowsentry.llm import bpe, chunk_dedup, exact_dedup, merkle, ngram_join, packing, quality, repeats, secrets, simhash, spelling, toxicity, unigram
 
 QUERIES, ORACLES = {}, {}
 
@@ -163,17 +163,8 @@ def op10_packing(spark, sf):
 
 
 @query
-def op12_simhash_near_dedup(spark, sf):
-    return simhash.near_copies(documents(spark, sf)).drop("bits")
-
-
-@query
-def op13_merkle_manifest(spark, sf):
-    """Every row against a copy in which n_chars of each row that 7 divides the checksum of is one more."""
-    n = F.col("n_chars").cast("decimal(38,0)")
-    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, n + 1).otherwise(n)
-    rows = merkle.manifest(documents(spark, sf), found={"n_chars": tampered})
-    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+def op11_spelling_variants(spark, sf):
+    return spelling.variants(documents(spark, sf), spelling.Words(spoil=31))
 
 
 # CRC-32 of a text as a reduction over its bytes: cells of the byte table by rule, text bytes from hex digits.
@@ -189,6 +180,48 @@ def crc_of(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, {byte}), lambda a, b: xor(a >> 8, c.cells[(xor(a, b) & 255) + 1])), 4294967295)"
 
 
+# Near words are one the other without a code point, or agree without the one at the same place.
+ORACLES["op11_spelling_variants"] = rf"""
+with recursive {CRC.strip()},
+runs as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) run from documents),
+per as (
+  select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') run, count(*) n from runs where length(run) >= 7 group by all),
+marked as (select run, n, doc_id || ':' || run mark from per),
+hashed as (select run, n, {crc_of('mark')} h from marked, crc_cells c),
+made as (select case when h % 31 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end word, n from hashed),
+words as (select word, sum(n)::bigint n from made where length(word) >= 7 group by word having sum(n) >= 2),
+cut as (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) v from (select word, unnest(range(1, length(word) + 1)) i from words)),
+pairs as (
+  select a.word x, b.word y from cut a join cut b on a.v = b.v and a.i = b.i and length(a.word) = length(b.word) and a.word <> b.word
+  union select c.word, w.word from cut c join words w on w.word = c.v
+  union select w.word, c.word from cut c join words w on w.word = c.v),
+near as (
+  select x word, count(*) n_near, first(y order by n desc, encode(y)) top, max(n) top_n from pairs join words on words.word = y group by x),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0) n_near, case when top_n >= 10 * w.n then top end form, case when top_n >= 10 * w.n then top_n end form_n
+  from words w left join near using (word)),
+chain as (
+  select word, word here, 0 step from forms
+  union all select c.word, f.form, step + 1 from chain c join forms f on f.word = c.here where f.form is not null),
+roots as (select word, arg_max(here, step) root from chain group by word)
+select f.word, form, root, n, n_near, form_n from forms f join roots using (word)
+"""
+
+
+@query
+def op12_simhash_near_dedup(spark, sf):
+    return simhash.near_copies(documents(spark, sf)).drop("bits")
+
+
+@query
+def op13_merkle_manifest(spark, sf):
+    """Every row against a copy in which n_chars of each row that 7 divides the checksum of is one more."""
+    n = F.col("n_chars").cast("decimal(38,0)")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, n + 1).otherwise(n)
+    rows = merkle.manifest(documents(spark, sf), found={"n_chars": tampered})
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def tree_of(name: str, leaves: str) -> str:
     """Recursive CTE of all nodes (branch, level, pos, digest, n) over a CTE of (branch, pos, digest, n)."""
     return f"""{name} as (
