@@ -25,7 +25,7 @@ from flowsentry.llm.suffix_groups import suffix_array
 from flowsentry.plans.storage import materialize
 
 #: Windows hashed at once, bytes of blocks that are sorted at once, and different blocks of one anchor that one task takes.
-SEGMENT, TASK, CROWD = 1 << 20, 1 << 20, 2000
+SEGMENT, TASK, CROWD = 1 << 20, 1 << 18, 2000
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
 
@@ -219,14 +219,23 @@ def covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, gap + 1)].tolist(), (starts[np.append(gap, len(starts) - 1)] + length).tolist()))
 
 
+def unions(counts: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unions of lists of [start, end), of which list i has ``counts[i]``: how many each list has left, and all of those in order."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((start, owner))
+    start, reach = start[order].astype("i8"), owner * (1 << 32) + end[order]  # owners ascend, so their ends do not mix
+    reach = np.maximum.accumulate(reach) if len(reach) else reach
+    new = np.ones(len(start), bool)
+    new[1:] = owner[1:] * (1 << 32) + start[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(start)) - 1 if len(at) else at
+    return np.bincount(owner[at], minlength=len(counts)), start[at], (reach[last] - owner[at] * (1 << 32))
+
+
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+    """The union of one list."""
+    start, end = (np.array([s[k] for s in spans], "i8") for k in (0, 1))
+    return list(zip(*(x.tolist() for x in unions(np.array([len(spans)]), start, end)[1:])))
 
 
 def blocks_of(rows: DataFrame, how: Repeat) -> DataFrame:
@@ -334,7 +343,7 @@ def sorted_blocks(blocks: DataFrame, distinct: DataFrame, how: Repeat) -> DataFr
         if got:
             yield from batches(judged(got), schema)
 
-    parts = max(1, -(-total // (4 * TASK)))
+    parts = max(1, -(-total // (16 * TASK)))
     return blocks.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sort, "id long, spans array<struct<start:int,end:int>>")
 
 
@@ -363,8 +372,12 @@ def remove_repeats(docs: DataFrame, how: Repeat = Repeat(), id_col: str = "doc_i
 
     def merge(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            merged = [[{"start": s, "end": e} for s, e in union([(x["start"], x["end"]) for x in c])] for c in frame.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(merged, span)], names=["row", "spans"])
+            found = frame.column(1)
+            counts = np.diff(found.offsets.to_numpy())
+            start, end = (c.to_numpy() for c in found.flatten().flatten())
+            number, start, end = unions(counts, start, end)
+            whole = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], fields=list(span.value_type))
+            yield pa.RecordBatch.from_arrays([frame.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(number)), pa.int32()), whole)], names=["row", "spans"])
 
     spans = materialize(spans.mapInArrow(merge, "row long, spans array<struct<start:int,end:int>>"))
     held = docs.sparkSession.sparkContext.broadcast(wanted_rows(spans.select("row")))
