@@ -19,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: The bit blocks that distances are taken over.
-BLOCKS = [np.uint64(0xFF << s) for s in range(0, 64, 8)]
-#: Cells of one table of distances; fingerprints whose shard is searched at once.
-TABLE, VISITORS = 1 << 20, 1 << 16
+#: The bit blocks that distances are taken over: halves rule out most, where a tree is some five to ten levels deep.
+WIDTH = 32
+BLOCKS = [np.uint64(((1 << WIDTH) - 1) << s) for s in range(0, 64, WIDTH)]
+#: Cells of one table of distances; visitors that one search takes; fingerprints that a task sends at once.
+TABLE, VISITORS, SENT = 1 << 20, 1 << 16, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,7 @@ class Search:
 
     radius: int = 4
     sample: int = 1 << 16
-    shard: int = 1 << 14
+    shard: int = 1 << 15
     leaf: int = 128
 
 
@@ -82,20 +83,20 @@ def distance(points: np.ndarray, vantage: np.uint64, block: int) -> np.ndarray:
 def best_cut(points: np.ndarray, vantage: np.uint64) -> tuple[int, int] | None:
     """Block and distance whose two sides the fewest comparisons are expected from; None if no block tells the points apart.
 
-    A point that lies ``gap`` beyond the cut is taken to visit the other side with a chance that falls with the gap.
+    A point that lies up to four beyond the cut is taken to visit the other side with a chance that falls with that gap.
     """
     best = None
+    chance = np.append(0, 0.8 ** np.arange(1, 5))
     for block in range(len(BLOCKS)):
-        count = np.bincount(distance(points, vantage, block), minlength=9) / len(points)
-        for limit in range(1, 9):
-            near, far = count[:limit].sum(), count[limit:].sum()
-            if not near or not far:
-                continue
-            to_far = (count[:limit] * 0.6 ** np.arange(limit, 0, -1)).sum()
-            to_near = (count[limit:] * 0.6 ** np.arange(1, 10 - limit)).sum()
-            cost = near * (near + to_near) + far * (far + to_far)
-            if best is None or cost < best[0]:
-                best = cost, block, limit
+        count = np.bincount(distance(points, vantage, block), minlength=WIDTH + 1) / len(points)
+        near = np.cumsum(count)[:-1]  # the cut lies above distance 0, 1, ...
+        far = 1 - near
+        to_far = np.convolve(count, chance)[1 : WIDTH + 1]
+        to_near = np.convolve(count[::-1], chance)[1 : WIDTH + 1][::-1]
+        cost = np.where((near > 0) & (count[::-1].cumsum()[::-1][1:] > 0), near * (near + to_near) + far * (far + to_far), np.inf)
+        limit = int(np.argmin(cost))
+        if cost[limit] < (best[0] if best else np.inf):
+            best = cost[limit], block, limit + 1
     return best and best[1:]
 
 
@@ -191,20 +192,33 @@ def near_links(points: DataFrame, how: Search = Search()) -> DataFrame:
     sample.sort()
     tree = Tree(np.random.default_rng(0).permutation(sample), max(how.shard * len(sample) / max(1, total), 16 * (share < 1)))
     held = points.sparkSession.sparkContext.broadcast(tree)
-    placed = pa.schema([("shard", pa.int32()), ("visits", pa.bool_()), ("point", pa.int64())])
+    placed = pa.schema([("shard", pa.int32()), ("visits", pa.bool_()), ("block", pa.binary())])
     linked = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def route(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[int, bool], list[np.ndarray]] = {}
+        count = 0
+
+        def sent() -> pa.RecordBatch:
+            shard, visits = zip(*kept)
+            blocks = [np.concatenate(b).tobytes() for b in kept.values()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((shard, visits, blocks), placed.types)], schema=placed)
+
         for frame in frames:
-            p = frame.column(0).to_numpy()
+            p = frame.column(0).to_numpy().view("u8")
             home = np.full(len(p), np.iinfo("i8").max)
-            for leaf, who, bound in held.value.visits(p.view("u8"), how.radius):
+            for leaf, who, bound in held.value.visits(p, how.radius):
                 own = bound == 0
                 home[who[own]] = leaf
-                come = own | (home[who] < leaf)
-                who, own = who[come], own[come]
-                if len(who):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), leaf, "i4")), pa.array(~own), pa.array(p[who])], schema=placed)
+                for visits, come in ((False, who[own]), (True, who[home[who] < leaf])):
+                    if len(come):
+                        kept.setdefault((leaf, visits), []).append(p[come])
+                        count += len(come)
+            if count > SENT:
+                yield sent()
+                kept, count = {}, 0
+        if kept:
+            yield sent()
 
     def search(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -216,7 +230,7 @@ def near_links(points: DataFrame, how: Search = Search()) -> DataFrame:
             for v in visitors:
                 yield links(*here.links_of(v))
 
-    rows = points.mapInArrow(route, "shard int, visits boolean, point long")
+    rows = points.mapInArrow(route, "shard int, visits boolean, block binary")
     parts = min(4 * len(tree.members), 10_000)
     return rows.repartition(parts, "shard").sortWithinPartitions("shard", "visits").mapInArrow(search, "a long, b long")
 
@@ -252,13 +266,7 @@ def shards_of(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarra
 
 
 def runs(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, np.ndarray]]:
-    """Stretches of one shard and kind."""
+    """Blocks of one shard and kind."""
     for frame in frames:
-        if not frame.num_rows:
-            continue
-        shard = frame.column(0).to_numpy()
-        visits = frame.column(1).to_numpy(zero_copy_only=False)
-        point = frame.column(2).to_numpy().view("u8")
-        edge = np.flatnonzero((shard[1:] != shard[:-1]) | (visits[1:] != visits[:-1])) + 1
-        for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(shard)]):
-            yield int(shard[i]), bool(visits[i]), point[i:j]
+        for shard, visits, block in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), frame.column(2)):
+            yield shard, visits, np.frombuffer(block.as_py(), "u8")
