@@ -105,6 +105,17 @@ VIEWS = {
          '0a0b0c0d0e'||lpad(hex(user_id % 40), 2, '0') mac, 'PC-'||cast(user_id % 40 as string)||case event_type when 'view' then 'b' else '' end hostname from events
         """,
     ),
+    # B10
+    "fx_names": (
+        "events",
+        """
+        select event_id seq, user_id % 40 u, event_type et, '10.3.0.'||cast(user_id % 40 as string) host,
+         'PC-'||cast(user_id % 40 as string)||case when event_id % 3 = 0 then 'X' else '' end pc,
+         case when event_id % 5 = 0 then 'krbtgt' else 'u'||cast(event_id % 9 as string)||'.k'||cast(user_id % 40 as string) end account,
+         'n'||cast(user_id % 40 as string) login, case event_id % 4 when 0 then 'Jane Doe' when 1 then 'R2D2' else 'Zoë '||substr('Miller', 1, cast(3 + event_id % 3 as int)) end full_name,
+         event_id % 2 = 0 long_form from events
+        """,
+    ),
     # B8
     "fx_labelled": (
         "lineitem",

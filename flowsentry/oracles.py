@@ -430,6 +430,31 @@ select host_ip, any_value(case when yiaddr <> '00000000' then '10.2.0.' || (10 +
 from placed group by host_ip
 """
 
+# What each message says, told from the view; nothing is decoded here.
+ORACLES["binary_identity"] = f"""
+with {with_views("fx_names")},
+said as (
+  select host, seq, 'hostname' field, pc v, 'Hostname from NetBIOS NS query' method from fx_names where et = 'click'
+  union all select host, seq, 'ip', host, 'Hostname from NetBIOS NS query' from fx_names where et = 'click'
+  union all select host, seq, 'mac', '0A:00:00:00:00:01', 'Hostname from NetBIOS NS query' from fx_names where et = 'click'
+  union all select host, seq, 'username', account, 'Username from Kerberos AS-REQ cname' from fx_names where et = 'view' and account <> 'krbtgt'
+  union all select host, seq, 'username', login, 'Username from NTLM AUTHENTICATE msg' from fx_names where et = 'purchase'
+  union all select host, seq, 'hostname', case when long_form then pc else 'CORP' end,
+    case when long_form then 'Hostname (workstation) from NTLM AUTHENTICATE' else 'Domain from NTLM AUTHENTICATE' end from fx_names where et = 'purchase'
+  union all select host, seq, 'username', 'acct', 'Username from LDAP sAMAccountName' from fx_names where et in ('signup', 'error')
+  union all select host, seq, 'fullname', case when full_name = 'R2D2' then 'Common Name' else full_name end,
+    case when full_name = 'R2D2' then 'Full name from LDAP cn' else 'Full name from LDAP displayName' end from fx_names where et in ('signup', 'error')),
+firsts as (select host, field, arg_min(v, seq) v, arg_min(method, seq) method, min(seq) seq from said group by host, field),
+wide as (
+  select host host_ip, any_value(v) filter (field = 'hostname') hostname, any_value(v) filter (field = 'username') username,
+    any_value(v) filter (field = 'fullname') fullname, string_agg(method, '; ' order by seq, method) sources
+  from firsts group by host)
+select host_ip, hostname, username, coalesce(fullname, guess) fullname,
+  sources || case when fullname is null and guess is not null then '; Full name inferred from username dot-notation pattern' else '' end sources
+from (select *, case when regexp_full_match(username, '[A-Za-z]+[.][A-Za-z]+') then
+  upper(username[1]) || lower(split_part(username, '.', 1)[2:]) || ' ' || upper(split_part(username, '.', 2)[1]) || lower(split_part(username, '.', 2)[2:]) || ' (inferred from account name)' end guess from wide)
+"""
+
 # ---- alerts ----------------------------------------------------------------------------------------
 _TACTIC, _TECHNIQUE = case("event_type", dims.HOST_TACTICS, "'Unknown'"), case("event_type", dims.HOST_TECHNIQUES, "'Unknown'")
 ALERTS = f"""{with_views("fx_alerts")},

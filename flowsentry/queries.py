@@ -546,6 +546,62 @@ def dhcp_identity(spark, sf):
     return hosts.select("host_ip", "ip", "mac", "hostname")
 
 
+def tlv(tag: str, content: Column) -> Column:
+    """A tag-length-value element in hex digits; the length takes as many octets as it needs."""
+
+    def whole(c: Column) -> Column:
+        n = F.length(c) / 2
+        octets = lambda k: F.lpad(F.hex(n.cast("bigint")), 2 * k, "0")
+        size = F.when(n < 128, octets(1)).when(n < 256, F.concat(F.lit("81"), octets(1))).otherwise(F.concat(F.lit("82"), octets(2)))
+        return F.concat(F.lit(tag), size, c)
+
+    return F.transform(F.array(content), whole)[0]  # the content is named once, however deep elements nest
+
+
+def name_frames(e: DataFrame) -> DataFrame:
+    """One frame a row: a NetBIOS question, a Kerberos request, an NTLM message or an LDAP entry, some with long elements."""
+    et = F.col("et")
+    filler = F.when(F.col("long_form"), F.repeat(F.lit("ab"), F.lit(300))).otherwise(F.lit("ab"))
+    letters = F.translate(F.hex(F.rpad("pc", 16, " ")), "0123456789ABCDEF", "ABCDEFGHIJKLMNOP")
+    netbios = F.concat(F.repeat(F.lit("00"), F.lit(12)), F.lit("20"), F.hex(letters), F.repeat(F.lit("00"), F.lit(10)))
+    # RFC 4120: request, body, client name; padata of any length goes before the body
+    text = lambda c: tlv("1b", F.hex(c))
+    person = tlv("a1", tlv("30", F.concat(tlv("a0", tlv("02", F.lit("01"))), tlv("a1", tlv("30", text(F.col("account")))))))
+    service = tlv("a3", tlv("30", F.concat(tlv("a0", tlv("02", F.lit("02"))), tlv("a1", tlv("30", F.concat(text(F.lit("ldap")), text(F.lit("dc1"))))))))
+    body = F.concat(tlv("a0", tlv("03", F.lit("0040810010"))), person, tlv("a2", text(F.lit("REALM"))), service)
+    padata = tlv("a3", tlv("30", tlv("30", tlv("a2", tlv("04", filler)))))
+    request = tlv("6a", tlv("30", F.concat(tlv("a1", tlv("02", F.lit("05"))), tlv("a2", tlv("02", F.lit("0a"))), padata, tlv("a4", tlv("30", body)))))
+    # RFC 4511: message number, entry, attributes with sets of values
+    attribute = lambda name, *values: tlv("30", F.concat(tlv("04", F.hex(F.lit(name))), tlv("31", F.concat(*[tlv("04", v) for v in values]))))
+    attributes = F.concat(attribute("objectClass", F.hex(F.lit("top")), filler), attribute("cn", F.hex(F.lit("Common Name"))),
+                          attribute("sAMAccountName", F.hex(F.lit("acct"))), attribute("displayName", F.hex("full_name")))
+    entry = tlv("30", F.concat(tlv("02", F.lit("07")), tlv("64", F.concat(tlv("04", F.hex(F.lit("cn=Common Name,dc=x"))), tlv("30", attributes)))))
+    # NTLM message 3: lengths and places of domain, user and workstation, then UTF-16 text
+    wide = lambda c: F.hex(F.encode(c, "UTF-16LE"))
+    le = lambda n, k: F.concat(*[F.lpad(F.hex(F.pmod(F.floor(n / 256**i), F.lit(256)).cast("bigint")), 2, "0") for i in range(k)])
+    domain, login, pc = F.lit("43004F0052005000"), wide(F.col("login")), wide(F.when(F.col("long_form"), F.col("pc")).otherwise(F.lit("")))
+    place, fields = F.lit(64), []
+    for part in (domain, login, pc):
+        size = F.length(part) / 2
+        fields += [le(size, 2), le(size, 2), le(place, 4)]
+        place = place + size
+    ntlm = F.concat(F.hex(F.lit("NTLMSSP")), F.lit("00" "03000000" + "00" * 16), *fields, F.repeat(F.lit("00"), F.lit(12)), domain, login, pc)
+    data = F.when(et == "click", netbios).when(et == "view", F.concat(F.when(F.col("long_form"), F.lit("00000100")).otherwise(F.lit("")), request)).when(et == "purchase", ntlm).otherwise(entry)
+    port = F.when(et == "click", 137).when(et == "view", 88).when(et == "purchase", 445).otherwise(389)
+    return e.select(
+        F.lit("c0").alias("capture"), "seq", F.col("host").alias("src_ip"), F.lit("0a:00:00:00:00:01").alias("src_mac"),
+        F.when(et == "click", 17).otherwise(6).alias("protocol"), F.lit(4000).alias("src_port"), port.alias("dst_port"),
+        F.lit(0).alias("payload_at"), F.unhex(data).alias("frame"),
+    )
+
+
+@query
+def binary_identity(spark, sf):
+    """NetBIOS, Kerberos, NTLM and LDAP messages that carry the names of the view."""
+    hosts = idn.host_identity(idn.binary_evidence(name_frames(view(spark, sf, "fx_names"))))
+    return hosts.select("host_ip", "hostname", "username", "fullname", F.array_join("sources.text", "; ").alias("sources"))
+
+
 # ---- labelled flows --------------------------------------------------------------------------------
 
 def labelled(spark, sf):
