@@ -779,10 +779,7 @@ ORACLES["score_flows"] = f"with {flow_ctes(1000)} select flow_id, true in_range,
 ORACLES["stream_scoring"] = f"with {flow_ctes(1000)} select flow_id, true in_range, true vote_fits from fl"
 
 # ---- streams -------------------------------------------------------------------------------------------
-# A stream has seen time up to 30 s before its last packet; what is open then is not out yet.
-ORACLES["stream_flows"] = ORACLES["flows"].rstrip() + """
-where close_reason in ('fin_rst', 'cap') or end_us + 60000000 < (select max(ts_us) from fx_packets) - 30000000
-"""
+ORACLES["stream_flows"] = ORACLES["flows"]
 ORACLES["stream_signatures"] = f"with {SIGNATURE_ALERTS} select {SIG_COLUMNS} from picked"
 ORACLES["stream_brute_force"] = ORACLES["auth_brute_force"]
 ORACLES["stream_admitted_alerts"] = ORACLES["admitted_alerts"]
@@ -807,6 +804,9 @@ select 'site a' sensor, * from one union all select 'site b', * {f"replace ({lat
 
 ORACLES["sensor_flows"] = both_sites(ORACLES["flows"], "start_us", "end_us")
 ORACLES["sensor_signatures"] = both_sites(ORACLES["stream_signatures"], "start_us")
+ORACLES["stream_sensor_flows"] = ORACLES["sensor_flows"]
+ORACLES["stream_sensor_signatures"] = ORACLES["sensor_signatures"]
+ORACLES["stream_process_anomalies_gaps"] = ORACLES["process_anomalies_gaps"]
 ORACLES["sensor_hits"] = both_sites(ORACLES["all_hits"], "ts_us")
 ORACLES["sensor_profiles"] = both_sites(ORACLES["attacker_profiles"])
 ORACLES["sensor_kpis"] = both_sites(ORACLES["capture_kpis"])

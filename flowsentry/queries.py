@@ -833,10 +833,32 @@ def score_flows(spark, sf):
 
 @query
 def stream_flows(spark, sf):
-    """Flows a stream closes by itself; the watermark ends 30 s before the last packet."""
-    return rounded(
-        run_to_table(stream_flow_rows(replay(packets(spark, sf), "ts_us"))), "duration_ms", "byte_rate", "pkt_rate", digits=3
-    )
+    """All flows of a stream that ends: those it closes by itself, and those that are open at the end."""
+    closed = run_to_table(stream_flow_rows(replay(packets(spark, sf), "ts_us", end=True)))
+    return rounded(closed, "duration_ms", "byte_rate", "pkt_rate", digits=3)
+
+
+@query
+def stream_sensor_flows(spark, sf):
+    """Two sensors with equal addresses in one stream."""
+    closed = run_to_table(stream_flow_rows(replay(two_sensors(spark, sf), "ts_us", end=True)))
+    return rounded(closed, "duration_ms", "byte_rate", "pkt_rate", digits=3)
+
+
+@query
+def stream_sensor_signatures(spark, sf):
+    flows = materialize(fl.build_flows(two_sensors(spark, sf)))
+    return run_to_table(sd.stream_signatures(replay(flows, "start_us")))
+
+
+@query
+def stream_process_anomalies_gaps(spark, sf):
+    """Scan numbers with holes, scans cut over batches wherever that falls, each closed by an end row."""
+    rows = view(spark, sf, "fx_processes").withColumn("scan_no", F.expr("scan_no * 2 + scan_no div 3"))
+    ends = rows.select("scan_no", "host").distinct().select("*", F.lit(1).alias("order"))
+    rows = rows.withColumn("order", F.lit(0)).unionByName(ends, allowMissingColumns=True)
+    cut = rows.withColumn("place", F.col("scan_no") * 1000 + F.coalesce(F.col("pid") * 2, F.lit(999)))
+    return run_to_table(sh.stream_process_anomalies(replay(cut, "place", slices=7), end_rows=True))
 
 
 @query
@@ -877,7 +899,7 @@ def stream_scoring(spark, sf):
 def stream_log_brute_force(spark, sf):
     """Log files of three hosts, from text to BRUTE_FORCE rows in one stream."""
     folder = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    lines = log_lines(spark, sf).withColumn("host", F.split("line", " ")[3])
+    lines = log_lines(spark, sf).withColumn("host", F.split("line", r"\s+")[3])
     lines.repartition("host").sortWithinPartitions("host", "line_no").select("host", F.col("line").alias("value")).write.partitionBy(
         "host"
     ).text(folder)

@@ -2,43 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from flowsentry.functions.alerting import alert_fingerprint
 from flowsentry.operators.alerts import alert_defaults
 from flowsentry.sources.tables import fan_out
-from flowsentry.streaming.state import in_order
+from flowsentry.streaming.state import KeyedRows
 
-_STATE = "taken array<bigint>, prints array<string>, printed array<bigint>"
+class Admission(KeyedRows):
+    """Accepted times and fingerprints of a tenant's last window, at most ``limit`` of each."""
 
+    STATE = "taken array<bigint>, prints array<string>, printed array<bigint>"
 
-def _admit(limit: int, rate_window: int, dedup_window: int, time: str, tie: str, columns: list[str]):
-    def step(key, parts, state):
-        taken, printed = [], {}
-        if state.exists:
-            old, prints, times = state.get
-            taken, printed = list(old), dict(zip(prints, times))
-        rows, keep = in_order(parts, [time, tie]), []
-        for now, fingerprint in zip(rows[time].tolist(), rows["_print"].tolist()):
-            taken = [t for t in taken if now - t < rate_window]
-            ok = len(taken) < limit
-            if ok:
-                taken.append(now)
-                ok = fingerprint not in printed or now - printed[fingerprint] >= dedup_window
-                if ok:
-                    printed[fingerprint] = now
-            keep.append(ok)
-        now = int(rows[time].max())
-        printed = {p: t for p, t in printed.items() if now - t < dedup_window}
-        state.update(([int(t) for t in taken], list(printed), [int(t) for t in printed.values()]))
-        yield rows.loc[keep, columns]
+    def __init__(self, limit: int, rate_window: int, dedup_window: int, time: str, tie: str, columns: list[str]):
+        self.limit, self.rate_window, self.dedup_window, self.columns = limit, rate_window, dedup_window, columns
+        self.ORDER = [time, tie]
 
-    return step
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        taken, printed = deque(), {}
+        if self.kept.exists():
+            old, prints, times = self.kept.get()
+            taken, printed = deque(old), dict(zip(prints, times))
+        for frame in self.in_order(rows):
+            keep, now = [], 0
+            for now, fingerprint in zip(frame[self.ORDER[0]].tolist(), frame["print_of"].tolist()):
+                while taken and now - taken[0] >= self.rate_window:
+                    taken.popleft()
+                ok = len(taken) < self.limit
+                if ok:
+                    taken.append(now)
+                    ok = fingerprint not in printed or now - printed[fingerprint] >= self.dedup_window
+                    if ok:
+                        printed[fingerprint] = now
+                keep.append(ok)
+            printed = {p: t for p, t in printed.items() if now - t < self.dedup_window}
+            if any(keep):
+                yield frame.loc[keep, self.columns]
+        self.kept.update(([int(t) for t in taken], list(printed), [int(t) for t in printed.values()]))
 
 
 def stream_admitted(
@@ -49,10 +55,10 @@ def stream_admitted(
     One state per tenant holds the accepted times and the fingerprints of the last
     window, at most ``limit`` of each.  Tenants (sensors) are handled in parallel.
     """
-    keyed = alerts.withColumns({"_tenant": F.lit("all") if tenant is None else tenant, "_print": alert_fingerprint()})
+    keyed = alerts.withColumns({"tenant_of": F.lit("all") if tenant is None else tenant, "print_of": alert_fingerprint()})
     schema: StructType = alerts.schema
-    kept = keyed.groupBy("_tenant").applyInPandasWithState(
-        _admit(limit, window, window, time, tie, alerts.columns), schema, _STATE, "append", GroupStateTimeout.NoTimeout
+    kept = keyed.groupBy("tenant_of").transformWithStateInPandas(
+        Admission(limit, window, window, time, tie, alerts.columns), schema, "append", "None"
     )
     return alert_defaults(kept)
 

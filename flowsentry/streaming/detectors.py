@@ -2,58 +2,100 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
+from flowsentry.operators.flows import sensor_of
 from flowsentry.operators.signatures import SECOND, best_matches
-from flowsentry.streaming.state import in_order, recent, with_event_time
+from flowsentry.streaming.state import KeyedRows, distinct_in_window, sums_in_window, with_event_time
 
 _FLOW_FIELDS = {
     "flow_id": "bigint", "start_us": "bigint", "src_ip": "string", "dst_ip": "string", "src_port": "int", "dst_port": "int",
     "protocol": "int", "fwd_bytes": "bigint", "bwd_bytes": "bigint", "has_syn": "boolean", "flags": "string",
     "counts_syn": "boolean",
 }
-_RATED = ", ".join(f"{n} {t}" for n, t in _FLOW_FIELDS.items()) + ", n_syn bigint, n_icmp bigint, n_ports bigint"
-_RATE_STATE = "ports array<int>, seen_us array<bigint>, syn_us array<bigint>, icmp_us array<bigint>"
 
 
-def _rates(scan_us: int):
-    def step(key, parts, state):
-        if state.hasTimedOut:
-            state.remove()
+class Rates(KeyedRows):
+    """Window counts of a source's flows in one slice of time.
+
+    The group gets the flows of its slice and, not to be counted out again, those of the slice before; the windows are no
+    longer than a slice, so slices of one source run in different tasks. The state holds, of what a window can
+    still reach, the last time of each port and the times of SYN and ICMP flows.
+    """
+
+    ORDER = ["start_us", "flow_id"]
+    STATE = "ports array<int>, port_us array<bigint>, syn_us array<bigint>, syn_n array<bigint>, icmp_us array<bigint>, icmp_n array<bigint>"
+
+    def __init__(self, columns: list[str], scan_us: int):
+        self.columns, self.scan_us = columns, scan_us
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[-2] is None:  # an end marker
+            for _ in rows:
+                pass
             return
-        ports, syns, icmps = {}, [], []
-        if state.exists:
-            names, seen, syns, icmps = state.get
-            ports, syns, icmps = dict(zip(names, seen)), list(syns), list(icmps)
-        rows = in_order(parts, ["start_us", "flow_id"])
-        n_syn, n_icmp, n_ports = [], [], []
-        for now, port, syn, proto in rows[["start_us", "dst_port", "counts_syn", "protocol"]].itertuples(index=False):
-            ports[port] = now
-            ports = {p: t for p, t in ports.items() if now - t <= scan_us}
-            syns = recent(syns, now, SECOND) + ([now] if syn else [])
-            icmps = recent(icmps, now, SECOND) + ([now] if proto == 1 else [])
-            n_ports.append(len(ports))
-            n_syn.append(len(syns))
-            n_icmp.append(len(icmps))
-        state.update(([int(p) for p in ports], [int(t) for t in ports.values()], [int(t) for t in syns], [int(t) for t in icmps]))
-        state.setTimeoutTimestamp(int(rows["start_us"].max() + max(scan_us, SECOND)) // 1000 + 1)
-        yield rows[list(_FLOW_FIELDS)].assign(n_syn=n_syn, n_icmp=n_icmp, n_ports=n_ports)
-
-    return step
+        kept = [np.array(x, "i8") for x in self.kept.get()] if self.kept.exists() else [np.zeros(0, "i8")] * 6
+        for frame in self.in_order(rows):
+            time = frame["start_us"].to_numpy("i8")
+            ports, kept[:2] = self.ports(time, frame["dst_port"].to_numpy("i8"), kept[0], kept[1])
+            syn, kept[2:4] = weighed(time, frame["counts_syn"].to_numpy(bool), kept[2], kept[3])
+            icmp, kept[4:] = weighed(time, frame["protocol"].to_numpy() == 1, kept[4], kept[5])
+            own = frame["own"].to_numpy(bool)
+            if own.any():
+                yield frame.assign(n_syn=syn, n_icmp=icmp, n_ports=ports).loc[own, [*self.columns, "n_syn", "n_icmp", "n_ports"]]
+        self.kept.update(tuple(x.tolist() for x in kept))
+        # the slice's last flow is followed by none that needs this state
+        self.handle.registerTimer(((int(key[-1]) + 1) * max(self.scan_us, SECOND)) // 1000 + 1)
+
+    def ports(self, time: np.ndarray, port: np.ndarray, known: np.ndarray, seen: np.ndarray):
+        times, labels = np.concatenate([seen, time]), np.concatenate([known, port])
+        order = np.argsort(times, kind="stable")
+        counts = np.empty(len(times), "i8")
+        counts[order] = distinct_in_window(times[order], labels[order], self.scan_us)
+        last = dict(zip(labels[order].tolist(), times[order].tolist()))
+        recent = {p: t for p, t in last.items() if times.max() - t <= self.scan_us}
+        return counts[len(seen) :], [np.array(list(x), "i8") for x in (recent.keys(), recent.values())]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        return iter(())
+
+
+def weighed(time: np.ndarray, counts: np.ndarray, times: np.ndarray, numbers: np.ndarray):
+    """How many rows that count are in each row's second, and the times that the next second needs, with their numbers."""
+    all_times, weights = np.concatenate([times, time]), np.concatenate([numbers, counts.astype("i8")])
+    order = np.argsort(all_times, kind="stable")
+    out = np.empty(len(all_times), "i8")
+    out[order] = sums_in_window(all_times[order], weights[order], SECOND)
+    near = (weights > 0) & (all_times >= all_times.max() - SECOND)
+    left, at = np.unique(all_times[near], return_inverse=True)
+    return out[len(times) :], [left, np.bincount(at, weights[near], len(left)).astype("i8")]
 
 
 def stream_signatures(
     flows: DataFrame, scan_seconds: int = 10, exclude_ack: bool = False, delay: str = "30 seconds", **thresholds
 ) -> DataFrame:
-    """Same matches as ``signature_matches``; the state of a source expires with its windows."""
+    """Same matches as ``signature_matches``, each with its flow's batch.
+
+    A source is cut into slices of time as long as the longest window, and a flow goes to its slice and to the next, so
+    the flows of a flooding source spread over tasks. A slice's state expires with it.
+    """
+    sensor = sensor_of(flows)
     syn = F.col("has_syn") & (~F.col("flags").contains("A") if exclude_ack else F.lit(True))
-    rows = flows.withColumn("counts_syn", F.coalesce(syn, F.lit(False))).select(*_FLOW_FIELDS)
+    columns = [*sensor, *_FLOW_FIELDS]
+    rows = flows.withColumn("counts_syn", F.coalesce(syn, F.lit(False))).select(*columns)
+    width = max(scan_seconds, 1) * SECOND
+    own_slice = F.floor(F.col("start_us") / width).cast("bigint")
+    copies = F.inline(F.array(*[F.struct((own_slice + i).alias("slice"), F.lit(i == 0).alias("own")) for i in (0, 1)]))
+    schema = ", ".join([*[f"{c} string" for c in sensor], *[f"{n} {t}" for n, t in _FLOW_FIELDS.items()]])
     rated = (
-        with_event_time(rows, delay, "start_us")
-        .groupBy("src_ip")
-        .applyInPandasWithState(_rates(scan_seconds * SECOND), _RATED, _RATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        with_event_time(rows, delay, "start_us").select("*", copies)
+        .groupBy(*sensor, "src_ip", "slice")
+        .transformWithStateInPandas(Rates(columns, scan_seconds * SECOND), schema + ", n_syn bigint, n_icmp bigint, n_ports bigint", "append", "EventTime")
     )
     return best_matches(rated, scan_seconds=scan_seconds, **thresholds)
 
@@ -62,10 +104,10 @@ def stream_port_fanout(flows: DataFrame, ports: int = 20, delay: str = "30 secon
     """Cheap, approximate scan detector: distinct ports per source in 10 s windows sliding by 1 s."""
     fanout = (
         with_event_time(flows, delay, "start_us")
-        .groupBy(F.window("ts", "10 seconds", "1 second"), "src_ip")
+        .groupBy(F.window("ts", "10 seconds", "1 second"), *sensor_of(flows), "src_ip")
         .agg(F.approx_count_distinct("dst_port").alias("n_ports"))
     )
-    return fanout.where(F.col("n_ports") >= ports).select("src_ip", F.col("window.end").alias("at"), "n_ports")
+    return fanout.where(F.col("n_ports") >= ports).select(*sensor_of(flows), "src_ip", F.col("window.end").alias("at"), "n_ports")
 
 
 _EVENT = (
@@ -75,35 +117,46 @@ _EVENT = (
 _EVENT_COLUMNS = [c.split()[0] for c in _EVENT.split(", ")]
 
 
-def _failures(width: int):
-    def step(key, parts, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        rows = in_order(parts, ["ts", "line_no"])
-        counts = []
-        for now, fails in zip(rows["ts_us"].tolist(), rows["fails"].tolist()):
-            if fails:
-                times = recent(times, now, width) + [now]
-            counts.append(len(times) if fails else 0)
-        state.update((times,))
-        state.setTimeoutTimestamp((max([*times, int(rows["ts_us"].max())]) + width) // 1000 + 1)
-        yield rows.assign(n_fails=counts)[_EVENT_COLUMNS]
+class Failures(KeyedRows):
+    """Failed logins of an address in the window; the state holds the times that a window can still reach."""
+
+    ORDER, STATE = ["ts_us", "line_no"], "times array<bigint>"
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        times = np.array(self.kept.get()[0], "i8") if self.kept.exists() else np.zeros(0, "i8")
+        last = None
+        for frame in self.in_order(rows):
+            fails, now = frame["fails"].to_numpy(bool), frame["ts_us"].to_numpy("i8")
+            every = np.concatenate([times, now])
+            order = np.argsort(every, kind="stable")
+            counts = np.empty(len(every), "i8")
+            weights = np.concatenate([np.ones(len(times), "i8"), fails.astype("i8")])
+            counts[order] = sums_in_window(every[order], weights[order], self.width)
+            times = np.sort(every[(weights > 0) & (every >= every.max() - self.width)])
+            last = int(every.max())
+            yield frame.assign(n_fails=np.where(fails, counts[len(counts) - len(now) :], 0))[_EVENT_COLUMNS]
+        self.kept.update((times.tolist(),))
+        if last is not None:
+            self.handle.registerTimer((last + self.width) // 1000 + 1)
 
-    return step
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        if self.kept.exists() and all(t + self.width < now * 1000 for t in self.kept.get()[0]):
+            self.kept.clear()
+        return iter(())
 
 
 def stream_brute_force(events: DataFrame, failures: int = 5, seconds: int = 60, delay: str = "30 seconds") -> DataFrame:
-    """Same result as ``auth_brute_force`` on failed logins; other events pass as they are."""
+    """Same result as ``auth_brute_force`` on failed logins; other events pass as they are, without a place in the state."""
     timed = events.withColumn("ts_us", F.unix_micros("ts")).withWatermark("ts", delay)
-    fails = (F.col("event_type") == "AUTH_FAIL") & F.col("source_ip").isNotNull()
+    fails = F.coalesce((F.col("event_type") == "AUTH_FAIL") & F.col("source_ip").isNotNull(), F.lit(False))
     counted = (
         timed.withColumns({"key": F.coalesce("source_ip", F.concat(F.lit("host "), "hostname")), "fails": fails})
         .groupBy("key")
-        .applyInPandasWithState(
-            _failures(seconds * 1_000_000), _EVENT, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .transformWithStateInPandas(Failures(seconds * 1_000_000), _EVENT, "append", "EventTime")
     )
     over = F.col("n_fails") >= failures
     text = F.format_string(f"SSH brute force from %s: %d failures in {seconds}s", "source_ip", "n_fails")
@@ -121,8 +174,9 @@ def stream_brute_force(events: DataFrame, failures: int = 5, seconds: int = 60,
 
 
 def traffic_rate(packets: DataFrame, window: str = "1 minute", delay: str = "30 seconds", by: list[str] = ()) -> DataFrame:
-    """Packets, bytes and SYN packets per tumbling window."""
+    """Packets, bytes and SYN packets per tumbling window (and sensor)."""
     syn = (F.col("protocol") == 6) & F.col("flags").contains("S")
+    by = [*sensor_of(packets), *[c for c in by if c not in sensor_of(packets)]]
     return (
         with_event_time(packets, delay)
         .groupBy(F.window("ts", window), *by)

@@ -2,47 +2,87 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from flowsentry.operators.snapshots import normalize_processes, process_checks
 from flowsentry.sources.files import check_files
-from flowsentry.streaming.state import in_order
+from flowsentry.streaming.state import KeyedRows, from_bytes, to_bytes
 
 _PROCESS = {
     "scan_no": "bigint", "host": "string", "pid": "bigint", "ppid": "bigint", "name": "string", "cmdline": "string",
     "parent_name": "string",
 }
-_STATE = "scan_no bigint, before array<bigint>, pids array<bigint>, names array<string>"
-
-
-def _arrivals(key, parts, state):
-    scan, before, names = None, None, {}
-    if state.exists:
-        scan, known, pids, texts = state.get
-        before, names = (set(known) if known is not None else None), dict(zip(pids, texts))
-    rows, out = in_order(parts, ["scan_no", "pid"]), []
-    for number, part in rows.groupby("scan_no", sort=True):
-        if number != scan:
-            before = set(names) if scan == number - 1 else None
-            scan, names = int(number), {}
-        names.update(zip(part["pid"].tolist(), part["name"].tolist()))
-        if before is not None:
-            fresh = part[~part["pid"].isin(before)]
-            out.append(fresh.assign(parent_name=[names.get(p, "") for p in fresh["ppid"].tolist()]))
-    state.update((scan, None if before is None else [int(p) for p in before], [int(p) for p in names], list(names.values())))
-    yield pd.concat(out)[list(_PROCESS)] if out else pd.DataFrame(columns=list(_PROCESS))
-
-
-def stream_process_anomalies(snapshots: DataFrame) -> DataFrame:
-    """Same findings as ``process_anomalies``; the state of a host is its last scan's pid -> name."""
+
+
+class Arrivals(KeyedRows):
+    """Processes that a host's last known scan, whatever its number, did not have.
+
+    The state is that scan's pids and what is known of the scan that is coming in. With ``end_rows`` a scan's rows wait in the state until
+    its end row or a later scan comes, so parents are found however batches cut a scan; without, rows are judged as they come, by the part of their scan
+    that is there.
+    """
+
+    ORDER = ["scan_no", "pid"]
+    STATE = "scan_no bigint, before array<bigint>, pids array<bigint>, names array<string>, held int"
+
+    def __init__(self, end_rows: bool):
+        self.end_rows = end_rows
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.scan_rows = handle.getMapState("scan_rows", "piece int", "rows binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        scan, before, names, held = None, None, {}, 0
+        if self.kept.exists():
+            scan, known, pids, texts, held = self.kept.get()
+            before, names = (set(known) if known is not None else None), dict(zip(pids, texts))
+        for frame in self.in_order(rows):
+            for number, part in frame.groupby("scan_no", sort=True):
+                if scan is not None and number < scan:
+                    continue  # a scan that later ones have replaced
+                if number != scan:
+                    if held:
+                        yield from self.judged(held, before, names)
+                    before, scan, names, held = (None if scan is None else set(names)), int(number), {}, 0
+                ended = part["pid"].isna().any()
+                part = part[part["pid"].notna()].astype({"pid": "int64"})
+                names.update(zip(part["pid"].tolist(), part["name"].tolist()))
+                if self.end_rows:
+                    if len(part):
+                        self.scan_rows.updateValue((held,), (to_bytes(part),))
+                        held += 1
+                    if ended and held:
+                        yield from self.judged(held, before, names)
+                        held = 0
+                elif before is not None:
+                    yield from fresh(part, before, names)
+        self.kept.update((scan, None if before is None else [int(p) for p in before], [int(p) for p in names], list(names.values()), held))
+
+    def judged(self, held: int, before: set | None, names: dict) -> Iterator[pd.DataFrame]:
+        for piece in range(held):
+            part = from_bytes(self.scan_rows.getValue((piece,))[0])
+            self.scan_rows.removeKey((piece,))
+            if before is not None:
+                yield from fresh(part, before, names)
+
+
+def fresh(part: pd.DataFrame, before: set, names: dict) -> Iterator[pd.DataFrame]:
+    new = part[~part["pid"].isin(before)]
+    if len(new):
+        yield new.assign(parent_name=[names.get(p, "") for p in new["ppid"].tolist()])[list(_PROCESS)]
+
+
+def stream_process_anomalies(snapshots: DataFrame, end_rows: bool = False) -> DataFrame:
+    """Same findings as ``process_anomalies``; scans of a host come in the order of their numbers, which may have gaps.
+
+    With ``end_rows`` a collector closes each scan by a row with a null pid, and a scan may be cut over any batches.
+    """
     schema = ", ".join(f"{n} {t}" for n, t in _PROCESS.items())
-    arrivals = normalize_processes(snapshots).groupBy("host").applyInPandasWithState(
-        _arrivals, schema, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    arrivals = normalize_processes(snapshots).groupBy("host").transformWithStateInPandas(Arrivals(end_rows), schema, "append", "None")
     return process_checks(arrivals)
 
 

@@ -7,21 +7,24 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from flowsentry.plans.storage import checkpoint_dir
+from flowsentry.streaming.state import END_SHIFT_US, ROCKS, STATE_STORE
 
 
 def _new_folder(df: DataFrame) -> str:
     return f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def replay(df: DataFrame, time: str, slices: int = 4, files: int = 2) -> DataFrame:
+def replay(df: DataFrame, time: str, slices: int = 4, files: int = 2, end: bool = False) -> DataFrame:
     """``df`` as a stream of ``slices`` micro-batches in time order.
 
-    Slices are cut at time quantiles and written one after the other as ``files`` files
-    each; the file source takes files oldest first, one slice per micro-batch.
+    Slices are cut at time quantiles, which fall on rows' times, and written one after the other, each as files of one folder; the
+    file source takes files oldest first, one slice per micro-batch. Where many rows share a time a slice may be empty; it gets empty files,
+    so batches stay slices. ``end``: a last batch of one row that has only a time, far ahead, which tells that the stream is over
+    (``time`` in microseconds).
     """
     folder = _new_folder(df)
-    cuts = df.select(F.col(time).cast("double").alias("t")).approxQuantile("t", [i / slices for i in range(1, slices)], 0.001)
     at = F.col(time).cast("double")
+    cuts = df.select(at.alias("t")).approxQuantile("t", [i / slices for i in range(1, slices)], 0.001) if slices > 1 else []
     bounds = [None, *cuts, None]
     for low, high in zip(bounds, bounds[1:]):
         part = df
@@ -29,10 +32,21 @@ def replay(df: DataFrame, time: str, slices: int = 4, files: int = 2) -> DataFra
             part = part.where(at > low)
         if high is not None:
             part = part.where(at <= high)
-        part.repartition(files).write.mode("append").parquet(folder)
+        written(part, files, folder)
+    if end:
+        last = -F.floor(-F.max(time) / 1000) * 1000 + END_SHIFT_US
+        only = [last.cast(t).alias(c) if c == time else F.first(F.lit(None).cast(t)).alias(c) for c, t in df.dtypes]
+        written(df.agg(*only), files, folder)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
+def written(part: DataFrame, files: int, folder: str) -> None:
+    """Adds exactly ``files`` files, some of them empty if there are few rows."""
+    part = part.withColumn("_file", F.pmod(F.monotonically_increasing_id(), F.lit(files)))
+    for k in range(files):
+        part.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+
+
 def run_to_table(stream: DataFrame, state_partitions: int | None = None) -> DataFrame:
     """Runs the stream over what is there and returns what it wrote.
 
@@ -43,10 +57,13 @@ def run_to_table(stream: DataFrame, state_partitions: int | None = None) -> Data
     writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows")
     writer = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     before = spark.conf.get("spark.sql.shuffle.partitions")
+    store = spark.conf.get(STATE_STORE)
     spark.conf.set("spark.sql.shuffle.partitions", state_partitions or spark.sparkContext.defaultParallelism)
+    spark.conf.set(STATE_STORE, ROCKS)
     try:
         query = writer.start()  # the stream keeps its own copy of the settings
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set(STATE_STORE, store)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -1,16 +1,25 @@
-"""Small helpers of the keyed stream operators."""
+"""What the keyed stream operators share: rows in time order in bounded memory, and sliding windows over arrays.
+
+The operators are stateful processors (``transformWithStateInPandas``): state variables and timers live in the RocksDB
+state store, which sessions that run them must name as provider (``ROCKS``).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-
-def in_order(parts: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """The rows one key got in this micro-batch, in event order."""
-    return pd.concat(list(parts), ignore_index=True).sort_values(by, kind="stable")
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: An end marker's time: so much after the last row. No row of data is that far ahead.
+END_SHIFT_US = 100 * 365 * 86_400 * 1_000_000
+END_MS = END_SHIFT_US // 1000
 
 
 def with_event_time(df: DataFrame, delay: str, time_us: str = "ts_us") -> DataFrame:
@@ -18,5 +27,89 @@ def with_event_time(df: DataFrame, delay: str, time_us: str = "ts_us") -> DataFr
     return df.withColumn("ts", F.timestamp_micros(time_us)).withWatermark("ts", delay)
 
 
-def recent(times: list[int], now: int, width: int) -> list[int]:
-    return [t for t in times if now - t <= width]
+def end_of_stream_us(watermark_ms: int, delay: str) -> int | None:
+    """The time of the last row, to the millisecond, if the watermark has passed an end marker."""
+    at = watermark_ms + int(pd.Timedelta(delay).total_seconds() * 1000)
+    return (at - END_MS) * 1000 if at > END_MS + END_MS // 4 else None
+
+
+class KeyedRows(StatefulProcessor):
+    """A processor with one value ``kept`` (of ``STATE``) and rows of a key in the order of ``ORDER``, whose first column is a time.
+
+    Spark hands a key's rows over in chunks, in no order. Up to ``HOLD`` rows are sorted as they are. More are cut by
+    time, into pieces that wait in the state store; then one slice of time after the other comes back. A slice is as wide as
+    the first rows say that some ``SLICE`` rows take, so memory is bounded by the rows that are held, unless far more share one instant.
+    """
+
+    ORDER: list[str] = []
+    STATE = ""
+    HOLD, SLICE = 100_000, 25_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", self.STATE)
+        self.waiting = handle.getMapState("waiting", "slice bigint, piece int", "rows binary")
+
+    def in_order(self, chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        while sum(map(len, held)) <= self.HOLD:
+            frame = next(chunks, None)
+            if frame is None:
+                if held:
+                    yield pd.concat(held, ignore_index=True).sort_values(self.ORDER, kind="stable")
+                return
+            held.append(frame)
+        first = pd.concat([f[self.ORDER[0]] for f in held])
+        width = max(1, int((first.max() - first.min()) * self.SLICE / len(first)))
+        pieces: dict[int, int] = {}
+        for frame in chain(held, chunks):
+            for at, part in frame.groupby(frame[self.ORDER[0]] // width):
+                self.waiting.updateValue((int(at), pieces.get(at, 0)), (to_bytes(part),))
+                pieces[at] = pieces.get(at, 0) + 1
+        del held, first
+        for at in sorted(pieces):
+            names = [(int(at), i) for i in range(pieces[at])]
+            frame = pd.concat([from_bytes(self.waiting.getValue(n)[0]) for n in names], ignore_index=True)
+            for n in names:
+                self.waiting.removeKey(n)
+            yield frame.sort_values(self.ORDER, kind="stable")
+
+    def close(self) -> None:
+        pass
+
+
+def to_bytes(frame: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def from_bytes(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas()
+
+
+def sums_in_window(times: np.ndarray, weights: np.ndarray, width: int) -> np.ndarray:
+    """For each of the sorted rows: weight of the rows up to it, itself included, that are at most ``width`` older."""
+    total = np.concatenate([[0], np.cumsum(weights)])
+    return total[1:] - total[np.searchsorted(times, times - width, "left")]
+
+
+def distinct_in_window(times: np.ndarray, labels: np.ndarray, width: int) -> np.ndarray:
+    """For each of the sorted rows: different labels among the rows up to it that are at most ``width`` older.
+
+    Rows in the window, less those whose label comes again in it: row k takes one away from its own place on, for as long as
+    the row before it with its label is in the window too.
+    """
+    n = len(times)
+    first = np.searchsorted(times, times - width, "left")
+    by = np.lexsort((np.arange(n), labels))
+    same = labels[by][1:] == labels[by][:-1]
+    row, before = by[1:][same], by[:-1][same]
+    out = np.searchsorted(first, before, "right")  # the first row whose window has lost ``before``
+    again = np.zeros(n + 1, "i8")
+    lasting = out > row
+    np.add.at(again, row[lasting], 1)
+    np.add.at(again, out[lasting], -1)
+    return np.arange(n) + 1 - first - np.cumsum(again)[:n]
