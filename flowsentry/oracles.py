@@ -590,6 +590,7 @@ select seq, ts_us, src_ip, dst_ip, protocol, length, 64 ttl, cast(src_port as in
   case when protocol = 1 then 8 end icmp_type, case when protocol = 1 then 0 end icmp_code
 from fx_packets
 """
+ORACLES["pcap_files"] = ORACLES["pcap_scan"]
 _LOGIN = ", ".join(
     f"nullif(regexp_extract(lower(regexp_extract(payload, '(?s)POST .*?\\r\\n\\r\\n(.*)', 1)), '{n}=([^&\\s]{{2,40}})', 1), '')"
     for n in dims.LOGIN_FIELDS

@@ -6,6 +6,7 @@ import uuid
 from functools import lru_cache, wraps
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from flowsentry import dims
@@ -37,9 +38,10 @@ from flowsentry.ml.isolation_forest import IsolationForest, fit_isolation_forest
 from flowsentry.ml.random_forest import feature_importance as importance_of, fit_random_forest, score_random_forest
 from flowsentry.ml.split import stratified_split as split
 from flowsentry.ml.training import evaluate, score_flows as score_flows_with, train
+from flowsentry.plans.ordered import ranked
 from flowsentry.plans.storage import checkpoint_dir, materialize
 from flowsentry.sources import tables as tb
-from flowsentry.sources.captures import parse_captures
+from flowsentry.sources.captures import parse_captures, read_pcap
 from flowsentry.sources.files import check_files
 from flowsentry.sources.logs import stream_auth_log
 from flowsentry.streaming import detectors as sd, hosts as sh
@@ -523,6 +525,32 @@ def pcap_scan(spark, sf):
     return fl.normalize_packets(read)
 
 
+def stored_captures(spark, sf, packets_per_file: int) -> str:
+    """A folder of capture files, written by the tasks."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+    def write(frames):
+        system, root = FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        system.create_dir(root)
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"]):
+                with system.open_output_stream(f"{root}/{name}.pcap") as f:
+                    f.write(content)
+            yield pd.DataFrame({"written": [len(frame)]})
+
+    capture_files(spark, sf, packets_per_file).mapInPandas(write, "written bigint").agg(F.sum("written")).first()
+    return folder
+
+
+@query
+def pcap_files(spark, sf):
+    """Captures read from files, in ranges of 4 KB; the rank of a record's place in its file gives the view's numbers."""
+    read = read_pcap(spark, stored_captures(spark, sf, 500), split=4096)
+    numbered = ranked(read, ["path"], ["seq"], "place")
+    capture = F.regexp_extract("path", r"(\d+)\.pcap$", 1).cast("bigint")
+    return fl.normalize_packets(numbered.withColumn("seq", capture * 500 + F.col("place") - 1))
+
+
 @query
 def http_identity(spark, sf):
     payloads = view(spark, sf, "fx_http").withColumn("capture", F.lit("c0"))

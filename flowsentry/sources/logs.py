@@ -58,7 +58,7 @@ def _read_lines(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for frame in frames:
         for file, start, end, content in zip(*(c.to_pylist() for c in frame.columns[:3]), frame.column(3)):
             rows, size = [], 0
-            with io.BytesIO(content.as_py()) if content.is_valid else _opened(file) as f:
+            with io.BytesIO(content.as_py()) if content.is_valid else open_file(file) as f:
                 for row in lines_from(f, start, end):
                     rows.append(row)
                     size += len(row[1]) + 100
@@ -69,7 +69,8 @@ def _read_lines(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch(file, rows)
 
 
-def _opened(path: str):
+def open_file(path: str):
+    """A file of any file system that Arrow knows, as Spark names it."""
     system, name = FileSystem.from_uri(quote(path, safe="/:@[]!$&'()*+,;=~"))
     return system.open_input_file(name)
 
