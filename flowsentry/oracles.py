@@ -793,6 +793,13 @@ from fx_packets group by 1 having (ts_us // 60000000) * 60000000 + 60000000 <= (
 """
 ORACLES["stream_log_brute_force"] = f"select * exclude (line_no) from ({ORACLES['auth_brute_force']})"
 
+ORACLES["stream_log_tail"] = f"""
+with {with_views("fx_log_lines")},
+l as (select line_no, line, regexp_split_to_array(line, '\\s+')[4] host from fx_log_lines)
+select host, trim(line, ' ') line from l
+union all select distinct host, 'unfinished left' from l
+"""
+
 
 def both_sites(text: str, *times: str) -> str:
     """The rows once for each of two sensors; the second one's times are a micro-second later."""

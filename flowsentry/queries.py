@@ -44,6 +44,7 @@ from flowsentry.sources import tables as tb
 from flowsentry.sources.captures import parse_captures, read_pcap
 from flowsentry.sources.files import check_files
 from flowsentry.sources.logs import stream_auth_log
+from flowsentry.sources.tail import tail_auth_log
 from flowsentry.streaming import detectors as sd, hosts as sh
 from flowsentry.streaming.alerts import stream_admitted
 from flowsentry.streaming.flows import stream_flows as stream_flow_rows
@@ -933,3 +934,42 @@ def stream_log_brute_force(spark, sf):
     ).text(folder)
     events = hl.parse_auth_events(stream_auth_log(spark, f"{folder}/*"), year=2024)
     return run_to_table(sd.stream_brute_force(events)).withColumn("ts", F.unix_micros("ts")).drop("line_no")
+
+
+@query
+def stream_log_tail(spark, sf):
+    """Three growing logs: the first lines and a piece of one, then the rest of it and all others; each line arrives once."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    folder, out = f"{base}/logs", f"{base}/rows"
+    lines = materialize(log_lines(spark, sf).withColumn("host", F.split("line", r"\s+")[3]))
+    middle = lines.agg(F.max("line_no")).first()[0] // 2
+
+    def write(first: bool):
+        def run(frames):
+            system, root = FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+            system.create_dir(root)
+            opened = {}
+            for frame in frames:
+                for host, line in zip(frame["host"], frame["line"]):
+                    if host not in opened:
+                        opened[host] = (system.open_output_stream if first else system.open_append_stream)(f"{root}/{host}.log")
+                        opened[host].write(b"" if first else b" left\n")
+                    opened[host].write(f"{line}\n".encode())
+            for f in opened.values():
+                f.write(b"unfinished" if first else b"")
+                f.close()
+            yield pd.DataFrame({"files": [len(opened)]})
+
+        part = lines.where(F.col("line_no") <= middle) if first else lines.where(F.col("line_no") > middle)
+        part.repartition("host").sortWithinPartitions("host", "line_no").mapInPandas(run, "files bigint").agg(F.sum("files")).first()
+
+    write(True)
+    writer = tail_auth_log(spark, folder).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{base}/state")
+    following = writer.start()
+    try:
+        following.processAllAvailable()
+        write(False)
+        following.processAllAvailable()
+    finally:
+        following.stop()
+    return spark.read.parquet(out).select(F.regexp_extract("file", "([^/]+)[.]log$", 1).alias("host"), "line")
