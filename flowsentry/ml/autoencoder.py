@@ -1,8 +1,9 @@
 """Autoencoder trained data-parallel: one Spark job per epoch.
 
-Every task runs mini-batch Adam over its own rows, starting from the shared weights;
-the weights are then averaged by row count.  Tasks stream their rows, so nothing but
-the (fixed-size) network is held, and the driver sees one number per weight.
+Rows are dealt once to shards of a fixed size, by their place in the order of a hash, and a shard is stored as one row. In an epoch every
+shard runs mini-batch Adam from the shared weights and moments; both are then averaged by row count. The parts of
+the average are summed as whole numbers, so neither the partitions nor the order of tasks change the model. A task
+holds one shard and the (fixed-size) network, and the driver sees three numbers per weight.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsentry import dims
 from flowsentry.ml.ensemble import calibrate, calibrated_score
+from flowsentry.plans.ordered import ranked
+from flowsentry.plans.storage import materialize
 
 # Layer widths after the input; layers marked True are followed by ReLU, True/True by batch norm too.
 _HIDDEN = [(64, True, True), (32, True, True), (8, True, False), (32, True, True), (64, True, True)]
@@ -74,28 +77,70 @@ def _gradients(w: list[np.ndarray], x: np.ndarray) -> dict[int, np.ndarray]:
     return found
 
 
-def _epoch(weights: list[np.ndarray], means, stds, columns, rate: float, batch: int, seed: int):
-    def run(batches):
+#: Whole numbers to one: of weights, and of first moments and roots of second ones, which are smaller.
+_WEIGHT_STEPS, _MOMENT_STEPS = 2.0**40, 2.0**50
+
+
+def _epoch(weights, moments, roots, total: int, first_step: int, rate: float, batch: int, seed: tuple[int, int]):
+    """Sums over a task's shards of their parts of the average, as whole numbers: (i, q)."""
+
+    def trained(shard: int, x: np.ndarray) -> np.ndarray:
         w = [a.copy() for a in weights]
-        m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
-        rng, step, rows = np.random.default_rng(seed), 0, 0
-        for pdf in batches:
-            x = (pdf[columns].to_numpy(float) - means) / stds
-            x = x[rng.permutation(len(x))]
-            for part in np.array_split(x, max(1, len(x) // batch)):
-                if len(part) < 2:
-                    continue
-                step, rows = step + 1, rows + len(part)
-                for i, g in _gradients(w, part).items():
-                    m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
-                    w[i] -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-        if rows:
-            flat = np.concatenate([a.ravel() for a in w])
-            yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat * rows, "n": float(rows)})
+        m, v = [a.copy() for a in moments], [a * a for a in roots]
+        step = first_step
+        x = x[np.random.default_rng((*seed, shard)).permutation(len(x))]
+        for part in np.array_split(x, max(1, len(x) // batch)):
+            if len(part) < 2:
+                continue
+            step += 1
+            for i, g in _gradients(w, part).items():
+                m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
+                w[i] -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
+        flat = [np.concatenate([a.ravel() for a in arrays]) for arrays in (w, m, [np.sqrt(a) for a in v])]
+        share = len(x) / total
+        parts = [np.rint(np.clip(f * share * k, -(2.0**62), 2.0**62)) for f, k in zip(flat, (_WEIGHT_STEPS, _MOMENT_STEPS, _MOMENT_STEPS))]
+        return np.concatenate(parts).astype("i8")
+
+    def run(frames):
+        found = None
+        for frame in frames:
+            for shard, rows, data in zip(frame["shard"], frame["rows"], frame["data"]):
+                part = trained(int(shard), np.frombuffer(data).reshape(rows, -1))
+                found = part if found is None else found + part
+        if found is not None:
+            yield pd.DataFrame({"i": np.arange(len(found)), "q": found})
 
     return run
 
 
+def _stored_shards(rows: DataFrame, columns: list[str], means: np.ndarray, stds: np.ndarray, size: int) -> tuple[DataFrame, int]:
+    """(shard, rows, data) of standardised rows, stored, and how many rows there are. Equal rows spread over the shards."""
+    keyed = rows.withColumn("all", F.lit(0)).withColumn("key", F.xxhash64(*columns))
+    placed = ranked(keyed, ["all"], ["key", *columns], "place")
+    total = rows.count()
+    shards = max(1, -(-total // size))
+
+    def pack(frames):
+        held, at = [], None
+        for frame in frames:
+            for shard, part in frame.groupby("shard", sort=True):
+                if shard != at and held:
+                    yield block(at, held)
+                    held = []
+                at = shard
+                held.append((part[columns].to_numpy(float) - means) / stds)
+        if held:
+            yield block(at, held)
+
+    def block(shard, parts) -> pd.DataFrame:
+        x = np.concatenate(parts)
+        return pd.DataFrame({"shard": [shard], "rows": [len(x)], "data": [x.tobytes()]})
+
+    dealt = placed.select(F.pmod(F.col("place"), F.lit(shards)).cast("bigint").alias("shard"), "place", *columns)
+    packed = dealt.repartition("shard").sortWithinPartitions("shard", "place").mapInPandas(pack, "shard bigint, rows bigint, data binary")
+    return materialize(packed), total
+
+
 @dataclass
 class Autoencoder:
     columns: list[str]
@@ -148,23 +193,27 @@ def fit_autoencoder(
     rate: float = 1e-3,
     batch: int = 256,
     seed: int = 42,
+    shard_rows: int = 16_384,
 ) -> Autoencoder:
-    """``benign`` should be stored: it is read once per epoch."""
+    """The same model for the same rows, however they are partitioned. ``shard_rows`` train one after the other, shards side by side."""
     columns = list(columns)
-    stats = benign.agg(
-        *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]
-    ).first()
-    means = [float(stats[f"m_{c}"] or 0.0) for c in columns]
-    stds = [float(stats[f"s_{c}"] or 0.0) or 1.0 for c in columns]
+    rows = benign.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    stats = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
+    known = lambda x: float(f"{x or 0.0:.10g}")  # noqa: E731  (sums of floats depend on their order in the last digits)
+    means, stds = [known(stats[f"m_{c}"]) for c in columns], [known(stats[f"s_{c}"]) or 1.0 for c in columns]
+    shards, total = _stored_shards(rows, columns, np.array(means), np.array(stds), shard_rows)
     weights = init_weights(len(columns), seed)
-    rows = benign.select(*[F.col(c).cast("double") for c in columns])
-    for epoch in range(epochs):
-        run = _epoch(weights, np.array(means), np.array(stds), columns, rate, batch, seed + epoch)
-        mean = (
-            rows.mapInPandas(run, "i int, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v"))
-        ).toPandas().sort_values("i")["v"].to_numpy()  # one row per weight
-        ends = np.cumsum([a.size for a in weights])
-        weights = [p.reshape(a.shape) for p, a in zip(np.split(mean, ends[:-1]), weights)]
+    moments, roots = [np.zeros_like(a) for a in weights], [np.zeros_like(a) for a in weights]
+    ends = np.cumsum([a.size for a in weights])
+    steps = max(1, -(-min(total, shard_rows) // batch))
+    for epoch in range(epochs if total else 0):
+        run = _epoch(weights, moments, roots, total, epoch * steps, rate, batch, (seed, epoch))
+        sums = shards.mapInPandas(run, "i int, q bigint").groupBy("i").agg(F.sum("q").alias("q")).toPandas()  # three rows per weight
+        flat = sums.sort_values("i")["q"].to_numpy(float).reshape(3, -1)
+        weights, moments, roots = (
+            [p.reshape(a.shape) for p, a in zip(np.split(f / k, ends[:-1]), weights)]
+            for f, k in zip(flat, (_WEIGHT_STEPS, _MOMENT_STEPS, _MOMENT_STEPS))
+        )
     model = Autoencoder(columns, means, stds, weights)
     found = calibrate(model.errors(benign, "error"), "error").first()
     model.error_mean, model.error_std, model.threshold = found["mean"], found["std"], found["threshold"]

@@ -91,6 +91,15 @@ def test_autoencoder_separates_and_reloads(spark, planted, tmp_path):
     assert key(again.score(planted)) == key(scored)
 
 
+@pytest.mark.parametrize("shard_rows", [100, 16_384])
+def test_autoencoder_does_not_depend_on_partitions(planted, shard_rows):
+    benign = planted.where("binary_label = 0")
+    models = [fit_autoencoder(benign.repartition(n), epochs=3, batch=32, shard_rows=shard_rows) for n in (1, 4, 7)]
+    for other in models[1:]:
+        assert all(np.array_equal(a, b) for a, b in zip(models[0].weights, other.weights))
+        assert other.threshold == pytest.approx(models[0].threshold)
+
+
 def test_training_run(spark, planted, sf, tmp_path):
     models, scored = train(planted, "row_id", trees=20, rf_trees=10, rf_depth=5, epochs=2)
     report = {(r.model, r.name): r for r in evaluate(materialize(scored)).collect()}
