@@ -800,6 +800,8 @@ select host, trim(line, ' ') line from l
 union all select distinct host, 'unfinished left' from l
 """
 
+ORACLES["stream_file_integrity"] = ORACLES["file_integrity_diff"]
+
 
 def both_sites(text: str, *times: str) -> str:
     """The rows once for each of two sensors; the second one's times are a micro-second later."""

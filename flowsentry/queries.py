@@ -48,7 +48,7 @@ from flowsentry.sources.tail import tail_auth_log
 from flowsentry.streaming import detectors as sd, hosts as sh
 from flowsentry.streaming.alerts import stream_admitted
 from flowsentry.streaming.flows import stream_flows as stream_flow_rows
-from flowsentry.streaming.replay import replay, run_to_table
+from flowsentry.streaming.replay import replay, run_to_table, written
 from flowsentry.streaming.scoring import stream_scoring as stream_score
 
 QUERIES = {}
@@ -973,3 +973,39 @@ def stream_log_tail(spark, sf):
     finally:
         following.stop()
     return spark.read.parquet(out).select(F.regexp_extract("file", "([^/]+)[.]log$", 1).alias("host"), "line")
+
+
+@query
+def stream_file_integrity(spark, sf):
+    """Two scans as micro-batches; each batch is handed over twice, as after a failure, and adds its changes once."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    for which in ("old", "new"):
+        written(file_snapshot(spark, sf, which), 2, f"{base}/scans")
+    scans = spark.readStream.schema(file_snapshot(spark, sf, "old").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/scans")
+    sink = sh.file_integrity_sink(f"{base}/baseline", lambda found, batch: found.write.mode("overwrite").parquet(f"{base}/events/batch={batch}"))
+
+    def twice(scan, batch):
+        sink(scan, batch)
+        sink(scan, batch)
+
+    scans.writeStream.foreachBatch(twice).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/events").drop("batch")
+
+
+@query
+def model_figures(spark, sf):
+    """The report of the trained models on held-out rows: precision, recall, F1, support and area under the curve."""
+    return evaluate(trained(spark, sf)[1])
+
+
+@query
+def importance_figures(spark, sf):
+    """How much each feature counts in the trained forest."""
+    return importance_of(trained(spark, sf)[0].random_forest, spark)
+
+
+@query
+def flow_scores(spark, sf):
+    """Every flow with its three scores, votes, label and confidence."""
+    scored = score_flows_with(flow_table(spark, sf), trained(spark, sf)[0])
+    return scored.select("flow_id", "if_score", "rf_score", "ae_score", "votes", "predicted", "confidence")

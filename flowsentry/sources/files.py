@@ -75,15 +75,43 @@ def load_baseline(spark: SparkSession, table: str, scan_id: int | None = None) -
     return spark.read.parquet(f"{table}/scan_id={scan:012d}")
 
 
+def _hosts_table(table: str) -> str:
+    return f"{table.rstrip('/')}_hosts"
+
+
+def last_scans(spark: SparkSession, table: str, scan_id: int) -> DataFrame | None:
+    """(host, scan_id) of each host's last stored scan before ``scan_id``: one version of the host index; None if there is none yet."""
+    try:
+        versions = spark.read.parquet(_hosts_table(table))
+    except AnalysisException:
+        return None
+    version = versions.where(F.col("version") < scan_id).agg(F.max("version")).first()[0]
+    return None if version is None else spark.read.parquet(f"{_hosts_table(table)}/version={version:012d}")
+
+
+def index_hosts(spark: SparkSession, table: str, scan_id: int) -> None:
+    """Writes the version of the host index that has this scan: the one before it, with the scan's hosts moved on."""
+    hosts = load_baseline(spark, table, scan_id).select("host").distinct().withColumn("scan_id", F.lit(scan_id).cast("bigint"))
+    before = last_scans(spark, table, scan_id)
+    rows = hosts if before is None else hosts.unionByName(before.join(hosts, "host", "left_anti"))
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{_hosts_table(table)}/version={scan_id:012d}")
+
+
 def changes_of_scan(spark: SparkSession, table: str, scan_id: int) -> DataFrame:
     """Changes in a stored scan against the last stored scan of each of its hosts.
 
-    Hosts that the scan does not cover have no changes, nor has a host's first scan.
+    Hosts that the scan does not cover have no changes, nor has a host's first scan. The host index tells which scans those are, and only
+    they are read: one, where all hosts are scanned together.
     """
     now = load_baseline(spark, table, scan_id)
-    earlier = spark.read.parquet(table).where(F.col("scan_id") < scan_id)
     hosts = now.select("host").distinct()
-    last = earlier.join(hosts, "host", "left_semi").groupBy("host").agg(F.max("scan_id").alias("scan_id"))  # one row per host
+    index = last_scans(spark, table, scan_id)
+    if index is None:
+        last = hosts.withColumn("scan_id", F.lit(None).cast("bigint")).limit(0)
+        return diff_file_snapshots(now.limit(0), now.join(last, "host", "left_semi"))
+    last = index.join(hosts, "host", "left_semi")
+    scans = sorted(r[0] for r in last.select("scan_id").distinct().collect())  # scans, not hosts or files
+    earlier = spark.read.option("basePath", table).parquet(*[f"{table}/scan_id={n:012d}" for n in scans]) if scans else now.limit(0).withColumn("scan_id", F.lit(scan_id))
     return diff_file_snapshots(earlier.join(last, ["host", "scan_id"], "left_semi"), now.join(last, "host", "left_semi"))
 
 
@@ -98,4 +126,5 @@ def check_files(current: DataFrame, table: str, scan_id: int | None = None) -> D
         last = latest_scan(spark, table)
         scan_id = 0 if last is None else last + 1
     save_baseline(current, table, scan_id)
+    index_hosts(spark, table, scan_id)
     return changes_of_scan(spark, table, scan_id)
