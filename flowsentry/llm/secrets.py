@@ -41,12 +41,16 @@ class EntropyRule:
 RULES = (
     EntropyRule("entropy_hex", "0-9A-Fa-f", 20, 3.0, ("[0-9]", "[A-Fa-f]")),
     EntropyRule("entropy_alnum", "A-Za-z0-9", 20, 3.6, ("[0-9]", "[A-Z]", "[a-z]")),
-    EntropyRule("entropy_base64", "A-Za-z0-9+/_=-", 24, 4.0, ("[0-9]", "[A-Z]", "[a-z]")),
+    EntropyRule("entropy_base64", "A-Za-z0-9+/_-", 24, 4.0, ("[0-9]", "[A-Z]", "[a-z]")),
+    # one case: digits must stand among the letters, or numbered words and names would do
+    EntropyRule("entropy_lower", "a-z0-9", 24, 3.5, ("(?:[0-9]+[a-z]+){3}",)),
+    EntropyRule("entropy_upper", "A-Z0-9", 24, 3.5, ("(?:[0-9]+[A-Z]+){2}",)),
 )
+#: What spares a candidate that it touches; words of a placeholder hold for their own token, not beyond ``=`` or ``/``.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"(?i:[a-z0-9+/]*(?:abcdefghij|0123456789)[a-z0-9+/]*)",
-    r"(?i:[a-z0-9_/+=-]*(?:example|placeholder|changeme|xxxxxx|your[_-])[a-z0-9_/+=-]*)",
+    r"(?i:[a-z0-9+]*(?:abcdefghij|0123456789)[a-z0-9+]*)",
+    r"(?i:[a-z0-9_+-]*(?:example|placeholder|changeme|xxxxxx|your[_-])[a-z0-9_+-]*)",
 )
 
 #: c * log2(c) in units of 2^-30, as integers: running sums stay exact.

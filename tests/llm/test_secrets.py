@@ -76,3 +76,15 @@ def test_odd_rows_and_redaction(spark):
     after = dict(rows_of(se.redact_secrets(df), "doc_id", "text"))
     assert after[9] == "x [SECRET] y" and after[10] == "[SECRET]" and after[1] is None and after[7] == ODD[8][1]
     assert se.redact_secrets(df).columns == df.columns
+
+
+@pytest.mark.parametrize("text,kinds", [
+    ("key k9f3m2x7q8w1z5b4n6v0c2d8j3h5g7t1 end", {"entropy_lower"}),
+    ("seed Q3ZK7XW2MNB5TJ4YHC6RDVPS2GLA", {"entropy_upper"}),
+    ("MY_EXAMPLE_KEY=aB3dE6gH9jK2mN5pQ8sT1vW4", {"entropy_alnum", "entropy_base64"}),
+    ("see /your_folder/aB3dE6gH9jK2mN5pQ8sT1vW4", {"entropy_alnum"}),
+    ("EXAMPLEaB3dE6gH9jK2mN5pQ8sT1vW4", set()),
+    ("chapter12paragraph34subsection", set()), ("ANNUALREPORTOFTHEYEAR2024FINAL", set()), ("internationalization0", set()),
+])
+def test_keys_of_one_case_and_placeholders_of_one_token(text, kinds):
+    assert {k for k, _, _ in se.Scanner()(text)} == kinds
