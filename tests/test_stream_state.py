@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from flowsentry.streaming.detectors import Rates
 from flowsentry.streaming.state import KeyedRows, distinct_in_window, end_of_stream_us, from_bytes, sums_in_window, to_bytes
 
 
@@ -73,3 +74,68 @@ def test_bytes_and_end_of_stream():
     assert end_of_stream_us(1_700_000_000_000, "30 seconds") is None
     last = 1_700_000_000_123
     assert end_of_stream_us(last - 30_000 + 100 * 365 * 86_400 * 1000, "30 seconds") == last * 1000
+
+
+class Value:
+    def __init__(self):
+        self.now = None
+
+    def exists(self):
+        return self.now is not None
+
+    def get(self):
+        return self.now
+
+    def update(self, value):
+        self.now = value
+
+    def clear(self):
+        self.now = None
+
+
+class Handle(Fake):
+    def __init__(self):
+        super().__init__()
+        self.kept, self.timers = Value(), []
+
+    def getValueState(self, *_):
+        return self.kept
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def walked(rows, scan_us):
+    """Counts of each flow, from a walk that looks back over all of them."""
+    out = {}
+    for i, (t, flow, port, syn, proto) in enumerate(rows):
+        near = [r for r in rows[: i + 1] if t - r[0] <= scan_us]
+        second = [r for r in near if t - r[0] <= 1_000_000]
+        out[flow] = (len({r[2] for r in near}), sum(r[3] for r in second), sum(r[4] == 1 for r in second))
+    return out
+
+
+@pytest.mark.parametrize("seed,hold", [(1, 100_000), (2, 40), (3, 10)])
+def test_a_flooding_source_in_slices_equals_one_walk(seed, hold):
+    """Flows of one source over three slices and two batches, in chunks; each slice has its own state, as in its own task."""
+    r, scan = random.Random(seed), 3_000_000
+    rows = sorted((r.randrange(9_000_000), k, r.randrange(12), r.random() < 0.4, r.choice([1, 6])) for k in range(260))
+    want = walked(rows, scan)
+    names = ["start_us", "flow_id", "dst_port", "counts_syn", "protocol"]
+    got, slices = {}, {}
+    for batch in (rows[:130], rows[130:]):
+        groups: dict[int, list] = {}
+        for row in batch:
+            for step in (0, 1):
+                groups.setdefault(row[0] // scan + step, []).append((*row, step == 0))
+        for at, part in sorted(groups.items()):
+            if at not in slices:
+                slices[at] = Rates(names, scan)
+                slices[at].HOLD, slices[at].SLICE = hold, max(1, hold // 2)
+                slices[at].init(Handle())
+            frame = pd.DataFrame(part, columns=[*names, "own"]).sample(frac=1, random_state=seed)
+            chunks_of = [frame.iloc[i : i + 25] for i in range(0, len(frame), 25)]
+            for out in slices[at].handleInputRows(("10.0.0.1", at), iter(chunks_of), None):
+                got |= {x.flow_id: (x.n_ports, x.n_syn, x.n_icmp) for x in out.itertuples()}
+            assert not slices[at].handle.values and slices[at].handle.timers
+    assert got == want
