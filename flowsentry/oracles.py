@@ -800,6 +800,10 @@ select host, trim(line, ' ') line from l
 union all select distinct host, 'unfinished left' from l
 """
 
+ORACLES["stream_alert_sinks"] = f"""
+with kept as ({ORACLES["admitted_alerts"]})
+select *, 'first' sink from kept union all select *, 'second' from kept
+"""
 ORACLES["stream_file_integrity"] = ORACLES["file_integrity_diff"]
 
 

@@ -7,6 +7,7 @@ from functools import lru_cache, wraps
 
 import pandas as pd
 from pyarrow.fs import FileSystem
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from flowsentry import dims
@@ -46,9 +47,9 @@ from flowsentry.sources.files import check_files
 from flowsentry.sources.logs import stream_auth_log
 from flowsentry.sources.tail import tail_auth_log
 from flowsentry.streaming import detectors as sd, hosts as sh
-from flowsentry.streaming.alerts import stream_admitted
+from flowsentry.streaming.alerts import start_alert_sinks, stream_admitted
 from flowsentry.streaming.flows import stream_flows as stream_flow_rows
-from flowsentry.streaming.replay import replay, run_to_table, written
+from flowsentry.streaming.replay import replay, run_to_table, state_store, written
 from flowsentry.streaming.scoring import stream_scoring as stream_score
 
 QUERIES = {}
@@ -1009,3 +1010,30 @@ def flow_scores(spark, sf):
     """Every flow with its three scores, votes, label and confidence."""
     scored = score_flows_with(flow_table(spark, sf), trained(spark, sf)[0])
     return scored.select("flow_id", "if_score", "rf_score", "ae_score", "votes", "predicted", "confidence")
+
+
+@query
+def stream_alert_sinks(spark, sf):
+    """Alerts to two sinks. One fails half way through every batch it sees for the first time, and the stream is started again; each has all rows once."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    alerts = stream_admitted(replay(view(spark, sf, "fx_alerts"), "ts_s", slices=3), limit=20)
+    broke = set()
+
+    def fragile(batch, batch_id):
+        first = batch_id not in broke
+        broke.add(batch_id)
+        tb.batch_sink(f"{base}/second")(batch.where(F.col("id") % 2 == 0) if first else batch, batch_id)
+        if first:
+            raise RuntimeError("broke off")
+
+    sinks = {"first": tb.batch_sink(f"{base}/first"), "second": fragile}
+    with state_store(spark):
+        for _ in range(10):
+            run = start_alert_sinks(alerts, sinks, f"{base}/state", manifest=f"{base}/manifest", availableNow=True)
+            try:
+                run.awaitTermination()
+                break
+            except StreamingQueryException:  # the batch comes again
+                pass
+    rows = [spark.read.parquet(f"{base}/{name}").drop("batch_id").withColumn("sink", F.lit(name)) for name in sinks]
+    return rows[0].unionByName(rows[1])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -84,19 +85,69 @@ def outbox_sink(path: str, channel: str, min_severity: str | None = None) -> Cal
     return write
 
 
-def fan_out(sinks: list[Callable[[DataFrame, int], None]], failures: list | None = None) -> Callable[[DataFrame, int], None]:
-    """One batch to every sink; a failing sink is recorded and does not stop the others."""
+def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch sink whose table has a folder per batch: a batch that is written again replaces what the first try left."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write
+
+
+class Manifest:
+    """Which sink has taken which batch: a table (sink, batch_id), a row for each."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def taken(self, spark: SparkSession, batch_id: int) -> set[str]:
+        try:
+            rows = spark.read.schema("sink string, batch_id bigint").parquet(self.path)
+        except AnalysisException:  # no batch yet
+            return set()
+        return {r["sink"] for r in rows.where(F.col("batch_id") == batch_id).select("sink").distinct().collect()}  # as many as there are sinks
+
+    def add(self, spark: SparkSession, sink: str, batch_id: int) -> None:
+        rows = spark.createDataFrame([(sink, batch_id)], "sink string, batch_id bigint")
+        rows.coalesce(1).write.mode("append").parquet(self.path)
+
+
+def fan_out(
+    sinks: list[Callable[[DataFrame, int], None]] | dict[str, Callable[[DataFrame, int], None]],
+    failures: list | None = None,
+    manifest: str | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """One batch to every sink; a failing sink is recorded (and logged) and does not stop the others.
+
+    With a ``manifest`` (a table's path) and named sinks, a batch that comes again goes only to the sinks that have not taken it, and
+    a batch that some sink has not taken fails in the end, so that the stream brings it again. A sink that writes by batch
+    (``batch_sink``) then has every row once, wherever the run broke.
+    """
+    named = sinks if isinstance(sinks, dict) else {f"{i} {getattr(s, '__name__', 'sink')}": s for i, s in enumerate(sinks)}
+    book = Manifest(manifest) if manifest else None
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        taken = book.taken(spark, batch_id) if book else set()
+        missed = []
         batch.persist()
         try:
-            for sink in sinks:
+            for name, sink in named.items():
+                if name in taken:
+                    continue
                 try:
                     sink(batch, batch_id)
                 except Exception as e:
+                    missed.append(name)
+                    logging.getLogger(__name__).warning("sink %s did not take batch %s: %s", name, batch_id, e)
                     if failures is not None:
                         failures.append((batch_id, getattr(sink, "__name__", "sink"), str(e)))
+                else:
+                    if book:
+                        book.add(spark, name, batch_id)
         finally:
             batch.unpersist()
+        if book and missed:
+            raise RuntimeError(f"batch {batch_id} was not taken by {', '.join(missed)}")
 
     return write

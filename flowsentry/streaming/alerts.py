@@ -64,9 +64,13 @@ def stream_admitted(
 
 
 def start_alert_sinks(
-    alerts: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, failures: list | None = None, **trigger
+    alerts: DataFrame,
+    sinks: list[Callable[[DataFrame, int], None]] | dict[str, Callable[[DataFrame, int], None]],
+    checkpoint: str,
+    failures: list | None = None,
+    manifest: str | None = None,
+    **trigger,
 ) -> StreamingQuery:
-    """Every admitted alert batch to every sink."""
-    writer = alerts.writeStream.foreachBatch(fan_out(sinks, failures)).option("checkpointLocation", checkpoint)
+    """Every admitted alert batch to every sink; with a ``manifest``, once to each (see ``fan_out``)."""
+    writer = alerts.writeStream.foreachBatch(fan_out(sinks, failures, manifest)).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
-

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsentry.plans.storage import checkpoint_dir
 from flowsentry.streaming.state import END_SHIFT_US, ROCKS, STATE_STORE
@@ -47,23 +49,29 @@ def written(part: DataFrame, files: int, folder: str) -> None:
         part.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(folder)
 
 
-def run_to_table(stream: DataFrame, state_partitions: int | None = None) -> DataFrame:
-    """Runs the stream over what is there and returns what it wrote.
+@contextmanager
+def state_store(spark: SparkSession, state_partitions: int | None = None) -> Iterator[None]:
+    """Settings for streams that are started inside: the state store, and how many parts keyed state has (default: the cluster's parallelism).
 
-    Keyed state is split into ``state_partitions`` (default: the cluster's parallelism);
-    the number is fixed when the stream first starts.
+    A stream keeps its own copy of the settings; the number of parts is fixed when it first starts.
     """
+    wanted = {"spark.sql.shuffle.partitions": str(state_partitions or spark.sparkContext.defaultParallelism), STATE_STORE: ROCKS}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def run_to_table(stream: DataFrame, state_partitions: int | None = None) -> DataFrame:
+    """Runs the stream over what is there and returns what it wrote."""
     spark, folder = stream.sparkSession, _new_folder(stream)
     writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows")
     writer = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    store = spark.conf.get(STATE_STORE)
-    spark.conf.set("spark.sql.shuffle.partitions", state_partitions or spark.sparkContext.defaultParallelism)
-    spark.conf.set(STATE_STORE, ROCKS)
-    try:
-        query = writer.start()  # the stream keeps its own copy of the settings
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-        spark.conf.set(STATE_STORE, store)
+    with state_store(spark, state_partitions):
+        query = writer.start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
