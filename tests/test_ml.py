@@ -205,3 +205,28 @@ def test_column_discovery(spark):
     assert src.discover_flow_columns(df) == {
         "label": "LABEL", "src_ip": "SRC_IP", "dst_ip": "dst ip", "dst_port": "Dst Port", "protocol": "Protocol"
     }
+
+
+def test_figures_equal_plain_counts(spark, sf):
+    """The queries that no SQL can tell: report and scores of the trained models against counts over the scored rows."""
+    from flowsentry import dims, queries as q
+
+    rows = ensemble_vote(q.trained(spark, sf)[1]).collect()
+    figures = {(r.model, r.name): r for r in q.QUERIES["model_figures"](spark, sf).collect()}
+    y = np.array([r.binary_label for r in rows])
+    for model in ("if", "rf", "ae", "ensemble"):
+        score = np.array([r.confidence if model == "ensemble" else r[f"{model}_score"] for r in rows], float)
+        hit = np.array([r.predicted for r in rows]) == 1 if model == "ensemble" else score >= dims.VOTE_THRESHOLDS[model]
+        both, found, real = (hit & (y == 1)).sum(), hit.sum(), (y == 1).sum()
+        attack = figures[model, "ATTACK"]
+        assert attack.support == real and attack.recall == pytest.approx(both / real)
+        assert attack.precision == pytest.approx(both / found if found else 0.0)
+        pairs = (score[y == 1][:, None] > score[y == 0][None, :]) + 0.5 * (score[y == 1][:, None] == score[y == 0][None, :])
+        assert attack.auc == pytest.approx(pairs.mean())
+    scored = q.QUERIES["flow_scores"](spark, sf).collect()
+    assert len({r.flow_id for r in scored}) == len(scored) == q.flow_table(spark, sf).count()
+    for r in scored:
+        votes = sum(r[f"{m}_score"] >= dims.VOTE_THRESHOLDS[m] for m in ("if", "rf", "ae"))
+        assert (r.votes, r.predicted) == (votes, int(votes >= dims.VOTES_NEEDED))
+    weights = [r.importance for r in q.QUERIES["importance_figures"](spark, sf).collect()]
+    assert len(weights) == 24 and sum(weights) == pytest.approx(1) and max(weights) > 0.05
