@@ -1,11 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Learning reads a bounded number of labelled rows. Spark counts, over all of them, in how many toxic and other texts
-each term (a word, or the beginning of one) stands, and keeps the terms most tied to the toxic label; a text is
-the TF-IDF vector of those. The examples' vectors are indexed by term, in blocks; each term keeps its largest
-weight in each block. A query visits blocks by falling upper bound and stops when no bound reaches its k-th best
-cosine, so what it returns is exactly the k nearest. Their votes, weighted by nearness, become a probability by a
-monotone map fitted on votes of examples about each other. The neighbours are the evidence.
+each term stands. All words of those texts are terms, those of clean texts too; beginnings of words and repeats within a text are
+terms where they are tied to a label. A text is the vector of its terms' frequencies times their inverse document frequencies, each times
+1 + the root of its log-likelihood ratio with the label, so that words which tell the labels apart weigh most and no word weighs nothing.
+
+The examples' vectors are indexed by term. Short lists are read whole. A list that holds a large part of the examples is kept
+as a column, and by its largest weight in each block of neighbouring examples; a query visits groups of blocks by falling upper
+bound and stops when no bound reaches its k-th best cosine, so what it returns is exactly the k nearest. Their votes,
+weighted by nearness, become a probability by a monotone map fitted on votes of examples about each other. The
+neighbours are the evidence.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +38,17 @@ BEGINNINGS, LEVELS = range(4, 9), (2, 3, 5)
 class Settings:
     """``fit_rows``: the documented bound of labelled rows that are used, the first by a hash of their id.
 
-    ``vocabulary``: most terms kept; ``least``: texts a term must stand in; ``tie``: least log-likelihood ratio with the label;
-    ``neighbours``: k; ``near``: added to a neighbour's distance before it divides the vote.
+    ``tie``: log-likelihood ratio with the label from which on a beginning of a word, or a repeat, is a term (words always are);
+    ``alike``: Jaccard similarity of three-word sets from which on a row is a copy; ``neighbours``: k; ``near``: added to a
+    neighbour's distance before it divides the vote; ``block``: examples that share a bound.
     """
 
     fit_rows: int = 20_000
-    vocabulary: int = 1024
-    least: int = 5
     tie: float = 40.0
+    alike: float = 0.8
     neighbours: int = 15
     near: float = 0.1
-    block: int = 64
+    block: int = 8
 
 
 def terms_of(part: str) -> list[str]:
@@ -60,47 +65,74 @@ def levels(term: str, count: int) -> list[str]:
     return [term, *(f"{term}*{n}" for n in LEVELS if count >= n)]
 
 
+#: A list that holds one example in COMMON or more is a column; blocks that are scored together; lists read one by one from a length on.
+COMMON, GROUP, LONG = 8, 32, 256
+
+
 class BlockMaxIndex:
     """Unit vectors, as (term numbers, weights), under their places in a list."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int):
-        self.block, self.size = block, len(vectors)
-        blocks = max(1, -(-len(vectors) // block))
-        number = np.concatenate([np.full(len(t), i) for i, (t, _) in enumerate(vectors)] or [np.zeros(0, int)]).astype("i4")
-        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, int)]).astype("i4")
-        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        cell = term.astype("i8") * blocks + number // block
-        order = np.lexsort((number, cell))
-        self.number, self.weight = number[order], weight[order]
-        self.start = np.searchsorted(cell[order], np.arange(terms * blocks + 1)).reshape(-1)
-        most = np.zeros(terms * blocks)
-        np.maximum.at(most, cell, weight)
-        self.most, self.blocks = most.reshape(terms, blocks), blocks
+        self.size, self.block = len(vectors), block
+        place = np.repeat(np.arange(self.size, dtype="i4"), [len(t) for t, _ in vectors])
+        term = np.concatenate([np.zeros(0, "i4"), *(t for t, _ in vectors)]).astype("i4")
+        weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        groups = max(1, -(-self.size // (block * GROUP)))
+        self.room = groups * GROUP * block
+        order = np.argsort(term, kind="stable")
+        lists = np.bincount(term, minlength=terms)
+        common = np.flatnonzero(lists >= max(1.0, self.size / COMMON))
+        self.column = np.full(terms, -1, "i4")
+        self.column[common] = np.arange(len(common))
+        inside = self.column[term[order]]
+        self.dense = np.zeros((self.room, len(common)))
+        self.dense[place[order][inside >= 0], inside[inside >= 0]] = weight[order][inside >= 0]
+        self.most = np.ascontiguousarray(self.dense.reshape(-1, block, len(common)).max(1).T) if len(common) else np.zeros((0, self.room // block))
+        self.place, self.weight = place[order][inside < 0], weight[order][inside < 0]
+        lists[common] = 0
+        self.start = np.concatenate([[0], np.cumsum(lists)])
+
+    def from_short(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the lists that are no columns give each example."""
+        first, n = self.start[terms], self.start[terms + 1] - self.start[terms]
+        brief = n < LONG
+        f, m, w = first[brief], n[brief], weights[brief]
+        at = np.arange(int(m.sum())) + np.repeat(f - (np.cumsum(m) - m), m)
+        got = np.bincount(self.place[at], self.weight[at] * np.repeat(w, m), self.room)
+        for i, size, w in zip(first[~brief].tolist(), n[~brief].tolist(), weights[~brief].tolist()):
+            got[self.place[i : i + size]] += w * self.weight[i : i + size]  # a list names an example once
+        return got
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k largest (cosine, place) above 0, by falling cosine, then place."""
-        bound = weights @ self.most[terms]
+        """The k largest (cosine, place) above 0, by falling cosine, then place; ``without`` is left out."""
+        column = self.column[terms]
+        wide = column >= 0
+        short = self.from_short(terms[~wide], weights[~wide])
+        query = np.zeros(self.dense.shape[1])
+        query[column[wide]] = weights[wide]
+        bound = short.reshape(-1, self.block).max(1) + weights[wide] @ self.most[column[wide]]
+        group, size = bound.reshape(-1, GROUP).max(1), GROUP * self.block
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) >= k and bound[b] < best[-1][0] - 1e-9:
+        for g in np.argsort(-group, kind="stable").tolist():
+            floor = best[-1][0] - 1e-9 if len(best) >= k else 0.0
+            if group[g] <= 0 or group[g] < floor:
                 break
-            got = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                i, j = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                got[self.number[i:j] - b * self.block] += w * self.weight[i:j]
-            floor = best[-1][0] if len(best) >= k else 0.0
-            for i in np.flatnonzero((got >= floor) & (got > 0)).tolist():
-                if b * self.block + i != without:
-                    best.append((float(got[i]), b * self.block + i))
+            cosine = short[g * size : g * size + size] + np.einsum("ij,j->i", self.dense[g * size : g * size + size], query)
+            if without // size == g:
+                cosine[without % size] = 0.0
+            if len(best) < k < size:  # of a first group, what can be among its own k best
+                floor = np.partition(cosine, -k)[-k] - 1e-9
+            found = np.flatnonzero((cosine >= floor) & (cosine > 0))
+            best += zip(cosine[found].round(12).tolist(), (found + g * size).tolist())
             best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
         return best
 
 
 class Model:
-    """Vocabulary, examples and calibration; small enough to broadcast: its size is bounded by ``Settings``."""
+    """Terms, examples and calibration; small enough to broadcast: its size is bounded by ``fit_rows`` texts."""
 
-    def __init__(self, terms: dict[str, int], idf: np.ndarray, how: Settings, empty: float):
-        self.terms, self.idf, self.how, self.empty = terms, idf, how, empty
+    def __init__(self, terms: dict[str, int], factor: np.ndarray, how: Settings, empty: float):
+        self.terms, self.factor, self.how, self.empty = terms, factor, how, empty
         self.places: list[int] = []
         self.toxic = np.zeros(0)
         self.index = BlockMaxIndex([], max(1, len(terms)), how.block)
@@ -108,32 +140,36 @@ class Model:
 
     def reader(self):
         """A function from texts to (term, count) pairs, with a memory of its own."""
-        bases = sorted({t.rpartition("*")[0] or t for t in self.terms})
-        number = {t: i for i, t in enumerate(bases)}
-        kept = [[(n, i) for n, t in zip((1, *LEVELS), levels(b, LEVELS[-1])) if (i := self.terms.get(t)) is not None] for b in bases]
-        known = Memo(lambda part: tuple(number[t] for t in terms_of(part) if t in number), 300_000)
+        terms = self.terms
+        levelled = {t.rpartition("*")[0] for t in terms if "*" in t}
+        repeats = {terms[b]: [(n, i) for n in LEVELS if (i := terms.get(f"{b}*{n}")) is not None] for b in levelled if b in terms}
+        known = Memo(lambda part: tuple(terms[t] for t in terms_of(part) if t in terms), 100_000)
 
         def read(text: str) -> tuple[tuple[int, int], ...]:
-            hits = list(filter(None, map(known.__getitem__, text.split())))
+            counts = Counter(chain.from_iterable(map(known.__getitem__, text.split())))
             known.trim()
-            counts = Counter(i for h in hits for i in h)
-            return tuple(sorted((term, c if n == 1 else 1) for b, c in counts.items() for n, term in kept[b] if c >= n))
+            more = [(i, 1) for t in repeats.keys() & counts.keys() for n, i in repeats[t] if counts[t] >= n]
+            return tuple(sorted([*counts.items(), *more]))
 
         return read
 
     def vector(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array([t for t, _ in counts], int)
-        w = np.array([1 + math.log(n) for _, n in counts]) * self.idf[terms]
+        return self.weighed(*np.array(counts, "i8").T)
+
+    def weighed(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.factor[terms]
         return terms, w / math.sqrt(float(w @ w))
 
-    def vote(self, counts, without: int = -1) -> tuple[float | None, list[tuple[float, int]]]:
-        if not counts:
-            return None, []
-        near = self.index.top(*self.vector(counts), self.how.neighbours, without)
+    def ballot(self, near: list[tuple[float, int]]) -> float | None:
+        """Share of toxic ones among (cosine, place), by nearness."""
         if not near:
-            return None, []
+            return None
         w = [1 / (1 - min(1.0, s) + self.how.near) for s, _ in near]
-        return sum(x * self.toxic[i] for x, (_, i) in zip(w, near)) / sum(w), near
+        return float(sum(x * self.toxic[i] for x, (_, i) in zip(w, near)) / sum(w))
+
+    def vote(self, counts) -> tuple[float | None, list[tuple[float, int]]]:
+        near = self.index.top(*self.vector(counts), self.how.neighbours) if counts else []
+        return self.ballot(near), near
 
     def score(self, vote: float | None) -> float:
         return self.empty if vote is None else float(np.interp(vote, *self.steps))
@@ -152,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), id_col:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.fit_rows)
     )
     rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", (F.col("toxic") != 0).cast("int").alias("toxic"))
-    rows = materialize(one_of_copies(materialize(rows)))
+    rows = materialize(one_of_copies(rows, how.alike))
     counted = pa.schema([("term", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,16 +223,18 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), id_col:
     kept = (
         rows.select("text", "toxic").mapInArrow(count, "term string, toxic long, clean long")
         .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter((a + b >= how.least) & (a * n0 > b * n1)).select("term", (a + b).alias("df"), tie.alias("tie"))
-        .filter(F.col("tie") >= how.tie).orderBy(F.desc("tie"), "term").limit(how.vocabulary).collect()
+        .select("term", (a + b).alias("df"), F.greatest(tie, F.lit(0.0)).alias("tie"))
+        .filter(~F.col("term").rlike(r"[\^*]") | (F.col("tie") >= how.tie)).toArrow().sort_by("term")
     )
-    terms = {r["term"]: i for i, r in enumerate(kept)}
-    model = Model(terms, np.array([math.log((1 + n) / (1 + r["df"])) + 1 for r in kept]), how, 0.0)
+    df, ties = kept["df"].to_numpy(), kept["tie"].to_numpy()
+    model = Model(dict(zip(kept["term"].to_pylist(), range(len(df)))), (np.log((1 + n) / (1 + df)) + 1) * (1 + np.sqrt(ties)), how, 0.0)
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(model)
     shape = "doc_id long, toxic int, terms array<int>, counts array<int>"
     arrow = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 
     def vectors(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = model.reader()
+        read = held.value.reader()
 
         def each():
             for frame in frames:
@@ -204,46 +242,65 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), id_col:
                     if counts := read(text.as_py()):
                         yield i, toxic, [t for t, _ in counts], [c for _, c in counts]
 
-        yield from batches(each(), arrow)
-
-    # neighbours in the list share their heaviest term, which keeps block maxima apart
-    examples = [(r["doc_id"], r["toxic"], tuple(zip(r["terms"], r["counts"]))) for r in rows.mapInArrow(vectors, shape).collect()]
-    unit = [model.vector(c) for *_, c in examples]
-    order = sorted(range(len(examples)), key=lambda i: (int(unit[i][0][unit[i][1].argmax()]), examples[i]))
-    model.places = [examples[i][0] for i in order]
-    model.toxic = np.array([examples[i][1] for i in order], float)
-    model.index = BlockMaxIndex([unit[i] for i in order], max(1, len(terms)), how.block)
+        yield from batches(each(), arrow, lambda row: 8 * len(row[2]))
+
+    vectors_of = materialize(rows.mapInArrow(vectors, shape))
+    got = vectors_of.toArrow()
+    held.unpersist()
+    terms, counts = (got[c].combine_chunks() for c in ("terms", "counts"))
+    cuts = np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+    flat = (np.split(c.flatten().to_numpy(), cuts) for c in (terms, counts))
+    unit = [model.weighed(t, c) for t, c in zip(*flat)] if len(got) else []
+    ids, toxic = got["doc_id"].to_pylist(), got["toxic"].to_pylist()
+    # neighbours in the list share their most frequent term, mostly of their language, and their heaviest, which keeps block maxima apart
+    order = sorted(range(len(unit)), key=lambda i: (int(unit[i][0][df[unit[i][0]].argmax()]), -toxic[i], int(unit[i][0][unit[i][1].argmax()]), ids[i]))
+    model.places = [ids[i] for i in order]
+    model.toxic = np.array([toxic[i] for i in order], float)
+    model.index = BlockMaxIndex([unit[i] for i in order], max(1, len(df)), how.block)
     seen = int(model.toxic.sum())
     model.empty = (n1 - seen + 0.5) / (n - len(order) + 1)
-    calibrate(docs.sparkSession, model, [examples[i][2] for i in order])
+    calibrate(vectors_of, model)
     return model
 
 
-def one_of_copies(rows: DataFrame) -> DataFrame:
-    """One row for each least hash of three words: copies mostly share it, and would tie their own words to the label."""
+def one_of_copies(rows: DataFrame, alike: float) -> DataFrame:
+    """Without copies: of rows of one label whose least hash of three words is the same, those like the first one.
+
+    ``alike`` is the Jaccard similarity with the first row's set of three-word hashes. Copies would tie their own words to the label.
+    """
     words = F.col("words")
-    least = F.array_min(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))))
+    three = F.array_distinct(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))))
     split = rows.select("doc_id", "text", "toxic", once(F.struct(F.split("text", r"\s+").alias("words"))))
-    keyed = split.select("doc_id", "text", "toxic", least.alias("key"))
-    first = keyed.groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    return keyed.join(first, ["key", "toxic", "doc_id"], "left_semi").select("doc_id", "text", "toxic")
+    keyed = materialize(split.select("doc_id", "text", "toxic", three.alias("three")).withColumn("key", F.array_min("three")))
+    first = keyed.groupBy("key", "toxic").agg(F.min("doc_id").alias("first"))
+    owner = keyed.join(first.withColumnRenamed("first", "doc_id"), ["key", "toxic", "doc_id"]).groupBy("key", "toxic").agg(
+        F.min("doc_id").alias("first"), F.min_by("three", F.xxhash64("three")).alias("firsts")
+    )
+    both = F.size(F.array_intersect("three", "firsts"))
+    copy = (F.col("doc_id") != F.col("first")) & (both >= alike * (F.size("three") + F.size("firsts") - both))
+    return keyed.join(owner, ["key", "toxic"]).filter(~copy).select("doc_id", "text", "toxic")
 
 
-def calibrate(spark, model: Model, counts: list) -> None:
-    """Steps from votes to shares of toxic examples, each example voted on by the others; shares may not fall."""
-    if not counts:
+def calibrate(vectors: DataFrame, model: Model) -> None:
+    """Steps from votes to shares of toxic examples, each example voted on by those of other ids; shares may not fall."""
+    if not model.places:
         return
-    held = spark.sparkContext.broadcast((model, counts))
+    held = vectors.sparkSession.sparkContext.broadcast(model)
 
     def votes(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, all_counts = held.value
+        m = held.value
+        ids, k = np.array(m.places), m.how.neighbours
         for frame in frames:
-            numbers = frame.column(0).to_pylist()
-            got = [m.vote(all_counts[i], i)[0] for i in numbers]
-            yield pa.RecordBatch.from_pydict({"bin": pa.array([None if v is None else round(v * 50) for v in got], pa.int32()), "toxic": pa.array([int(m.toxic[i]) for i in numbers], pa.int32())})
+            bins = []
+            for i, terms, counts in zip(frame.column(0).to_pylist(), frame.column(2), frame.column(3)):
+                unit = m.weighed(terms.values.to_numpy(), counts.values.to_numpy())
+                own = set(np.flatnonzero(ids == i).tolist())
+                vote = m.ballot([x for x in m.index.top(*unit, k + len(own)) if x[1] not in own][:k])
+                bins.append(None if vote is None else round(vote * 50))
+            yield pa.RecordBatch.from_pydict({"bin": pa.array(bins, pa.int32()), "toxic": frame.column(1)})
 
     bins = (
-        spark.range(len(counts)).repartition(max(1, min(64, len(counts) // 200))).mapInArrow(votes, "bin int, toxic int")
+        vectors.repartition(max(1, min(64, len(model.places) // 200))).mapInArrow(votes, "bin int, toxic int")
         .filter("bin is not null").groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).orderBy("bin").collect()
     )
     pools: list[list[float]] = []  # adjacent bins that would fall are pooled
@@ -268,16 +325,27 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(near))])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         m = held.value
         read = m.reader()
-        known = Memo(m.vote, 50_000)
+
+        def found(text: str) -> tuple[float, list[dict]]:
+            vote, near = m.vote(read(text))
+            return m.score(vote), [{"doc_id": m.places[i], "similarity": s, "toxic": int(m.toxic[i])} for s, i in near]
+
+        known: dict[bytes, tuple[float, list[dict]]] = {}  # copies of a text are looked up once
 
         def each():
             for frame in frames:
-                for doc_id, text in zip(frame.column(0).to_pylist(), frame.column(1)):
-                    vote, found = known[read(text.as_py())]
-                    known.trim()
-                    yield doc_id, m.score(vote), [{"doc_id": m.places[i], "similarity": s, "toxic": int(m.toxic[i])} for s, i in found]
+                for doc_id, value in zip(frame.column(0).to_pylist(), frame.column(1)):
+                    text = value.as_py()
+                    digest = xxhash.xxh3_128_digest(text)
+                    if digest not in known:
+                        if len(known) >= 4_000:
+                            known.clear()
+                        known[digest] = found(text)
+                    yield doc_id, *known[digest]
 
         yield from batches(each(), schema)
 

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -32,6 +34,77 @@ def test_block_max_search_is_exact(seed):
             assert {i for s, i in got if s > least} == {i for s, i in want if s > least}
 
 
+def test_search_over_many_groups_is_exact():
+    r = np.random.default_rng(7)
+    vectors = []
+    for i in range(2500):
+        t = np.unique(np.concatenate([r.integers(0, 12, 6) + 12 * (i // 900), r.integers(40, 3000, 8)]))
+        w = r.random(len(t)) + 0.1
+        vectors.append((t, w / np.sqrt(w @ w)))
+    index = tx.BlockMaxIndex(vectors, 3000, 4)
+    assert (index.column >= 0).any() and index.room > 8 * tx.GROUP * 4
+    dense = np.zeros((len(vectors), 3000))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for q in range(0, 2500, 83):
+        scores = dense @ dense[q]
+        scores[q] = 0
+        want = sorted(np.flatnonzero(scores > 1e-9), key=lambda i: (-scores[i].round(12), i))[:15]
+        got = index.top(*vectors[q], 15, q)
+        assert [i for _, i in got] == [int(i) for i in want] and np.allclose([c for c, _ in got], scores[want])
+
+
+def plain_vectors(texts, labels):
+    """Vectors of texts by the definition, from the texts with labels among them."""
+    learned = [(Counter(x for part in texts[i].split() for x in tx.terms_of(part)), y) for i, y in labels]
+    every = [({x for t, c in counts.items() for x in tx.levels(t, c)}, y) for counts, y in learned]
+    n, n1 = len(every), sum(y for _, y in every)
+    cells = Counter((t, y) for terms, y in every for t in terms)
+    factor = {}
+    for t in {t for t, _ in cells}:
+        a, b = cells[t, 1], cells[t, 0]
+        table = [(a, (a + b) * n1 / n), (b, (a + b) * (n - n1) / n), (n1 - a, (n - a - b) * n1 / n), (n - n1 - b, (n - a - b) * (n - n1) / n)]
+        tie = max(0.0, 2 * sum(x * math.log(x / h) for x, h in table if x))
+        if tie >= 40 or not set("^*") & set(t):
+            factor[t] = (math.log((1 + n) / (1 + a + b)) + 1) * (1 + math.sqrt(tie))
+
+    def vector(text):
+        counts = Counter(x for part in text.split() for x in tx.terms_of(part))
+        w = {x: (1 + math.log(c if x == t else 1)) * factor[x] for t, c in counts.items() for x in tx.levels(t, c) if x in factor}
+        size = math.sqrt(sum(v * v for v in w.values()))
+        return {t: v / size for t, v in w.items()}
+
+    return vector
+
+
+def test_scores_and_evidence_equal_brute_force(spark):
+    docs, labels = planted(spark, 400)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    known = [(r.doc_id, r.toxic) for r in labels.collect() if r.doc_id in text and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    vector, toxic = plain_vectors(text, known), dict(known)
+    unit = {i: vector(t) for i, t in text.items()}
+    model = tx.fit(docs, labels)
+    assert sorted(model.places) == sorted(toxic)
+    seen = 0
+    for r in tx.score(docs, model).collect():
+        cosine = {j: sum(w * unit[j].get(t, 0.0) for t, w in unit[r.doc_id].items()) for j in toxic}
+        best = sorted(cosine.values(), reverse=True)[:15]
+        assert np.allclose([e.similarity for e in r.evidence], best)
+        assert all(abs(cosine[e.doc_id] - e.similarity) < 1e-9 and e.toxic == toxic[e.doc_id] for e in r.evidence)
+        w = [1 / (1 - min(1, e.similarity) + 0.1) for e in r.evidence]
+        assert r.score == pytest.approx(np.interp(sum(x * e.toxic for x, e in zip(w, r.evidence)) / sum(w), *model.steps))
+        seen += len(r.evidence)
+    assert seen == 15 * len(text)
+
+
+def test_copies_go_only_if_alike(spark):
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, same, 1), (2, same + " more", 1), (3, same, 0), (4, "w0 w1 w2", 1), (5, "w0 w1 w2 other", 1), (6, "", 0), (6, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    left = sorted(r.doc_id for r in tx.one_of_copies(df, 0.8).collect())
+    assert left == [1, 3, 4, 5, 6, 6]  # 4 and 5 share one of three; rows that repeat an id stay
+
+
 def planted(spark, n=1200):
     r = random.Random(2)
     rows, labels = [], []
@@ -77,4 +150,6 @@ def test_held_out_accuracy(spark):
     held = [(got[i].predicted, y) for i, y in labels.items() if got[i].held_out]
     right = sum(p == y for p, y in held)
     clean = [p for p, y in held if not y]
+    words = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").filter("text rlike '[A-Za-z]'").collect()}
+    assert sum(bool(got[i].evidence) for i in words) >= 0.99 * len(words)
     assert right >= 0.93 * len(held) and sum(clean) <= 0.02 * len(clean)
