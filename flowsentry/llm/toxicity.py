@@ -15,7 +15,9 @@ neighbours are the evidence.
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -129,14 +131,39 @@ class BlockMaxIndex:
 
 
 class Model:
-    """Terms, examples and calibration; small enough to broadcast: its size is bounded by ``fit_rows`` texts."""
+    """Terms, examples and calibration; small enough to broadcast: its size is bounded by ``fit_rows`` texts.
+
+    It travels as terms and the examples' counts, compressed; a worker builds the index again.
+    """
 
     def __init__(self, terms: dict[str, int], factor: np.ndarray, how: Settings, empty: float):
         self.terms, self.factor, self.how, self.empty = terms, factor, how, empty
-        self.places: list[int] = []
-        self.toxic = np.zeros(0)
-        self.index = BlockMaxIndex([], max(1, len(terms)), how.block)
         self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+        self.shared = None
+        self.learn([], [], [])
+
+    def learn(self, places: list[int], toxic: list[int], counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Takes the examples: ids, labels, and (term numbers, counts)."""
+        self.places, self.toxic, self.counts = places, np.array(toxic, float), counts
+        self.index = BlockMaxIndex([self.weighed(*c) for c in counts], max(1, len(self.terms)), self.how.block)
+
+    def __getstate__(self):
+        flat = [np.concatenate([np.zeros(0, "i4"), *(c[i] for c in self.counts)]).astype("i4") for i in (0, 1)]
+        sizes = [len(t) for t, _ in self.counts]
+        state = (list(self.terms), self.factor, self.how, self.empty, self.steps, self.places, self.toxic, sizes, np.diff(flat[0], prepend=np.int32(0)), flat[1])
+        return zlib.compress(pickle.dumps(state), 1)
+
+    def __setstate__(self, state):
+        terms, self.factor, self.how, self.empty, self.steps, places, toxic, sizes, steps, counts = pickle.loads(zlib.decompress(state))
+        self.terms, self.shared = dict(zip(terms, range(len(terms)))), None
+        cuts = np.cumsum(sizes, dtype="i8")[:-1]
+        flat = np.cumsum(steps, dtype="i4"), counts
+        self.learn(places, toxic, list(zip(*(np.split(f, cuts) for f in flat))) if sizes else [])
+
+    def share(self, spark):
+        """One broadcast for calibration and scoring."""
+        self.shared = self.shared or spark.sparkContext.broadcast(self)
+        return self.shared
 
     def reader(self):
         """A function from texts to (term, count) pairs, with a memory of its own."""
@@ -250,13 +277,12 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), id_col:
     terms, counts = (got[c].combine_chunks() for c in ("terms", "counts"))
     cuts = np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))[:-1]
     flat = (np.split(c.flatten().to_numpy(), cuts) for c in (terms, counts))
-    unit = [model.weighed(t, c) for t, c in zip(*flat)] if len(got) else []
+    examples = list(zip(*flat)) if len(got) else []
+    heaviest = [int(t[model.weighed(t, c)[1].argmax()]) for t, c in examples]
     ids, toxic = got["doc_id"].to_pylist(), got["toxic"].to_pylist()
     # neighbours in the list share their most frequent term, mostly of their language, and their heaviest, which keeps block maxima apart
-    order = sorted(range(len(unit)), key=lambda i: (int(unit[i][0][df[unit[i][0]].argmax()]), -toxic[i], int(unit[i][0][unit[i][1].argmax()]), ids[i]))
-    model.places = [ids[i] for i in order]
-    model.toxic = np.array([toxic[i] for i in order], float)
-    model.index = BlockMaxIndex([unit[i] for i in order], max(1, len(df)), how.block)
+    order = sorted(range(len(examples)), key=lambda i: (int(examples[i][0][df[examples[i][0]].argmax()]), -toxic[i], heaviest[i], ids[i]))
+    model.learn([ids[i] for i in order], [toxic[i] for i in order], [examples[i] for i in order])
     seen = int(model.toxic.sum())
     model.empty = (n1 - seen + 0.5) / (n - len(order) + 1)
     calibrate(vectors_of, model)
@@ -270,22 +296,25 @@ def one_of_copies(rows: DataFrame, alike: float) -> DataFrame:
     """
     words = F.col("words")
     three = F.array_distinct(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))))
-    split = rows.select("doc_id", "text", "toxic", once(F.struct(F.split("text", r"\s+").alias("words"))))
-    keyed = materialize(split.select("doc_id", "text", "toxic", three.alias("three")).withColumn("key", F.array_min("three")))
-    first = keyed.groupBy("key", "toxic").agg(F.min("doc_id").alias("first"))
-    owner = keyed.join(first.withColumnRenamed("first", "doc_id"), ["key", "toxic", "doc_id"]).groupBy("key", "toxic").agg(
-        F.min("doc_id").alias("first"), F.min_by("three", F.xxhash64("three")).alias("firsts")
-    )
+    hashed = lambda df: df.select(
+        *df.columns, once(F.struct(F.split("text", r"\s+").alias("words")))
+    ).select(*df.columns, three.alias("three"))
+    keyed = materialize(hashed(rows).select("doc_id", "text", "toxic", F.array_min("three").alias("key")))
+    shared = keyed.groupBy("key", "toxic").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # at most half as many keys as rows, which ``fit_rows`` bounds
+    placed = keyed.join(F.broadcast(shared), ["key", "toxic"], "left")
+    members = hashed(placed.filter("doc_id <> first"))
+    owners = hashed(placed.filter("doc_id = first")).groupBy("key", "toxic").agg(F.min_by("three", F.xxhash64("three")).alias("firsts"))
     both = F.size(F.array_intersect("three", "firsts"))
-    copy = (F.col("doc_id") != F.col("first")) & (both >= alike * (F.size("three") + F.size("firsts") - both))
-    return keyed.join(owner, ["key", "toxic"]).filter(~copy).select("doc_id", "text", "toxic")
+    other = members.join(owners, ["key", "toxic"]).filter(both < alike * (F.size("three") + F.size("firsts") - both))
+    return placed.filter("first is null or doc_id = first").select("doc_id", "text", "toxic").unionByName(other.select("doc_id", "text", "toxic"))
 
 
 def calibrate(vectors: DataFrame, model: Model) -> None:
     """Steps from votes to shares of toxic examples, each example voted on by those of other ids; shares may not fall."""
     if not model.places:
         return
-    held = vectors.sparkSession.sparkContext.broadcast(model)
+    held = model.share(vectors.sparkSession)
 
     def votes(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -320,7 +349,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     A null or empty text, or one without any learned term, gets the share of toxic ones among such examples, and no evidence. Repeated
     rows stay, a null id stays null, an empty table gives an empty result; ties go to the example that stands first.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, empty, steps = model.share(docs.sparkSession), model.empty, model.steps
     near = pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())])
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(near))])
 
@@ -328,6 +357,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         import xxhash
 
         m = held.value
+        m.empty, m.steps = empty, steps  # calibrated after the examples were sent
         read = m.reader()
 
         def found(text: str) -> tuple[float, list[dict]]:
