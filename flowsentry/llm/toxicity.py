@@ -100,7 +100,7 @@ class BlockMaxIndex:
         brief = n < LONG
         f, m, w = first[brief], n[brief], weights[brief]
         at = np.arange(int(m.sum())) + np.repeat(f - (np.cumsum(m) - m), m)
-        got = np.bincount(self.place[at], self.weight[at] * np.repeat(w, m), self.room)
+        got = np.bincount(self.place[at], self.weight[at] * np.repeat(w, m), self.room).astype(float, copy=False)  # of nothing: integers
         for i, size, w in zip(first[~brief].tolist(), n[~brief].tolist(), weights[~brief].tolist()):
             got[self.place[i : i + size]] += w * self.weight[i : i + size]  # a list names an example once
         return got

@@ -54,6 +54,13 @@ def test_search_over_many_groups_is_exact():
         assert [i for _, i in got] == [int(i) for i in want] and np.allclose([c for c, _ in got], scores[want])
 
 
+def test_query_of_long_lists_only():
+    vectors = [(np.array([i % 9, 9 + i % 2000]), np.array([0.6, 0.8])) for i in range(5000)]
+    index = tx.BlockMaxIndex(vectors, 2009, 8)
+    assert index.column[0] < 0 and index.start[1] - index.start[0] >= tx.LONG
+    assert index.top(np.array([0]), np.array([1.0]), 3) == [(0.6, 0), (0.6, 9), (0.6, 18)]
+
+
 def plain_vectors(texts, labels):
     """Vectors of texts by the definition, from the texts with labels among them."""
     learned = [(Counter(x for part in texts[i].split() for x in tx.terms_of(part)), y) for i, y in labels]
