@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -67,8 +68,8 @@ def levels(term: str, count: int) -> list[str]:
     return [term, *(f"{term}*{n}" for n in LEVELS if count >= n)]
 
 
-#: A list that holds one example in COMMON or more is a column; blocks that are scored together; lists read one by one from a length on.
-COMMON, GROUP, LONG = 8, 32, 256
+#: A list with one example in COMMON or more is a column; blocks in a group; lists are read one by one from a length of LONG on.
+COMMON, GROUP, LONG = 8, 32, 512
 
 
 class BlockMaxIndex:
@@ -87,9 +88,19 @@ class BlockMaxIndex:
         self.column = np.full(terms, -1, "i4")
         self.column[common] = np.arange(len(common))
         inside = self.column[term[order]]
-        self.dense = np.zeros((self.room, len(common)))
-        self.dense[place[order][inside >= 0], inside[inside >= 0]] = weight[order][inside >= 0]
-        self.most = np.ascontiguousarray(self.dense.reshape(-1, block, len(common)).max(1).T) if len(common) else np.zeros((0, self.room // block))
+        self.most = np.zeros((len(common), self.room // block))
+        self.groups = []  # of each group of blocks: columns that are not empty there, and their weights
+        number, size = place[order][inside >= 0], GROUP * block
+        wide, given, by = inside[inside >= 0], weight[order][inside >= 0], np.argsort(number, kind="stable")
+        ends = np.searchsorted(number[by], np.arange(groups + 1) * size)
+        for g in range(groups):
+            own = by[ends[g] : ends[g + 1]]
+            columns, at = np.unique(wide[own], return_inverse=True)
+            cells = np.zeros((size, len(columns)))
+            cells[number[own] - g * size, at] = given[own]
+            self.groups.append((columns, cells))
+            if len(columns):
+                self.most[columns, g * GROUP : g * GROUP + GROUP] = cells.reshape(GROUP, block, -1).max(1).T
         self.place, self.weight = place[order][inside < 0], weight[order][inside < 0]
         lists[common] = 0
         self.start = np.concatenate([[0], np.cumsum(lists)])
@@ -110,23 +121,29 @@ class BlockMaxIndex:
         column = self.column[terms]
         wide = column >= 0
         short = self.from_short(terms[~wide], weights[~wide])
-        query = np.zeros(self.dense.shape[1])
+        query = np.zeros(len(self.most))
         query[column[wide]] = weights[wide]
         bound = short.reshape(-1, self.block).max(1) + weights[wide] @ self.most[column[wide]]
         group, size = bound.reshape(-1, GROUP).max(1), GROUP * self.block
         best: list[tuple[float, int]] = []
+        floor = 1e-300
         for g in np.argsort(-group, kind="stable").tolist():
-            floor = best[-1][0] - 1e-9 if len(best) >= k else 0.0
-            if group[g] <= 0 or group[g] < floor:
+            if group[g] < floor:
                 break
-            cosine = short[g * size : g * size + size] + np.einsum("ij,j->i", self.dense[g * size : g * size + size], query)
+            columns, cells = self.groups[g]
+            cosine = cells @ query[columns]
+            cosine += short[g * size : g * size + size]
             if without // size == g:
                 cosine[without % size] = 0.0
             if len(best) < k < size:  # of a first group, what can be among its own k best
-                floor = np.partition(cosine, -k)[-k] - 1e-9
-            found = np.flatnonzero((cosine >= floor) & (cosine > 0))
-            best += zip(cosine[found].round(12).tolist(), (found + g * size).tolist())
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
+                found = np.flatnonzero(cosine >= max(floor, np.partition(cosine, -k)[-k] - 1e-9))
+            else:
+                found = np.flatnonzero(cosine >= floor)
+            if found.size:
+                best += zip(cosine[found].round(12).tolist(), (found + g * size).tolist())
+                best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
+                if len(best) == k:
+                    floor = max(1e-300, best[-1][0] - 1e-9)
         return best
 
 
@@ -145,7 +162,11 @@ class Model:
     def learn(self, places: list[int], toxic: list[int], counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Takes the examples: ids, labels, and (term numbers, counts)."""
         self.places, self.toxic, self.counts = places, np.array(toxic, float), counts
-        self.index = BlockMaxIndex([self.weighed(*c) for c in counts], max(1, len(self.terms)), self.how.block)
+
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        """Built where it is searched: the driver has no use for it."""
+        return BlockMaxIndex([self.weighed(*c) for c in self.counts], max(1, len(self.terms)), self.how.block)
 
     def __getstate__(self):
         flat = [np.concatenate([np.zeros(0, "i4"), *(c[i] for c in self.counts)]).astype("i4") for i in (0, 1)]
@@ -272,8 +293,8 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), id_col:
         yield from batches(each(), arrow, lambda row: 8 * len(row[2]))
 
     vectors_of = materialize(rows.mapInArrow(vectors, shape))
+    held.destroy()
     got = vectors_of.toArrow()
-    held.unpersist()
     terms, counts = (got[c].combine_chunks() for c in ("terms", "counts"))
     cuts = np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))[:-1]
     flat = (np.split(c.flatten().to_numpy(), cuts) for c in (terms, counts))
