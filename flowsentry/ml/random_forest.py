@@ -9,16 +9,26 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsentry import dims
+from flowsentry.plans.storage import materialize
 
 
-def with_class_weights(train: DataFrame, label: str) -> DataFrame:
-    """weight = n / (2 * n of the row's class)."""
+def weighted_rows(train: DataFrame, label: str, columns: list[str], pieces: int) -> DataFrame:
+    """Rows of equal features and label as one row, or up to ``pieces`` rows, that share their weight; stored, in a fixed order.
+
+    The weight of a row of ``train`` is n / (2 * n of its class). A tree's bootstrap draws pieces, so up to ``pieces`` equal rows are
+    drawn one by one; of more, each draw takes an equal share of them.
+    """
     counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count("*").alias("n")).collect()}  # two rows
     total = sum(counts.values())
     weight = F.lit(1.0)
     for value, n in counts.items():
         weight = F.when(F.col(label) == value, total / (2 * n)).otherwise(weight)
-    return train.withColumn("weight", weight)
+    drawn = F.least(F.col("rows"), F.lit(pieces))
+    order = [label, *columns, "piece"]
+    groups = train.groupBy(label, *columns).agg(F.count("*").alias("rows"))
+    dealt = groups.withColumn("weight", weight * F.col("rows") / drawn).withColumn("piece", F.explode(F.sequence(F.lit(1), drawn.cast("int"))))
+    parts = max(train.sparkSession.sparkContext.defaultParallelism, -(-total // 200_000))
+    return materialize(dealt.repartition(parts, *order).sortWithinPartitions(*order).drop("rows", "piece"))
 
 
 def fit_random_forest(
@@ -29,9 +39,13 @@ def fit_random_forest(
     max_depth: int = 30,
     seed: int = 42,
     memory_mb: int = 1024,
+    pieces: int = 8,
 ) -> PipelineModel:
     """MLlib limits depth to 30; the rest follows the usual classifier defaults.
 
+    All rows count, equal ones together (``weighted_rows``), so a pass reads each different row at most ``pieces`` times.
+    The tree nodes that rows have reached are kept between passes.
+
     Trees grow level by level, one pass per group of nodes that fits ``memory_mb``; labels
     that features hardly explain make them deep and slow, so lower ``max_depth`` there.
     """
@@ -47,9 +61,10 @@ def fit_random_forest(
         predictionCol="rf_class",
         seed=seed,
         maxMemoryInMB=memory_mb,
+        cacheNodeIds=True,
     )
     stages = [VectorAssembler(inputCols=list(columns), outputCol="features"), forest]
-    return Pipeline(stages=stages).fit(with_class_weights(train, label))
+    return Pipeline(stages=stages).fit(weighted_rows(train, label, list(columns), pieces))
 
 
 def score_random_forest(model: PipelineModel, df: DataFrame, name: str = "rf_score") -> DataFrame:

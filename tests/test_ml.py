@@ -9,7 +9,7 @@ from flowsentry.ml import metrics
 from flowsentry.ml.autoencoder import _forward, _gradients, fit_autoencoder, init_weights
 from flowsentry.ml.ensemble import ensemble_vote, ml_to_alert
 from flowsentry.ml.isolation_forest import fit_isolation_forest
-from flowsentry.ml.random_forest import feature_importance, fit_random_forest, score_random_forest
+from flowsentry.ml.random_forest import feature_importance, fit_random_forest, score_random_forest, weighted_rows
 from flowsentry.ml.split import stratified_split
 from flowsentry.ml.training import Models, evaluate, score_flows, train
 from flowsentry.operators import flows as fl, labelled as lb
@@ -65,6 +65,18 @@ def test_random_forest_is_seeded_and_explains(spark, planted):
     assert list(weights) == dims.FEATURES and abs(sum(weights.values()) - 1) < 1e-6
 
 
+def test_random_forest_reads_equal_rows_together(spark, planted):
+    copies = materialize(planted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("row_id") < 700, 30).otherwise(2)))))
+    made = weighted_rows(copies, "binary_label", dims.FEATURES, 8)
+    assert made.count() == 700 * 8 + 800 * 2
+    for sums in made.groupBy("binary_label").agg(F.sum("weight").alias("w")).collect():
+        assert sums.w == pytest.approx(copies.count() / 2)  # both classes weigh the same, and no row is lost
+    one = made.where(F.col(dims.FEATURES[0]) == planted.where("row_id = 11").first()[dims.FEATURES[0]])
+    weight = copies.count() / (2 * copies.where("binary_label = 0").count())
+    assert one.count() == 8 and one.agg(F.sum("weight")).first()[0] == pytest.approx(30 * weight)
+    assert auc(score_random_forest(fit_random_forest(copies, trees=10, max_depth=5), planted), "rf_score") > 0.99
+
+
 def test_autoencoder_gradients():
     w, x = init_weights(6, 1), np.random.default_rng(0).normal(size=(12, 6))
     found = _gradients([a.copy() for a in w], x)
