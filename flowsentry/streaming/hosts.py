@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -21,8 +22,8 @@ class Arrivals(KeyedRows):
     """Processes that a host's last known scan, whatever its number, did not have.
 
     The state is that scan's pids and what is known of the scan that is coming in. With ``end_rows`` a scan's rows wait in the state until
-    its end row or a later scan comes, so parents are found however batches cut a scan; without, rows are judged as they come, by the part of their scan
-    that is there.
+    its end row or a later scan comes, so parents are found however batches cut a scan; those of a scan that begins and ends within the rows at hand
+    do not go through the state. Without, rows are judged as they come, by the part of their scan that is there.
     """
 
     ORDER = ["scan_no", "pid"]
@@ -41,25 +42,33 @@ class Arrivals(KeyedRows):
             scan, known, pids, texts, held = self.kept.get()
             before, names = (set(known) if known is not None else None), dict(zip(pids, texts))
         for frame in self.in_order(rows):
-            for number, part in frame.groupby("scan_no", sort=True):
+            numbers, known = frame["scan_no"].to_numpy("i8"), frame["pid"].notna().to_numpy()
+            pids, parents, texts = np.where(known, frame["pid"], -1).astype("i8").tolist(), frame["ppid"].tolist(), frame["name"].tolist()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(frame)]
+            found, found_parents = [], []
+            for low, high in zip(cuts, cuts[1:]):
+                number = int(numbers[low])
                 if scan is not None and number < scan:
                     continue  # a scan that later ones have replaced
                 if number != scan:
                     if held:
                         yield from self.judged(held, before, names)
-                    before, scan, names, held = (None if scan is None else set(names)), int(number), {}, 0
-                ended = part["pid"].isna().any()
-                part = part[part["pid"].notna()].astype({"pid": "int64"})
-                names.update(zip(part["pid"].tolist(), part["name"].tolist()))
-                if self.end_rows:
-                    if len(part):
-                        self.scan_rows.updateValue((held,), (to_bytes(part),))
-                        held += 1
-                    if ended and held:
-                        yield from self.judged(held, before, names)
-                        held = 0
-                elif before is not None:
-                    yield from fresh(part, before, names)
+                    before, scan, names, held = (None if scan is None else set(names)), number, {}, 0
+                here = low + int(known[low:high].sum())  # end rows come last
+                names.update(zip(pids[low:here], texts[low:here]))
+                if self.end_rows and here == high == len(frame):  # the scan may go on in later rows
+                    self.scan_rows.updateValue((held,), (to_bytes(frame.iloc[low:here].astype({"pid": "int64"})),))
+                    held += 1
+                    continue
+                if held:
+                    yield from self.judged(held, before, names)
+                    held = 0
+                if before is not None:
+                    new = [i for i in range(low, here) if pids[i] not in before]
+                    found += new
+                    found_parents += [names.get(parents[i], "") for i in new]
+            if found:
+                yield frame.iloc[found].astype({"pid": "int64"}).assign(parent_name=found_parents)[list(_PROCESS)]
         self.kept.update((scan, None if before is None else [int(p) for p in before], [int(p) for p in names], list(names.values()), held))
 
     def judged(self, held: int, before: set | None, names: dict) -> Iterator[pd.DataFrame]:

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from flowsentry.streaming.detectors import Rates
+from flowsentry.streaming.hosts import Arrivals
 from flowsentry.streaming.state import KeyedRows, distinct_in_window, end_of_stream_us, from_bytes, sums_in_window, to_bytes
 
 
@@ -139,3 +140,40 @@ def test_a_flooding_source_in_slices_equals_one_walk(seed, hold):
                 got |= {x.flow_id: (x.n_ports, x.n_syn, x.n_icmp) for x in out.itertuples()}
             assert not slices[at].handle.values and slices[at].handle.timers
     assert got == want
+
+
+class Kept(Fake):
+    """A value and the pieces of a map; counts what is written to the map."""
+
+    value, writes = None, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        super().updateValue(key, value)
+
+
+@pytest.mark.parametrize("cuts", [[120], [60, 60], [50, 1, 1, 68]])
+def test_only_open_scans_go_through_the_state(cuts):
+    rows = []
+    for scan in range(0, 30, 2):  # seven processes and an end row a scan; one process is new in each
+        rows += [(scan, "h", pid, 1, f"n{pid}", "c") for pid in [1, 2, 3, 4, 5, 6, 100 + scan]] + [(scan, "h", None, None, None, None)]
+    frame = pd.DataFrame(rows, columns=["scan_no", "host", "pid", "ppid", "name", "cmdline"]).astype({"pid": "Int64"}).astype({"pid": "float"})
+    state = Kept()
+    arrivals, found, at = Arrivals(True), [], 0
+    arrivals.init(state)
+    for n in cuts:
+        found += list(arrivals.handleInputRows(("h",), iter([frame.iloc[at : at + n]]), None))
+        at += n
+    got = pd.concat(found)
+    assert got["pid"].tolist() == [100 + scan for scan in range(2, 30, 2)]
+    assert set(got["parent_name"]) == {"n1"}
+    assert state.writes == sum(sum(cuts[: i + 1]) % 8 != 0 for i in range(len(cuts))) and not state.values
