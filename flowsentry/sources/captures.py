@@ -86,7 +86,7 @@ def _parse(path: str, content: bytes, first: int, records: list, link: int, unit
     payload = np.where(tcp, header + (byte(up + 12) >> 4) * 4, np.where(udp, header + 8, header))
 
     def only(where, values) -> pd.Series:
-        return pd.Series(values).where(pd.Series(where)).astype("Int64")
+        return pd.Series(pd.arrays.IntegerArray(values.astype("i8"), ~where))
 
     long = lambda offset: word(offset) << 16 | word(offset + 2)
     return pd.DataFrame(
@@ -230,7 +230,21 @@ def _parse_ranges(batch: int):
                 return
             base, data = base + here, data[here:]
 
+    def packets(held: list, link: int, units: int) -> pd.DataFrame:
+        """Rows of the records of several ranges together."""
+        found, moved = [], 0
+        for _, _, data, part in held:
+            found += [(here + moved, *rest) for here, *rest in part]
+            moved += len(data)
+        rows = _parse("", b"".join(data for _, _, data, _ in held), 0, found, link, units)
+        number = rows["record"].to_numpy("i8")
+        counts = [len(part) for *_, part in held]
+        paths = np.repeat(np.array([path for path, *_ in held], object), counts)
+        places = np.concatenate([np.array([base - 16 + r[0] for r in part], "i8") for _, base, _, part in held])
+        return rows.assign(path=paths[number], at=places[number], record=pd.array([None] * len(rows), "Int64"))
+
     def run(frames):
+        held, form = [], None  # (path, place, bytes, records in them), and how they are read
         for files in frames:
             for path, start, end, size, content in zip(*(files[c] for c in ("path", "start", "end", "length", "content"))):
                 with io.BytesIO(content) if content is not None else open_file(path) as f:
@@ -238,13 +252,21 @@ def _parse_ranges(batch: int):
                     if len(head) < 24:
                         continue
                     order, units, link, longest = _header(head, path)
+                    if held and form != (link, units):
+                        yield packets(held, *form)
+                        held = []
+                    form = link, units
                     at = 24 if start == 0 else first_record(f, int(start), int(size), order, units, longest)
                     for base, data, found in records(f, at, int(end), order):
                         for i in range(0, len(found), batch):
                             part = found[i : i + batch]
-                            rows = _parse(path, data, 0, part, link, units)
-                            places = np.array([r[0] for r in part], "i8")
-                            yield rows.assign(at=base - 16 + places[rows["record"].to_numpy("i8")], record=pd.array([None] * len(rows), "Int64"))
+                            low, high = part[0][0] - 16, part[-1][0] + part[-1][1]
+                            held.append((path, base + low, data[low:high], [(r[0] - low, *r[1:]) for r in part]))
+                            if sum(len(h[3]) for h in held) >= batch or sum(len(h[2]) for h in held) >= READ:
+                                yield packets(held, *form)
+                                held = []
+        if held:
+            yield packets(held, *form)
 
     return run
 
@@ -254,7 +276,9 @@ def _packets_of(files: DataFrame, split: int, batch: int) -> DataFrame:
     whole = files.where(F.col("length") < split).select("path", F.lit(0).cast("bigint").alias("start"), F.col("length").alias("end"), "length", "content")
     starts = files.where(F.col("length") >= split).select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(split).cast("bigint"))).alias("start"))
     ranges = starts.select("path", "start", F.least(F.col("start") + split, "length").alias("end"), "length", F.lit(None).cast("binary").alias("content"))
-    return whole.unionByName(ranges.repartition("path", "start")).mapInPandas(_parse_ranges(batch), RANGE_SCHEMA)
+    # a number of parts, since the ranges' rows are so few bytes that adaptive execution would put them into one task
+    parts = 4 * files.sparkSession.sparkContext.defaultParallelism
+    return whole.unionByName(ranges.repartition(parts, "path", "start")).mapInPandas(_parse_ranges(batch), RANGE_SCHEMA)
 
 
 def read_pcap(spark: SparkSession, path: str, split: int = RANGE, batch: int = 20_000) -> DataFrame:

@@ -4,6 +4,7 @@ import io
 import random
 import struct
 
+import pandas as pd
 import pytest
 
 from flowsentry.sources import captures as ca
@@ -64,3 +65,18 @@ def test_stream_ids_tell_files_and_sensors_apart(spark, tmp_path):
     q.awaitTermination(120)
     rows = spark.table("by_site").collect()
     assert len(rows) == 16 and len({r.seq for r in rows}) == 16 and {r.sensor for r in rows} == {"north", "south"}
+
+
+def test_ranges_of_a_task_are_parsed_together(tmp_path):
+    head = bytes.fromhex("d4c3b2a1" "02000400" "00000000" "00000000" "ffff0000" "01000000")
+    packet = bytes.fromhex("0a00000000020a0000000001" "0800" "4500003c00000000" "4006" "0000" "0a000001" "0a000002" + "00" * 20)
+    records = [struct.pack("<IIII", 1_700_000_000 + i, i, len(packet), len(packet)) + packet for i in range(200)]
+    path = tmp_path / "x.pcap"
+    path.write_bytes(head + b"".join(records))
+    size, step = path.stat().st_size, 512
+    starts = range(0, size, step)
+    rows = pd.DataFrame({"path": str(path), "start": starts, "end": [min(s + step, size) for s in starts], "length": size, "content": None})
+    frames = list(ca._parse_ranges(20_000)(iter([rows])))
+    assert len(frames) == 1 and len(starts) > 20
+    assert frames[0]["at"].tolist() == [24 + i * len(records[0]) for i in range(200)]
+    assert frames[0]["ts_us"].tolist() == [(1_700_000_000 + i) * 1_000_000 + i for i in range(200)] and set(frames[0]["path"]) == {str(path)}
