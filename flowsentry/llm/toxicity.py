@@ -18,11 +18,11 @@ import math
 import pickle
 import re
 import zlib
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +68,17 @@ def levels(term: str, count: int) -> list[str]:
     return [term, *(f"{term}*{n}" for n in LEVELS if count >= n)]
 
 
-#: A list with one example in COMMON or more is a column; blocks in a group; lists are read one by one from a length of LONG on.
-COMMON, GROUP, LONG = 8, 32, 512
+def pieces(frames: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows."""
+    for frame in frames:
+        for at in range(0, frame.num_rows, rows):
+            yield frame.slice(at, rows)
+
+
+#: A list with one example in COMMON or more, or WIDE at all, is a column; blocks in a group; lists are read one by one from a length of LONG on.
+COMMON, WIDE, GROUP, LONG = 8, 1200, 32, 512
+#: Queries that are searched together.
+TOGETHER = 32
 
 
 class BlockMaxIndex:
@@ -77,74 +86,151 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int):
         self.size, self.block = len(vectors), block
-        place = np.repeat(np.arange(self.size, dtype="i4"), [len(t) for t, _ in vectors])
         term = np.concatenate([np.zeros(0, "i4"), *(t for t, _ in vectors)]).astype("i4")
-        weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        order = np.argsort(term, kind="stable")
+        place = np.repeat(np.arange(self.size, dtype="i4"), [len(t) for t, _ in vectors])[order]
+        weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
         groups = max(1, -(-self.size // (block * GROUP)))
         self.room = groups * GROUP * block
-        order = np.argsort(term, kind="stable")
         lists = np.bincount(term, minlength=terms)
-        common = np.flatnonzero(lists >= max(1.0, self.size / COMMON))
+        common = np.flatnonzero(lists >= max(1.0, min(self.size / COMMON, WIDE)))
         self.column = np.full(terms, -1, "i4")
         self.column[common] = np.arange(len(common))
+        self.columns = len(common)
         inside = self.column[term[order]]
-        self.most = np.zeros((len(common), self.room // block))
-        self.groups = []  # of each group of blocks: columns that are not empty there, and their weights
-        number, size = place[order][inside >= 0], GROUP * block
-        wide, given, by = inside[inside >= 0], weight[order][inside >= 0], np.argsort(number, kind="stable")
+        del term, order
+        number, size = place[inside >= 0], GROUP * block
+        wide, given, by = inside[inside >= 0], weight[inside >= 0], np.argsort(number, kind="stable")
         ends = np.searchsorted(number[by], np.arange(groups + 1) * size)
+        self.groups = []  # of each group of blocks: columns that are not empty there, their weights, and the largest in each block
         for g in range(groups):
             own = by[ends[g] : ends[g + 1]]
             columns, at = np.unique(wide[own], return_inverse=True)
             cells = np.zeros((size, len(columns)))
             cells[number[own] - g * size, at] = given[own]
-            self.groups.append((columns, cells))
-            if len(columns):
-                self.most[columns, g * GROUP : g * GROUP + GROUP] = cells.reshape(GROUP, block, -1).max(1).T
-        self.place, self.weight = place[order][inside < 0], weight[order][inside < 0]
+            self.groups.append((columns, cells, cells.reshape(GROUP, block, -1).max(1)))
+        self.place, self.weight = place[inside < 0], weight[inside < 0]
         lists[common] = 0
         self.start = np.concatenate([[0], np.cumsum(lists)])
 
-    def from_short(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What the lists that are no columns give each example."""
-        first, n = self.start[terms], self.start[terms + 1] - self.start[terms]
-        brief = n < LONG
-        f, m, w = first[brief], n[brief], weights[brief]
+    def from_short(self, who: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """What the lists that are no columns give each example, for each of ``n`` queries; ``who`` has a term's query."""
+        first, size = self.start[terms], self.start[terms + 1] - self.start[terms]
+        brief = size < LONG
+        f, m = first[brief], size[brief]
         at = np.arange(int(m.sum())) + np.repeat(f - (np.cumsum(m) - m), m)
-        got = np.bincount(self.place[at], self.weight[at] * np.repeat(w, m), self.room).astype(float, copy=False)  # of nothing: integers
-        for i, size, w in zip(first[~brief].tolist(), n[~brief].tolist(), weights[~brief].tolist()):
-            got[self.place[i : i + size]] += w * self.weight[i : i + size]  # a list names an example once
+        cell = np.repeat(who[brief] * self.room, m) + self.place[at]
+        got = np.bincount(cell, self.weight[at] * np.repeat(weights[brief], m), n * self.room).astype(float, copy=False)  # of nothing: integers
+        got = got.reshape(n, self.room)
+        for q, i, k, w in zip(*(x[~brief].tolist() for x in (who, first, size, weights))):
+            got[q, self.place[i : i + k]] += w * self.weight[i : i + k]  # a list names an example once
         return got
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k largest (cosine, place) above 0, by falling cosine, then place; ``without`` is left out."""
-        column = self.column[terms]
+    def nearest(self, cuts: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k largest cosines above 0 of each query, by query, falling cosine, then place: numbers of queries, cosines, places.
+
+        Query i has the terms and weights from ``cuts[i]`` to ``cuts[i + 1]``. A group of blocks is visited by all queries at once whose
+        bound there reaches their k-th best cosine so far; each query's first group comes first, then the next three, then the others.
+        """
+        n, size = len(cuts) - 1, GROUP * self.block
+        who, column = np.repeat(np.arange(n), np.diff(cuts)), self.column[terms]
         wide = column >= 0
-        short = self.from_short(terms[~wide], weights[~wide])
-        query = np.zeros(len(self.most))
-        query[column[wide]] = weights[wide]
-        bound = short.reshape(-1, self.block).max(1) + weights[wide] @ self.most[column[wide]]
-        group, size = bound.reshape(-1, GROUP).max(1), GROUP * self.block
-        best: list[tuple[float, int]] = []
-        floor = 1e-300
-        for g in np.argsort(-group, kind="stable").tolist():
-            if group[g] < floor:
-                break
-            columns, cells = self.groups[g]
-            cosine = cells @ query[columns]
-            cosine += short[g * size : g * size + size]
-            if without // size == g:
-                cosine[without % size] = 0.0
-            if len(best) < k < size:  # of a first group, what can be among its own k best
-                found = np.flatnonzero(cosine >= max(floor, np.partition(cosine, -k)[-k] - 1e-9))
-            else:
-                found = np.flatnonzero(cosine >= floor)
-            if found.size:
-                best += zip(cosine[found].round(12).tolist(), (found + g * size).tolist())
-                best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-                if len(best) == k:
-                    floor = max(1e-300, best[-1][0] - 1e-9)
-        return best
+        short = self.from_short(who[~wide], terms[~wide], weights[~wide], n)
+        query = np.zeros((self.columns, n))
+        query[column[wide], who[wide]] = weights[wide]
+        own = [query[columns] for columns, _, _ in self.groups]
+        bound = np.maximum.reduceat(short, np.arange(0, self.room, self.block), axis=1)
+        for g, (x, (_, _, most)) in enumerate(zip(own, self.groups)):
+            bound[:, g * GROUP : g * GROUP + GROUP] += (most @ x).T
+        bound = bound.reshape(n, -1, GROUP).max(2)
+        rank = np.empty(bound.shape, "i8")
+        np.put_along_axis(rank, np.argsort(-bound, axis=1, kind="stable"), np.arange(bound.shape[1])[None], 1)
+        floor, best = np.full(n, 1e-300), np.full((n, k), -1.0)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for low, high in ((0, 1), (1, 4), (4, len(self.groups))):
+            wanted = (rank >= low) & (rank < high) & (bound >= floor[:, None])
+            for g in np.flatnonzero(wanted.any(0)).tolist():
+                asked = np.flatnonzero(wanted[:, g])
+                cosine = (self.groups[g][1] @ (own[g] if len(asked) == n else own[g].take(asked, 1))).T
+                cosine = cosine + short[asked, g * size : g * size + size]
+                if without // size == g:
+                    cosine[:, without % size] = 0.0
+                some, at = np.nonzero(cosine >= floor[asked, None])
+                found.append((asked[some], cosine[some, at], at + g * size))
+                if high < len(self.groups):
+                    both = np.concatenate([best[asked], cosine], axis=1)
+                    best[asked] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            if high < len(self.groups):
+                floor = np.maximum(1e-300, best.min(1) - 1e-9)
+        q, cosine, at = (np.concatenate([np.zeros(0, t), *(f[i] for f in found)]) for i, t in enumerate(("i8", "f8", "i8")))
+        left = cosine >= floor[q]
+        q, cosine, at = q[left], cosine[left].round(12), at[left]
+        order = np.lexsort((at, -cosine, q))
+        q, cosine, at = q[order], cosine[order], at[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[first], cosine[first], at[first]
+
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
+        """The k largest (cosine, place) above 0 of one query, by falling cosine, then place; ``without`` is left out."""
+        _, cosine, place = self.nearest(np.array([0, len(terms)]), terms, weights, k, without)
+        return list(zip(cosine.tolist(), place.tolist()))
+
+
+class Reader:
+    """Turns texts into terms and their counts. A part of a text is looked up once while it is remembered."""
+
+    LIMIT = 200_000
+
+    def __init__(self, terms: dict[str, int]):
+        self.terms = terms
+        self.heads = {t[1 : 1 + BEGINNINGS[0]] for t in terms if t[0] == "^"}
+        self.more = {n: np.full(len(terms) + 1, -1, "i4") for n in LEVELS}  # the further term of a term, or -1
+        for t, i in terms.items():
+            base, star, n = t.rpartition("*")
+            if star and base in terms:
+                self.more[int(n)][terms[base]] = i
+        self.forget()
+
+    def forget(self) -> None:
+        """The parts that are known by number; number i has the terms from ``first[i]`` to ``first[i + 1]`` of ``flat``."""
+        self.known, self.flat, self.first = Memo(self.learn, self.LIMIT), array("i"), array("q", [0, 0])
+
+    def learn(self, part: str) -> int:
+        w = part.lower()
+        w = w if w.isalnum() else w.rstrip(".,;:!?")
+        if not w.isalnum():
+            found = [i for t in terms_of(part) if (i := self.terms.get(t)) is not None]
+        elif w[: BEGINNINGS[0]] in self.heads:
+            found = [i for t in terms_of(w) if (i := self.terms.get(t)) is not None]
+        else:
+            found = [i] if (i := self.terms.get(w)) is not None else []
+        if not found:
+            return 0
+        self.flat.extend(found)
+        self.first.append(len(self.flat))
+        return len(self.first) - 2
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cuts between texts, and each one's terms in order, with counts."""
+        if len(self.known) > self.LIMIT:
+            self.forget()
+        known, every = self.known, max(1, len(self.terms))
+        numbers = [np.fromiter(map(known.__getitem__, parts := text.split()), "i8", len(parts)) for text in texts]
+        part = np.concatenate([np.zeros(0, "i8"), *numbers])
+        first = np.frombuffer(self.first, "i8")
+        n = first[part + 1] - first[part]
+        at = np.arange(int(n.sum())) + np.repeat(first[part] - (np.cumsum(n) - n), n)
+        term = np.frombuffer(self.flat, "i4")[at] if len(at) else np.zeros(0, "i4")
+        del first  # else the arrays can't grow
+        who = np.repeat(np.repeat(np.arange(len(texts)), [len(x) for x in numbers]), n)
+        cell, count = np.unique(who * every + term, return_counts=True)
+        term = cell % every
+        more = [(cell - term + i)[(i >= 0) & (count >= n)] for n, further in self.more.items() if len(i := further[term])]
+        if extra := sum(map(len, more)):
+            cell, count = np.concatenate([cell, *more]), np.concatenate([count, np.ones(extra, "i8")])
+            order = np.argsort(cell)
+            cell, count = cell[order], count[order]
+        return np.searchsorted(cell, np.arange(len(texts) + 1) * every), (cell % every).astype("i4"), count
 
 
 class Model:
@@ -168,6 +254,12 @@ class Model:
         """Built where it is searched: the driver has no use for it."""
         return BlockMaxIndex([self.weighed(*c) for c in self.counts], max(1, len(self.terms)), self.how.block)
 
+    def indexed(self) -> Model:
+        """For a worker's copy, which is searched and not sent on: the index takes the place of the examples' counts."""
+        if self.index.size and self.counts:
+            self.counts = []
+        return self
+
     def __getstate__(self):
         flat = [np.concatenate([np.zeros(0, "i4"), *(c[i] for c in self.counts)]).astype("i4") for i in (0, 1)]
         sizes = [len(t) for t, _ in self.counts]
@@ -186,24 +278,6 @@ class Model:
         self.shared = self.shared or spark.sparkContext.broadcast(self)
         return self.shared
 
-    def reader(self):
-        """A function from texts to (term, count) pairs, with a memory of its own."""
-        terms = self.terms
-        levelled = {t.rpartition("*")[0] for t in terms if "*" in t}
-        repeats = {terms[b]: [(n, i) for n in LEVELS if (i := terms.get(f"{b}*{n}")) is not None] for b in levelled if b in terms}
-        known = Memo(lambda part: tuple(terms[t] for t in terms_of(part) if t in terms), 100_000)
-
-        def read(text: str) -> tuple[tuple[int, int], ...]:
-            counts = Counter(chain.from_iterable(map(known.__getitem__, text.split())))
-            known.trim()
-            more = [(i, 1) for t in repeats.keys() & counts.keys() for n, i in repeats[t] if counts[t] >= n]
-            return tuple(sorted([*counts.items(), *more]))
-
-        return read
-
-    def vector(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        return self.weighed(*np.array(counts, "i8").T)
-
     def weighed(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.factor[terms]
         return terms, w / math.sqrt(float(w @ w))
@@ -215,9 +289,15 @@ class Model:
         w = [1 / (1 - min(1.0, s) + self.how.near) for s, _ in near]
         return float(sum(x * self.toxic[i] for x, (_, i) in zip(w, near)) / sum(w))
 
-    def vote(self, counts) -> tuple[float | None, list[tuple[float, int]]]:
-        near = self.index.top(*self.vector(counts), self.how.neighbours) if counts else []
-        return self.ballot(near), near
+    def nearest(self, cuts: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
+        """The k nearest examples, as (cosine, place), of each vector of counts; none of an empty one."""
+        w = (1 + np.log(counts)) * self.factor[terms]
+        who = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        w /= np.sqrt(np.bincount(who, w * w, len(cuts) - 1))[who]
+        q, cosine, place = self.index.nearest(cuts, terms, w, k)
+        ends = np.searchsorted(q, np.arange(len(cuts))).tolist()
+        pairs = list(zip(cosine.tolist(), place.tolist()))
+        return [pairs[i:j] for i, j in zip(ends, ends[1:])]
 
     def score(self, vote: float | None) -> float:
         return self.empty if vote is None else float(np.interp(vote, *self.steps))
@@ -282,13 +362,14 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), id_col:
     arrow = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 
     def vectors(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = held.value.reader()
+        read = Reader(held.value.terms)
 
         def each():
-            for frame in frames:
-                for i, text, toxic in zip(frame.column(0).to_pylist(), frame.column(1), frame.column(2).to_pylist()):
-                    if counts := read(text.as_py()):
-                        yield i, toxic, [t for t, _ in counts], [c for _, c in counts]
+            for part in pieces(frames, TOGETHER):
+                cuts, terms, counts = read(part.column(1).to_pylist())
+                for i, toxic, a, b in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), cuts.tolist(), cuts.tolist()[1:]):
+                    if a < b:
+                        yield i, toxic, terms[a:b], counts[a:b]
 
         yield from batches(each(), arrow, lambda row: 8 * len(row[2]))
 
@@ -338,15 +419,17 @@ def calibrate(vectors: DataFrame, model: Model) -> None:
     held = model.share(vectors.sparkSession)
 
     def votes(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        ids, k = np.array(m.places), m.how.neighbours
-        for frame in frames:
-            bins = []
-            for i, terms, counts in zip(frame.column(0).to_pylist(), frame.column(2), frame.column(3)):
-                unit = m.weighed(terms.values.to_numpy(), counts.values.to_numpy())
-                own = set(np.flatnonzero(ids == i).tolist())
-                vote = m.ballot([x for x in m.index.top(*unit, k + len(own)) if x[1] not in own][:k])
-                bins.append(None if vote is None else round(vote * 50))
+        m = held.value.indexed()
+        k, places = m.how.neighbours, defaultdict(set)
+        for place, i in enumerate(m.places):
+            places[i].add(place)
+        for frame in pieces(frames, TOGETHER):
+            terms, counts = frame.column(2), frame.column(3)
+            cuts = np.append(0, np.cumsum(terms.value_lengths().to_numpy()))
+            own = [places[i] for i in frame.column(0).to_pylist()]
+            near = m.nearest(cuts, terms.flatten().to_numpy(), counts.flatten().to_numpy(), k + max(map(len, own)))
+            votes = [m.ballot([x for x in found if x[1] not in mine][:k]) for found, mine in zip(near, own)]
+            bins = [None if vote is None else round(vote * 50) for vote in votes]
             yield pa.RecordBatch.from_pydict({"bin": pa.array(bins, pa.int32()), "toxic": frame.column(1)})
 
     bins = (
@@ -377,26 +460,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        m = held.value
+        m = held.value.indexed()
         m.empty, m.steps = empty, steps  # calibrated after the examples were sent
-        read = m.reader()
-
-        def found(text: str) -> tuple[float, list[dict]]:
-            vote, near = m.vote(read(text))
-            return m.score(vote), [{"doc_id": m.places[i], "similarity": s, "toxic": int(m.toxic[i])} for s, i in near]
-
+        read = Reader(m.terms)
         known: dict[bytes, tuple[float, list[dict]]] = {}  # copies of a text are looked up once
 
         def each():
-            for frame in frames:
-                for doc_id, value in zip(frame.column(0).to_pylist(), frame.column(1)):
-                    text = value.as_py()
-                    digest = xxhash.xxh3_128_digest(text)
-                    if digest not in known:
-                        if len(known) >= 4_000:
-                            known.clear()
-                        known[digest] = found(text)
-                    yield doc_id, *known[digest]
+            for part in pieces(frames, TOGETHER):
+                values = part.column(1).to_pylist()
+                digests = [xxhash.xxh3_128_digest(text) for text in values]
+                if len(known) >= 4_000:
+                    known.clear()
+                if new := {d: text for d, text in zip(digests, values) if d not in known}:
+                    for d, near in zip(new, m.nearest(*read(list(new.values())), m.how.neighbours)):
+                        known[d] = m.score(m.ballot(near)), [{"doc_id": m.places[i], "similarity": s, "toxic": int(m.toxic[i])} for s, i in near]
+                for doc_id, d in zip(part.column(0).to_pylist(), digests):
+                    yield doc_id, *known[d]
 
         yield from batches(each(), schema)
 

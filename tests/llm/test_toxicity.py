@@ -160,3 +160,40 @@ def test_held_out_accuracy(spark):
     words = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").filter("text rlike '[A-Za-z]'").collect()}
     assert sum(bool(got[i].evidence) for i in words) >= 0.99 * len(words)
     assert right >= 0.93 * len(held) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_queries_together_equal_single_ones():
+    """Common terms, middle and long lists, and a query without terms, in one search."""
+    r = np.random.default_rng(3)
+    vectors = []
+    for i in range(15_000):
+        t = np.unique(np.concatenate([r.integers(0, 10, 2), r.integers(10, 30, 3), r.integers(30, 4000, 4)]))
+        w = r.random(len(t)) + 0.1
+        vectors.append((t, w / np.sqrt(w @ w)))
+    index = tx.BlockMaxIndex(vectors, 4000, 8)
+    dense = np.zeros((len(vectors), 4000))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    asked = [vectors[i] for i in range(0, 15_000, 997)]
+    asked.insert(5, (np.zeros(0, "i4"), np.zeros(0)))
+    cuts = np.append(0, np.cumsum([len(t) for t, _ in asked]))
+    query, cosine, place = index.nearest(cuts, *(np.concatenate([a[i] for a in asked]) for i in (0, 1)), 15)
+    for q, (t, w) in enumerate(asked):
+        scores = dense[:, t] @ w
+        want = sorted(np.flatnonzero(scores > 1e-9).tolist(), key=lambda i: (-scores[i].round(12), i))[:15]
+        assert place[query == q].tolist() == want and np.allclose(cosine[query == q], scores[want])
+
+
+def test_reader_counts_every_term():
+    terms = {t: i for i, t in enumerate(["^vile", "^vileness", "ab", "ab*2", "ab*3", "c_d", "straße", "vilely", "vilenesses", "x"])}
+    texts = ["Ab, ab. AB! c_d c_d", "", "vilenesses (vilely) x-x 'x' Straße...", "nothing", "ab x"] * 3
+    read = tx.Reader(terms)
+    for _ in range(2):
+        cuts, found, counts = read(texts)
+        for i, text in enumerate(texts):
+            plain = Counter(t for part in text.split() for t in tx.terms_of(part))
+            want = Counter({x: c if x == t else 1 for t, c in plain.items() for x in tx.levels(t, c) if x in terms and t in terms})
+            names = list(terms)
+            assert {names[t]: c for t, c in zip(found[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]])} == dict(want)
+            assert sorted(found[cuts[i] : cuts[i + 1]]) == found[cuts[i] : cuts[i + 1]].tolist()
+        read.forget()
