@@ -9,8 +9,10 @@ are used up, or the task has no more) is cut back to a power of two tokens, so i
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -88,9 +90,9 @@ def pack_examples(examples: Iterator[Example], limits: Limits) -> Iterator[list[
     while pool:
         left, out = scale.copy(), []
         while pool and left[0] >= 1 and left[1] >= 1:
-            fits = (need <= left).all(axis=1)
+            fits = (need[:, 0] <= left[0]) & (need[:, 1] <= left[1]) & (need[:, 2] <= left[2])
             if fits.any():
-                i = int(np.where(fits, (need / scale) @ (left / scale), -1.0).argmax())
+                i = int(np.where(fits, need @ (left / scale**2), -1.0).argmax())
                 n = int(need[i, 0])
             else:  # the head of the one that fills most
                 room = np.minimum(np.minimum(need[:, 0], left[0]), need[:, 0] - need[:, 2] + left[2])
@@ -168,6 +170,7 @@ def pack_tokens(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 #: A part of a text that is one word, perhaps with signs behind it; "'" and "<" may belong to longer units.
 PLAIN = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
+SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
@@ -176,11 +179,14 @@ class WordEncoder:
     Its normaliser works on characters between blanks and its splitter ends words at them, so a text's ids are
     those of its parts; a part is encoded once, by the tokenizer itself, while it is remembered. Parts that are a
     word and signs are made of the ids of both, in lower case as the normaliser makes it; new words go through the tokenizer
-    as one text, of which each word's last token is marked.
+    as one text, of which each word's last token is marked, or, where nothing comes before its model but what leaves a word
+    of small letters from a to z as it is, to the model.
     """
 
     #: Fixed value: the mark of a word's last token.
     END = "</w>"
+    #: Fixed value: a splitter that leaves words of letters whole.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -190,48 +196,75 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.model = self.tokenizer.model if self.takes_words() else None
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(self.END)]] = True
-        self.parts, self.words = Memo(None, 400_000), Memo(None, 300_000)
+        self.parts = Memo(None, 500_000)
         self.signs = Memo(self.whole, 10_000)
 
     def whole(self, part: str) -> bytes:
         return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes() if part else b""
 
-    def learn(self, lacking: list[str]) -> None:
+    def takes_words(self) -> bool:
+        """Whether a word of the letters a to z reaches the model as it is."""
+        parts = json.loads(self.tokenizer.to_str())
+        first = parts["normalizer"]
+        before = first.get("normalizers", [first]) if first else []
+        split, coded = [*(parts["pre_tokenizer"] or {}).get("pretokenizers", []), None, None][:2]
+        return bool(
+            split and coded and len(parts["pre_tokenizer"]["pretokenizers"]) == 2 and not any(t["content"].isalpha() for t in parts["added_tokens"])
+            and all(x["type"] in ("NFC", "Lowercase") or (x["type"], x.get("pattern")) == ("Replace", {"Regex": r"\s+"}) for x in before)
+            and split["type"] == "Split" and split["pattern"].get("Regex") == self.SPLIT and split["invert"]
+            and coded["type"] == "ByteLevel" and not coded["add_prefix_space"] and not coded["use_regex"]
+        )
+
+    def learn(self, lacking: set[str]) -> None:
         """Remembers parts."""
-        plain, new = [], {}
+        plain, new, known, old, model = [], {}, self.parts, self.parts.old, self.model
         for p in lacking:
-            if (ids := self.parts.old.get(p)) is not None:
-                self.parts[p] = ids
-            elif (m := PLAIN.fullmatch(p)) and "Σ" not in p and (w := m[1].lower()).isalpha() and (p.isascii() or is_normalized("NFC", m[1]) and is_normalized("NFC", w)):
-                plain.append((p, w, m[2]))
-                if w not in self.words:
-                    if (ids := self.words.old.get(w)) is not None:
-                        self.words[w] = ids
-                    else:
-                        new[w] = None
+            if (ids := old.get(p)) is not None:
+                known[p] = ids
+                continue
+            if p.isascii():
+                w = p.rstrip(SIGNS)
+                signs, word = p[len(w) :], w.isalpha()
+                w = w.lower()
+            elif word := bool((m := PLAIN.fullmatch(p)) and "Σ" not in p and (w := m[1].lower()).isalpha() and is_normalized("NFC", m[1]) and is_normalized("NFC", w)):
+                signs = m[2]
+            if not word:
+                known[p] = self.whole(p)
+                continue
+            ids = None if w == p else known.get(w) or old.get(w)
+            if ids is None and model and w.isascii():
+                ids = known[w] = array("I", [t.id for t in model.tokenize(w)]).tobytes()
+            if ids is None:
+                new[w] = None
+                plain.append((p, w, signs))
             else:
-                self.parts[p] = self.whole(p)
+                known[p] = ids + self.signs[signs] if signs else ids
         if new:
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")  # without offsets
             ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(ends) != len(new):
                 raise ValueError("a word has not one last token")
             data, start = ids.tobytes(), 0
             for w, end in zip(new, ends):
-                self.words[w] = data[4 * start : 4 * end]
+                known[w] = data[4 * start : 4 * end]
                 start = end
         for p, w, signs in plain:
-            self.parts[p] = self.words[w] + self.signs[signs]
+            known[p] = known[w] + self.signs[signs]
 
     def __call__(self, text: str, end: int) -> np.ndarray:
         """Ids with ``end`` after the last."""
         parts, known = text.replace("\n", " ").split(" "), self.parts
-        self.learn([p for p in set(parts) if p not in known])
-        out = np.frombuffer(b"".join([*map(known.__getitem__, parts), end.to_bytes(4, "little")]), "<u4")
+        ids = list(map(known.get, parts))
+        if lacking := [i for i, x in enumerate(ids) if x is None]:
+            self.learn({parts[i] for i in lacking})
+            for i in lacking:
+                ids[i] = known[parts[i]]
+        ids.append(end.to_bytes(4, "little"))
+        out = np.frombuffer(b"".join(ids), "<u4")
         known.trim()
-        self.words.trim()
         return out
 
 

@@ -79,3 +79,19 @@ def test_odd_rows(spark):
     assert rows_of(pk.pack_tokens(df).distinct(), "doc_id", "doc_tokens") in ([(3, 3), (None, 2)], [(3, 3), (3, 3), (None, 2)])
     assert {r.doc_id for r in pk.pack_tokens(df).collect()} == {3, None}
     assert pk.pack_tokens(df.limit(0)).count() == 0
+
+
+def test_plain_words_go_to_the_model_alone():
+    """Words of a to z have the library's ids without its normaliser and splitter; other vocabularies keep them."""
+    from tokenizers import Tokenizer
+
+    library, encode = Tokenizer.from_file(resolve("word_bpe_49k.json")), pk.WordEncoder(resolve("word_bpe_49k.json"))
+    words = ["Hello", "hello,", "HELLO!!", "(zqxv)", "it's", "straße", "ÉTÉ,", "naïve", "İstanbul", "ΣΑΣ", "x1", "", "…", "a_b", "<|endoftext|>", "don't."]
+    for text in [" ".join(words), " ".join(reversed(words)), "\n".join(w.lower() + ";" for w in words), "KK á ﬁ"]:
+        assert encode(text, 2).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+    encode.tokenizer = None  # not asked for any of these
+    text = "Unheard wordlings, qwrtz Qwrtz, flommox HELLO"
+    assert encode(text, 2).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+    other = pk.WordEncoder(resolve("word_bpe_49k.json"))
+    other.SPLIT = "another"
+    assert not other.takes_words()
