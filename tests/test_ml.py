@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowsentry import dims
@@ -77,6 +78,25 @@ def test_random_forest_reads_equal_rows_together(spark, planted):
     assert auc(score_random_forest(fit_random_forest(copies, trees=10, max_depth=5), planted), "rf_score") > 0.99
 
 
+def test_random_forest_scores_equal_rows_once(spark, planted):
+    model = fit_random_forest(planted, trees=5, max_depth=4)
+    read = []
+
+    class Counting:
+        stages = model.stages
+
+        def transform(self, rows):
+            read.append(rows.count())
+            return model.transform(rows)
+
+    copies = planted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn(dims.FEATURES[0], F.col(dims.FEATURES[0]) + F.col("row_id") % 2)
+    got = score_random_forest(Counting(), copies)
+    assert read == [planted.count()] and got.columns == [*copies.columns, "rf_score"]
+    plain = model.transform(copies).select("row_id", "copy", vector_to_array("rf_probability")[1].alias("rf_score"))
+    key = lambda df: sorted(tuple(r) for r in df.select("row_id", "copy", "rf_score").collect())
+    assert key(got) == key(plain)
+
+
 def test_autoencoder_gradients():
     w, x = init_weights(6, 1), np.random.default_rng(0).normal(size=(12, 6))
     found = _gradients([a.copy() for a in w], x)
