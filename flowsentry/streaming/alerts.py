@@ -6,6 +6,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -13,10 +14,14 @@ from pyspark.sql.types import StructType
 from flowsentry.functions.alerting import alert_fingerprint
 from flowsentry.operators.alerts import alert_defaults
 from flowsentry.sources.tables import fan_out
-from flowsentry.streaming.state import KeyedRows
+from flowsentry.streaming.state import KeyedRows, Pieces, in_pieces
+
 
 class Admission(KeyedRows):
-    """Accepted times and fingerprints of a tenant's last window, at most ``limit`` of each."""
+    """Accepted times and fingerprints of a tenant's last window, at most ``limit`` of each.
+
+    The walk sees times and, of accepted rows, fingerprints; rows come sorted and packed (``in_pieces``), only accepted ones are unfolded.
+    """
 
     STATE = "taken array<bigint>, prints array<string>, printed array<bigint>"
 
@@ -29,21 +34,24 @@ class Admission(KeyedRows):
         if self.kept.exists():
             old, prints, times = self.kept.get()
             taken, printed = deque(old), dict(zip(prints, times))
-        for frame in self.in_order(rows):
-            keep, now = [], 0
-            for now, fingerprint in zip(frame[self.ORDER[0]].tolist(), frame["print_of"].tolist()):
+        pieces = Pieces()
+        for frame in rows:
+            for first, data in zip(frame["first"].tolist(), frame["piece"]):
+                pieces.add(first, data)
+        for table in self.merged(pieces):
+            keep, prints = [], table["print_of"]
+            for i, now in enumerate(table[self.ORDER[0]].to_pylist()):
                 while taken and now - taken[0] >= self.rate_window:
                     taken.popleft()
-                ok = len(taken) < self.limit
-                if ok:
+                if len(taken) < self.limit:
                     taken.append(now)
-                    ok = fingerprint not in printed or now - printed[fingerprint] >= self.dedup_window
-                    if ok:
+                    fingerprint = prints[i].as_py()
+                    if fingerprint not in printed or now - printed[fingerprint] >= self.dedup_window:
                         printed[fingerprint] = now
-                keep.append(ok)
+                        keep.append(i)
             printed = {p: t for p, t in printed.items() if now - t < self.dedup_window}
-            if any(keep):
-                yield frame.loc[keep, self.columns]
+            if keep:
+                yield table.select(self.columns).take(keep).to_pandas()
         self.kept.update(([int(t) for t in taken], list(printed), [int(t) for t in printed.values()]))
 
 
@@ -55,9 +63,9 @@ def stream_admitted(
     One state per tenant holds the accepted times and the fingerprints of the last
     window, at most ``limit`` of each.  Tenants (sensors) are handled in parallel.
     """
-    keyed = alerts.withColumns({"tenant_of": F.lit("all") if tenant is None else tenant, "print_of": alert_fingerprint()})
+    keyed = alerts.withColumns({"tenant_of": (F.lit("all") if tenant is None else tenant).cast("string"), "print_of": alert_fingerprint()})
     schema: StructType = alerts.schema
-    kept = keyed.groupBy("tenant_of").transformWithStateInPandas(
+    kept = in_pieces(keyed, "tenant_of", [time, tie]).groupBy("tenant_of").transformWithStateInPandas(
         Admission(limit, window, window, time, tie, alerts.columns), schema, "append", "None"
     )
     return alert_defaults(kept)
