@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowsentry.operators.flows import sensor_of
 from flowsentry.operators.signatures import SECOND, best_matches
-from flowsentry.streaming.state import KeyedRows, distinct_in_window, sums_in_window, with_event_time
+from flowsentry.streaming.state import KeyedRows, distinct_in_window, from_bytes, sums_in_window, to_bytes, with_event_time
 
 _FLOW_FIELDS = {
     "flow_id": "bigint", "start_us": "bigint", "src_ip": "string", "dst_ip": "string", "src_port": "int", "dst_port": "int",
@@ -20,82 +20,122 @@ _FLOW_FIELDS = {
 
 
 class Rates(KeyedRows):
-    """Window counts of a source's flows in one slice of time.
+    """Window counts of sources' flows in slices of time, many sources and slices (*pairs*) of a key at once.
 
-    The group gets the flows of its slice and, not to be counted out again, those of the slice before; the windows are no
-    longer than a slice, so slices of one source run in different tasks. The state holds, of what a window can
-    still reach, the last time of each port and the times of SYN and ICMP flows.
+    ``by`` names the columns that tell sources apart (none: a key is one source and, at its end, a slice). A pair gets the flows of its slice and, not
+    to be counted out again, those of the last window before; so slices of one source need nothing of each other. The state
+    holds, of what a pair's windows can still reach, the last time of each port and the times of SYN and ICMP flows.
     """
 
     ORDER = ["start_us", "flow_id"]
-    STATE = "ports array<int>, port_us array<bigint>, syn_us array<bigint>, syn_n array<bigint>, icmp_us array<bigint>, icmp_n array<bigint>"
+    STATE = "past binary"
+    PORT, SYN, ICMP = range(3)
 
-    def __init__(self, columns: list[str], scan_us: int):
-        self.columns, self.scan_us = columns, scan_us
+    def __init__(self, columns: list[str], scan_us: int, by: list[str] = (), span_us: int | None = None):
+        self.columns, self.scan_us, self.pair = columns, scan_us, [*by, "slice"]
+        self.reach = max(scan_us, SECOND)
+        self.span_us = span_us or self.reach
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if key[-2] is None:  # an end marker
-            for _ in rows:
-                pass
-            return
-        kept = [np.array(x, "i8") for x in self.kept.get()] if self.kept.exists() else [np.zeros(0, "i8")] * 6
+        past, done = from_bytes(self.kept.get()[0]) if self.kept.exists() else None, []
         for frame in self.in_order(rows):
-            time = frame["start_us"].to_numpy("i8")
-            ports, kept[:2] = self.ports(time, frame["dst_port"].to_numpy("i8"), kept[0], kept[1])
-            syn, kept[2:4] = weighed(time, frame["counts_syn"].to_numpy(bool), kept[2], kept[3])
-            icmp, kept[4:] = weighed(time, frame["protocol"].to_numpy() == 1, kept[4], kept[5])
+            if len(self.pair) > 1:
+                frame = frame[frame[self.pair[-2]].notna()]  # an end marker has no source
+            else:
+                frame = frame.assign(slice=key[-1])
+            if frame.empty:
+                continue
+            counts, past = self.counted(frame, past)
             own = frame["own"].to_numpy(bool)
             if own.any():
-                yield frame.assign(n_syn=syn, n_icmp=icmp, n_ports=ports).loc[own, [*self.columns, "n_syn", "n_icmp", "n_ports"]]
-        self.kept.update(tuple(x.tolist() for x in kept))
-        # the slice's last flow is followed by none that needs this state
-        self.handle.registerTimer(((int(key[-1]) + 1) * max(self.scan_us, SECOND)) // 1000 + 1)
-
-    def ports(self, time: np.ndarray, port: np.ndarray, known: np.ndarray, seen: np.ndarray):
-        times, labels = np.concatenate([seen, time]), np.concatenate([known, port])
-        order = np.argsort(times, kind="stable")
-        counts = np.empty(len(times), "i8")
-        counts[order] = distinct_in_window(times[order], labels[order], self.scan_us)
-        last = dict(zip(labels[order].tolist(), times[order].tolist()))
-        recent = {p: t for p, t in last.items() if times.max() - t <= self.scan_us}
-        return counts[len(seen) :], [np.array(list(x), "i8") for x in (recent.keys(), recent.values())]
+                yield frame.assign(**counts).loc[own, [*self.columns, *counts]]
+            over = past["slice"] < frame["start_us"].iloc[-1] // self.span_us  # no later row of this batch is in these
+            done.append(past[over])
+            past = past[~over]
+        if past is not None:
+            self.keep(pd.concat([*done, past], ignore_index=True), timerValues)
+
+    def counted(self, frame: pd.DataFrame, past: pd.DataFrame | None) -> tuple[dict[str, np.ndarray], pd.DataFrame]:
+        """The three counts of each row, and what later rows need."""
+        if past is None:
+            past = frame[self.pair].iloc[:0].assign(kind=0, label=0, time=0, n=0)
+        old, both = len(past), pd.concat([past[self.pair], frame[self.pair]], ignore_index=True)
+        code = both.groupby(self.pair, sort=False, dropna=False).ngroup().to_numpy()
+        first = np.unique(code, return_index=True)[1]
+        kind, time = past["kind"].to_numpy(), np.concatenate([past["time"].to_numpy("i8"), frame["start_us"].to_numpy("i8")])
+        # pairs one behind the other on one line, further apart than a window
+        line = code * (self.span_us + 3 * self.reach) + time - both["slice"].to_numpy("i8") * self.span_us
+        latest = np.full(len(first), np.iinfo("i8").min)
+        np.maximum.at(latest, code, line)
+        new = np.arange(old, len(both))
+        counts, kept = {}, []
+        known, port = past["label"].to_numpy("i8"), frame["dst_port"].to_numpy("i8")
+        weight = {self.SYN: frame["counts_syn"].to_numpy(bool), self.ICMP: frame["protocol"].to_numpy() == 1}
+        for name, what, width in (("n_syn", self.SYN, SECOND), ("n_icmp", self.ICMP, SECOND), ("n_ports", self.PORT, self.scan_us)):
+            was = np.flatnonzero(kind == what)
+            rows = np.concatenate([was, new])
+            rows = rows[np.argsort(line[rows], kind="stable")]
+            number = np.zeros(len(both), "i8")
+            if what == self.PORT:
+                label = np.concatenate([known, port])
+                number[rows] = distinct_in_window(line[rows], label[rows], width)
+                by = rows[np.lexsort((line[rows], label[rows], code[rows]))]
+                last = np.append((code[by][1:] != code[by][:-1]) | (label[by][1:] != label[by][:-1]), True)
+                left, n = by[last], 1
+            else:
+                label, weights = np.zeros(len(both), "i8"), np.concatenate([past["n"].to_numpy("i8"), weight[what].astype("i8")])
+                number[rows] = sums_in_window(line[rows], weights[rows], width)
+                counting = rows[weights[rows] > 0]
+                left = counting[np.append(True, line[counting][1:] != line[counting][:-1])] if len(counting) else counting
+                n = np.add.reduceat(weights[counting], np.searchsorted(line[counting], line[left])) if len(left) else 0
+            counts[name] = number[new]
+            near = line[left] >= latest[code[left]] - width
+            needed = both.iloc[first[code[left]]].assign(kind=what, label=label[left], time=time[left], n=n)
+            kept.append(needed[near])
+        return counts, pd.concat(kept, ignore_index=True)
+
+    def keep(self, past: pd.DataFrame, timerValues) -> None:
+        """Stores what rows that are not late can need, until the last slice is over."""
+        if timerValues is not None:
+            past = past[(past["slice"] + 1) * self.span_us >= timerValues.getCurrentWatermarkInMs() * 1000]
+        if past.empty:
+            self.kept.clear()
+            return
+        self.kept.update((to_bytes(past),))
+        self.handle.registerTimer((int(past["slice"].max()) + 1) * self.span_us // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.kept.clear()
+        if self.kept.exists():
+            past = from_bytes(self.kept.get()[0])
+            if not ((past["slice"] + 1) * self.span_us >= timerValues.getCurrentWatermarkInMs() * 1000).any():
+                self.kept.clear()
         return iter(())
 
 
-def weighed(time: np.ndarray, counts: np.ndarray, times: np.ndarray, numbers: np.ndarray):
-    """How many rows that count are in each row's second, and the times that the next second needs, with their numbers."""
-    all_times, weights = np.concatenate([times, time]), np.concatenate([numbers, counts.astype("i8")])
-    order = np.argsort(all_times, kind="stable")
-    out = np.empty(len(all_times), "i8")
-    out[order] = sums_in_window(all_times[order], weights[order], SECOND)
-    near = (weights > 0) & (all_times >= all_times.max() - SECOND)
-    left, at = np.unique(all_times[near], return_inverse=True)
-    return out[len(times) :], [left, np.bincount(at, weights[near], len(left)).astype("i8")]
-
-
 def stream_signatures(
-    flows: DataFrame, scan_seconds: int = 10, exclude_ack: bool = False, delay: str = "30 seconds", **thresholds
+    flows: DataFrame, scan_seconds: int = 10, exclude_ack: bool = False, delay: str = "30 seconds", buckets: int = 128, **thresholds
 ) -> DataFrame:
     """Same matches as ``signature_matches``, each with its flow's batch.
 
-    A source is cut into slices of time as long as the longest window, and a flow goes to its slice and to the next, so
-    the flows of a flooding source spread over tasks. A slice's state expires with it.
+    A source is cut into slices of time, four of the longest windows each, and a flow of a slice's last window goes to the next one too. Slices are dealt by
+    hash over ``buckets``, so the flows of a flooding source spread over tasks, and the many slices with few flows share their calls to the state.
     """
     sensor = sensor_of(flows)
     syn = F.col("has_syn") & (~F.col("flags").contains("A") if exclude_ack else F.lit(True))
     columns = [*sensor, *_FLOW_FIELDS]
     rows = flows.withColumn("counts_syn", F.coalesce(syn, F.lit(False))).select(*columns)
     width = max(scan_seconds, 1) * SECOND
-    own_slice = F.floor(F.col("start_us") / width).cast("bigint")
-    copies = F.inline(F.array(*[F.struct((own_slice + i).alias("slice"), F.lit(i == 0).alias("own")) for i in (0, 1)]))
+    span = 4 * width
+    own_slice = F.floor(F.col("start_us") / span).cast("bigint")
+    own, after = [F.struct((own_slice + i).alias("slice"), F.lit(i == 0).alias("own")) for i in (0, 1)]
+    copies = F.inline(F.when(F.col("start_us") >= (own_slice + 1) * span - width, F.array(own, after)).otherwise(F.array(own)))
     schema = ", ".join([*[f"{c} string" for c in sensor], *[f"{n} {t}" for n, t in _FLOW_FIELDS.items()]])
+    source = [*sensor, "src_ip"]
     rated = (
         with_event_time(rows, delay, "start_us").select("*", copies)
-        .groupBy(*sensor, "src_ip", "slice")
-        .transformWithStateInPandas(Rates(columns, scan_seconds * SECOND), schema + ", n_syn bigint, n_icmp bigint, n_ports bigint", "append", "EventTime")
+        .withColumn("bucket", F.pmod(F.xxhash64(*source, "slice"), F.lit(buckets)))
+        .groupBy("bucket")
+        .transformWithStateInPandas(Rates(columns, scan_seconds * SECOND, source, span), schema + ", n_syn bigint, n_icmp bigint, n_ports bigint", "append", "EventTime")
     )
     return best_matches(rated, scan_seconds=scan_seconds, **thresholds)
 

@@ -2,11 +2,14 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
+from flowsentry.streaming.alerts import Admission
 from flowsentry.streaming.detectors import Rates
 from flowsentry.streaming.hosts import Arrivals
-from flowsentry.streaming.state import KeyedRows, distinct_in_window, end_of_stream_us, from_bytes, sums_in_window, to_bytes
+from flowsentry.streaming import state as stream_state
+from flowsentry.streaming.state import KeyedRows, distinct_in_window, end_of_stream_us, from_bytes, packed, sums_in_window, to_bytes
 
 
 @pytest.mark.parametrize("seed", range(8))
@@ -77,6 +80,46 @@ def test_bytes_and_end_of_stream():
     assert end_of_stream_us(last - 30_000 + 100 * 365 * 86_400 * 1000, "30 seconds") == last * 1000
 
 
+@pytest.mark.parametrize("n", [700, 2800])
+def test_waiting_rows_are_stored_in_pieces_that_do_not_shrink(monkeypatch, n):
+    """Before, each chunk was cut by all slices, so pieces grew with the square of the rows."""
+    sizes = []
+    monkeypatch.setattr(stream_state, "packed", lambda t: sizes.append(len(t)) or packed(t))
+    frame, parts = chunks(n, n)
+    rows = Rows()
+    rows.init(Fake())
+    got = pd.concat(rows.in_order(iter(parts)), ignore_index=True)
+    assert got["k"].tolist() == frame.sort_values(["t", "k"])["k"].tolist()
+    assert sum(sizes) == n and len(sizes) <= n / 7
+
+
+def test_packed_alerts_are_admitted_in_order_whatever_memory_holds(monkeypatch):
+    r = random.Random(5)
+    rows = [(r.randrange(300), k, f"p{r.randrange(8)}") for k in range(600)]
+    taken, printed, want = [], {}, []
+    for t, k, print_of in sorted(rows):
+        if sum(t - x < 60 for x in taken) < 9:
+            taken.append(t)
+            if t - printed.get(print_of, -1000) >= 60:
+                printed[print_of] = t
+                want.append(k)
+    for memory in (10, 1 << 20):
+        monkeypatch.setattr(stream_state.Pieces, "MEMORY", memory)
+        pieces = []
+        for lane in range(3):  # as three tasks pack them
+            part = sorted(rows[lane::3])
+            for at in range(0, len(part), 7):
+                t, k, print_of = zip(*part[at : at + 7])
+                pieces.append((t[0], packed(pa.table({"t": t, "k": k, "print_of": print_of}))))
+        r.shuffle(pieces)
+        walk = Admission(9, 60, 60, "t", "k", ["t", "k"])
+        walk.HOLD = 40
+        walk.init(Handle())
+        frame = pd.DataFrame(pieces, columns=["first", "piece"])
+        got = pd.concat(walk.handleInputRows(("all",), iter([frame.iloc[:50], frame.iloc[50:]]), None))
+        assert got["k"].tolist() == want
+
+
 class Value:
     def __init__(self):
         self.now = None
@@ -142,6 +185,42 @@ def test_a_flooding_source_in_slices_equals_one_walk(seed, hold):
     assert got == want
 
 
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+@pytest.mark.parametrize("seed,hold", [(1, 100_000), (2, 40)])
+def test_many_sources_of_a_bucket_share_one_state(seed, hold):
+    """Each source's counts are those of its own walk; one value is stored a batch, and it ends with its last slice."""
+    r, scan, span = random.Random(seed), 3_000_000, 12_000_000
+    names = ["start_us", "flow_id", "src_ip", "dst_port", "counts_syn", "protocol"]
+    rows = sorted((r.randrange(40_000_000), k, f"10.0.0.{r.randrange(4)}", r.randrange(9), r.random() < 0.4, r.choice([1, 6])) for k in range(500))
+    want = {}
+    for source in {x[2] for x in rows}:
+        want |= walked([(x[0], x[1], *x[3:]) for x in rows if x[2] == source], scan)
+    rates, got, updates = Rates(names, scan, ["src_ip"], span), {}, 0
+    rates.HOLD, rates.SLICE = hold, max(1, hold // 2)
+    rates.init(Handle())
+    for batch in (rows[:250], rows[250:]):
+        part = [(*x, x[0] // span, True) for x in batch] + [(*x, x[0] // span + 1, False) for x in batch if x[0] >= (x[0] // span + 1) * span - scan]
+        part.append((10**15, 10**6, None, 1, False, 6, 10**15 // span, True))  # an end marker
+        frame = pd.DataFrame(part, columns=[*names, "slice", "own"]).sample(frac=1, random_state=seed)
+        for out in rates.handleInputRows((7,), iter([frame.iloc[i : i + 25] for i in range(0, len(frame), 25)]), Now(batch[0][0] // 1000)):
+            got |= {x.flow_id: (x.n_ports, x.n_syn, x.n_icmp) for x in out.itertuples()}
+        updates += 1
+        assert len(rates.handle.timers) == updates
+    assert got == want
+    assert from_bytes(rates.kept.get()[0])["slice"].min() >= rows[250][0] // span - 1
+    list(rates.handleExpiredTimer((7,), Now(rates.handle.timers[0]), None))
+    assert rates.kept.exists()
+    list(rates.handleExpiredTimer((7,), Now(rates.handle.timers[-1] + 1), None))
+    assert not rates.kept.exists()
+
+
 class Kept(Fake):
     """A value and the pieces of a map; counts what is written to the map."""
 
