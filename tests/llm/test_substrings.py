@@ -5,7 +5,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from flowsentry.llm import chunk_dedup as cd, repeats as rp
 from flowsentry.llm.queries import QUERIES
@@ -148,3 +150,23 @@ def test_segments_of_a_long_text(monkeypatch):
 def test_repeats_query(spark, sf):
     got = QUERIES["op6_suffix_dedup"](spark, sf)
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(digests(documents(spark, sf), 400), key=repr)
+
+
+def test_suffix_dedup_hands_python_few_rows_at_once(spark, tmp_path, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.range(2500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    remove = rp.remove_repeats
+
+    def counted(docs):
+        def sizes(frames):
+            for frame in frames:
+                yield pa.RecordBatch.from_pydict({"n": [frame.num_rows]})
+
+        most.append(docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0])
+        return remove(docs)
+
+    most = []
+    monkeypatch.setattr(rp, "remove_repeats", counted)
+    assert QUERIES["op6_suffix_dedup"](spark, str(tmp_path)).count() == 2500
+    assert most == [1000] and spark.conf.get(name) == before
