@@ -20,9 +20,10 @@ import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +76,10 @@ def pieces(frames: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBat
             yield frame.slice(at, rows)
 
 
-#: A list with one example in COMMON or more, or WIDE at all, is a column; blocks in a group; lists are read one by one from a length of LONG on.
-COMMON, WIDE, GROUP, LONG = 8, 1200, 32, 512
-#: Queries that are searched together.
-TOGETHER = 32
+#: A list with one example in COMMON or more, or WIDE at all, is a column; blocks in a group; lists are taken whole from a length of LONG on.
+COMMON, WIDE, GROUP, LONG = 8, 1200, 32, 128
+#: Queries that are searched together, and rows of columns that are read in double precision at once.
+TOGETHER, ROWS = 128, 512
 
 
 class BlockMaxIndex:
@@ -99,31 +100,35 @@ class BlockMaxIndex:
         self.columns = len(common)
         inside = self.column[term[order]]
         del term, order
-        number, size = place[inside >= 0], GROUP * block
-        wide, given, by = inside[inside >= 0], weight[inside >= 0], np.argsort(number, kind="stable")
-        ends = np.searchsorted(number[by], np.arange(groups + 1) * size)
-        self.groups = []  # of each group of blocks: columns that are not empty there, their weights, and the largest in each block
-        for g in range(groups):
-            own = by[ends[g] : ends[g + 1]]
-            columns, at = np.unique(wide[own], return_inverse=True)
-            cells = np.zeros((size, len(columns)))
-            cells[number[own] - g * size, at] = given[own]
-            self.groups.append((columns, cells, cells.reshape(GROUP, block, -1).max(1)))
-        self.place, self.weight = place[inside < 0], weight[inside < 0]
+        wide = inside >= 0
+        # weights of the columns in single precision, what that leaves of them, and the largest in each block
+        cell, given = (place[wide], inside[wide]), weight[wide]
+        self.cells, self.rest = (np.zeros((self.room, self.columns), "f4") for _ in range(2))
+        self.cells[cell] = given
+        self.rest[cell] = given - self.cells[cell]
+        self.most = self.cells.reshape(self.room // block, block, -1).max(1)
+        #: A cosine from the cells alone is off by less: unit vectors' products of weights add up to 1 at most.
+        self.slack = (self.columns + 8) * 2.0**-23
+        self.place, self.weight = place[~wide], weight[~wide]
         lists[common] = 0
         self.start = np.concatenate([[0], np.cumsum(lists)])
 
     def from_short(self, who: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-        """What the lists that are no columns give each example, for each of ``n`` queries; ``who`` has a term's query."""
+        """What the lists that are no columns give each example, for each of ``n`` queries; ``who`` has a term's query, in order."""
         first, size = self.start[terms], self.start[terms + 1] - self.start[terms]
-        brief = size < LONG
-        f, m = first[brief], size[brief]
-        at = np.arange(int(m.sum())) + np.repeat(f - (np.cumsum(m) - m), m)
-        cell = np.repeat(who[brief] * self.room, m) + self.place[at]
-        got = np.bincount(cell, self.weight[at] * np.repeat(weights[brief], m), n * self.room).astype(float, copy=False)  # of nothing: integers
-        got = got.reshape(n, self.room)
-        for q, i, k, w in zip(*(x[~brief].tolist() for x in (who, first, size, weights))):
-            got[q, self.place[i : i + k]] += w * self.weight[i : i + k]  # a list names an example once
+        got = np.empty((n, self.room))
+        ends = np.searchsorted(who, np.arange(n + 1)).tolist()
+        for q, (a, b) in enumerate(zip(ends, ends[1:])):  # one at a time: its places stay in the cache
+            f, m, w = first[a:b], size[a:b], weights[a:b]
+            long = m >= LONG
+            order = np.argsort(long, kind="stable")
+            brief = order[: len(order) - np.count_nonzero(long)]
+            k = m[brief]
+            at = np.arange(int(k.sum())) + np.repeat(f[brief] - (np.cumsum(k) - k), k)
+            whole = [slice(i, j) for i, j in zip(f[long].tolist(), (f[long] + m[long]).tolist())]
+            given = np.concatenate([self.weight[at], *(self.weight[x] for x in whole)])
+            given *= np.repeat(w[order], m[order])
+            got[q] = np.bincount(np.concatenate([self.place[at], *(self.place[x] for x in whole)]), given, self.room)
         return got
 
     def nearest(self, cuts: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,40 +136,43 @@ class BlockMaxIndex:
 
         Query i has the terms and weights from ``cuts[i]`` to ``cuts[i + 1]``. A group of blocks is visited by all queries at once whose
         bound there reaches their k-th best cosine so far; each query's first group comes first, then the next three, then the others.
+        Columns are multiplied in single precision there; examples that may be among the k best by ``slack`` are computed again in double.
         """
         n, size = len(cuts) - 1, GROUP * self.block
         who, column = np.repeat(np.arange(n), np.diff(cuts)), self.column[terms]
         wide = column >= 0
         short = self.from_short(who[~wide], terms[~wide], weights[~wide], n)
-        query = np.zeros((self.columns, n))
-        query[column[wide], who[wide]] = weights[wide]
-        own = [query[columns] for columns, _, _ in self.groups]
+        query = np.zeros((n, self.columns))
+        query[who[wide], column[wide]] = weights[wide]
+        single = query.astype("f4")
         bound = np.maximum.reduceat(short, np.arange(0, self.room, self.block), axis=1)
-        for g, (x, (_, _, most)) in enumerate(zip(own, self.groups)):
-            bound[:, g * GROUP : g * GROUP + GROUP] += (most @ x).T
+        bound += single @ self.most.T
         bound = bound.reshape(n, -1, GROUP).max(2)
         rank = np.empty(bound.shape, "i8")
         np.put_along_axis(rank, np.argsort(-bound, axis=1, kind="stable"), np.arange(bound.shape[1])[None], 1)
         floor, best = np.full(n, 1e-300), np.full((n, k), -1.0)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for low, high in ((0, 1), (1, 4), (4, len(self.groups))):
+        for low, high in ((0, 1), (1, 4), (4, bound.shape[1])):
             wanted = (rank >= low) & (rank < high) & (bound >= floor[:, None])
             for g in np.flatnonzero(wanted.any(0)).tolist():
                 asked = np.flatnonzero(wanted[:, g])
-                cosine = (self.groups[g][1] @ (own[g] if len(asked) == n else own[g].take(asked, 1))).T
-                cosine = cosine + short[asked, g * size : g * size + size]
+                cosine = short[:, g * size : g * size + size][asked]
+                cosine += single[asked] @ self.cells[g * size : g * size + size].T
                 if without // size == g:
                     cosine[:, without % size] = 0.0
                 some, at = np.nonzero(cosine >= floor[asked, None])
                 found.append((asked[some], cosine[some, at], at + g * size))
-                if high < len(self.groups):
-                    both = np.concatenate([best[asked], cosine], axis=1)
-                    best[asked] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-            if high < len(self.groups):
-                floor = np.maximum(1e-300, best.min(1) - 1e-9)
+                both = np.concatenate([best[asked], cosine], axis=1)
+                best[asked] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            floor = np.maximum(1e-300, best.min(1) - 2 * self.slack)
         q, cosine, at = (np.concatenate([np.zeros(0, t), *(f[i] for f in found)]) for i, t in enumerate(("i8", "f8", "i8")))
         left = cosine >= floor[q]
-        q, cosine, at = q[left], cosine[left].round(12), at[left]
+        q, at = q[left], at[left]
+        cosine = short[q, at]
+        for i in range(0, len(q), ROWS):
+            x, y = at[i : i + ROWS], q[i : i + ROWS]
+            cosine[i : i + ROWS] += np.einsum("ij,ij->i", self.cells[x] + self.rest[x].astype(float), query[y])
+        cosine = cosine.round(12)
         order = np.lexsort((at, -cosine, q))
         q, cosine, at = q[order], cosine[order], at[order]
         first = np.arange(len(q)) - np.searchsorted(q, q) < k
@@ -176,6 +184,25 @@ class BlockMaxIndex:
         return list(zip(cosine.tolist(), place.tolist()))
 
 
+class Parts(dict):
+    """Numbers of the parts of texts: 0 without terms, i + 1 for term i alone, and more for others, which ``other`` numbers."""
+
+    def __init__(self, terms: dict[str, int], heads: set[str], other: Callable[[str], int]):
+        super().__init__()
+        self.term, self.heads, self.other = terms.get, heads, other
+
+    def __missing__(self, part: str) -> int:
+        w = part.lower()
+        if not w.isalnum():
+            w = w.rstrip(".,;:!?")
+        if w.isalnum() and w[: BEGINNINGS[0]] not in self.heads:
+            number = self.term(w, -1) + 1
+        else:
+            number = self.other(part)
+        self[part] = number
+        return number
+
+
 class Reader:
     """Turns texts into terms and their counts. A part of a text is looked up once while it is remembered."""
 
@@ -192,23 +219,16 @@ class Reader:
         self.forget()
 
     def forget(self) -> None:
-        """The parts that are known by number; number i has the terms from ``first[i]`` to ``first[i + 1]`` of ``flat``."""
-        self.known, self.flat, self.first = Memo(self.learn, self.LIMIT), array("i"), array("q", [0, 0])
+        """The parts that are known by number; number ``len(terms) + 1 + i`` has the terms from ``first[i]`` to ``first[i + 1]`` of ``flat``."""
+        self.known, self.flat, self.first = Parts(self.terms, self.heads, self.learn), array("i"), array("q", [0])
 
     def learn(self, part: str) -> int:
-        w = part.lower()
-        w = w if w.isalnum() else w.rstrip(".,;:!?")
-        if not w.isalnum():
-            found = [i for t in terms_of(part) if (i := self.terms.get(t)) is not None]
-        elif w[: BEGINNINGS[0]] in self.heads:
-            found = [i for t in terms_of(w) if (i := self.terms.get(t)) is not None]
-        else:
-            found = [i] if (i := self.terms.get(w)) is not None else []
-        if not found:
-            return 0
+        found = [i for t in terms_of(part) if (i := self.terms.get(t)) is not None]
+        if len(found) < 2:
+            return found[0] + 1 if found else 0
         self.flat.extend(found)
         self.first.append(len(self.flat))
-        return len(self.first) - 2
+        return len(self.terms) + len(self.first) - 1
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cuts between texts, and each one's terms in order, with counts."""
@@ -217,11 +237,14 @@ class Reader:
         known, every = self.known, max(1, len(self.terms))
         numbers = [np.fromiter(map(known.__getitem__, parts := text.split()), "i8", len(parts)) for text in texts]
         part = np.concatenate([np.zeros(0, "i8"), *numbers])
-        first = np.frombuffer(self.first, "i8")
-        n = first[part + 1] - first[part]
-        at = np.arange(int(n.sum())) + np.repeat(first[part] - (np.cumsum(n) - n), n)
-        term = np.frombuffer(self.flat, "i4")[at] if len(at) else np.zeros(0, "i4")
-        del first  # else the arrays can't grow
+        n = (part > 0).astype("i8")
+        several = np.flatnonzero(part > len(self.terms))
+        first = np.array(self.first, "i8")
+        listed = part[several] - len(self.terms) - 1
+        size = n[several] = first[listed + 1] - first[listed]
+        term = np.repeat(part - 1, n)
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        term[np.repeat((np.cumsum(n) - n)[several], size) + step] = np.array(self.flat, "i8")[np.repeat(first[listed], size) + step]
         who = np.repeat(np.repeat(np.arange(len(texts)), [len(x) for x in numbers]), n)
         cell, count = np.unique(who * every + term, return_counts=True)
         term = cell % every
@@ -331,8 +354,9 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), id_col:
         known = Memo(terms_of, 100_000)
         for frame in frames:
             for text, toxic in zip(frame.column(0), frame.column(1).to_pylist()):
-                counts = Counter(t for part in text.as_py().split() for t in known[part])
-                held[toxic].update(x for t, c in counts.items() for x in levels(t, c))
+                counts = Counter(chain.from_iterable(map(known.__getitem__, text.as_py().split())))
+                held[toxic].update(counts.keys())
+                held[toxic].update(x for t, c in counts.items() if c > 1 for x in levels(t, c)[1:])
                 known.trim()
                 if len(held[0]) + len(held[1]) > 400_000:
                     yield from batches(rows_of(), counted)

@@ -197,3 +197,29 @@ def test_reader_counts_every_term():
             assert {names[t]: c for t, c in zip(found[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]])} == dict(want)
             assert sorted(found[cuts[i] : cuts[i + 1]]) == found[cuts[i] : cuts[i + 1]].tolist()
         read.forget()
+
+
+def test_columns_in_single_precision_keep_nearly_equal_cosines_apart():
+    r = np.random.default_rng(5)
+    base = r.random(40) + 0.1
+    vectors = []
+    for i in range(3000):  # all lists are columns; cosines of a query differ from one to the next by less than single precision tells
+        w = base.copy()
+        w[i % 40] += 1e-8 * r.random()
+        vectors.append((np.arange(40), w / np.sqrt(w @ w)))
+    index = tx.BlockMaxIndex(vectors, 40, 8)
+    assert index.columns == 40 and index.cells.dtype == "f4"
+    q = base[::-1] / np.sqrt(base @ base)
+    scores = np.array([w for _, w in vectors]) @ q
+    got = index.top(np.arange(40), q, 15)
+    want = sorted(range(3000), key=lambda i: (-scores[i].round(12), i))[:15]
+    assert len({scores[i].astype("f4") for i in want}) < 3
+    assert np.allclose([s for s, _ in got], scores[want], rtol=0, atol=2e-12)
+    assert {i for s, i in got if s > got[-1][0] + 2e-12} <= set(want)
+
+
+def test_a_word_alone_is_its_own_number():
+    read = tx.Reader({"^vile": 0, "^vileness": 1, "ab": 2, "vilenesses": 3, "x": 4})
+    cuts, found, counts = read(["Ab, x x. nothing", "vilenesses x-ab"])
+    assert cuts.tolist() == [0, 2, 7] and found.tolist() == [2, 4, 0, 1, 2, 3, 4] and counts.tolist() == [1, 2, 1, 1, 1, 1, 1]
+    assert [read.known[p] for p in ("Ab,", "x", "nothing")] == [3, 5, 0] and len(read.flat) == 5
