@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -12,7 +16,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsentry import dims
-from flowsentry.plans.storage import materialize
+from flowsentry.ml.batches import once
+from flowsentry.plans.storage import checkpoint_dir, materialize
+
+
+#: Steps that rows go down a tree before those at a leaf drop out.
+_STEPS = 4
 
 
 def weighted_rows(train: DataFrame, label: str, columns: list[str], pieces: int) -> DataFrame:
@@ -70,25 +79,93 @@ def fit_random_forest(
     return Pipeline(stages=stages).fit(weighted_rows(train, label, list(columns), pieces))
 
 
-def score_random_forest(model: PipelineModel, df: DataFrame, name: str = "rf_score") -> DataFrame:
-    """Probability of an attack.
+def _walker(model: PipelineModel, spark: SparkSession) -> Callable[[np.ndarray], np.ndarray] | None:
+    """MLlib's probability of class 1 per row of an array, or None where the forest does not have two classes.
 
-    300 trees cost some 50 µs a row, so rows of equal features are scored once, in tasks of like size, and get the score back by a join.
-    Rows of a stream are scored as they are.
+    The nodes come from the stored form of the forest, where a node's left child has the next number.
     """
-
-    def scored(rows: DataFrame) -> DataFrame:
-        out = model.transform(rows).withColumn(name, vector_to_array("rf_probability")[1])
+    forest = model.stages[-1]
+    if forest.numClasses != 2:
+        return None
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    forest.write().save(path)
+    node = F.col("nodeData")
+    stored = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), node["id"].alias("id"), node["rightChild"].alias("right"), node["split"]["featureIndex"].alias("feature"),
+        F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
+        node["impurityStats"][0].alias("s0"), node["impurityStats"][1].alias("s1"),
+    )
+    nodes = stored.toArrow().to_pandas().sort_values(["tree", "id"])
+    number, right, inner = nodes["id"].to_numpy(int), nodes["right"].to_numpy(int), nodes["feature"].to_numpy() >= 0
+    # a leaf is its own left child, where all rows go
+    feature, threshold = np.where(inner, nodes["feature"], 0).astype("i2"), np.where(inner, nodes["threshold"], np.inf)
+    child = np.column_stack([np.where(inner, number + 1, number), np.where(inner, right, number)])
+    total = (nodes["s0"] + nodes["s1"]).to_numpy()
+    share = [np.divide(nodes[c].to_numpy(), total, out=np.zeros(len(nodes)), where=total != 0) for c in ("s0", "s1")]
+    begins = np.flatnonzero(number == 0)[1:]
+    trees = [
+        (f, t, c.ravel(), i, s0, s1) for f, t, c, i, s0, s1 in zip(*[np.split(v, begins) for v in (feature, threshold, child, inner, *share)])
+    ]
+
+    def probability(x: np.ndarray) -> np.ndarray:
+        """Rows go down a tree side by side; every few steps those at a leaf drop out. Votes add up in the order of the trees, as in MLlib."""
+        begin, flat = np.arange(len(x)) * x.shape[1], np.ascontiguousarray(x).ravel()
+        end, against, votes = np.empty(len(x), int), np.zeros(len(x)), np.zeros(len(x))
+        for feature, threshold, child, inner, *shares in trees:
+            rows, first, at = np.arange(len(x)), begin, np.zeros(len(x), int)
+            while len(rows):
+                for _ in range(_STEPS):
+                    over = flat.take(feature.take(at) + first) > threshold.take(at)
+                    at += at
+                    at += over
+                    at = child.take(at)
+                end[rows] = at
+                left = np.flatnonzero(inner.take(at))
+                rows, first, at = rows.take(left), first.take(left), at.take(left)
+            against += shares[0].take(end)
+            votes += shares[1].take(end)
+        return votes / (against + votes)
+
+    return probability
+
+
+def forest_scores(model: PipelineModel, df: DataFrame, name: str = "rf_score") -> DataFrame:
+    """Probability of an attack, row by row.
+
+    Rows of a stream go down the trees in Python, some 40 µs a row where MLlib takes 200; equal rows of an Arrow batch are scored once.
+    """
+    columns = list(model.stages[0].getInputCols())
+    probability = _walker(model, df.sparkSession) if df.isStreaming else None
+    if probability is None:
+        out = model.transform(df).withColumn(name, vector_to_array("rf_probability")[1])
         return out.drop("features", "rf_probability", "rf_raw", "rf_class")
 
+    def score(*given: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(float) for c in given])
+        if np.isnan(x).any():
+            raise ValueError("a feature is NULL or not a number")  # MLlib refuses such rows too
+        return pd.Series(once(x, probability))
+
+    return df.withColumn(name, F.pandas_udf(score, "double")(*[F.col(c).cast("double") for c in columns]))
+
+
+def score_random_forest(model: PipelineModel, df: DataFrame, name: str = "rf_score") -> DataFrame:
+    """Probability of an attack; rows of equal features are scored once, rows of a stream as they come."""
     if df.isStreaming:
-        return scored(df)
-    columns = list(model.stages[0].getInputCols())
+        return forest_scores(model, df, name)
+    return once_each(df, list(model.stages[0].getInputCols()), lambda rows: forest_scores(model, rows, name))
+
+
+def once_each(df: DataFrame, columns: list[str], scored: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``df`` with what ``scored`` adds to rows of ``columns``; rows of equal columns are scored once, in tasks of like size, and get them by a join.
+
+    300 trees cost some 200 µs a row in MLlib, the join far less.
+    """
     different = materialize(df.select(*columns).distinct())
     parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-different.count() // 200_000))
     scores = materialize(scored(different.repartition(parts))).withColumnsRenamed({c: f"_{c}" for c in columns})
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
-    return df.join(scores, same).select(*df.columns, name)
+    return df.join(scores, same).select(*df.columns, *[c for c in scores.columns if c not in {f"_{c}" for c in columns}])
 
 
 def feature_importance(model: PipelineModel, spark: SparkSession) -> DataFrame:

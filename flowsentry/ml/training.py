@@ -13,7 +13,7 @@ from flowsentry.ml.autoencoder import Autoencoder, fit_autoencoder
 from flowsentry.ml.ensemble import ensemble_vote
 from flowsentry.ml.isolation_forest import IsolationForest, fit_isolation_forest
 from flowsentry.ml.metrics import classification_report, roc_auc
-from flowsentry.ml.random_forest import fit_random_forest, score_random_forest
+from flowsentry.ml.random_forest import fit_random_forest, forest_scores, once_each
 from flowsentry.ml.split import stratified_split
 from flowsentry.operators.features import feature_columns
 from flowsentry.plans.storage import materialize
@@ -28,9 +28,21 @@ class Models:
     autoencoder: Autoencoder | None = None
 
     def score(self, features: DataFrame) -> DataFrame:
+        """``features`` with three scores. With a forest, rows of equal features are scored once, by all models; rows of a stream as they come."""
+        if self.random_forest and not features.isStreaming:
+            return once_each(features, self._columns(), self._scored)
+        return self._scored(features)
+
+    def _columns(self) -> list[str]:
+        read = [*self.random_forest.stages[0].getInputCols()]
+        for model in (self.isolation_forest, self.autoencoder):
+            read += model.columns if model else []
+        return list(dict.fromkeys(read))
+
+    def _scored(self, features: DataFrame) -> DataFrame:
         none = F.lit(None).cast("double")
         out = self.isolation_forest.score(features) if self.isolation_forest else features.withColumn("if_score", none)
-        out = score_random_forest(self.random_forest, out) if self.random_forest else out.withColumn("rf_score", none)
+        out = forest_scores(self.random_forest, out) if self.random_forest else out.withColumn("rf_score", none)
         return self.autoencoder.score(out) if self.autoencoder else out.withColumn("ae_score", none)
 
     def save(self, spark: SparkSession, path: str) -> None:

@@ -262,3 +262,76 @@ def test_figures_equal_plain_counts(spark, sf):
         assert (r.votes, r.predicted) == (votes, int(votes >= dims.VOTES_NEEDED))
     weights = [r.importance for r in q.QUERIES["importance_figures"](spark, sf).collect()]
     assert len(weights) == 24 and sum(weights) == pytest.approx(1) and max(weights) > 0.05
+
+
+def test_all_models_score_equal_rows_once(spark, planted):
+    models, _ = train(planted, "row_id", trees=5, rf_trees=5, rf_depth=4, epochs=1)
+    read, score = [], models.isolation_forest.score
+    models.isolation_forest.score = lambda rows: read.append(rows.count()) or score(rows)
+    copies = planted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    got = models.score(copies)
+    assert read == [planted.count()] and got.columns == [*copies.columns, "if_score", "rf_score", "ae_score"]
+    plain = models.autoencoder.score(score_random_forest(models.random_forest, score(copies)))
+    key = lambda df: sorted(tuple(r) for r in df.select("row_id", "copy", "if_score", "rf_score", "ae_score").collect())
+    for a, b in zip(key(got), key(plain), strict=True):
+        assert a == pytest.approx(b, rel=1e-12)
+
+
+def test_stream_walks_the_forest_as_mllib(spark, planted):
+    from flowsentry.streaming.replay import replay, run_to_table
+
+    flipped = planted.withColumn("binary_label", F.when(F.col("row_id") % 7 == 0, 1 - F.col("binary_label")).otherwise(F.col("binary_label")))
+    model = fit_random_forest(materialize(flipped), trees=15, max_depth=30)
+    assert max(t.depth for t in model.stages[-1].trees) > 8
+
+    class NoTransform:
+        stages = model.stages  # MLlib takes 200 µs a row of a stream
+
+    copies = materialize(planted.unionByName(planted.where("row_id < 50").withColumn("row_id", F.col("row_id") + 10_000)))
+    got = run_to_table(score_random_forest(NoTransform(), replay(copies, "row_id")))
+    assert got.columns == [*copies.columns, "rf_score"]
+    key = lambda df: sorted(tuple(r) for r in df.select("row_id", "rf_score").collect())
+    assert key(got) == key(score_random_forest(model, copies))
+
+
+def test_stream_refuses_features_without_value(spark, planted):
+    from pyspark.errors import StreamingQueryException
+    from flowsentry.streaming.replay import replay, run_to_table
+
+    model = fit_random_forest(planted, trees=2, max_depth=2)
+    holes = materialize(planted.withColumn(dims.FEATURES[3], F.when(F.col("row_id") != 5, F.col(dims.FEATURES[3]))))
+    with pytest.raises(StreamingQueryException):
+        run_to_table(score_random_forest(model, replay(holes, "row_id")))
+
+
+def test_equal_rows_of_a_batch_are_scored_once():
+    from flowsentry.ml.batches import once
+
+    x = np.random.default_rng(5).normal(size=(40, 6))[np.random.default_rng(6).integers(0, 40, 500)]
+    x[::9, 2] = np.nan
+    seen = []
+
+    def scored(rows):
+        seen.append(len(rows))
+        return np.nansum(rows, axis=1)
+
+    assert np.array_equal(once(x, scored), np.nansum(x, axis=1)) and seen[0] == len(np.unique(x.view("i8"), axis=0)) < 100
+    assert np.array_equal(once(x[:1], scored), np.nansum(x[:1], axis=1)) and len(once(x[:0], scored)) == 0
+
+
+@pytest.mark.parametrize("name", ["score_flows", "flow_scores", "stream_scoring"])
+def test_scoring_queries_build_flows_once(spark, sf, name, monkeypatch):
+    """Training and scoring read the same stored flows; a batch of the stream is read by all cores."""
+    from flowsentry import queries as q
+
+    built, files = [], []
+    build, again = q.fl.build_flows, q.replay
+    monkeypatch.setattr(q.fl, "build_flows", lambda *a, **k: built.append(1) or build(*a, **k))
+    monkeypatch.setattr(q, "replay", lambda df, time, slices, files_each: files.append(files_each) or again(df, time, slices, files_each))
+    monkeypatch.setattr(q, "train", lambda rows, row_id: train(rows, row_id, trees=5, rf_trees=5, rf_depth=4, epochs=1))
+    kept = q.trained, q.stored_flows
+    monkeypatch.setattr(q, "trained", kept[0].__wrapped__)
+    q.stored_flows.cache_clear()
+    rows = q.QUERIES[name](spark, sf).count()
+    assert len(built) == 1 and rows == q.stored_flows(spark, sf).count()
+    assert all(n % spark.sparkContext.defaultParallelism == 0 for n in files)
