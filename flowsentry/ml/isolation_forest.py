@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from flowsentry import dims
+from flowsentry.ml.batches import once
 from flowsentry.plans.ordered import quantiles_of, value_spans
 
 _NODES = "tree int, node int, feature int, threshold double, left int, right int, length double"
@@ -45,6 +46,14 @@ def _grow(columns: list[str], depth: int, seed: int):
     return grow
 
 
+def _levels(feature: np.ndarray, child: np.ndarray, most: int) -> int:
+    """Steps from the root to the deepest leaf, or ``most``."""
+    at, steps = np.zeros(1, int), 0
+    while steps < most and (feature[at] >= 0).any():
+        at, steps = np.unique(child[at]), steps + 1
+    return steps
+
+
 @dataclass
 class IsolationForest:
     columns: list[str]
@@ -65,18 +74,33 @@ class IsolationForest:
         means, stds = np.array(self.means), np.array(self.stds)
         norm = float(_average_path(self.sample_size))
         depth = int(np.ceil(np.log2(max(self.sample_size, 2)))) + 1
+        steps = [_levels(f, c, depth) for f, c in zip(feature, child)]
+        feature, child = np.maximum(feature, 0), child.reshape(trees, -1)  # children of node i: places 2 i and 2 i + 1
+
+        def paths(x: np.ndarray) -> np.ndarray:
+            """Sum of path lengths per row; a step of a tree is a few passes over all rows, in arrays that are kept."""
+            rows, flat, total = np.arange(len(x)), np.ascontiguousarray(x.T).ravel(), np.zeros(len(x))
+            first = feature * len(x)  # where a node's feature begins in ``flat``
+            at, place, goes = np.empty(len(x), int), np.empty(len(x), int), np.empty(len(x), bool)
+            value, limit = np.empty(len(x)), np.empty(len(x))
+            for tree in range(trees):
+                at[:] = 0
+                for _ in range(steps[tree]):
+                    first[tree].take(at, out=place, mode="clip")
+                    place += rows
+                    flat.take(place, out=value, mode="clip")
+                    threshold[tree].take(at, out=limit, mode="clip")
+                    np.greater(value, limit, out=goes)
+                    at += at
+                    at += goes
+                    child[tree].take(at, out=place, mode="clip")
+                    at, place = place, at
+                total += length[tree].take(at, out=value, mode="clip")
+            return total
 
         def score(*columns: pd.Series) -> pd.Series:
             x = (np.column_stack([c.to_numpy(float) for c in columns]) - means) / stds
-            rows, total = np.arange(len(x)), np.zeros(len(x))
-            for tree in range(trees):
-                at = np.zeros(len(x), int)
-                for _ in range(depth):
-                    f = feature[tree, at]
-                    goes = x[rows, np.maximum(f, 0)] > threshold[tree, at]
-                    at = child[tree, at, goes.astype(int)]
-                total += length[tree, at]
-            return pd.Series(-np.exp2(-total / trees / norm))
+            return pd.Series(-np.exp2(-once(x, paths) / trees / norm))
 
         return F.pandas_udf(score, "double")
 

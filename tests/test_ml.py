@@ -319,6 +319,31 @@ def test_equal_rows_of_a_batch_are_scored_once():
     assert np.array_equal(once(x[:1], scored), np.nansum(x[:1], axis=1)) and len(once(x[:0], scored)) == 0
 
 
+def test_isolation_forest_walks_uneven_trees(spark):
+    """Children in any places, leaves at any level: against a walk row by row."""
+    import pandas as pd
+
+    from flowsentry.ml.isolation_forest import IsolationForest
+
+    cells = [(0, 0, 0, 0.0, 5, 2, 0.0), (0, 5, -1, 0.0, 5, 5, 4.0), (0, 2, 1, 0.5, 7, 3, 0.0), (0, 7, 0, 1.0, 1, 4, 0.0), (0, 3, -1, 0.0, 3, 3, 2.5), (0, 1, -1, 0.0, 1, 1, 1.5), (0, 4, -1, 0.0, 4, 4, 3.5), (4, 0, -1, 0.0, 0, 0, 6.0)]
+    nodes = pd.DataFrame(cells, columns=["tree", "node", "feature", "threshold", "left", "right", "length"])
+    forest = IsolationForest(["a", "b"], [0.0, 0.0], [1.0, 1.0], nodes, 16)
+    rows = [(float(a), float(b)) for a in (-1, 0, 0.5, 1, 2) for b in (0, 0.5, 1)]
+
+    def length(tree, x):
+        at = {c[1]: c for c in cells if c[0] == tree}
+        node = 0
+        while at[node][2] >= 0:
+            node = at[node][5] if x[at[node][2]] > at[node][3] else at[node][4]
+        return at[node][6]
+
+    norm = 2 * (np.log(15) + np.euler_gamma) - 2 * 15 / 16
+    got = forest.raw(spark.createDataFrame(rows * 3, "a double, b double"), "raw").collect()
+    assert len(got) == 45
+    for r in got:
+        assert r.raw == pytest.approx(-(2 ** (-(length(0, (r.a, r.b)) + length(4, (r.a, r.b))) / 2 / norm)), rel=1e-12)
+
+
 @pytest.mark.parametrize("name", ["score_flows", "flow_scores", "stream_scoring"])
 def test_scoring_queries_build_flows_once(spark, sf, name, monkeypatch):
     """Training and scoring read the same stored flows; a batch of the stream is read by all cores."""
