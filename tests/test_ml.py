@@ -344,6 +344,22 @@ def test_isolation_forest_walks_uneven_trees(spark):
         assert r.raw == pytest.approx(-(2 ** (-(length(0, (r.a, r.b)) + length(4, (r.a, r.b))) / 2 / norm)), rel=1e-12)
 
 
+def test_autoencoder_steps_ask_for_no_memory():
+    """A second step of a shard works in the arrays of the first one."""
+    import tracemalloc
+
+    from flowsentry.ml.autoencoder import _Room
+
+    w, x, room = init_weights(24, 1), np.random.default_rng(0).normal(size=(256, 24)), _Room()
+    found = [np.zeros_like(a) for a in w]
+    first = [a.copy() for a in _gradients(w, x, room, found)]
+    tracemalloc.start()
+    _gradients(w, x, room, found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 256 * 64 * 8 and all(np.array_equal(a, b) for a, b in zip(first, found))
+
+
 @pytest.mark.parametrize("name", ["score_flows", "flow_scores", "stream_scoring"])
 def test_scoring_queries_build_flows_once(spark, sf, name, monkeypatch):
     """Training and scoring read the same stored flows; a batch of the stream is read by all cores."""
